@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,6 +16,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The key of the registered pseudonym query. A deployment passes its own secret.
+DEMO_KEY = b"latticework demonstration key"
+
+
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.pii import KINDS, pseudonymize
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymize(docs, DEMO_KEY).select("doc_id", "text", *[f"n_{k}" for k in KINDS])
+
+
+def op2_chat_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.chat import enumerate_paths, format_paths, masked_text, parse
+
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string"
+    )
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    # a conversation is a tree without branches: each turn replies to the one before
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = (
+        rows.withColumn("tree", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
+        .withColumn("node", F.row_number().over(order).cast("long"))
+        .withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
+        .withColumn("score", F.lit(0.0))
+    )
+    made = format_paths(enumerate_paths(turns, branches=1), turns)
+
+    def digest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for tree, text, starts, ends in zip(
+                frame["tree"], frame["formatted"], frame["loss_starts"], frame["loss_ends"], strict=True
+            ):
+                turns = parse(text)
+                loss = masked_text(text, starts, ends)
+                told = "".join(f"{role}\n{said}\n" for role, said in turns)
+                out.append((None if tree == "none" else int(tree), len(turns), _sha256(told), len(loss), _sha256(loss), len(text)))
+            yield pd.DataFrame(out, columns=_CHAT_COLUMNS, dtype=object)
+
+    return made.mapInPandas(
+        digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    )
+
+
+_CHAT_COLUMNS = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+
+
+def _sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.simhash import hex_fingerprint, near_duplicate_components
 
@@ -21,6 +76,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.scratch import fresh_path
+    from latticework.llm.warc import page_records, read_archives, resolve_revisits, write_archives
+
+    path = fresh_path(spark, "warc")
+    write_archives(resolve_revisits(page_records(_table(spark, sf_dir, "pages"))), path)
+    back = read_archives(spark, path, payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url")
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.line_quality import line_frequency_verdicts
 
@@ -29,10 +94,21 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.topk import quantize, top_k
+
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", quantize(F.col("embedding")).alias("v"))
+    return top_k(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "v", k=5)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii_pseudonyms": op1_pii_pseudonyms,
+        "op2_chat_paths": op2_chat_paths,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_warc_revisits": op4_warc_revisits,
         "op5_line_quality": op5_line_quality,
+        "op8_exact_top_k": op8_exact_top_k,
     }
 
 
