@@ -94,6 +94,22 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from latticework.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = encode(docs, path, public_tokenizers.PATTERN).drop("text")
+    return decode(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from latticework.llm.topk import quantize, top_k
 
@@ -101,6 +117,14 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "v", k=5)
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from latticework.llm.packing import pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii_pseudonyms": op1_pii_pseudonyms,
@@ -108,7 +132,9 @@ def queries() -> dict[str, Query]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_warc_revisits": op4_warc_revisits,
         "op5_line_quality": op5_line_quality,
+        "op7_byte_bpe": op7_byte_bpe,
         "op8_exact_top_k": op8_exact_top_k,
+        "op10_best_fit_packing": op10_best_fit_packing,
     }
 
 
