@@ -94,6 +94,16 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.labelled import held_out
+    from latticework.llm.rules import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    scored = score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -117,6 +127,17 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.where("vec_id % 50 = 0"), "vec_id", "v", k=5)
 
 
+def op9_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.labelled import held_out
+    from latticework.llm.toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs, _table(spark, sf_dir, "labels"))
+    scored = score(docs, model)
+    predicted = (F.col("score") >= 0.7).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", predicted, "evidence")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -132,8 +153,10 @@ def queries() -> dict[str, Query]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_warc_revisits": op4_warc_revisits,
         "op5_line_quality": op5_line_quality,
+        "op6_rule_ensemble": op6_rule_ensemble,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_exact_top_k": op8_exact_top_k,
+        "op9_nearest_toxic": op9_nearest_toxic,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
