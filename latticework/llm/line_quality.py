@@ -140,7 +140,11 @@ def line_frequency_verdicts(
     min_docs: int = 20,
     max_removed: float = 0.8,
 ) -> DataFrame:
-    """One row per document: the statistics, base_failed, n_removed_words and kept."""
+    """One row per document: the statistics, base_failed, n_removed_words and kept.
+
+    ``carry`` names columns to pass through; with the text among them the result
+    also has clean_text, the text without the removed lines.
+    """
     keep = dict.fromkeys((id_col, host_col, *carry))
     stats = materialize(text_statistics(docs, text_col, tuple(keep)), "line-stats")
     frequent = materialize(frequent_lines(stats, host_col, max_share, min_docs), "line-frequent")
@@ -151,9 +155,14 @@ def line_frequency_verdicts(
         lambda acc, x: acc + x["n"],
     )
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    return (
+    judged = (
         joined.withColumn("n_removed_words", F.coalesce(removed, F.lit(0).cast("long")))
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= max_removed * F.col("n_words")))
-        .drop("lines", "frequent")
     )
+    if text_col in carry:
+        left = F.filter(F.split(text_col, "\n"), lambda x: ~F.array_contains(F.col("frequent"), line_key(x)["h"]))
+        judged = judged.withColumn(
+            "clean_text", F.when(F.col("n_removed_words") > 0, F.array_join(left, "\n")).otherwise(F.col(text_col))
+        )
+    return judged.drop("lines", "frequent")

@@ -292,9 +292,9 @@ def pseudonymize_text(text: str, key: bytes, sign: int = 1) -> tuple[str, list[s
     return "".join([*out, text[last:]]) if kinds else text, kinds
 
 
-def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", restore: bool = False) -> DataFrame:
-    """``docs`` with ``text_col`` pseudonymised and one ``n_<kind>`` long per kind of value."""
-    counts = [f"n_{k}" for k in KINDS]
+def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", restore: bool = False, with_counts: bool = True) -> DataFrame:
+    """``docs`` with ``text_col`` pseudonymised and, ``with_counts``, one ``n_<kind>`` long per kind of value."""
+    counts = [f"n_{k}" for k in KINDS] if with_counts else []
     passed = docs.select(*[f"`{c}`" for c in docs.columns if c not in counts])
     fields = [f if f.name != text_col else T.StructField(f.name, T.StringType()) for f in passed.schema.fields]
     schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in counts]])
@@ -310,6 +310,7 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", restore: b
                     tally[KINDS.index(kind)][i] += 1
             columns = [*batch.columns]
             columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(x, pa.int64()) for x in tally]], names=names)
+            columns += [pa.array(x, pa.int64()) for x in tally] if with_counts else []
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return passed.mapInArrow(run, schema)

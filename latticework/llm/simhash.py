@@ -18,6 +18,14 @@ Plan
    65 rows each link them exactly, and linearly in the size of the bucket.
 7. Components of the links, folded back onto the documents.
 
+``similar_groups`` is the same plan for a wide similarity (0.8 of five-word
+shingles by default). There 64-bit fingerprints of similar texts differ in ten
+bits and more, which no split into blocks can bucket, so buckets come from
+min-wise sketches of the same shingle hashes instead; pivot coordinates discard,
+and the exact Jaccard similarity of the shingle sets verifies. A bucket links
+its members to two centres each, different ones in every band, so a group of
+thousands of near copies gives a few candidates per copy and not all pairs.
+
 Nulls: a null text counts as empty. A text without words has fingerprint zero,
 which links like any other. Rows repeat in the result as often as in the input.
 A null id never becomes a group's id unless all ids of the group are null.
@@ -177,3 +185,125 @@ def near_duplicate_components(
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
+
+
+BANDS, ROWS = 20, 4
+_BINS = BANDS * ROWS
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """One signed key per band of a one-permutation min-wise sketch; 0 where a band is empty.
+
+    Two texts agree in a band if the smallest hash of each of its bins agrees,
+    so of texts with similarity 0.8 some 99.99 % share a band.
+    """
+    if not len(hashes):
+        return np.zeros(BANDS, np.int64)
+    ordered = np.unique((hashes * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFFFFFFFFFF))
+    edges = np.array([(i << 64) // _BINS for i in range(_BINS)], np.uint64)
+    first = np.searchsorted(ordered, edges)
+    last = np.append(first[1:], len(ordered))
+    least = np.where(first < last, ordered[np.minimum(first, len(ordered) - 1)], 0).astype(">u8").reshape(BANDS, ROWS)
+    keys = [xxhash.xxh64_intdigest(row.tobytes(), band) or 1 if row.any() else 0 for band, row in enumerate(least)]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def _node(text: Column) -> Column:
+    """128 bits of a text: the identity of exact copies."""
+    return F.concat_ws("-", F.hex(F.xxhash64(text)), F.hex(F.xxhash64(F.lit(7), text)))
+
+
+def _sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, fp, bands) of ``docs(node, t binary)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, bands = [], []
+            for text in batch.column(1):
+                hashes = shingle_hashes(text.as_py(), shingle_words)
+                fps.append(simhash(hashes))
+                bands.append(band_keys(hashes))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "fp", "bands"]
+            )
+
+    return docs.mapInArrow(run, "node string, fp long, bands array<long>")
+
+
+def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
+    """(node, shingles array<int>) of ``docs(node, t binary)``: the set of 32-bit shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle_words) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    return docs.mapInArrow(run, "node string, shingles array<int>")
+
+
+def _star_candidates(members: DataFrame, max_bits: int, n_pivots: int, both: bool) -> DataFrame:
+    """(src, dst) from bucket members to the centres of their buckets, after the pivot and Hamming filters."""
+    table = pivot_table(members, n_pivots)
+    one, order = F.struct("node", "fp", "coords"), F.xxhash64("node", "band")
+    ends = [F.min_by(one, order).alias("b")] + ([F.max_by(one, order).alias("c")] if both else [])
+    centres = table.groupBy("band", "key").agg(*ends)
+    pairs = None
+    for name in ("b", "c") if both else ("b",):
+        found = table.alias("a").join(centres.select("band", "key", F.col(name).alias("b")), ["band", "key"]).where("a.node <> b.node")
+        found = found.where(_within("a", "b", max_bits)).where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
+        found = found.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
+        pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    used = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+    own = texts.join(used, "node").groupBy("node").agg(F.min("t").alias("t"))
+    sets = materialize(_shingle_sets(own, shingle_words), "similar-sets")
+    a, b = sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b"))
+    shared = F.size(F.array_intersect("a", "b"))
+    near = shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)
+    return materialize(pairs.join(a, "src").join(b, "dst").where(near).select("src", "dst"), "similar-links")
+
+
+def similar_groups(
+    docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 24, n_pivots: int = 16, first_bands: int = 4
+) -> DataFrame:
+    """(node, group): each distinct text that has similar ones, and the group it belongs to.
+
+    ``text_node`` gives a text's node. The first bands are verified and grouped
+    before the others, which then need only be compared across groups.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(_node(text).alias("node"), text.cast("binary").alias("t"))
+    sketches = materialize(_sketches(texts, shingle_words), "similar-sketches")
+    distinct = sketches.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    rows = distinct.select("node", "fp", F.posexplode("bands").alias("band", "key")).where("key <> 0")
+    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(rows.join(shared.drop("n"), ["band", "key"]), "similar-members")
+    early = materialize(_star_candidates(members.where(F.col("band") < first_bands), max_bits, n_pivots, False), "similar-early")
+    links_1 = _verified(early, texts, shingle_words, similarity)
+    groups = materialize(connected_components(links_1), "similar-groups")
+    late = _star_candidates(members, max_bits, n_pivots, True).join(early, ["src", "dst"], "left_anti")
+    g, h = (groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group")) for end in ("src", "dst"))
+    across = late.join(g, "src", "left").join(h, "dst", "left").where(~F.col("src_group").eqNullSafe(F.col("dst_group")) | F.col("src_group").isNull())
+    links_2 = _verified(materialize(across.select("src", "dst"), "similar-late"), texts, shingle_words, similarity)
+    every = connected_components(links_1.unionByName(links_2))
+    return materialize(every.select("node", F.col("component").alias("group")), "similar-every")
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of similar texts the row with the smallest id.
+
+    Null ids come last. A row repeated in full is kept once.
+    """
+    groups = similar_groups(docs, text_col, **how)
+    node = _node(F.coalesce(F.col(text_col), F.lit("")))
+    ids = docs.select(F.col(id_col).alias("_id"), node.alias("node"))
+    least = ids.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id")).alias("least"))
+    named = least.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    best = named.groupBy("group").agg(F.min(F.struct("least", "node")).alias("k"))
+    kept = materialize(best.select(F.col("k.node").alias("_node"), F.col("k.least._id").alias("_kept")), "similar-kept")
+    whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), node.alias("_node"))
+    chosen = whole.join(kept, (whole["_node"] == kept["_node"]) & whole["_id"].eqNullSafe(kept["_kept"])).select("_row", whole["_id"], whole["_node"])
+    return chosen.groupBy("_node", "_id").agg(F.first("_row").alias("_row")).select("_row.*")
