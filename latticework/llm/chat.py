@@ -99,22 +99,22 @@ def _jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Tables (tree, node, up) of the 2^k-th ancestors, and (tree, node, score) summed up to the root."""
     parents = nodes.select("tree", F.col("node").alias("up"), F.lit(True).alias("there"))
     linked = nodes.select("tree", "node", F.col("parent").alias("up"), "score").join(parents, ["tree", "up"], "left")
-    state = materialize(
+    start = materialize(
         linked.select("tree", "node", F.when(F.col("there"), F.col("up")).alias("up"), "score"), "chat-links"
     )
-    total = state.count()
+    total = start.count()
     jumps: list[DataFrame] = []
-    while 2 ** len(jumps) <= max(1, total):
-        open_ = state.where("up IS NOT NULL")
-        if open_.isEmpty():
-            break
-        jumps.append(materialize(open_.select("tree", "node", "up"), "chat-jump"))
-        above = state.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
-        stepped = state.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("next").alias("up"), (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score")
+    below, at_root = start.where("up IS NOT NULL"), start.where("up IS NULL")
+    # a round moves only the nodes that have not reached their root; 2^rounds > total leaves cycles alone
+    while 2 ** len(jumps) <= max(1, total) and not below.isEmpty():
+        jumps.append(below.select("tree", "node", "up"))
+        above = at_root.unionByName(below).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
+        stepped = materialize(
+            below.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score")),
+            "chat-state",
         )
-        state = materialize(stepped, "chat-state")
-    return jumps, state.where("up IS NULL").select("tree", "node", "score")
+        below, at_root = stepped.where("up IS NOT NULL"), at_root.unionByName(stepped.where("up IS NULL"))
+    return jumps, at_root.select("tree", "node", "score")
 
 
 def rank_branches(leaves: DataFrame, branches: int | None, salts: int = 16) -> DataFrame:
