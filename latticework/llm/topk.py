@@ -19,6 +19,10 @@ Scores are exact: products are float32 or float64 matrix products only while
 every partial sum is an integer that the type holds, else Python integers; a
 score outside the range of long saturates.
 
+Inner products of dense vectors spread over all dimensions, so bounds close
+late: reading stops at three quarters or nine tenths of the lists, and what can
+still qualify there (about 0.3 % of a block) is resolved.
+
 Vectors that are null or hold a null or non-finite component take no part, nor
 does one whose length differs from the query's. A row is known by its id: a
 query is not matched with rows of its own id, and rows that repeat an id and a
@@ -35,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LONG = (1 << 63) - 1
-DEPTHS = (1 / 16, 1 / 4)
+DEPTHS = (3 / 4, 9 / 10)
 RESOLVE_SHARE = 0.05
 
 
@@ -94,20 +98,23 @@ def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nda
     """(query id, candidate id, score) of each query's k best in the block, all ties by smaller id resolved."""
     kind = _exact_type(x, q)
     own = query_ids[:, None] == ids[None, :]
-    out: list[tuple[int, int, int]] = []
-    if kind is object:
-        exact = x.astype(object) @ q.astype(object).T
-        possible = ~own
+    repeats = len(np.unique(ids)) < len(ids)  # then bounds would count an id twice
+    if kind is object or repeats:
+        x, q, possible = x.astype(object), q.astype(object), ~own
     else:
         x, q = x.astype(kind), q.astype(kind)
         possible = _candidates(SortedLists(x), q, k, own)
-        exact = None
+    fast = kind is not object and not repeats
+    together = fast and possible.mean() > RESOLVE_SHARE
+    resolved = q @ x.T if together else None
+    out: list[tuple[int, int, int]] = []
     for i, mask in enumerate(possible):
         at = np.flatnonzero(mask)
-        if not len(at):
-            continue
-        scores = exact[at, i] if exact is not None else (x[at] @ q[i]).astype(np.int64)
-        rows = sorted({(-int(min(max(s, -LONG - 1), LONG)), int(ids[j])) for s, j in zip(scores, at, strict=True)})[:k]
+        scores = resolved[i, at] if resolved is not None else x[at] @ q[i]
+        if len(at) > k and fast:
+            best = scores >= np.partition(scores, len(at) - k)[len(at) - k]
+            at, scores = at[best], scores[best]
+        rows = sorted({(-min(max(int(s), -LONG - 1), LONG), int(ids[j])) for s, j in zip(scores, at, strict=True)})[:k]
         out += [(int(query_ids[i]), vec, -s) for s, vec in rows]
     return out
 
