@@ -132,6 +132,13 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that Python objects exist for a few rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _with_column(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType, list[str]]:
     passed = df.select(*[f"`{c}`" for c in df.columns if c != name])
     schema = T.StructType([*passed.schema.fields, T.StructField(name, kind)])
@@ -144,9 +151,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", int
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
-        for batch in batches:
-            rows = [np.array(encoder.encode(text or ""), np.int32) for text in batch.column(at).to_pylist()]
+        encode_text = _encoder(path, pattern).encode
+        for batch in small_batches(batches):
+            rows = [np.array(encode_text(text.as_py() or ""), np.int32) for text in batch.column(at)]
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int32), *rows])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -162,8 +169,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", into: str = "dec
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = load_tokens(path).__getitem__
-        for batch in batches:
-            texts = [b"".join(map(token, ids or ())) for ids in batch.column(at).to_pylist()]
+        for batch in small_batches(batches):
+            texts = [b"".join(map(token, row.values.to_numpy(zero_copy_only=False).tolist())) if row.is_valid else b"" for row in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=names)
 
     return passed.mapInArrow(run, schema)
