@@ -2,11 +2,13 @@
 
 Model (driver; bounded by ``max_examples`` per class and ``max_terms``):
 
-* Terms are words (lower case, outer punctuation off) and four-letter word
-  beginnings. Those whose document frequencies differ most between the classes
-  (chi-square over the labelled sample, counted by Spark, among terms in at least
-  a hundredth as many documents as the smaller class has) span the space; a
-  vector is sublinear TF times IDF over these terms, of length one.
+* Terms are words (lower case, outer punctuation off) and word beginnings of
+  four and six letters. Those that mark the toxic class best (chi-square over the
+  labelled sample, counted by Spark, among terms at least ``min_lift`` times as
+  frequent there and in a hundredth as many documents as the smaller class has)
+  make the vocabulary. Any other word is a
+  dimension of its own, shared with no example. A vector is sublinear TF times
+  IDF, of length one.
 * Examples lie in a block-max inverted index: a term's postings are cut at block
   borders of ``BLOCK`` examples, each with its largest weight. For a query the
   block maxima bound every score of a block; blocks are opened best bound first
@@ -60,43 +62,48 @@ def terms(text: str) -> Counter:
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors."""
+    """Block-max inverted index of unit vectors: per term its rows and weights, and its largest weight per block."""
 
     n: int
-    postings: list[dict[int, tuple[np.ndarray, np.ndarray]]]
+    rows: list[np.ndarray]
+    weights: list[np.ndarray]
     maxima: np.ndarray
 
     @classmethod
     def build(cls, vectors: list[dict[int, float]], n_terms: int) -> Index:
-        blocks = -(-len(vectors) // BLOCK)
-        gathered: list[dict[int, list[tuple[int, float]]]] = [{} for _ in range(n_terms)]
-        maxima = np.zeros((n_terms, blocks))
+        maxima = np.zeros((n_terms, -(-len(vectors) // BLOCK)))
+        gathered: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
         for row, vector in enumerate(vectors):
             for term, weight in vector.items():
-                gathered[term].setdefault(row // BLOCK, []).append((row % BLOCK, weight))
+                gathered[term].append((row, weight))
                 maxima[term, row // BLOCK] = max(maxima[term, row // BLOCK], weight)
-        packed = [{b: (np.array([r for r, _ in p]), np.array([w for _, w in p])) for b, p in own.items()} for own in gathered]
-        return cls(len(vectors), packed, maxima)
+        rows = [np.array([r for r, _ in own], np.int64) for own in gathered]
+        return cls(len(vectors), rows, [np.array([w for _, w in own]) for own in gathered], maxima)
 
     def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, row) of the k best rows with a positive cosine, ties to the smaller row; ``skip`` is left out."""
         if not query or not self.n:
             return []
-        bounds = np.zeros(self.maxima.shape[1])
-        for term, weight in query.items():
-            bounds += weight * self.maxima[term]
-        best: list[tuple[float, int]] = []
-        for block in np.lexsort((np.arange(len(bounds)), -bounds)):
-            if bounds[block] <= 0 or len(best) == k and bounds[block] * (1 + 1e-12) < -best[-1][0]:
-                break
-            sums = np.zeros(BLOCK)
-            for term, weight in query.items():
-                own = self.postings[term].get(int(block))
-                if own is not None:
-                    sums[own[0]] += weight * own[1]
-            rows = np.flatnonzero(sums > 0)
-            best += [(-round(float(sums[r]), 12), int(block) * BLOCK + int(r)) for r in rows if int(block) * BLOCK + r != skip]
-            best = sorted(best)[:k]
+        terms, weights = list(query), list(query.values())
+        bounds = np.array(weights) @ self.maxima[terms]
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        sums, opened, batch, reached = np.zeros(self.n), 0, 1, 0.0
+        while opened < len(order) and bounds[order[opened]] * (1 + 1e-12) >= reached:
+            # the next blocks, best bound first; twice as many each time
+            inside = np.zeros(len(bounds), bool)
+            inside[order[opened : opened + batch]] = True
+            for term, weight in zip(terms, weights, strict=True):
+                rows = self.rows[term]
+                at = inside[rows // BLOCK]
+                sums[rows[at]] += weight * self.weights[term][at]
+            opened, batch = opened + batch, 2 * batch
+            if skip >= 0:
+                sums[skip] = 0
+            if self.n > k:
+                reached = np.partition(sums, self.n - k)[self.n - k]
+        rows = np.flatnonzero(sums >= max(reached * (1 - 1e-12), 1e-300))
+        best = sorted((-round(float(sums[r]), 12), int(r)) for r in rows)[:k]
         return [(-s, r) for s, r in best]
 
 
@@ -183,7 +190,7 @@ def build_model(vocabulary: list[str], examples: list[tuple[int, float, dict[int
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 2000, max_terms: int = 1000, min_docs: int = 3, min_share: float = 0.01,
+    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 2000, max_terms: int = 1000, min_docs: int = 3, min_share: float = 0.01, min_lift: float = 3.0,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Model:
     """Fit on at most ``max_examples`` labelled documents per class that are not held out."""
@@ -208,7 +215,7 @@ def train(
         sample.select("y", F.explode(F.map_keys("counts")).alias("term"))
         .groupBy("term").agg(a.alias("a"), b.alias("b"))
         .where((F.col("a") + F.col("b") >= max(min_docs, min_share * min(pos, neg))) & (F.col("a") + F.col("b") < pos + neg))
-        .withColumn("chi2", spread).where("chi2 > 10.83")
+        .withColumn("chi2", spread).where((F.col("chi2") > 10.83) & (F.col("a") * neg > min_lift * F.col("b") * pos))
         .orderBy(F.col("chi2").desc(), "term").limit(max_terms)
     )
     vocabulary = [r["term"] for r in best.select("term").collect()]
