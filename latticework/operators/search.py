@@ -190,7 +190,7 @@ def _roots(edges: DataFrame, roots: Sequence[int] | DataFrame) -> DataFrame:
 def _search(edges: DataFrame, roots: Sequence[int] | DataFrame, symmetric: bool, switch_at: float | None, local_edges: int, max_local_roots: int, rounds: bool) -> DataFrame:
     wanted = _roots(edges, roots).distinct()
     few = [r["source"] for r in wanted.limit(max_local_roots + 1).collect()]
-    if len(few) <= max_local_roots and edges.limit(local_edges + 1).count() <= local_edges:
+    if len(few) <= max_local_roots and edges.count() <= local_edges:
         return _local(edges, sorted(few), switch_at, rounds)
     found = _distributed(edges, wanted, symmetric, switch_at)
     return found[1] if rounds else found[0]

@@ -11,6 +11,7 @@ from latticework.functions import units
 from latticework.operators import blocks, checks, edges, search, telemetry
 from latticework.plans import derived
 from latticework.plans.derived import CLOCK, GRAPH_SQL, MARKS_SQL, RUN_LOG_SQL, TICKS_SQL
+from latticework.plans.tables import stored
 from latticework.sources import graphs, rmat
 from latticework.streaming import edge_stream
 
@@ -48,7 +49,8 @@ def _least_source(e: DataFrame) -> DataFrame:
 
 
 def _graph(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return getattr(derived, name)(spark, sf_dir)
+    """A derived graph, stored: plans that read it more than once scan it instead of joining again."""
+    return stored(getattr(derived, name)(spark, sf_dir).select("src", "dst"), name)
 
 
 def _with(graph: str, more: str = "") -> str:
@@ -361,7 +363,7 @@ for _name, _sym, _suffix in (("purchases", True, ""), ("first_purchases", True,
 
 @_query("bfs_levels_distributed", f"{_searched('first_purchases')} SELECT v AS vertex, lvl AS level, parent FROM b")
 def bfs_levels_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.first_purchases(spark, sf_dir)
+    e = _graph("first_purchases", spark, sf_dir)
     return search.bfs(e, _least_source(e), True, local_edges=0).select("vertex", "level", "parent")
 
 
@@ -375,13 +377,13 @@ def bfs_all_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("bfs_tree_depth_counts", f"{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, lvl AS level, count(*) AS n_vertices FROM b GROUP BY lvl")
 def bfs_tree_depth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.purchases(spark, sf_dir)
+    e = _graph("purchases", spark, sf_dir)
     return checks.depth_counts(search.bfs(e, _least_source(e), True))
 
 
 @_query("bfs_eccentricity", f"{_searched('event_paths')} SELECT (SELECT r FROM ({_ROOT})) AS source, max(lvl) AS eccentricity, max(lvl) + 1 AS rounds, count(*) AS visited FROM b")
 def bfs_eccentricity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.event_paths(spark, sf_dir)
+    e = _graph("event_paths", spark, sf_dir)
     return checks.eccentricity(search.bfs(e, _least_source(e), True))
 
 
@@ -392,7 +394,7 @@ _ROUNDS = f"""nf AS (SELECT lvl - 1 AS round, count(*) AS nf FROM b WHERE lvl >
 
 @_query("frontier_size", f"{_searched('purchases')}, {_ROUNDS} SELECT (SELECT r FROM ({_ROOT})) AS source, round, nf FROM h")
 def frontier_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.purchases(spark, sf_dir)
+    e = _graph("purchases", spark, sf_dir)
     return search.bfs_rounds(e, _least_source(e), True).select("source", "round", "nf")
 
 
@@ -412,13 +414,13 @@ def switch_round(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("bfs_multi_source", f"{_with('first_purchases', _ROOTS + ', ' + _MULTI)} SELECT s AS source, v AS vertex, lvl AS level, parent FROM b")
 def bfs_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.first_purchases(spark, sf_dir)
+    e = _graph("first_purchases", spark, sf_dir)
     return search.bfs(e, edges.sample_roots(e, 6, 5), True)
 
 
 @_query("bfs_multi_source_distributed", f"{_with('small_world', _ROOTS + ', ' + _MULTI)} SELECT s AS source, v AS vertex, lvl AS level, parent FROM b")
 def bfs_multi_source_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.small_world(spark, sf_dir)
+    e = _graph("small_world", spark, sf_dir)
     return search.bfs(e, edges.sample_roots(e, 6, 5), True, local_edges=0)
 
 
@@ -426,7 +428,7 @@ _FRONTIER = "fr AS (SELECT DISTINCT src AS v FROM e WHERE src % 7 = 3), vis AS (
 
 
 def _step(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    e = derived.purchases(spark, sf_dir)
+    e = _graph("purchases", spark, sf_dir)
     named = e.select(F.lit(0).cast("bigint").alias("source"), F.col("src").alias("vertex")).distinct()
     return e, named.where("vertex % 7 = 3"), named.where("vertex % 7 = 3 OR vertex % 5 = 2")
 
@@ -450,7 +452,7 @@ def frontier_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("parent_resolve", f"""{_with('multigraph')} SELECT dst AS vertex, min(p) AS parent FROM (SELECT dst, src % 8 AS part, min(src) AS p FROM e GROUP BY ALL) GROUP BY dst""")
 def parent_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = derived.multigraph(spark, sf_dir).groupBy("dst", (F.col("src") % 8).alias("part")).agg(F.min("src").alias("p"))
+    parts = _graph("multigraph", spark, sf_dir).groupBy("dst", (F.col("src") % 8).alias("part")).agg(F.min("src").alias("p"))
     return parts.groupBy(F.col("dst").alias("vertex")).agg(F.min("p").alias("parent"))
 
 
@@ -462,7 +464,7 @@ def visited_from_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("bfs_radial_layout")
 def bfs_radial_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.small_world(spark, sf_dir)
+    e = _graph("small_world", spark, sf_dir)
     return search.radial_layout(search.bfs(e, _least_source(e), True), 1.5)
 
 
@@ -474,7 +476,7 @@ def bfs_radial_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM w LEFT JOIN b u ON u.v = w.parent LEFT JOIN e ON e.src = w.parent AND e.dst = w.v
     WHERE w.v <> (SELECT r FROM ({_ROOT})) AND (u.v IS NULL OR e.src IS NULL OR u.lvl <> w.lvl - 1)""")
 def bfs_invalid_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.purchases(spark, sf_dir)
+    e = _graph("purchases", spark, sf_dir)
     wrong = F.when(F.col("vertex") % 9 == 4, F.col("parent") + 2).otherwise(F.col("parent"))
     found = search.bfs(e, _least_source(e), True).withColumn("parent", F.when(F.col("level") == 0, F.col("parent")).otherwise(wrong))
     return checks.invalid_parents(found, e)
@@ -484,7 +486,7 @@ def bfs_invalid_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS n_vertices, count(*) FILTER (w.v IS NULL) AS visited_mismatch, count(*) FILTER (w.lvl <> b.lvl) AS level_mismatch,
     count(*) FILTER (w.parent <> b.parent) AS parent_differs FROM b LEFT JOIN w USING (v)""")
 def bfs_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.purchases(spark, sf_dir)
+    e = _graph("purchases", spark, sf_dir)
     found = search.bfs(e, _least_source(e), True)
     other = found.where("vertex % 17 <> 1").select(
         "source", "vertex", (F.col("level") + (F.col("vertex") % 11 == 3).cast("int")).alias("level"), (F.col("parent") + (F.col("vertex") % 13 == 5).cast("int")).alias("parent")
@@ -494,13 +496,13 @@ def bfs_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("edges_traversed_undirected", f"{_searched('first_purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = dst WHERE src <= dst")
 def edges_traversed_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.first_purchases(spark, sf_dir)
+    e = _graph("first_purchases", spark, sf_dir)
     return checks.edges_traversed(search.bfs(e, _least_source(e), True), e, True)
 
 
 @_query("edges_traversed_directed", f"{_searched('event_steps')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = src")
 def edges_traversed_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.event_steps(spark, sf_dir)
+    e = _graph("event_steps", spark, sf_dir)
     return checks.edges_traversed(search.bfs(e, _least_source(e)), e, False)
 
 
@@ -511,7 +513,7 @@ _SEARCHES = f"""{_with('small_world', _ROOTS + ', ' + _MULTI)}, vis AS (SELECT s
 
 def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per search; search time is a made-up number of cycles, so that rows can be compared."""
-    e = derived.small_world(spark, sf_dir)
+    e = _graph("small_world", spark, sf_dir)
     found = search.bfs(e, edges.sample_roots(e, 6, 5), True)
     joined = checks.eccentricity(found).join(checks.edges_traversed(found, e, True), "source")
     cycles = F.col("visited") * 100 + F.col("source")

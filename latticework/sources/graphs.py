@@ -71,17 +71,15 @@ def read_matrix_market(spark: SparkSession, path: str, strict: bool = False) ->
     number = [F.get("t", F.lit(i)).try_cast("bigint") for i in range(3)]
     # the size line is the first one without a mark; it is told by its place, not by its form
     first = spark.read.text(path).where(~F.col("value").rlike("^\\s*(%|$)")).limit(1).select(_tokens().alias("t"))
-    size = first.select(number[0].alias("rows"), number[1].alias("cols"), number[2].alias("nnz")).first()
+    size = first.select(number[0].alias("rows"), number[1].alias("cols"), F.concat_ws(" ", "t").alias("line")).first()
     if size is None or size["rows"] != size["cols"]:
         raise ValueError(f"{path}: the matrix must be square")
-    coordinates = body.select(number[1].alias("col"), number[0].alias("row"), F.size("t").alias("width"), number[2].alias("third"))
-    is_size = (F.col("row") == size["rows"]) & (F.col("col") == size["cols"]) & (F.col("third") == size["nnz"])
-    entries = coordinates.where(~is_size | (F.lit(words[3] != "pattern") & (F.col("width") > 3)))
-    if words[3] != "pattern":
-        # an entry of the last cell may look like the size line; it is counted back in
-        alike = coordinates.where(is_size).count()
-        if alike > 1:
-            entries = entries.unionByName(coordinates.where(is_size).limit(alike - 1))
+    told = body.select(number[1].alias("col"), number[0].alias("row"), (F.concat_ws(" ", "t") == size["line"]).alias("is_size"))
+    entries = told.where(~F.col("is_size"))
+    # an entry may read like the size line; all but one of such lines are entries
+    alike = told.where("is_size").count() if words[3] != "pattern" else 1
+    if alike > 1:
+        entries = entries.unionByName(told.where("is_size").limit(alike - 1))
     edges = entries.select((F.col("col") - 1).alias("src"), (F.col("row") - 1).alias("dst"))
     if not strict and words[4] in ("symmetric", "skew-symmetric", "hermitian"):
         edges = edges.unionByName(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
