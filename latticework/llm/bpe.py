@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from latticework.llm.batches import small_batches
 from latticework.llm.memo import Memo
 
 NONE = 1 << 62
@@ -132,13 +133,6 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in slices, so that Python objects exist for a few rows at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def _with_column(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType, list[str]]:
     passed = df.select(*[f"`{c}`" for c in df.columns if c != name])
     schema = T.StructType([*passed.schema.fields, T.StructField(name, kind)])

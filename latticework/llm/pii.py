@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from latticework.llm.batches import small_batches
+
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "date", "ipv4", "phone", "email", "secret")
 
@@ -301,9 +303,10 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", restore: b
     at, sign, names = passed.columns.index(text_col), -1 if restore else 1, [*passed.columns, *counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts, tally = [], [[0] * batch.num_rows for _ in KINDS]
-            for i, text in enumerate(batch.column(at).to_pylist()):
+            for i, value in enumerate(batch.column(at)):
+                text = value.as_py()
                 new, kinds = (text, []) if text is None else pseudonymize_text(text, key, sign)
                 texts.append(new)
                 for kind in kinds:

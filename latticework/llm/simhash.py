@@ -43,6 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latticework.llm.batches import small_batches
 from latticework.llm.components import connected_components
 from latticework.llm.scratch import materialize
 
@@ -82,8 +83,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = T.StructType([T.StructField(id_col, id_type), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [simhash(shingle_hashes(t, shingle_words)) for t in batch.column(1).to_pylist()]
+        for batch in small_batches(batches):
+            values = [simhash(shingle_hashes(t.as_py(), shingle_words)) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], names=[id_col, "fp"])
 
     return docs.select(id_col, F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
@@ -217,7 +218,7 @@ def _sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
     """(node, fp, bands) of ``docs(node, t binary)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             fps, bands = [], []
             for text in batch.column(1):
                 hashes = shingle_hashes(text.as_py(), shingle_words)
@@ -234,7 +235,7 @@ def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     """(node, shingles array<int>) of ``docs(node, t binary)``: the set of 32-bit shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             sets = [np.unique(shingle_hashes(t.as_py(), shingle_words) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 

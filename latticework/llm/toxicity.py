@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from latticework.llm.batches import small_batches
 from latticework.llm.labelled import training_labels
 from latticework.llm.scratch import materialize
 
@@ -200,7 +201,7 @@ def train(
     names = schema.names
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             counts = [list(terms(t or "").items()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.map_(pa.string(), pa.int64()))], names=names)
 
@@ -237,7 +238,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small_batches(batches):
             made = [model.score(text or "") for text in batch.column(1).to_pylist()]
             proofs = [[{"doc_id": model.ids[r], "toxic": int(model.toxic[r]), "cosine": s} for s, r in near[:evidence]] for _, near in made]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array(proofs, kind)], names=names)
