@@ -27,6 +27,7 @@ from __future__ import annotations
 import random
 import unicodedata
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
+from latticework.llm.batches import small_batches
 from latticework.llm.memo import Memo
 from latticework.llm.scratch import materialize
 
@@ -48,6 +50,7 @@ _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = dict(zip(_PLAIN, map(chr, _PLAIN), strict=True))
 _SHOWN |= {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
+_STOPS = ",.;:!?"
 _ODD = "\x1c\x1d\x1e\x1fΣİ"
 
 
@@ -68,16 +71,24 @@ class WordTokenizer:
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.old(piece)
         if ids is None:
-            shown = "".join(map(_SHOWN.__getitem__, piece.encode()))
-            ids = np.array([t.id for t in self.whole.model.tokenize(shown)], "<u4").tobytes()
+            # printable ASCII stands for itself in the byte-to-character table
+            plain = piece.isascii() and piece.isprintable()
+            shown = piece if plain else "".join(map(_SHOWN.__getitem__, piece.encode()))
+            ids = array("I", [t.id for t in self.whole.model.tokenize(shown)]).tobytes()
         return self.pieces.put(piece, ids)
 
     def _run(self, run: str) -> bytes:
         ids = self.runs.old(run)
         if ids is None:
             low = run.lower() if run.isascii() else unicodedata.normalize("NFC", run).lower()
+            if low.isalpha():
+                parts = (low,)
+            elif low[-1] in _STOPS and low[:-1].isalpha():
+                parts = (low[:-1], low[-1])
+            else:
+                parts = _SPLIT.findall(low)
             known = self.pieces.young.get
-            ids = b"".join([known(p) or self._piece(p) for p in _SPLIT.findall(low)])
+            ids = b"".join([known(p) or self._piece(p) for p in parts])
         return self.runs.put(run, ids)
 
     def encode(self, text: str) -> bytes:
@@ -109,14 +120,14 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _tokenizer(path).encode
-        for batch in batches:
+        for batch in small_batches(batches):
             at, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            for i, text in enumerate(batch.column(1)):
+                ids = encode(text.as_py() or "") + end
                 for piece, begin in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[begin : begin + 4 * capacity]
                     at.append(i)
-                    rows.append((piece, begin // 4, len(part) // 4, zlib.crc32(part), part))
+                    rows.append((piece, begin // 4, len(part) // 4, zlib.crc32(part), part if with_ids else b""))
             columns = [batch.column(0).take(pa.array(at, pa.int64()))]
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns += [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
