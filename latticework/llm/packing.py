@@ -25,7 +25,7 @@ executor finds the same packing.
 from __future__ import annotations
 
 import random
-import unicodedata
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -51,15 +51,17 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = dict(zip(_PLAIN, map(chr, _PLAIN), strict=True))
 _SHOWN |= {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)} - {*_PLAIN}))}
 _STOPS = ",.;:!?"
-_ODD = "\x1c\x1d\x1e\x1fΣİ"
+#: Runs of these characters split and change case alike in every Unicode version; all others go to the library.
+_SIMPLE = re.compile("[!-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017f\u0410-\u044f\u2010-\u2027\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+").fullmatch
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, not to the tokenizer
 
 
 class WordTokenizer:
     """Ids of a tokenizers file of the lower-casing word-end BPE kind, as packed 32-bit numbers.
 
     Its pieces never cross white space, so ids are memoised by white-space run
-    and by piece. Texts with characters whose lower case or white-space class
-    depends on the library go through the library's own encode.
+    and by piece. Runs with characters whose class or lower case may differ
+    between libraries go through the library's own encode.
     """
 
     def __init__(self, path: str):
@@ -68,6 +70,9 @@ class WordTokenizer:
         self.pieces = Memo()
         self.runs = Memo()
 
+    def _library(self, text: str) -> bytes:
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.old(piece)
         if ids is None:
@@ -80,7 +85,9 @@ class WordTokenizer:
     def _run(self, run: str) -> bytes:
         ids = self.runs.old(run)
         if ids is None:
-            low = run.lower() if run.isascii() else unicodedata.normalize("NFC", run).lower()
+            if not _SIMPLE(run):
+                return self.runs.put(run, self._library(run))
+            low = run.lower()
             if low.isalpha():
                 parts = (low,)
             elif low[-1] in _STOPS and low[:-1].isalpha():
@@ -92,8 +99,8 @@ class WordTokenizer:
         return self.runs.put(run, ids)
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in _ODD):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(c in text for c in _NOT_SPACE):
+            return self._library(text)
         known = self.runs.young.get
         return b"".join([known(r) or self._run(r) for r in text.split()])
 
