@@ -146,7 +146,7 @@ def top_k(
         for item in items:
             by.setdefault(len(item["v"]), []).append(item)
         for size, own in by.items():
-            yield size, np.array([o[id_col] for o in own], np.int64), np.array([o["v"] for o in own], np.int64).reshape(-1, size)
+            yield size, np.array([o[id_col] for o in own], np.int64), np.array([o["v"] for o in own], np.int64).reshape(len(own), size)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
