@@ -83,7 +83,7 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(resolve_revisits(page_records(_table(spark, sf_dir, "pages"))), path)
     back = read_archives(spark, path, payloads=False)
-    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url")
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,5 +161,67 @@ def queries() -> dict[str, Query]:
     }
 
 
+_CHAT_SQL = r"""
+WITH rows AS (SELECT conv_id, turn, role, text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    '<\\*(/?s>|/?<SYS>>|</SYS>>|\|)|\[\\*/?(INST|TOOL_CALLS|AVAILABLE_TOOLS|TOOL_RESULTS)\]' AS control FROM rows),
+c AS (SELECT conv_id, count(*) AS n_turns,
+    string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS told,
+    coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (r = 'assistant'), '') AS loss,
+    sum(12 + length(r) + 2 * len(regexp_extract_all(r, control)) + length(r) - length(replace(replace(r, chr(92), ''), chr(10), ''))
+        + 1 + length(x) + len(regexp_extract_all(x, control)) + 10 + 1)::BIGINT AS inner_chars
+    FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, 7 + inner_chars AS formatted_chars FROM c
+"""
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body FROM pages),
+h AS (SELECT page_id, url, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex FROM p),
+b AS (SELECT page_id, url, payload_bytes, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest FROM h),
+f AS (SELECT payload_digest, min(page_id) AS first FROM b GROUP BY payload_digest),
+g AS (SELECT b.*, first, min(url) FILTER (page_id = first) OVER (PARTITION BY b.payload_digest) AS first_url FROM b JOIN f USING (payload_digest)),
+j AS (SELECT *, page_id IS NOT DISTINCT FROM first AND url = first_url AS original FROM g)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT original THEN first END AS refers_to FROM j
+"""
+
+_LINES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS t FROM documents),
+s AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+places AS (SELECT id, unnest(range(1, len(ws) - 6)) AS i, ws FROM s WHERE len(ws) > 7),
+windows AS (SELECT id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM places),
+again AS (SELECT id, i FROM windows QUALIFY count(*) OVER (PARTITION BY id, k) > 1),
+steps AS (SELECT id, least(8, coalesce(i - lag(i) OVER (PARTITION BY id ORDER BY i), 8)) AS new_words FROM again),
+repeats AS (SELECT id, sum(new_words)::BIGINT AS n FROM steps GROUP BY id),
+parts AS (SELECT id, source, t, list_filter(regexp_split_to_array(lower(unnest(ls)), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS p FROM s),
+lines AS (SELECT id, source, t, array_to_string(p, ' ') AS line, len(p) AS n FROM parts),
+hosts AS (SELECT source, count(DISTINCT t) AS n_docs FROM s GROUP BY source),
+held AS (SELECT source, line, count(DISTINCT t) AS n FROM lines GROUP BY source, line HAVING count(DISTINCT t) > 20),
+frequent AS (SELECT held.source, line FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > 0.05 * n_docs),
+removed AS (SELECT id, sum(lines.n)::BIGINT AS n FROM lines JOIN frequent ON lines.source IS NOT DISTINCT FROM frequent.source AND lines.line = frequent.line GROUP BY id),
+base AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS gone
+    FROM s LEFT JOIN repeats USING (id) LEFT JOIN removed USING (id)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone <= 0.8 * n_words AS kept FROM judged
+"""
+
+_TOP_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT DISTINCT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators that it can express; the others are tested against brute force."""
+    return {
+        "op2_chat_paths": _CHAT_SQL.strip(),
+        "op4_warc_revisits": _WARC_SQL.strip(),
+        "op5_line_quality": _LINES_SQL.strip(),
+        "op8_exact_top_k": _TOP_SQL.strip(),
+    }
