@@ -23,6 +23,23 @@ def invalid_parents(result: DataFrame, edges: DataFrame) -> DataFrame:
     return judged.withColumn("reason", reason).where("reason IS NOT NULL").select("source", "vertex", "parent", "reason")
 
 
+def validate(result: DataFrame, edges: DataFrame) -> DataFrame:
+    """(source, n_invalid_parents, n_long_edges, correctness_ok) per source, without a second search.
+
+    Valid parents show that no level is too low to be reached; that no edge leaves
+    a visited vertex for one more than a level further, or not visited, shows that
+    none is too high and none is missing.
+    """
+    level = result.select("source", F.col("vertex").alias("src"), F.col("level").alias("from"))
+    reached = result.select("source", F.col("vertex").alias("dst"), F.col("level").alias("to"))
+    spans = level.join(edges.select("src", "dst"), "src").join(reached, ["source", "dst"], "left")
+    long = spans.groupBy("source").agg(F.count_if(F.col("to").isNull() | (F.col("to") > F.col("from") + 1)).alias("n_long_edges"))
+    wrong = invalid_parents(result, edges).groupBy("source").agg(F.count("*").alias("n_invalid_parents"))
+    every = result.select("source").distinct().join(wrong, "source", "left").join(long, "source", "left")
+    counts = every.select("source", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_invalid_parents", "n_long_edges")])
+    return counts.withColumn("correctness_ok", (F.col("n_invalid_parents") == 0) & (F.col("n_long_edges") == 0))
+
+
 def first_invalid_parents(result: DataFrame, edges: DataFrame, k: int = 20) -> DataFrame:
     return invalid_parents(result, edges).orderBy("source", "vertex").limit(k)
 

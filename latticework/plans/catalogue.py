@@ -494,6 +494,16 @@ def bfs_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.compare(found, other)
 
 
+@_query("bfs_validate", f"""{_searched('purchases')}, w AS (SELECT v, lvl + (v % 31 = 7)::INT AS lvl, parent FROM b WHERE v % 37 <> 5),
+    bad AS (SELECT count(*) AS n FROM w LEFT JOIN w u ON u.v = w.parent WHERE w.v <> (SELECT r FROM ({_ROOT})) AND (u.v IS NULL OR u.lvl <> w.lvl - 1)),
+    long AS (SELECT count(*) AS n FROM w JOIN e ON e.src = w.v LEFT JOIN w t ON t.v = e.dst WHERE t.v IS NULL OR t.lvl > w.lvl + 1)
+    SELECT (SELECT r FROM ({_ROOT})) AS source, bad.n AS n_invalid_parents, long.n AS n_long_edges, bad.n = 0 AND long.n = 0 AS correctness_ok FROM bad, long""")
+def bfs_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _graph("purchases", spark, sf_dir)
+    spoilt = search.bfs(e, _least_source(e), True).where("vertex % 37 <> 5")
+    return checks.validate(spoilt.withColumn("level", F.col("level") + (F.col("vertex") % 31 == 7).cast("int")), e)
+
+
 @_query("edges_traversed_undirected", f"{_searched('first_purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = dst WHERE src <= dst")
 def edges_traversed_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _graph("first_purchases", spark, sf_dir)
