@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.operators.edges import with_global_rank
+
 BANNER = "%%MatrixMarket"
 
 
@@ -98,6 +100,5 @@ def read_permutation(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value"
     )
-    ordered = rows.where("trim(value) <> ''").rdd.map(lambda r: ((r["file"], r["block"], r["at"]), int(r["value"])))
-    indexed = ordered.sortByKey().zipWithIndex().map(lambda x: (x[1], x[0][1]))
-    return spark.createDataFrame(indexed, "old_id bigint, new_id bigint")
+    ranked = with_global_rank(rows.where("trim(value) <> ''"), ["file", "block", "at"], "old_id")
+    return ranked.select("old_id", F.trim("value").cast("bigint").alias("new_id"))
