@@ -28,12 +28,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.llm.scratch import discard, materialize
+from latticework.llm.scratch import materialize
 
 BEGIN, END = "<s>", "</s>"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -96,25 +97,26 @@ def masked_text(formatted: str, starts: list[int], ends: list[int]) -> str:
 
 
 def _jump_tables(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
-    """Tables (tree, node, up) of the 2^k-th ancestors, and (tree, node, score) summed up to the root."""
+    """Tables (tree, node, up) of the 2^k-th ancestors, and (tree, node, score, depth) summed up to the root."""
     parents = nodes.select("tree", F.col("node").alias("up"), F.lit(True).alias("there"))
     linked = nodes.select("tree", "node", F.col("parent").alias("up"), "score").join(parents, ["tree", "up"], "left")
-    start = materialize(
-        linked.select("tree", "node", F.when(F.col("there"), F.col("up")).alias("up"), "score"), "chat-links"
-    )
+    up = F.when(F.col("there"), F.col("up"))
+    start = materialize(linked.select("tree", "node", up.alias("up"), "score", up.isNotNull().cast("long").alias("depth")), "chat-links")
     total = start.count()
     jumps: list[DataFrame] = []
     below, at_root = start.where("up IS NOT NULL"), start.where("up IS NULL")
     # a round moves only the nodes that have not reached their root; 2^rounds > total leaves cycles alone
     while 2 ** len(jumps) <= max(1, total) and not below.isEmpty():
         jumps.append(below.select("tree", "node", "up"))
-        above = at_root.unionByName(below).select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"))
-        stepped = materialize(
-            below.join(above, ["tree", "up"]).select("tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score")),
-            "chat-state",
+        above = at_root.unionByName(below).select(
+            "tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("score").alias("more"), F.col("depth").alias("deeper")
+        )
+        stepped = below.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("next").alias("up"), (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("deeper")).alias("depth")
         )
+        stepped = materialize(stepped, "chat-state")
         below, at_root = stepped.where("up IS NOT NULL"), at_root.unionByName(stepped.where("up IS NULL"))
-    return jumps, at_root.select("tree", "node", "score")
+    return jumps, at_root.select("tree", "node", "score", "depth")
 
 
 def rank_branches(leaves: DataFrame, branches: int | None, salts: int = 16) -> DataFrame:
@@ -138,17 +140,17 @@ def enumerate_paths(nodes: DataFrame, branches: int | None = None) -> DataFrame:
     jumps, scored = _jump_tables(nodes)
     inner = nodes.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct()
     leaves = rank_branches(scored.join(inner, ["tree", "node"], "left_anti"), branches)
-    path = leaves.select("tree", F.col("node").alias("leaf"), "rank", "score", "node", F.lit(0).cast("long").alias("up"))
-    path = materialize(path, "chat-path")
+    parts = [leaves.select("tree", F.col("node").alias("leaf"), "rank", "score", "depth", "node", F.lit(0).cast("long").alias("up"))]
+    parts[0] = materialize(parts[0], "chat-path")
     for k, jump in enumerate(jumps):
+        # only nodes with an ancestor that far up take part, so short paths rest while long ones unfold
+        open_ = reduce(DataFrame.unionByName, parts).where(F.col("up") + 2**k <= F.col("depth"))
         step = jump.select("tree", "node", F.col("up").alias("above"))
-        grown = path.join(step, ["tree", "node"]).select(
-            "tree", "leaf", "rank", "score", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up")
+        grown = open_.join(step, ["tree", "node"]).select(
+            "tree", "leaf", "rank", "score", "depth", F.col("above").alias("node"), (F.col("up") + 2**k).alias("up")
         )
-        longer = materialize(path.unionByName(grown), "chat-path")
-        discard(path)
-        path = longer
-    return path
+        parts.append(materialize(grown, "chat-path"))
+    return reduce(DataFrame.unionByName, parts).drop("depth")
 
 
 def format_paths(paths: DataFrame, turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
