@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The session's shared folder; a temporary one in local mode only."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"file://{tempfile.gettempdir()}/latticework-tables"
 
