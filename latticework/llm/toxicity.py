@@ -160,16 +160,27 @@ class Model:
         return self.calibrated(self.votes(near)), near
 
 
-def _fit_curve(votes: np.ndarray, y: np.ndarray, base: float, steps: int = 80) -> tuple[float, ...]:
-    """Weights of a logistic curve over votes by damped Newton steps; classes weigh as ``base`` has them."""
+def _fit_curve(votes: np.ndarray, y: np.ndarray, base: float, steps: int = 100) -> tuple[float, ...]:
+    """Weights of a logistic curve over votes by Newton steps with line search; classes weigh as ``base`` has them."""
     weight = np.where(y > 0, base / max(1.0, y.sum()), (1 - base) / max(1.0, (1 - y).sum())) * len(y)
     high, low = (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2)
-    target, ridge = np.where(y > 0, high, low), 1e-3 * np.eye(votes.shape[1])
+    target, ridge = np.where(y > 0, high, low), 1e-2
+
+    def loss(w: np.ndarray) -> float:
+        margin = votes @ w
+        return float(weight @ (np.logaddexp(0, margin) - target * margin) + ridge / 2 * w @ w)
+
     w = np.zeros(votes.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(votes @ w, -40, 40)))
-        hessian = (votes * (weight * p * (1 - p))[:, None]).T @ votes + ridge
-        w -= np.clip(np.linalg.solve(hessian, votes.T @ (weight * (p - target)) + ridge @ w), -4, 4)
+        gradient = votes.T @ (weight * (p - target)) + ridge * w
+        hessian = (votes * (weight * p * (1 - p))[:, None]).T @ votes + ridge * np.eye(len(w))
+        step, size, now = np.linalg.solve(hessian, gradient), 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now - 1e-4 * size * (gradient @ step):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-7:
+            break
     return tuple(map(float, w))
 
 
@@ -221,9 +232,19 @@ def train(
     )
     vocabulary = [r["term"] for r in best.select("term").collect()]
     number = {t: i for i, t in enumerate(vocabulary)}
-    inside = F.map_filter("counts", lambda t, n: F.array_contains(F.lit(vocabulary), t)) if vocabulary else F.col("counts")
-    rows = sample.select(id_col, "y", inside.alias("counts")).collect() if vocabulary else []
-    examples = [(r[id_col], r["y"], {number[t]: n for t, n in r["counts"].items()}) for r in sorted(rows, key=lambda r: r[id_col])]
+
+    def number_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            rows = []
+            for counts in batch.column(2).to_pylist():
+                found = {number[t]: n for t, n in counts if t in number}
+                found[-1] = sum(n for t, n in counts if t not in number and not t.endswith("*"))
+                rows.append(list(found.items()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.map_(pa.int32(), pa.int64()))], names=names)
+
+    numbered = T.StructType([*schema.fields[:2], T.StructField("counts", T.MapType(T.IntegerType(), T.LongType()))])
+    rows = sample.mapInArrow(number_terms, numbered).collect() if vocabulary else []
+    examples = [(r[id_col], r["y"], dict(r["counts"])) for r in sorted(rows, key=lambda r: r[id_col])]
     share = labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
     return build_model(vocabulary, examples, float(share or 0.0))
 
