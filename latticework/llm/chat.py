@@ -21,7 +21,8 @@ marks of the template are the only ones and ``unescape`` restores each text.
 
 A reply whose parent is not in the tree starts a path of its own. Replies on a
 cycle have no root and are left out. Null text counts as empty, null role as an
-empty role, null trees form one tree of their own, repeated rows are turns each.
+empty role, null trees form one tree of their own, repeated rows are turns each. Further columns are
+not read. An empty table gives no paths.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ Definitions
   removed lines.
 
 Null text counts as empty, a null host is a host of its own, repeated rows get
-a verdict each, and an empty table gives an empty result.
+a verdict each, and an empty table gives an empty result. Further columns are not read, except
+those that ``carry`` names.
 
 Scale: one narrow scan of the texts; only (host, line hash, text hash) triples
 are shuffled. They are combined on the map side, first by triple and then by

@@ -17,7 +17,8 @@ documents longer than a sequence. ``pack`` puts the pieces into sequences:
    global packing is below one bin.
 
 Only lengths and row numbers are shuffled, never texts or ids. Null text counts
-as empty and gives the closing id alone. Repeated rows are packed each. Random
+as empty and gives the closing id alone. Repeated rows are packed each,
+further columns are not read, an empty table gives an empty result. Random
 choices are seeded by shard, island and epoch: a task that runs again on another
 executor finds the same packing.
 """

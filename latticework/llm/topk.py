@@ -26,7 +26,8 @@ still qualify there (about 0.3 % of a block) is resolved.
 Vectors that are null or hold a null or non-finite component take no part, nor
 does one whose length differs from the query's. A row is known by its id: a
 query is not matched with rows of its own id, and rows that repeat an id and a
-score count once. Null ids take no part.
+score count once. Null ids take no part. Further columns are not read, an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -20,7 +20,8 @@ Scoring is one narrow Arrow pass over whole texts with the model broadcast; its
 size has the bound above, whatever the tables hold.
 
 Null and empty texts, and texts without a term, get the score of a vote without
-neighbours. Without labels every score is 0.5. Repeated rows score alike.
+neighbours. Without labels every score is 0.5. Repeated rows score alike, further
+columns are not read, an empty table gives an empty result.
 """
 
 from __future__ import annotations

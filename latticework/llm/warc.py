@@ -16,7 +16,8 @@ the reader inflates it in steps and holds one record at a time.
 Null payloads count as empty. Among rows of equal payload the smallest id is
 the response, ties go to the smaller url; rows that repeat both are the same
 capture and are all written as responses, so no payload is lost. Null ids sort
-last. Control characters in header values are percent-encoded.
+last. Control characters in header values are percent-encoded. Further
+columns are not read; an empty table gives archives without records.
 """
 
 from __future__ import annotations
