@@ -22,9 +22,13 @@ Plan
 shingles by default). There 64-bit fingerprints of similar texts differ in ten
 bits and more, which no split into blocks can bucket, so buckets come from
 min-wise sketches of the same shingle hashes instead; pivot coordinates discard,
-and the exact Jaccard similarity of the shingle sets verifies. A bucket links
-its members to two centres each, different ones in every band, so a group of
-thousands of near copies gives a few candidates per copy and not all pairs.
+and the exact Jaccard similarity of the shingle sets verifies. Buckets of up to
+``pair_limit`` texts give all their pairs. In crowded ones every member is
+compared with ``n_centres`` of them, other ones in every band, so a group of
+thousands of near copies gives tens of candidates a copy and not all pairs: such
+a group is joined through its centres, and a text in none but crowded buckets
+that is similar to no centre of any of them, only to some other member, is the
+one link this can miss.
 
 Nulls: a null text counts as empty. A text without words has fingerprint zero,
 which links like any other. Rows repeat in the result as often as in the input.
@@ -242,25 +246,32 @@ def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.mapInArrow(run, "node string, shingles array<int>")
 
 
-def _star_candidates(members: DataFrame, max_bits: int, n_pivots: int, both: bool) -> DataFrame:
-    """(src, dst) from bucket members to the centres of their buckets, after the pivot and Hamming filters."""
-    table = pivot_table(members, n_pivots)
-    one, order = F.struct("node", "fp", "coords"), F.xxhash64("node", "band")
-    ends = [F.min_by(one, order).alias("b")] + ([F.max_by(one, order).alias("c")] if both else [])
-    centres = table.groupBy("band", "key").agg(*ends)
-    pairs = None
-    for name in ("b", "c") if both else ("b",):
-        found = table.alias("a").join(centres.select("band", "key", F.col(name).alias("b")), ["band", "key"]).where("a.node <> b.node")
-        found = found.where(_within("a", "b", max_bits)).where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits)
-        found = found.select(F.col("a.node").alias("src"), F.col("b.node").alias("dst"))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    used = pairs.select(F.col("src").alias("node")).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
-    own = texts.join(used, "node").groupBy("node").agg(F.min("t").alias("t"))
-    sets = materialize(_shingle_sets(own, shingle_words), "similar-sets")
+def _close(a: str, b: str, max_bits: int) -> Column:
+    """The pivot filter, then the exact Hamming distance."""
+    return _within(a, b, max_bits) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= max_bits)
+
+
+def _candidates(members: DataFrame, max_bits: int, pair_limit: int, n_centres: int) -> DataFrame:
+    """(src, dst): close pairs of unlike ``group``: all of small buckets; in crowded ones each member with each of the centres.
+
+    The first centre is the most copied text of the bucket, the others follow
+    from hashes that differ by band, so a text meets other centres in every band.
+    """
+    bucket, meet = ["band", "key"], [F.col("a.band") == F.col("b.band"), F.col("a.key") == F.col("b.key")]
+    small, crowded = members.where(F.col("n") <= pair_limit), members.where(F.col("n") > pair_limit)
+    both = small.alias("a").join(small.alias("b"), [*meet, F.col("a.node") > F.col("b.node"), F.col("a.group") != F.col("b.group"), _close("a", "b", max_bits)])
+    one = F.struct("node", "group", "fp", "coords")
+    first = F.max_by(one, F.struct("copies", F.xxhash64("node"))).alias("c0")
+    others = [F.min_by(one, F.xxhash64("node", "band", F.lit(i))).alias(f"c{i}") for i in range(1, n_centres)]
+    chosen = crowded.groupBy(*bucket).agg(first, *others)
+    centres = chosen.select(*bucket, F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(n_centres)]))).alias("c")).select(*bucket, "c.*")
+    star = crowded.alias("a").join(centres.alias("b"), [*meet, F.col("a.group") != F.col("b.group"), _close("a", "b", max_bits)])
+    pairs = both.select("a.node", F.col("b.node").alias("other")).unionByName(star.select("a.node", F.col("b.node").alias("other")))
+    return pairs.select(F.greatest("node", "other").alias("src"), F.least("node", "other").alias("dst")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose ``sets(node, shingles)`` have a Jaccard similarity of ``similarity`` or more."""
     a, b = sets.select(F.col("node").alias("src"), F.col("shingles").alias("a")), sets.select(F.col("node").alias("dst"), F.col("shingles").alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     near = shared >= F.lit(similarity) * (F.size("a") + F.size("b") - shared)
@@ -268,27 +279,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle_words: int, similarity
 
 
 def similar_groups(
-    docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 24, n_pivots: int = 16, first_bands: int = 4
-) -> DataFrame:
+    docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 24, n_pivots: int = 16,
+    first_bands: int = 4, pair_limit: int = 16, n_centres: int = 8,
+) -> DataFrame:
     """(node, group): each distinct text that has similar ones, and the group it belongs to.
 
-    ``text_node`` gives a text's node. The first bands are verified and grouped
-    before the others, which then need only be compared across groups.
+    The first bands are verified and grouped before the others, which then need
+    only be compared across groups.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(_node(text).alias("node"), text.cast("binary").alias("t"))
     sketches = materialize(_sketches(texts, shingle_words), "similar-sketches")
-    distinct = sketches.groupBy("node").agg(F.min("fp").alias("fp"), F.min("bands").alias("bands"))
-    rows = distinct.select("node", "fp", F.posexplode("bands").alias("band", "key")).where("key <> 0")
+    distinct = sketches.groupBy("node").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    rows = distinct.select("node", "copies", "fp", F.posexplode("bands").alias("band", "key")).where("key <> 0")
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(rows.join(shared.drop("n"), ["band", "key"]), "similar-members")
-    early = materialize(_star_candidates(members.where(F.col("band") < first_bands), max_bits, n_pivots, False), "similar-early")
-    links_1 = _verified(early, texts, shingle_words, similarity)
-    groups = materialize(connected_components(links_1), "similar-groups")
-    late = _star_candidates(members, max_bits, n_pivots, True).join(early, ["src", "dst"], "left_anti")
-    g, h = (groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_group")) for end in ("src", "dst"))
-    across = late.join(g, "src", "left").join(h, "dst", "left").where(~F.col("src_group").eqNullSafe(F.col("dst_group")) | F.col("src_group").isNull())
-    links_2 = _verified(materialize(across.select("src", "dst"), "similar-late"), texts, shingle_words, similarity)
+    members = materialize(pivot_table(rows.join(shared, ["band", "key"]), n_pivots), "similar-members")
+    # one shuffle of the distinct texts: copies meet on the map side, then those in no shared bucket go
+    own = texts.groupBy("node").agg(F.min("t").alias("t")).join(members.select("node").distinct(), "node", "left_semi")
+    sets = materialize(_shingle_sets(own, shingle_words), "similar-sets")
+    alone = members.withColumn("group", F.col("node"))
+    early = materialize(_candidates(alone.where(F.col("band") < first_bands), max_bits, pair_limit, 2), "similar-early")
+    links_1 = _verified(early, sets, similarity)
+    groups = connected_components(links_1).withColumnRenamed("component", "group")
+    grouped = members.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    late = _candidates(materialize(grouped, "similar-grouped"), max_bits, pair_limit, n_centres).join(early, ["src", "dst"], "left_anti")
+    links_2 = _verified(materialize(late, "similar-late"), sets, similarity)
     every = connected_components(links_1.unionByName(links_2))
     return materialize(every.select("node", F.col("component").alias("group")), "similar-every")
 
@@ -304,7 +319,8 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     least = ids.groupBy("node").agg(F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id")).alias("least"))
     named = least.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     best = named.groupBy("group").agg(F.min(F.struct("least", "node")).alias("k"))
-    kept = materialize(best.select(F.col("k.node").alias("_node"), F.col("k.least._id").alias("_kept")), "similar-kept")
-    whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), node.alias("_node"))
-    chosen = whole.join(kept, (whole["_node"] == kept["_node"]) & whole["_id"].eqNullSafe(kept["_kept"])).select("_row", whole["_id"], whole["_node"])
-    return chosen.groupBy("_node", "_id").agg(F.first("_row").alias("_row")).select("_row.*")
+    # one text key for node and id: join and grouping share a partitioning, so rows are shuffled once
+    place = lambda at, ident: F.concat_ws("/", at, F.coalesce(ident.cast("string"), F.lit("-")))
+    kept = materialize(best.select(place(F.col("k.node"), F.col("k.least._id")).alias("_place")), "similar-kept")
+    whole = docs.select(F.struct("*").alias("_row"), place(node, F.col(id_col)).alias("_place"))
+    return whole.join(kept, "_place").groupBy("_place").agg(F.first("_row").alias("_row")).select("_row.*")
