@@ -230,4 +230,6 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
 
 def score(docs: DataFrame, model: RuleModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with score double."""
-    return statistics(docs, text_col, keep).withColumn("score", compile_score(model)).select(*keep, "score")
+    # a filter on the score must not move below the statistics, where every rule would measure the text anew
+    measured = statistics(docs, text_col, keep).withColumn("_row_number", F.monotonically_increasing_id())
+    return measured.withColumn("score", F.when(F.col("_row_number") >= 0, compile_score(model))).select(*keep, "score")
