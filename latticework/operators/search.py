@@ -5,9 +5,10 @@ each vertex reached, and drops the vertices visited before. Two plans give the
 same rows:
 
 * ``distributed``: edges are hash-partitioned by src and persisted once, so a
-  round shuffles the frontier and its candidates, never the edges. AQE
-  broadcasts a frontier whose measured size is small and splits hub vertices
-  otherwise. Every round's rows are stored in the shared folder, which cuts the
+  top-down round shuffles the frontier and its candidates, not the edges. AQE
+  broadcasts a frontier whose measured size is small; with a larger one the
+  edges of a hub meet in one task. Bottom-up rounds shuffle the edges of
+  unvisited vertices. Every round's rows are stored in the shared folder, which cuts the
   lineage; searches from several roots share the rounds (keyed by source).
 * ``local``: one executor task with compressed sparse rows in numpy, for graphs
   whose checked edge count is within ``local_edges``. It saves the two or three
