@@ -30,11 +30,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a table is written: whole texts go to Python, so batches of Spark's 10000 are large.
+ARROW_ROWS = 1000
+_ARROW_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_ARROW_CONF)
+    spark.conf.set(_ARROW_CONF, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_ARROW_CONF, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
