@@ -20,7 +20,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     sym = _both_ways(edges)
-    least = sym.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("least"))
+    # stored, so that the join is a plain one that AQE can split where one centre has most neighbours
+    least = materialize(sym.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("least")), "cc-least")
     return (
         sym.where("dst > src")
         .join(least, "src")
