@@ -23,12 +23,12 @@ shingles by default). There 64-bit fingerprints of similar texts differ in ten
 bits and more, which no split into blocks can bucket, so buckets come from
 min-wise sketches of the same shingle hashes instead; pivot coordinates discard,
 and the exact Jaccard similarity of the shingle sets verifies. Buckets of up to
-``pair_limit`` texts give all their pairs. In crowded ones every member is
-compared with ``n_centres`` of them, other ones in every band, so a group of
-thousands of near copies gives tens of candidates a copy and not all pairs: such
-a group is joined through its centres, and a text in none but crowded buckets
-that is similar to no centre of any of them, only to some other member, is the
-one link this can miss.
+``pair_limit`` texts give all their pairs. In crowded ones every member is first
+compared with ``n_centres`` of them, other ones in every band, then with the
+member that has most links, so a group of thousands of near copies gives tens of
+candidates a copy and not all pairs. What is still in unlike groups of one
+crowded bucket is then compared in full, in cells of two blocks of ``block``
+texts, so no similar pair that shares a bucket stays apart.
 
 Nulls: a null text counts as empty. A text without words has fingerprint zero,
 which links like any other. Rows repeat in the result as often as in the input.
@@ -42,6 +42,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -278,14 +279,99 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return materialize(pairs.join(a, "src").join(b, "dst").where(near).select("src", "dst"), "similar-links")
 
 
+def _unsettled(crowded: DataFrame, groups: DataFrame) -> DataFrame:
+    """The rows of ``crowded(band, key, node)`` whose bucket holds unlike groups, with group, and the bucket's largest group ``top``.
+
+    ``linked`` is the number of members in the largest group, ``loose`` that of all others.
+    """
+    named = materialize(crowded.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")), "similar-named")
+    sizes = named.groupBy("band", "key", "group").agg(F.count("*").alias("m"))
+    top = F.max_by("group", F.struct("m", "group")).alias("top")
+    tops = sizes.groupBy("band", "key").agg(top, F.max("m").alias("linked"), (F.sum("m") - F.max("m")).alias("loose")).where("loose > 0")
+    return materialize(named.join(tops, ["band", "key"]), "similar-unsettled")
+
+
+def _hub_pairs(unsettled: DataFrame, links: DataFrame) -> DataFrame:
+    """(src, dst): the members of each bucket with the one of them that has most links, where groups differ."""
+    ends = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node")))
+    known = unsettled.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node")
+    hub = F.max_by(F.struct("node", "group"), F.struct("degree", "node")).alias("hub")
+    met = unsettled.join(known.groupBy("band", "key").agg(hub), ["band", "key"]).where(F.col("group") != F.col("hub.group"))
+    return met.select(F.greatest("node", "hub.node").alias("src"), F.least("node", "hub.node").alias("dst")).distinct()
+
+
+def _cell_links(table: pa.Table, similarity: float) -> pa.Table:
+    """(src, dst): links that join the groups of one cell as all its similar pairs of unlike groups do."""
+    nodes, (names, group) = table.column("node").to_pylist(), np.unique(table.column("group").to_numpy(), return_inverse=True)
+    at, first, second = (table.column(c).to_numpy() for c in ("at", "i", "j"))
+    sets = table.column("shingles").combine_chunks()
+    sizes = pc.list_value_length(sets).to_numpy()
+    owner = np.repeat(np.arange(len(nodes)), sizes)
+    _, code, held = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    # a shingle of one text alone is in no intersection
+    column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[code]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    a, b = np.flatnonzero(at == first), np.flatnonzero(at == second)
+    shared, width = np.zeros((len(a), len(b))), 4096
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [low, low + width]))
+        has = np.zeros((len(nodes), width), np.float32)
+        has[owner[part], column[part] - low] = 1
+        shared += has[a] @ has[b].T
+    near = (shared >= similarity * (sizes[a][:, None] + sizes[b] - shared)) & (group[a][:, None] != group[b])
+    rows, columns = np.nonzero(near)
+    parent, out = list(range(len(names))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for x, y in zip(a[rows].tolist(), b[columns].tolist(), strict=True):
+        p, q = root(int(group[x])), root(int(group[y]))
+        if p != q:
+            parent[p] = q
+            out.append((nodes[x], nodes[y]))
+    return pa.table({"src": pa.array([x for x, _ in out], pa.string()), "dst": pa.array([y for _, y in out], pa.string())})
+
+
+def _all_pairs(unsettled: DataFrame, sets: DataFrame, similarity: float, block: int) -> DataFrame:
+    """(src, dst): links that join what similar pairs of unlike groups in one bucket join, from comparing all of them.
+
+    Members outside a bucket's largest group lie in blocks 0 to ``open`` - 1, those of the
+    largest in the blocks after; a cell is two blocks, at least one of them open.
+    """
+    n_open, n_all = F.ceil(F.col("loose") / block), F.ceil(F.col("loose") / block) + F.ceil(F.col("linked") / block)
+    spread, is_open = F.xxhash64("node", "band"), F.col("group") != F.col("top")
+    at = F.when(is_open, F.pmod(spread, n_open)).otherwise(n_open + F.pmod(spread, n_all - n_open))
+    placed = unsettled.select("band", "key", "node", "group", at.alias("at"), F.when(is_open, n_all).otherwise(n_open).alias("meets"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("meets") - 1), lambda i: F.struct(F.least(i, "at").alias("i"), F.greatest(i, "at").alias("j")))
+    dealt = placed.select("band", "key", "node", "group", "at", F.explode(cells).alias("c")).select("band", "key", "c.i", "c.j", "at", "node", "group")
+    run = lambda table: _cell_links(table, similarity)
+    found = dealt.join(sets, "node").groupBy("band", "key", "i", "j").applyInArrow(run, "src string, dst string")
+    return materialize(found, "similar-rest")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups(node, group)`` after ``links(src, dst)`` between nodes, which may be in no group yet."""
+    ends = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node"))).distinct()
+    known = materialize(groups.unionByName(ends.join(groups, "node", "left_anti").withColumn("group", F.col("node"))), "similar-known")
+    of = lambda end: known.select(F.col("node").alias(end), F.col("group").alias(f"{end}_group"))
+    between = links.join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_group").alias("src"), F.col("dst_group").alias("dst"))
+    joined = connected_components(between).select(F.col("node").alias("group"), "component")
+    return materialize(known.join(joined, "group", "left").select("node", F.coalesce("component", "group").alias("group")), "similar-merged")
+
+
 def similar_groups(
     docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 24, n_pivots: int = 16,
-    first_bands: int = 4, pair_limit: int = 16, n_centres: int = 8,
+    first_bands: int = 4, pair_limit: int = 16, n_centres: int = 8, block: int = 128,
 ) -> DataFrame:
     """(node, group): each distinct text that has similar ones, and the group it belongs to.
 
     The first bands are verified and grouped before the others, which then need
-    only be compared across groups.
+    only be compared across groups. Crowded buckets that hold unlike groups even
+    then are compared with their hubs, and what is left of them in full.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(_node(text).alias("node"), text.cast("binary").alias("t"))
@@ -304,8 +390,15 @@ def similar_groups(
     grouped = members.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
     late = _candidates(materialize(grouped, "similar-grouped"), max_bits, pair_limit, n_centres).join(early, ["src", "dst"], "left_anti")
     links_2 = _verified(materialize(late, "similar-late"), sets, similarity)
-    every = connected_components(links_1.unionByName(links_2))
-    return materialize(every.select("node", F.col("component").alias("group")), "similar-every")
+    links = links_1.unionByName(links_2)
+    every = materialize(connected_components(links).select("node", F.col("component").alias("group")), "similar-every")
+    crowded = members.where(F.col("n") > pair_limit).select("band", "key", "node")
+    apart = _unsettled(crowded, every)
+    if apart.isEmpty():
+        return every
+    every = _merged(every, _verified(materialize(_hub_pairs(apart, links), "similar-hubs"), sets, similarity))
+    apart = _unsettled(apart.select("band", "key", "node"), every)
+    return every if apart.isEmpty() else _merged(every, _all_pairs(apart, sets, similarity, block))
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:

@@ -123,6 +123,43 @@ def test_one_of_each_group_stays(spark: SparkSession) -> None:
     assert simhash.keep_one_of_each_group(docs.limit(0)).collect() == []
 
 
+def spoiled(words: list[str], own: str, n: int, rng: random.Random) -> str:
+    """The words with ``n`` of them, five or more apart, replaced by new ones."""
+    out = list(words)
+    for at in rng.sample(range(len(words) // 5), n):
+        out[5 * at] = f"{own}x{at}"
+    return " ".join(out)
+
+
+def test_copies_alike_only_through_their_original(spark: SparkSession) -> None:
+    rng = random.Random(7)
+    star = [f"w{i}" for i in range(1000)]
+    copies = [spoiled(star, f"c{i}", 18, rng) for i in range(300)]
+    assert all(jaccard(c, " ".join(star)) >= 0.8 for c in copies[:50]) and max(jaccard(copies[0], c) for c in copies[1:50]) < 0.8
+    # a crowded bucket of texts that are not similar at all stays as it is
+    common = [f"p{i}" for i in range(120)]
+    others = [" ".join([*common, *(f"o{k}y{i}" for i in range(120))]) for k in range(60)]
+    texts = [*copies, " ".join(star), *others]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each_group(docs).collect()) == [0, *range(301, 361)]
+
+
+@pytest.mark.parametrize("block", [3, 128])
+def test_all_pairs_of_a_bucket(spark: SparkSession, block: int) -> None:
+    rng = random.Random(block)
+    sets = {f"n{i:02d}": sorted(rng.sample(range(24), rng.randrange(12, 24))) for i in range(40)}
+    rows = [(0, 7, n, n if i % 4 else "n00") for i, n in enumerate(sets)]
+    group = {r[2]: r[3] for r in rows}
+    near = lambda a, b: group[a] == group[b] or len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
+    crowded = spark.createDataFrame(rows, "band int, key long, node string, g string")
+    known = crowded.select("node", F.col("g").alias("group"))
+    apart = simhash._unsettled(crowded.drop("g"), known)
+    found = simhash._merged(known, simhash._all_pairs(apart, spark.createDataFrame(list(sets.items()), "node string, shingles array<int>"), 0.8, block))
+    got, want = {r["node"]: r["group"] for r in found.collect()}, brute_components(list(sets), near)
+    classes = lambda m: {frozenset(k for k in m if m[k] == v) for v in m.values()}
+    assert got.keys() == want.keys() and classes(got) == classes(want) and len(classes(want)) > 2
+
+
 def test_components_of_a_path_and_loops(spark: SparkSession) -> None:
     edges = [(i, i + 1) for i in range(60)] + [(100, 100), (200, 199), (None, 3)]
     found = connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
