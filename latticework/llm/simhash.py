@@ -21,8 +21,9 @@ Plan
 ``similar_groups`` is the same plan for a wide similarity (0.8 of five-word
 shingles by default). There 64-bit fingerprints of similar texts differ in ten
 bits and more, which no split into blocks can bucket, so buckets come from
-min-wise sketches of the same shingle hashes instead; pivot coordinates discard,
-and the exact Jaccard similarity of the shingle sets verifies. Buckets of up to
+min-wise sketches of the same shingle hashes instead, and the exact Jaccard
+similarity of the shingle sets verifies every candidate. Fingerprints do not
+discard any: they count repeated shingles, which the sets do not. Buckets of up to
 ``pair_limit`` texts give all their pairs. In crowded ones every member is first
 compared with ``n_centres`` of them, other ones in every band, then with the
 member that has most links, so a group of thousands of near copies gives tens of
@@ -220,20 +221,14 @@ def _node(text: Column) -> Column:
 
 
 def _sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, fp, bands) of ``docs(node, t binary)``."""
+    """(node, bands) of ``docs(node, t binary)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            fps, bands = [], []
-            for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), shingle_words)
-                fps.append(simhash(hashes))
-                bands.append(band_keys(hashes))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "fp", "bands"]
-            )
+            bands = [band_keys(shingle_hashes(text.as_py(), shingle_words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64()))], names=["node", "bands"])
 
-    return docs.mapInArrow(run, "node string, fp long, bands array<long>")
+    return docs.mapInArrow(run, "node string, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -247,26 +242,21 @@ def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.mapInArrow(run, "node string, shingles array<int>")
 
 
-def _close(a: str, b: str, max_bits: int) -> Column:
-    """The pivot filter, then the exact Hamming distance."""
-    return _within(a, b, max_bits) & (F.bit_count(F.col(f"{a}.fp").bitwiseXOR(F.col(f"{b}.fp"))) <= max_bits)
-
-
-def _candidates(members: DataFrame, max_bits: int, pair_limit: int, n_centres: int) -> DataFrame:
-    """(src, dst): close pairs of unlike ``group``: all of small buckets; in crowded ones each member with each of the centres.
+def _candidates(members: DataFrame, pair_limit: int, n_centres: int) -> DataFrame:
+    """(src, dst): pairs of unlike ``group``: all of small buckets; in crowded ones each member with each of the centres.
 
     The first centre is the most copied text of the bucket, the others follow
     from hashes that differ by band, so a text meets other centres in every band.
     """
     bucket, meet = ["band", "key"], [F.col("a.band") == F.col("b.band"), F.col("a.key") == F.col("b.key")]
     small, crowded = members.where(F.col("n") <= pair_limit), members.where(F.col("n") > pair_limit)
-    both = small.alias("a").join(small.alias("b"), [*meet, F.col("a.node") > F.col("b.node"), F.col("a.group") != F.col("b.group"), _close("a", "b", max_bits)])
-    one = F.struct("node", "group", "fp", "coords")
+    both = small.alias("a").join(small.alias("b"), [*meet, F.col("a.node") > F.col("b.node"), F.col("a.group") != F.col("b.group")])
+    one = F.struct("node", "group")
     first = F.max_by(one, F.struct("copies", F.xxhash64("node"))).alias("c0")
     others = [F.min_by(one, F.xxhash64("node", "band", F.lit(i))).alias(f"c{i}") for i in range(1, n_centres)]
     chosen = crowded.groupBy(*bucket).agg(first, *others)
     centres = chosen.select(*bucket, F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(n_centres)]))).alias("c")).select(*bucket, "c.*")
-    star = crowded.alias("a").join(centres.alias("b"), [*meet, F.col("a.group") != F.col("b.group"), _close("a", "b", max_bits)])
+    star = crowded.alias("a").join(centres.alias("b"), [*meet, F.col("a.group") != F.col("b.group")])
     pairs = both.select("a.node", F.col("b.node").alias("other")).unionByName(star.select("a.node", F.col("b.node").alias("other")))
     return pairs.select(F.greatest("node", "other").alias("src"), F.least("node", "other").alias("dst")).distinct()
 
@@ -364,7 +354,7 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def similar_groups(
-    docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 24, n_pivots: int = 16,
+    docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8,
     first_bands: int = 4, pair_limit: int = 16, n_centres: int = 8, block: int = 128,
 ) -> DataFrame:
     """(node, group): each distinct text that has similar ones, and the group it belongs to.
@@ -376,19 +366,19 @@ def similar_groups(
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(_node(text).alias("node"), text.cast("binary").alias("t"))
     sketches = materialize(_sketches(texts, shingle_words), "similar-sketches")
-    distinct = sketches.groupBy("node").agg(F.count("*").alias("copies"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
-    rows = distinct.select("node", "copies", "fp", F.posexplode("bands").alias("band", "key")).where("key <> 0")
+    distinct = sketches.groupBy("node").agg(F.count("*").alias("copies"), F.min("bands").alias("bands"))
+    rows = distinct.select("node", "copies", F.posexplode("bands").alias("band", "key")).where("key <> 0")
     shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(pivot_table(rows.join(shared, ["band", "key"]), n_pivots), "similar-members")
+    members = materialize(rows.join(shared, ["band", "key"]), "similar-members")
     # one shuffle of the distinct texts: copies meet on the map side, then those in no shared bucket go
     own = texts.groupBy("node").agg(F.min("t").alias("t")).join(members.select("node").distinct(), "node", "left_semi")
     sets = materialize(_shingle_sets(own, shingle_words), "similar-sets")
     alone = members.withColumn("group", F.col("node"))
-    early = materialize(_candidates(alone.where(F.col("band") < first_bands), max_bits, pair_limit, 2), "similar-early")
+    early = materialize(_candidates(alone.where(F.col("band") < first_bands), pair_limit, 2), "similar-early")
     links_1 = _verified(early, sets, similarity)
     groups = connected_components(links_1).withColumnRenamed("component", "group")
     grouped = members.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    late = _candidates(materialize(grouped, "similar-grouped"), max_bits, pair_limit, n_centres).join(early, ["src", "dst"], "left_anti")
+    late = _candidates(materialize(grouped, "similar-grouped"), pair_limit, n_centres).join(early, ["src", "dst"], "left_anti")
     links_2 = _verified(materialize(late, "similar-late"), sets, similarity)
     links = links_1.unionByName(links_2)
     every = materialize(connected_components(links).select("node", F.col("component").alias("group")), "similar-every")

@@ -144,6 +144,18 @@ def test_copies_alike_only_through_their_original(spark: SparkSession) -> None:
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_each_group(docs).collect()) == [0, *range(301, 361)]
 
 
+def test_copies_that_repeat_a_line(spark: SparkSession) -> None:
+    rng = random.Random(9)
+    texts = []
+    for k in range(12):
+        words, line = [f"t{k}w{i}" for i in range(1000)], " ".join(f"t{k}l{i}" for i in range(9))
+        texts += ["\n".join([" ".join(words), *[line] * n]) for n in (1, 40)]
+    assert all(jaccard(a, b) > 0.98 for a, b in zip(texts[::2], texts[1::2], strict=True))
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_one_of_each_group(docs).count() == 12
+
+
 @pytest.mark.parametrize("block", [3, 128])
 def test_all_pairs_of_a_bucket(spark: SparkSession, block: int) -> None:
     rng = random.Random(block)
