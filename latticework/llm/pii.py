@@ -149,10 +149,14 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def _valid_iban(compact: str) -> bool:
+    return len(compact) == IBAN_LENGTHS.get(compact[:2]) and _mod97(compact[4:] + compact[:4]) == 1 and 2 <= int(compact[2:4]) <= 98
+
+
 def _iban(text: str, key: bytes, sign: int) -> str | None:
     compact = text.replace(" ", "")
     country, body = compact[:2], compact[4:]
-    if len(compact) != IBAN_LENGTHS.get(country) or _mod97(body + compact[:4]) != 1 or not 2 <= int(compact[2:4]) <= 98:
+    if not _valid_iban(compact):
         return None
     body = _permute_characters(body, f"iban|{country}", key, sign)
     new = iter(f"{country}{98 - _mod97(body + country + '00'):02d}{body}")
@@ -235,8 +239,13 @@ _NUMBER = re.compile(
     re.X,
 )
 _HEX = re.compile(r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z_])")
-_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}(?![0-9A-Za-z])")
+# every beginning, cut at the length of its country: what follows can look like more of it
+_IBAN = re.compile(
+    r"(?<![0-9A-Za-z])(?=[A-Z]{2}[0-9]{2})(?=((?:%s)(?![0-9A-Za-z])))"
+    % "|".join(f"{country}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for country, n in IBAN_LENGTHS.items())
+)
 _RUN = re.compile(r"[+(]{0,2}[0-9][0-9 ().:/+-]*")
+_OWN = re.compile(r"(?:[0-9]+(?:\.[0-9]+)*)?")
 _LOCAL = re.compile(r"[\w.%+-]{1,64}\Z")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _ANY = re.compile(r"[0-9@]")
@@ -256,10 +265,13 @@ def find(text: str) -> list[tuple[int, int, str]]:
                 found.append((start, host.end(), "email"))
         at = text.find("@", at + 1)
     found += [(m.start(), m.end(), "secret") for m in _HEX.finditer(text) if not m[0].isdigit()]
-    found += [(m.start(), m.end(), "iban") for m in _IBAN.finditer(text) if m[0][:2] in IBAN_LENGTHS]
+    found += [(*m.span(1), "iban") for m in _IBAN.finditer(text) if _valid_iban(m[1].replace(" ", ""))]
     for run in _RUN.finditer(text):
         start, end = run.span()
-        if end - start < 7 or start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+        if start and (text[start - 1].isalnum() or text[start - 1] == "_"):
+            # the run begins inside a word: the search goes on behind the numbers of that word
+            start = _OWN.match(text, start, end).end()
+        if end - start < 7:
             continue
         while (m := _NUMBER.search(text, start, end)) is not None:
             before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]

@@ -52,6 +52,26 @@ def test_invalid_values_stay() -> None:
     assert pii.pseudonymize_text(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("IPv4 192.168.0.1 up", ["ipv4"]),
+        ("in Q3 2024-01-05", ["date"]),
+        ("room2 4111 1111 1111 1111", ["card"]),
+        ("agent7 123-45-6789, form_9 (407) 555-7710", ["ssn", "phone"]),
+        ("call(407) 555-7710", ["phone"]),
+        ("DE89370400440532013000 A 12", ["iban"]),
+        ("DE89 3704 0044 0532 0130 00 EUR 50", ["iban"]),
+        ("DE89370400440532013000 GB82WEST12345698765432 IT99", ["iban", "iban"]),
+        ("v1.2.3.4 sku12345678901234 DE88370400440532013000 A 12", []),
+    ],
+)
+def test_values_beside_words(text: str, want: list[str]) -> None:
+    new, kinds = pii.pseudonymize_text(text, KEY)
+    assert kinds == want and (new != text) == bool(want)
+    assert pii.pseudonymize_text(new, KEY, -1)[0] == text
+
+
 def test_dates_and_addresses_stay_valid() -> None:
     for text in ("1900-01-01", "2099-12-31", "29.02.2000", "01/01/2068"):
         new, kinds = pii.pseudonymize_text(text, KEY)
