@@ -708,3 +708,59 @@ def communication_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rate_summary_by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = derived.run_log(spark, sf_dir).select("grid", units.gteps(F.col("m"), _net()).alias("gteps"))
     return telemetry.rate_summary(rates, keys=("grid",))
+
+
+# ---- the searches of small graphs, over all rows of the tables ----
+
+
+_register_search("all_event_paths", True, "_all_paths")
+_register_search("all_event_steps", False, "_all_directed")
+
+
+@_query("edge_stream_degrees_all", f"{_with('purchases')} SELECT src AS vertex, count(*) AS degree FROM e GROUP BY src")
+def edge_stream_degrees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edge_stream.replay_degrees(derived.purchases(spark, sf_dir))
+
+
+@_query("bfs_levels_distributed_all", f"{_searched('purchases')} SELECT v AS vertex, lvl AS level, parent FROM b")
+def bfs_levels_distributed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _graph("purchases", spark, sf_dir)
+    return search.bfs(e, _least_source(e), True, local_edges=0).select("vertex", "level", "parent")
+
+
+@_query("bfs_all_vertices_all", f"""{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, u AS vertex, coalesce(lvl, -1) AS level, coalesce(parent, -1) AS parent
+    FROM range((SELECT n FROM n)) x(u) LEFT JOIN b ON v = u""")
+def bfs_all_vertices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = _blocks(spark, sf_dir)
+    root = _least_source(e).first()["source"]
+    return search.with_unreached(search.bfs(e, [root], True), n, root)
+
+
+@_query("visited_from_parent_all", f"""{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, u AS vertex, v IS NOT NULL AS visited
+    FROM range((SELECT n FROM n)) x(u) LEFT JOIN b ON v = u""")
+def visited_from_parent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.visited_from_parent(bfs_all_vertices_all(spark, sf_dir))
+
+
+@_query("bfs_multi_source_all", f"{_with('purchases', _ROOTS + ', ' + _MULTI)} SELECT s AS source, v AS vertex, lvl AS level, parent FROM b")
+def bfs_multi_source_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _graph("purchases", spark, sf_dir)
+    return search.bfs(e, edges.sample_roots(e, 6, 5), True, local_edges=0)
+
+
+@_query("bfs_eccentricity_all", f"{_searched('all_event_paths')} SELECT (SELECT r FROM ({_ROOT})) AS source, max(lvl) AS eccentricity, max(lvl) + 1 AS rounds, count(*) AS visited FROM b")
+def bfs_eccentricity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _graph("all_event_paths", spark, sf_dir)
+    return checks.eccentricity(search.bfs(e, _least_source(e), True))
+
+
+@_query("edges_traversed_undirected_all", f"{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = dst WHERE src <= dst")
+def edges_traversed_undirected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _graph("purchases", spark, sf_dir)
+    return checks.edges_traversed(search.bfs(e, _least_source(e), True), e, True)
+
+
+@_query("edges_traversed_directed_all", f"{_searched('all_event_steps')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = src")
+def edges_traversed_directed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _graph("all_event_steps", spark, sf_dir)
+    return checks.edges_traversed(search.bfs(e, _least_source(e)), e, False)

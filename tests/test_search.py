@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -10,8 +11,10 @@ from hypothesis import strategies as st
 from pyspark.sql import DataFrame, SparkSession
 
 from latticework.operators import checks, search
+from latticework.plans import catalogue, derived
 from latticework.sources import rmat
 
+DATA = Path("/root/testdata/sf0.001")
 PATH = [(i, i + 1) for i in range(4)]
 DIAMOND = [(0, 1), (0, 2), (1, 3), (2, 3)]
 LATE = [(0, 5), (5, 6), (6, 1), (1, 5)]
@@ -127,3 +130,28 @@ def test_layout_rings(spark: SparkSession) -> None:
     assert {r["vertex"]: round((r["x"] ** 2 + r["y"] ** 2) ** 0.5, 6) for r in rows} == {0: 0.0, 1: 2.0, 2: 2.0, 3: 4.0}
     with pytest.raises(ValueError, match="layout"):
         search.radial_layout(search.bfs(table(spark, DIAMOND), [0]), 2.0, max_vertices=3)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
+def test_searches_over_whole_tables(spark: SparkSession) -> None:
+    run = catalogue.queries()
+    tables = {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("orders", "lineitem", "events")}
+    customer = {r["o_orderkey"]: r["o_custkey"] for r in tables["orders"].collect()}
+    bought = {(2 * customer[r["l_orderkey"]], 2 * r["l_partkey"] + 1) for r in tables["lineitem"].collect() if r["l_orderkey"] in customer}
+    near: dict[int, set[int]] = {}
+    for a, b in bought:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    level, front = {min(near): 0}, [min(near)]
+    while front:
+        found = {b for a in front for b in near[a]} - level.keys()
+        level |= dict.fromkeys(found, level[front[0]] + 1)
+        front = list(found)
+    got = run["bfs_levels_distributed_all"](spark, str(DATA)).collect()
+    assert {r["vertex"]: r["level"] for r in got} == level
+    assert all(r["parent"] == min([p for p in near[r["vertex"]] if level[p] == r["level"] - 1], default=r["vertex"]) for r in got)
+    users: dict[int, int] = {}
+    for r in tables["events"].collect():
+        users[r["user_id"]] = users.get(r["user_id"], 0) + 1
+    assert derived.all_event_steps(spark, str(DATA)).count() == sum(n - 1 for n in users.values())
+
