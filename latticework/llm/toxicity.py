@@ -1,27 +1,33 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Model (driver; bounded by ``max_examples`` per class and ``max_terms``):
-
-* Terms are words (lower case, outer punctuation off) and word beginnings of
-  four and six letters. Those that mark the toxic class best (chi-square over the
-  labelled sample, counted by Spark, among terms at least ``min_lift`` times as
-  frequent there and in a hundredth as many documents as the smaller class has)
-  make the vocabulary. Any other word is a
-  dimension of its own, shared with no example. A vector is sublinear TF times
-  IDF, of length one.
+Model (driver; bounded by ``max_examples`` labelled texts per class):
+
+* Terms are words (lower case, outer punctuation off), all of them: every word of
+  the labelled sample is a dimension with its weight ln(N / document frequency),
+  none is selected by class or dropped. A word that the sample lacks is a
+  dimension of its own with the weight of a frequency of one, shared with no
+  example. A vector is sublinear TF times IDF, of length one.
 * Examples lie in a block-max inverted index: a term's postings are cut at block
-  borders of ``BLOCK`` examples, each with its largest weight. For a query the
+  borders of ``BLOCK`` examples, each cut with its largest weight. For a query the
   block maxima bound every score of a block; blocks are opened best bound first
   until no bound reaches the k-th best cosine, so the k nearest are exact.
-* The vote is the cosine-weighted share of toxic neighbours, shrunk towards the
-  base rate, then calibrated by a logistic curve fitted to leave-one-out votes.
-
-Scoring is one narrow Arrow pass over whole texts with the model broadcast; its
-size has the bound above, whatever the tables hold.
-
-Null and empty texts, and texts without a term, get the score of a vote without
-neighbours. Without labels every score is 0.5. Repeated rows score alike, further
-columns are not read, an empty table gives an empty result.
+* A vote is the cosine-weighted share of toxic neighbours, shrunk towards the base
+  rate. A text asks for the neighbours of itself as a whole (``k``), and of its
+  shortest passages, its single words (``word_k``): one toxic word in a long clean
+  text hardly turns the whole text's vector. A word's neighbours do not depend on
+  the text, so their votes are made once, with the index.
+* The score is a logistic curve over the whole text's vote, its ``TOP`` most toxic
+  word votes and the number of its words, fitted to leave-one-out votes of the
+  examples. Equal texts of the sample are one example, with their mean label, so
+  none votes on its own copy.
+
+The held-out rows take no part: not in the sample, the weights, the base rate or
+the curve. Scoring is one narrow Arrow pass over whole texts with the model
+broadcast; it holds the words of the sample, whatever the tables hold.
+
+Null and empty texts, and texts without a word, get the base rate. Without labels
+every score is 0.5. Repeated rows score alike, further columns are not read, an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,67 +45,88 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticework.llm.batches import small_batches
-from latticework.llm.labelled import training_labels
+from latticework.llm.labelled import held_out, training_labels
 from latticework.llm.scratch import materialize
 
 BLOCK = 64
-PREFIXES = (4, 6)
-#: Weight of a word outside the vocabulary: a dimension of its own, shared with no example.
-BACKGROUND = 0.5
+TOP = 5
 _OUTER = string.punctuation + "¡¿«»“”„…"
 
 
 def terms(text: str) -> Counter:
-    """Counts of a text's words and word beginnings (``abcd*``)."""
+    """Counts of a text's words."""
     found: Counter = Counter()
     for run, n in Counter(text.lower().split()).items():
         word = run.strip(_OUTER)
         if word:
             found[word] += n
-            for size in PREFIXES:
-                if len(word) > size:
-                    found[word[:size] + "*"] += n
     return found
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all half-open ranges, one after the other."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors: per term its rows and weights, and its largest weight per block."""
+    """Block-max inverted index of unit vectors.
+
+    Postings ``rows`` and ``weights`` lie in order of term and row. Entry i is the
+    part of a term's postings in one ``block``, from ``begins[i]`` to ``begins[i + 1]``,
+    with its largest weight; a term's entries are ``first[term]`` to ``first[term + 1]``.
+    """
 
     n: int
-    rows: list[np.ndarray]
-    weights: list[np.ndarray]
-    maxima: np.ndarray
+    rows: np.ndarray
+    weights: np.ndarray
+    begins: np.ndarray
+    block: np.ndarray
+    largest: np.ndarray
+    first: np.ndarray
 
     @classmethod
     def build(cls, vectors: list[dict[int, float]], n_terms: int) -> Index:
-        maxima = np.zeros((n_terms, -(-len(vectors) // BLOCK)))
-        gathered: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for row, vector in enumerate(vectors):
-            for term, weight in vector.items():
-                gathered[term].append((row, weight))
-                maxima[term, row // BLOCK] = max(maxima[term, row // BLOCK], weight)
-        rows = [np.array([r for r, _ in own], np.int64) for own in gathered]
-        return cls(len(vectors), rows, [np.array([w for _, w in own]) for own in gathered], maxima)
+        sizes = [len(v) for v in vectors]
+        term = np.fromiter((t for v in vectors for t in v), np.int64, sum(sizes))
+        weights = np.fromiter((w for v in vectors for w in v.values()), float, sum(sizes))
+        rows = np.repeat(np.arange(len(vectors)), sizes)
+        order = np.lexsort((rows, term))
+        term, rows, weights = term[order], rows[order], weights[order]
+        blocks = rows // BLOCK
+        cut = np.ones(len(term), bool)
+        cut[1:] = (term[1:] != term[:-1]) | (blocks[1:] != blocks[:-1])
+        begins = np.flatnonzero(cut)
+        largest = np.maximum.reduceat(weights, begins) if len(begins) else weights
+        first = np.searchsorted(term[begins], np.arange(n_terms + 1))
+        return cls(len(vectors), rows.astype(np.int32), weights, np.append(begins, len(term)), blocks[begins].astype(np.int32), largest, first)
+
+    def postings(self, term: int) -> slice:
+        return slice(self.begins[self.first[term]], self.begins[self.first[term + 1]])
 
     def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
         """(cosine, row) of the k best rows with a positive cosine, ties to the smaller row; ``skip`` is left out."""
         if not query or not self.n:
             return []
-        terms, weights = list(query), list(query.values())
-        bounds = np.array(weights) @ self.maxima[terms]
+        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
+        low, high = self.first[terms], self.first[terms + 1]
+        entries, factor = _ranges(low, high), np.repeat(weights, high - low)
+        blocks = self.block[entries]
+        bounds = np.bincount(blocks, factor * self.largest[entries], -(-self.n // BLOCK))
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
-        sums, opened, batch, reached = np.zeros(self.n), 0, 1, 0.0
+        sums, opened, batch, reached = np.zeros(self.n), 0, 4, 0.0
         while opened < len(order) and bounds[order[opened]] * (1 + 1e-12) >= reached:
-            # the next blocks, best bound first; twice as many each time
+            # the next blocks, best bound first; three times as many each time
             inside = np.zeros(len(bounds), bool)
             inside[order[opened : opened + batch]] = True
-            for term, weight in zip(terms, weights, strict=True):
-                rows = self.rows[term]
-                at = inside[rows // BLOCK]
-                sums[rows[at]] += weight * self.weights[term][at]
-            opened, batch = opened + batch, 2 * batch
+            at = inside[blocks]
+            begin, end = self.begins[entries[at]], self.begins[entries[at] + 1]
+            where = _ranges(begin, end)
+            sums += np.bincount(self.rows[where], np.repeat(factor[at], end - begin) * self.weights[where], self.n)
+            opened, batch = opened + batch, 3 * batch
             if skip >= 0:
                 sums[skip] = 0
             if self.n > k:
@@ -109,56 +136,86 @@ class Index:
         return [(-s, r) for s, r in best]
 
 
+def _odds(share: float) -> float:
+    return math.log((share + 0.01) / (1.01 - share))
+
+
 @dataclass
 class Model:
     vocabulary: dict[str, int] = field(default_factory=dict)
-    idf: list[float] = field(default_factory=list)
+    idf: np.ndarray | None = None
     index: Index | None = None
     ids: list[int] = field(default_factory=list)
-    toxic: list[float] = field(default_factory=list)
+    toxic: np.ndarray | None = None
+    word_votes: np.ndarray | None = None
     base: float = 0.5
-    curve: tuple[float, ...] = (0.0,)
-    k: int = 10
+    curve: tuple[float, ...] = ()
+    k: int = 20
+    word_k: int = 30
     shrink: float = 0.3
 
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        """Unit TF-IDF vector of term counts; the count at -1 is of words outside the vocabulary."""
-        raw = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t >= 0}
-        norm = math.sqrt(sum(w * w for w in raw.values()) + BACKGROUND**2 * counts.get(-1, 0))
+    def vector(self, counts: Counter) -> dict[int, float]:
+        """Unit TF-IDF vector of word counts; words outside the vocabulary only lengthen it."""
+        known, raw, outside = self.vocabulary.get, {}, 0.0
+        rarest = math.log(max(2, len(self.ids)))
+        for word, n in counts.items():
+            at, tf = known(word), 1 + math.log(n)
+            if at is None:
+                outside += (tf * rarest) ** 2
+            elif self.idf[at] > 0:
+                raw[at] = tf * self.idf[at]
+        norm = math.sqrt(sum(w * w for w in raw.values()) + outside)
         return {t: w / norm for t, w in raw.items()}
 
-    def counts(self, text: str) -> dict[int, int]:
-        known, found, outside = self.vocabulary.get, {}, 0
-        for run, n in Counter(text.lower().split()).items():
-            word = run.strip(_OUTER)
-            size = len(word)
-            at = known(word)
-            if at is None:
-                outside += n
-            else:
-                found[at] = found.get(at, 0) + n
-            for cut in PREFIXES:
-                if size > cut:
-                    at = known(word[:cut] + "*")
-                    if at is not None:
-                        found[at] = found.get(at, 0) + n
-        found[-1] = outside
-        return found
-
-    def votes(self, near: list[tuple[float, int]]) -> tuple[float, float, float, float]:
-        """One, the shrunk toxic share of the cosine-weighted votes, and the two sums of votes."""
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        """The toxic share of the cosine-weighted votes, shrunk towards the base rate."""
         toxic = sum(s * self.toxic[r] for s, r in near)
-        clean = sum(s for s, _ in near) - toxic
-        return 1.0, (toxic + self.shrink * self.base) / (toxic + clean + self.shrink), math.sqrt(toxic), math.sqrt(max(0.0, clean))
+        return float((toxic + self.shrink * self.base) / (sum(s for s, _ in near) + self.shrink))
+
+    def votes(self, words: np.ndarray, near: list[tuple[float, int]], n_words: int) -> list[float]:
+        """What the curve reads: one, the log odds of the most toxic word votes and of the whole text's, and the text's size."""
+        best = np.sort(words)[: -TOP - 1 : -1].tolist()
+        return [1.0, *map(_odds, [*best, *[self.base] * (TOP - len(best))]), _odds(self.vote(near)), math.log(1 + n_words)]
 
-    def calibrated(self, votes: tuple[float, ...]) -> float:
-        margin = sum(w * v for w, v in zip(self.curve, votes, strict=False))
+    def calibrated(self, votes: list[float]) -> float:
+        margin = sum(w * v for w, v in zip(self.curve, votes, strict=True))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, margin))))
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        """Calibrated score, and the (cosine, row) neighbours that are its evidence."""
-        near = self.index.nearest(self.vector(self.counts(text)), self.k) if self.index else []
-        return self.calibrated(self.votes(near)), near
+    def score(self, text: str) -> tuple[float, list[tuple[float, int]], list[tuple[str, int]]]:
+        """Calibrated score, and its evidence: (cosine, row) neighbours of the whole text, and the most toxic words with their numbers."""
+        counts = terms(text)
+        if not counts or not self.index or not self.curve:
+            return self.base, [], []
+        known = [(w, self.vocabulary[w]) for w in counts if w in self.vocabulary]
+        votes = self.word_votes[[at for _, at in known]]
+        near = self.index.nearest(self.vector(counts), self.k)
+        best = [known[i] for i in np.argsort(-votes, kind="stable")[:TOP]]
+        return self.calibrated(self.votes(votes, near, len(counts))), near, best
+
+
+def _word_votes(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The vote of each word's nearest examples, and for each posting that vote without the posting's own example."""
+    index, k = model.index, model.word_k
+    n_terms = len(model.vocabulary)
+    per_term = np.diff(index.begins[index.first])
+    term = np.repeat(np.arange(n_terms), per_term)
+    # a word's neighbours in order: falling cosine, which is the weight there, ties to the smaller row
+    order = np.lexsort((index.rows, -index.weights, term))
+    rank = np.arange(len(term)) - np.repeat(np.cumsum(per_term) - per_term, per_term)
+    cosine, toxic = index.weights[order], model.toxic[index.rows[order]]
+
+    def sums(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.bincount(term[of], cosine[of], n_terms), np.bincount(term[of], (cosine * toxic)[of], n_terms)
+
+    (total, bad), (next_total, next_bad) = sums(rank < k), sums(rank == k)
+    share = lambda a, b: (a + model.shrink * model.base) / (b + model.shrink)
+    # without one of the k nearest, the one after them takes part
+    own = rank < k
+    less = np.where(own, next_total[term] - cosine, 0) + total[term]
+    less_bad = np.where(own, next_bad[term] - cosine * toxic, 0) + bad[term]
+    without = np.empty(len(term))
+    without[order] = share(less_bad, less)
+    return share(bad, total), without
 
 
 def _fit_curve(votes: np.ndarray, y: np.ndarray, base: float, steps: int = 100) -> tuple[float, ...]:
@@ -185,84 +242,86 @@ def _fit_curve(votes: np.ndarray, y: np.ndarray, base: float, steps: int = 100)
     return tuple(map(float, w))
 
 
-def build_model(vocabulary: list[str], examples: list[tuple[int, float, dict[int, int]]], base: float, k: int = 10) -> Model:
-    """A model of (id, label, counts by term number) examples."""
-    model = Model({t: i for i, t in enumerate(vocabulary)}, base=base, k=k)
-    df = Counter(t for _, _, counts in examples for t in counts if t >= 0)
-    model.idf = [math.log((1 + len(examples)) / (1 + df[i])) + 1 for i in range(len(vocabulary))]
-    vectors = [(model.vector(counts), i, y) for i, y, counts in examples]
+def build_model(examples: list[tuple[int, float, dict[str, int]]], base: float) -> Model:
+    """A model of (id, label, counts by word) examples."""
+    alike: dict[tuple, list[tuple[int, float]]] = {}
+    for i, y, counts in examples:
+        alike.setdefault(tuple(sorted(counts.items())), []).append((i, y))
+    one = [(min(i for i, _ in own), sum(y for _, y in own) / len(own), Counter(dict(words))) for words, own in alike.items()]
+    df = Counter(word for _, _, counts in one for word in counts)
+    vocabulary = {word: at for at, word in enumerate(sorted(df))}
+    model = Model(vocabulary, np.log(len(one) / np.array([df[w] for w in vocabulary], float)), base=base, ids=[i for i, _, _ in one])
+    vectors = [(model.vector(counts), i, y, counts) for i, y, counts in one]
     # alike examples side by side make tight block bounds
     vectors.sort(key=lambda v: (max(v[0], key=lambda t: (v[0][t], -t), default=-1), v[1]))
-    model.ids, model.toxic = [v[1] for v in vectors], [v[2] for v in vectors]
+    model.ids, model.toxic = [v[1] for v in vectors], np.array([v[2] for v in vectors])
     model.index = Index.build([v[0] for v in vectors], len(vocabulary))
-    y = np.array(model.toxic)
-    if len(y):
-        votes = np.array([model.votes(model.index.nearest(v[0], k, skip=row)) for row, v in enumerate(vectors)])
-        model.curve = _fit_curve(votes, y, min(max(base, 0.001), 0.999))
+    if not vocabulary:
+        return model
+    model.word_votes, without = _word_votes(model)
+    by_row: list[list[int]] = [[] for _ in vectors]
+    for at, row in enumerate(model.index.rows.tolist()):
+        by_row[row].append(at)
+    votes = [model.votes(without[by_row[row]], model.index.nearest(v[0], model.k, skip=row), len(v[3])) for row, v in enumerate(vectors)]
+    model.curve = _fit_curve(np.array(votes), (model.toxic >= 0.5).astype(float), min(max(base, 0.001), 0.999))
     return model
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 2000, max_terms: int = 1000, min_docs: int = 3, min_share: float = 0.01, min_lift: float = 3.0,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most ``max_examples`` labelled documents per class that are not held out."""
     chosen = F.broadcast(training_labels(labels, label_col, max_examples, per_class=True, id_col=id_col))
     found = docs.select(id_col, text_col).join(chosen, id_col).groupBy(id_col, "y").agg(F.min(text_col).alias("t"))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("y", T.DoubleType()), T.StructField("counts", T.MapType(T.StringType(), T.LongType()))])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("y", T.DoubleType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
     names = schema.names
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            counts = [list(terms(t or "").items()) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.map_(pa.string(), pa.int64()))], names=names)
-
-    sample = materialize(found.mapInArrow(count, schema), "toxic-sample")
-    of_class = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    pos, neg = of_class.get(1.0, 0), of_class.get(0.0, 0)
-    if not pos + neg:
+            counts = [terms(t or "") for t in batch.column(2).to_pylist()]
+            words, numbers = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, numbers], names=names)
+
+    sample = materialize(found.mapInArrow(count, schema), "toxic-sample").orderBy(id_col).toArrow()
+    examples = [
+        (i.as_py(), y.as_py(), dict(zip(words.as_py(), counts.as_py(), strict=True)))
+        for i, y, words, counts in zip(*[sample.column(c) for c in names], strict=True)
+    ]
+    if not examples:
         return Model()
-    a, b = F.sum("y"), F.sum(1 - F.col("y"))
-    spread = (F.col("a") * neg - F.col("b") * pos) ** 2 * (pos + neg) / ((F.col("a") + F.col("b")) * (pos + neg - F.col("a") - F.col("b")) * max(1, pos) * max(1, neg))
-    best = (
-        sample.select("y", F.explode(F.map_keys("counts")).alias("term"))
-        .groupBy("term").agg(a.alias("a"), b.alias("b"))
-        .where((F.col("a") + F.col("b") >= max(min_docs, min_share * min(pos, neg))) & (F.col("a") + F.col("b") < pos + neg))
-        .withColumn("chi2", spread).where((F.col("chi2") > 10.83) & (F.col("a") * neg > min_lift * F.col("b") * pos))
-        .orderBy(F.col("chi2").desc(), "term").limit(max_terms)
-    )
-    vocabulary = [r["term"] for r in best.select("term").collect()]
-    number = {t: i for i, t in enumerate(vocabulary)}
-
-    def number_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches):
-            rows = []
-            for counts in batch.column(2).to_pylist():
-                found = {number[t]: n for t, n in counts if t in number}
-                found[-1] = sum(n for t, n in counts if t not in number and not t.endswith("*"))
-                rows.append(list(found.items()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.map_(pa.int32(), pa.int64()))], names=names)
-
-    numbered = T.StructType([*schema.fields[:2], T.StructField("counts", T.MapType(T.IntegerType(), T.LongType()))])
-    rows = sample.mapInArrow(number_terms, numbered).collect() if vocabulary else []
-    examples = [(r[id_col], r["y"], dict(r["counts"])) for r in sorted(rows, key=lambda r: r[id_col])]
-    share = labels.where(F.col(label_col).isin(0, 1)).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
-    return build_model(vocabulary, examples, float(share or 0.0))
+    usable = F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)
+    share = labels.where(usable).agg(F.avg(F.col(label_col).cast("double"))).first()[0]
+    return build_model(examples, float(share or 0.0))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
-    """(id_col, score, evidence array<struct<doc_id, toxic, cosine>>) per row."""
+    """(id_col, score, evidence) per row.
+
+    Evidence is an array of (word, doc_id, toxic, cosine): for the most toxic words
+    the nearest example of each, then, with a null word, those nearest to the whole text.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    proof = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("toxic", T.IntegerType()), T.StructField("cosine", T.DoubleType())]))
+    parts = [("word", T.StringType()), ("doc_id", T.LongType()), ("toxic", T.IntegerType()), ("cosine", T.DoubleType())]
+    proof = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in parts]))
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", proof)])
     names = schema.names
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
+    kind = pa.list_(pa.struct([("word", pa.string()), ("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+
+        def told(word: str | None, cosine: float, row: int) -> dict:
+            return {"word": word, "doc_id": model.ids[row], "toxic": int(model.toxic[row] >= 0.5), "cosine": cosine}
+
+        def nearest_to(word: str, at: int) -> list[dict]:
+            own = model.index.postings(at)
+            best = int(np.argmax(model.index.weights[own])) + own.start
+            return [told(word, float(model.index.weights[best]), int(model.index.rows[best]))]
+
         for batch in small_batches(batches):
-            made = [model.score(text or "") for text in batch.column(1).to_pylist()]
-            proofs = [[{"doc_id": model.ids[r], "toxic": int(model.toxic[r]), "cosine": s} for s, r in near[:evidence]] for _, near in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in made], pa.float64()), pa.array(proofs, kind)], names=names)
+            scores, proofs = [], []
+            for text in batch.column(1).to_pylist():
+                value, near, words = model.score(text or "")
+                scores.append(value)
+                proofs.append([e for w, at in words[:evidence] if model.idf[at] > 0 for e in nearest_to(w, at)] + [told(None, s, r) for s, r in near[:evidence]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(proofs, kind)], names=names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
