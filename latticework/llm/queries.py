@@ -180,10 +180,8 @@ WITH p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body
 h AS (SELECT page_id, url, octet_length(encode(body)) AS payload_bytes, sha1(body) AS hex FROM p),
 b AS (SELECT page_id, url, payload_bytes, array_to_string(list_transform(range(32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest FROM h),
-f AS (SELECT payload_digest, min(page_id) AS first FROM b GROUP BY payload_digest),
-g AS (SELECT b.*, first, min(url) FILTER (page_id = first) OVER (PARTITION BY b.payload_digest) AS first_url FROM b JOIN f USING (payload_digest)),
-j AS (SELECT *, page_id IS NOT DISTINCT FROM first AND url = first_url AS original FROM g)
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT original THEN first END AS refers_to FROM j
+j AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS first FROM b WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST, url))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN first END AS refers_to FROM j
 """
 
 _LINES_SQL = r"""

@@ -2,26 +2,32 @@
 
 Every dimension of a block of candidates is a list sorted by value; a query with
 weight q_d reads list d from its top if q_d > 0 and from its bottom if q_d < 0.
-After reading all lists to depth t a candidate's score is at least what was seen
-plus the worst value of its unseen lists, and at most what was seen plus the
-value at depth t of its unseen lists. Reading stops when at most a small share
-of the candidates can still reach the k-th best lower bound; these are resolved
-exactly. Whatever was seen at depth t does not depend on the query, so bounds of
-a block of queries are a few matrix products over masked candidates.
-
-Distribution: candidates and queries are cut into blocks by a hash of their id.
-Each query block is sent to every candidate block by an equi-join on the block
-number (the stated query set against all rows, in blocks); a pair of blocks
-yields k rows a query, which a map-side combined aggregate merges. Blocks have a
-bounded number of rows, so memory does not depend on the table.
-
-Scores are exact: products are float32 or float64 matrix products only while
-every partial sum is an integer that the type holds, else Python integers; a
-score outside the range of long saturates.
-
-Inner products of dense vectors spread over all dimensions, so bounds close
-late: reading stops at three quarters or nine tenths of the lists, and what can
-still qualify there (about 0.3 % of a block) is resolved.
+Lists are read in step, a slab of ``1 / STEPS`` of them at a time. After each
+slab a candidate's score is at least what was seen plus the worst value of its
+unseen lists, and at most what was seen plus the value reached in its unseen
+lists. Candidates whose upper bound is below the k-th best lower bound are given
+up. A query stops reading as soon as no more than ``RESOLVE`` times k candidates,
+or ``RESOLVE_SHARE`` of the block, can still be among its k best; these get their
+exact scores, the others never do. Which entries a slab holds does not depend on
+the query, so the sums of all queries that still read are a few matrix products
+over the candidates that any of them still has.
+
+Distribution: candidates and queries are cut into blocks by a hash of the row.
+Each query block is sent to every candidate block by its number (the stated query
+set against all rows, in blocks). A block's candidates travel once: its task reads
+them first, sorted before the query blocks, then streams these. A pair of blocks
+yields k rows a query; the k best of all are kept by a ranked window, which cuts
+to k rows a query on the map side before it shuffles. Blocks have a bounded
+number of rows, so memory does not depend on the table.
+
+Scores are exact: survivors are multiplied in float32 or float64 only while every
+partial sum is an integer that the type holds, else in Python integers; a score
+outside the range of long saturates. Bounds of such wide numbers are float64
+with an allowance above their rounding error.
+
+Inner products of dense vectors spread over all dimensions, so their bounds close
+late, at three quarters and more of the lists; vectors in clusters or with few
+large components close early (``block_top_k`` returns how much was read).
 
 Vectors that are null or hold a null or non-finite component take no part, nor
 does one whose length differs from the query's. A row is known by its id: a
@@ -36,12 +42,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LONG = (1 << 63) - 1
-DEPTHS = (3 / 4, 9 / 10)
-RESOLVE_SHARE = 0.05
+STEPS = 16
+RESOLVE, RESOLVE_SHARE = 4, 0.01
 
 
 def quantize(vector: Column, factor: int = 256) -> Column:
@@ -57,67 +63,89 @@ def _exact_type(x: np.ndarray, q: np.ndarray) -> type:
 
 
 class SortedLists:
-    """The sorted lists of a block of candidates, one per dimension."""
-
-    def __init__(self, x: np.ndarray):
-        self.x = x
-        self.order = np.argsort(x, axis=0, kind="stable")
-        self.place = np.empty_like(self.order)
-        np.put_along_axis(self.place, self.order, np.arange(len(x))[:, None], axis=0)
-        self.sorted = np.take_along_axis(x, self.order, axis=0)
-
-    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Masks of what is seen from the top and the bottom at ``depth``, and the values reached there."""
-        n = len(self.x)
-        return self.place >= n - depth, self.place < depth, self.sorted[n - depth], self.sorted[depth - 1]
-
-
-def _candidates(lists: SortedLists, q: np.ndarray, k: int, own: np.ndarray) -> np.ndarray:
-    """Boolean (queries, candidates): who may be among the k best. ``own`` masks the query's own rows."""
-    x, n = lists.x, len(lists.x)
+    """The sorted lists of a block of candidates, one per dimension, and each candidate's place in them."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids, self.x = ids, x
+        order = np.argsort(x, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(x, order, axis=0)
+        self.place = np.empty(order.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(x), dtype=np.int32)[:, None], axis=0)
+        #: rows that share an id, at most: so many rows may hold one place of the k best
+        self.repeats = int(np.unique(ids, return_counts=True)[1].max(initial=1))
+
+
+def _survivors(lists: SortedLists, q: np.ndarray, k: int, own: np.ndarray, slack: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Per query the rows that may be among its k best, and the share of the lists that it read. ``own`` masks its own rows."""
+    n, kind = len(lists.x), q.dtype
+    k, found, read = k * lists.repeats, [np.empty(0, np.int64)] * len(q), np.ones(len(q))
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    worst = (up * lists.sorted[0] + down * lists.sorted[-1])  # per dimension
-    possible = ~own
-    for share in DEPTHS:
-        depth = max(1, int(n * share))
-        top, bottom, at_top, at_bottom = lists.read(depth)
-        seen = up @ (x * top).T + down @ (x * bottom).T
-        best = up * at_top + down * at_bottom
-        positive, negative = (q > 0).astype(q.dtype), (q < 0).astype(q.dtype)
-        upper = seen + best.sum(1, keepdims=True) - ((best * positive) @ top.T.astype(q.dtype) + (best * negative) @ bottom.T.astype(q.dtype))
-        lower = seen + worst.sum(1, keepdims=True) - ((worst * positive) @ top.T.astype(q.dtype) + (worst * negative) @ bottom.T.astype(q.dtype))
-        lower[own] = -np.inf
+    low, high = lists.sorted[0].astype(kind), lists.sorted[-1].astype(kind)
+    asks, rows = np.arange(len(q)), np.arange(n)  # the queries that still read, the candidates that any of them has
+    alive = ~own
+    worst = (up * low + down * high).sum(1)[:, None] * np.ones((1, n), kind)  # of the unseen lists
+    seen = np.zeros((len(q), n), kind)
+    before = 0
+    for step in range(1, STEPS + 1):
+        depth = max(min(n, -(-n * step // STEPS)), 1)
+        place, x = lists.place[rows], lists.x[rows].astype(kind)
+        top, bottom = ((place >= n - depth) & (place < n - before)).astype(kind), ((place >= before) & (place < depth)).astype(kind)
+        u, d = up[asks], down[asks]
+        seen += u @ (x * top).T + d @ (x * bottom).T
+        worst -= (u * low) @ top.T + (d * high) @ bottom.T
+        before = depth
+        if depth < n:
+            # unseen lists hold at most what was reached in them
+            below, above = (place < n - depth).astype(kind), (place >= depth).astype(kind)
+            best = (u * lists.sorted[n - depth].astype(kind)) @ below.T + (d * lists.sorted[depth - 1].astype(kind)) @ above.T
+        else:
+            best = worst = np.zeros_like(seen)
+        # clipped as scores are: those beyond the range of long tie
+        lower, upper = np.where(alive, np.clip(seen + worst, -(2.0**63), 2.0**63), -np.inf), np.clip(seen + best, -(2.0**63), 2.0**63)
         if n > k:
-            bound = -np.partition(-lower, k - 1, axis=1)[:, k - 1 : k]
-            possible &= upper >= bound
-        if possible.mean() <= RESOLVE_SHARE:
+            # the k-th best lower bound among those alive; who was given up cannot be above it
+            have = lower.shape[1]
+            bound = -np.partition(-lower, k - 1, axis=1)[:, k - 1 : k] if have > k else np.full((len(asks), 1), -np.inf)
+            alive = alive & (upper >= bound - slack[asks][:, None])
+        left = alive.sum(1)
+        done = (left <= max(RESOLVE * k, RESOLVE_SHARE * n)) | (depth >= n)
+        for i in np.flatnonzero(done):
+            found[asks[i]], read[asks[i]] = rows[alive[i]], depth / n
+        if done.all():
             break
-    return possible
-
-
-def block_top_k(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, candidate id, score) of each query's k best in the block, all ties by smaller id resolved."""
-    kind = _exact_type(x, q)
-    own = query_ids[:, None] == ids[None, :]
-    repeats = len(np.unique(ids)) < len(ids)  # then bounds would count an id twice
-    if kind is object or repeats:
-        x, q, possible = x.astype(object), q.astype(object), ~own
-    else:
-        x, q = x.astype(kind), q.astype(kind)
-        possible = _candidates(SortedLists(x), q, k, own)
-    fast = kind is not object and not repeats
-    together = fast and possible.mean() > RESOLVE_SHARE
-    resolved = q @ x.T if together else None
+        keep = ~done
+        some = alive[keep].any(0)
+        asks, rows, alive = asks[keep], rows[some], alive[keep][:, some]
+        seen, worst = seen[keep][:, some], worst[keep][:, some]
+    return found, read
+
+
+def block_top_k(lists: SortedLists, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """(query id, candidate id, score) of each query's k best in the block, ties to the smaller id; and the share of the lists each query read."""
+    kind, x = _exact_type(lists.x, q), lists.x
+    own = query_ids[:, None] == lists.ids[None, :]
+    bounds = np.float64 if kind is object else kind
+    most = np.abs(lists.x.astype(float)).max(axis=0, initial=0)
+    slack = np.abs(q.astype(float)) @ most * (64 * (q.shape[1] + STEPS) * 2.0**-52 if kind is object else 0.0)
+    survivors, read = _survivors(lists, q.astype(bounds), k, own, slack)
     out: list[tuple[int, int, int]] = []
-    for i, mask in enumerate(possible):
-        at = np.flatnonzero(mask)
-        scores = resolved[i, at] if resolved is not None else x[at] @ q[i]
-        if len(at) > k and fast:
-            best = scores >= np.partition(scores, len(at) - k)[len(at) - k]
+    for i, at in enumerate(survivors):
+        scores = x[at].astype(kind) @ q[i].astype(kind)
+        if len(at) > k * lists.repeats and kind is not object:
+            cut = len(at) - k * lists.repeats
+            best = scores >= np.partition(scores, cut)[cut]
             at, scores = at[best], scores[best]
-        rows = sorted({(-min(max(int(s), -LONG - 1), LONG), int(ids[j])) for s, j in zip(scores, at, strict=True)})[:k]
+        rows = sorted({(-min(max(int(s), -LONG - 1), LONG), int(lists.ids[j])) for s, j in zip(scores, at, strict=True)})[:k]
         out += [(int(query_ids[i]), vec, -s) for s, vec in rows]
-    return out
+    return out, read
+
+
+def _by_length(items: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) by number of components."""
+    by: dict[int, list] = {}
+    for item in items:
+        by.setdefault(len(item["v"]), []).append(item)
+    return {size: (np.array([o["id"] for o in own], np.int64), np.array([o["v"] for o in own], np.int64).reshape(len(own), size)) for size, own in by.items()}
 
 
 def top_k(
@@ -125,43 +153,33 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest inner products of integer vectors.
 
-    Both inputs have ``id_col`` and ``vector_col`` array<long>.
+    Both inputs have ``id_col`` and ``vector_col`` array<long>, under any names.
     """
-    valid = [F.col(id_col).isNotNull(), F.col("v").isNotNull()]
     rows, asks = (
-        d.select(F.col(id_col).cast("long").alias(id_col), F.col(vector_col).alias("v")).where(valid[0] & valid[1]).distinct()
+        d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").distinct()
         for d in (candidates, queries)
     )
     n_rows, n_asks = rows.count(), asks.count()
     n_blocks, n_groups = max(1, -(-n_rows // block_rows)), max(1, -(-n_asks // query_rows))
-    key = F.xxhash64(id_col, "v")
-    blocks = rows.withColumn("block", F.pmod(key, F.lit(n_blocks)).cast("int"))
-    sent = asks.withColumn("part", F.pmod(key, F.lit(n_groups)).cast("int")).select(
-        id_col, "v", "part", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")
-    )
-    packed = blocks.groupBy("block").agg(F.collect_list(F.struct(id_col, "v")).alias("rows"))
-    asked = sent.groupBy("block", "part").agg(F.collect_list(F.struct(id_col, "v")).alias("asks"))
-
-    def matrices(items: list) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        by: dict[int, list] = {}
-        for item in items:
-            by.setdefault(len(item["v"]), []).append(item)
-        for size, own in by.items():
-            yield size, np.array([o[id_col] for o in own], np.int64), np.array([o["v"] for o in own], np.int64).reshape(len(own), size)
+    key, one = F.xxhash64("id", "v"), F.collect_list(F.struct("id", "v")).alias("items")
+    packed = rows.groupBy(F.pmod(key, F.lit(n_blocks)).cast("int").alias("block")).agg(one).select("block", F.lit(-1).alias("part"), "items")
+    groups = asks.groupBy(F.pmod(key, F.lit(n_groups)).cast("int").alias("part")).agg(one)
+    sent = groups.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), "part", "items")
+    stream = packed.unionByName(sent).repartition("block").sortWithinPartitions("block", "part")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, lists = None, {}
         for frame in frames:
-            for have, want in zip(frame["rows"], frame["asks"], strict=True):
-                of = {size: (ids, x) for size, ids, x in matrices(have)}
+            for block, part, items in zip(frame["block"], frame["part"], frame["items"], strict=True):
+                if part < 0:
+                    at, lists = block, {size: SortedLists(ids, x) for size, (ids, x) in _by_length(items).items()}
+                    continue
                 found = []
-                for size, ids, q in matrices(want):
-                    if size in of:
-                        found += block_top_k(*of[size], ids, q, k)
+                for size, (ids, q) in _by_length(items).items():
+                    if block == at and size in lists:
+                        found += block_top_k(lists[size], ids, q, k)[0]
                 yield pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
-    best = asked.join(packed, "block").select("rows", "asks").mapInPandas(run, "query_id long, vec_id long, score long")
-    order = F.struct((F.col("score").try_cast("decimal(20,0)") * -1).alias("s"), "vec_id", "score")
-    merged = best.distinct().groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(order)), 1, k).alias("top"))
-    return merged.select("query_id", F.posexplode("top").alias("at", "t")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), "t.vec_id", "t.score"
-    )
+    best = stream.mapInPandas(run, "query_id long, vec_id long, score long").distinct()
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

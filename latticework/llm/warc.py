@@ -14,10 +14,11 @@ reaches. A file is one gzip member of at most ``records_per_archive`` records;
 the reader inflates it in steps and holds one record at a time.
 
 Null payloads count as empty. Among rows of equal payload the smallest id is
-the response, ties go to the smaller url; rows that repeat both are the same
-capture and are all written as responses, so no payload is lost. Null ids sort
-last. Control characters in header values are percent-encoded. Further
-columns are not read; an empty table gives archives without records.
+the response, ties go to the smaller url; of rows that repeat both one is the
+response and the others revisit it, each under a record id of its own, so every
+payload is kept exactly once. Null ids sort last. Control characters in header
+values are percent-encoded. Further columns are not read; an empty table gives
+archives without records.
 """
 
 from __future__ import annotations
@@ -53,29 +54,59 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(page_id, url, payload, payload_digest, payload_bytes, record_id) for one record per row."""
     body = F.coalesce(F.col(body_col), F.lit(""))
     named = F.sha1(F.concat_ws("\n", F.col(id_col).cast("string"), F.col(url_col), F.sha1(F.col("payload"))))
-    parts = [F.substring(named, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
     return (
         pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("payload"))
         .withColumn("payload_digest", base32_sha1(F.col("payload")))
         .withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-        .withColumn("record_id", F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *parts)))
+        .withColumn("record_id", _uuid(named))
     )
 
 
+def _uuid(digest: Column) -> Column:
+    return F.concat(F.lit("urn:uuid:"), F.concat_ws("-", *[F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+
+
+def _repeated(records: DataFrame, captures: DataFrame) -> DataFrame:
+    """``records`` that repeat another one in full: one of each with its payload, the others as headers with ids of their own.
+
+    ``captures`` holds the record ids in question. Copies are counted by input
+    partition and dealt out again from these counts, so no task meets more copies
+    of one record than a partition of the input holds.
+    """
+    again = records.join(captures, "record_id", "left_semi")
+    one = again.groupBy(*[c for c in records.columns if c != "payload"]).agg(F.first("payload").alias("payload"))
+    headers = records.drop("payload").withColumn("part", F.spark_partition_id()).join(captures, "record_id", "left_semi")
+    by_part = materialize(headers.groupBy(*headers.columns).agg(F.count("*").alias("copies")), "warc-copies")
+    first = by_part.groupBy(F.col("record_id").alias("kept")).agg(F.min("part").alias("least"))
+    spare = by_part.join(first, by_part["record_id"] == first["kept"]).withColumn("copies", F.col("copies") - (F.col("part") == F.col("least")).cast("long"))
+    dealt = spare.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    named = dealt.withColumn("record_id", _uuid(F.sha1(F.concat_ws("/", F.col("kept"), F.col("part").cast("string"), F.col("copy").cast("string")))))
+    others = named.select(*[F.lit(None).cast("string").alias(c) if c == "payload" else F.col(c) for c in records.columns])
+    return one.select(*records.columns).unionByName(others)
+
+
 def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``records`` with record_type, and for revisits refers_to, refers_to_record and refers_to_url."""
+    """``records`` with record_type, and for revisits refers_to, refers_to_record and refers_to_url.
+
+    Payloads of less than ``min_bytes`` bytes are never looked up: each of their records is a response.
+    """
     header = F.struct(F.col("page_id").isNull().alias("last"), "page_id", F.coalesce("url", F.lit("")).alias("at"), "record_id", "url")
+    large = F.col("payload_bytes") >= min_bytes
+    captures = records.where(large).groupBy("payload_digest", "record_id").agg(F.min(header).alias("first"), F.count("*").alias("copies"))
     originals = materialize(
-        records.where(F.col("payload_bytes") >= min_bytes)
-        .groupBy("payload_digest")
-        .agg(F.min(header).alias("first"), F.count("*").alias("n"))
-        .where("n > 1")
-        .select("payload_digest", "first"),
+        captures.groupBy("payload_digest")
+        .agg(F.min("first").alias("first"), F.sum("copies").alias("n"), F.max("copies").alias("most"))
+        .where("n > 1"),
         "warc-originals",
     )
+    # rows that repeat in full are rare: they are told apart only where there are some
+    if not originals.where("most > 1").isEmpty():
+        repeated = materialize(captures.where("copies > 1").select("record_id"), "warc-repeated")
+        records = records.join(repeated, "record_id", "left_anti").select(*records.columns).unionByName(_repeated(records, repeated))
+    found = originals.select("payload_digest", "first")
     again = F.col("first").isNotNull() & (F.col("payload_bytes") >= min_bytes) & (F.col("record_id") != F.col("first.record_id"))
     return (
-        records.join(originals, "payload_digest", "left")
+        records.join(found, "payload_digest", "left")
         .withColumn("record_type", F.when(again, "revisit").otherwise("response"))
         .withColumn("refers_to", F.when(again, F.col("first.page_id")))
         .withColumn("refers_to_record", F.when(again, F.col("first.record_id")))

@@ -42,7 +42,7 @@ def test_wide_numbers_are_exact() -> None:
     for scale in (10**3, 10**7, 10**15):
         x = np.array([[rng.randrange(-scale, scale) for _ in range(5)] for _ in range(60)], np.int64)
         ids = np.arange(60)
-        got = topk.block_top_k(ids, x, ids[:4], x[:4], 5)
+        got = topk.block_top_k(topk.SortedLists(ids, x), ids[:4], x[:4], 5)[0]
         for q in range(4):
             want = sorted((-min(max(sum(int(a) * int(b) for a, b in zip(x[q], x[j], strict=True)), -topk.LONG - 1), topk.LONG), j) for j in range(60) if j != q)[:5]
             assert [(s, j) for i, j, s in got if i == q] == [(-s, j) for s, j in want]
@@ -50,5 +50,40 @@ def test_wide_numbers_are_exact() -> None:
 
 def test_ties_go_to_the_smaller_id() -> None:
     x = np.ones((200, 4), np.int64)
-    got = topk.block_top_k(np.arange(200)[::-1].copy(), x, np.array([0]), x[:1], 5)
+    got = topk.block_top_k(topk.SortedLists(np.arange(200)[::-1].copy(), x), np.array([0]), x[:1], 5)[0]
     assert [j for _, j, _ in got] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("scale", [40, 10**6, 10**12])
+def test_bounds_keep_the_best_of_any_vectors(scale: int) -> None:
+    rng = np.random.default_rng(scale)
+    for n, d in ((1, 3), (7, 1), (90, 4), (400, 16)):
+        x = np.rint(rng.normal(size=(n, d)) * scale * (rng.random((n, d)) < 0.7)).astype(np.int64)
+        ids = rng.integers(0, n, n)  # some stand more than once
+        q, names = np.rint(rng.normal(size=(6, d)) * scale).astype(np.int64), rng.integers(0, n, 6)
+        got, read = topk.block_top_k(topk.SortedLists(ids, x), names, q, 5)
+        want = []
+        for i, w in zip(names.tolist(), q.tolist(), strict=True):
+            scores = {(-min(max(sum(a * b for a, b in zip(w, v, strict=True)), -topk.LONG - 1), topk.LONG), int(j)) for v, j in zip(x.tolist(), ids.tolist(), strict=True) if j != i}
+            want += [(i, j, -s) for s, j in sorted(scores)[:5]]
+        assert got == want and ((read > 0) & (read <= 1)).all()
+
+
+def test_reading_stops_early_where_bounds_close() -> None:
+    rng = np.random.default_rng(3)
+    # each vector has one large component: its own list tells soon who is near
+    x = rng.integers(0, 3, (2000, 24))
+    x[np.arange(2000), rng.integers(0, 24, 2000)] += rng.integers(200, 256, 2000)
+    q = np.zeros((10, 24), np.int64)
+    q[np.arange(10), np.arange(10)] = 250
+    _, read = topk.block_top_k(topk.SortedLists(np.arange(2000), x), np.arange(5000, 5010), q, 5)
+    assert (read <= 2 / topk.STEPS).all()
+    dense = rng.integers(-128, 128, (2000, 24))
+    _, all_read = topk.block_top_k(topk.SortedLists(np.arange(2000), dense), np.arange(5000, 5010), dense[:10], 5)
+    assert read.mean() < all_read.mean() < 1
+
+
+def test_columns_may_have_any_names(spark: SparkSession) -> None:
+    df = spark.createDataFrame([(0, [1, 2], "a"), (50, [3, 4], "b"), (7, [5, 6], "c")], "v long, id array<long>, block string")
+    got = topk.top_k(df, df.where("v % 50 = 0"), "v", "id", 1)
+    assert {tuple(r) for r in got.collect()} == {(0, 1, 7, 17), (50, 1, 7, 39)}

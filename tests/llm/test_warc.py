@@ -43,10 +43,18 @@ def test_small_payloads_may_all_be_responses(spark: SparkSession) -> None:
     assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
 
 
-def test_repeated_capture_is_not_lost(spark: SparkSession, tmp_path: Path) -> None:
-    pages = spark.createDataFrame([(1, "a", "t")] * 2 + [(2, "a", "t")], "page_id long, url string, html string")
+def test_rows_that_repeat_in_full_keep_one_payload(spark: SparkSession, tmp_path: Path) -> None:
+    rows = [(7, "u", "p")] * 9 + [(9, "v", "p"), (9, "v", "p"), (8, "x", "q"), (None, None, None), (None, None, None), (3, "only", "once")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     warc.write_archives(warc.resolve_revisits(warc.page_records(pages)), str(tmp_path / "w"))
-    assert sorted(r["record_type"] for r in warc.read_archives(spark, str(tmp_path / "w")).collect()) == ["response", "response", "revisit"]
+    got = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in got) == sorted(
+        [(7, "response", 0), *[(7, "revisit", 7)] * 8, *[(9, "revisit", 7)] * 2, (8, "response", 0), (0, "response", 0), (0, "revisit", 0), (3, "response", 0)]
+    )
+    assert len({r["record_id"] for r in got}) == len(rows)
+    kept = {r["record_id"]: r for r in got if r["record_type"] == "response"}
+    assert len({r["payload_digest"] for r in kept.values()}) == len(kept)
+    assert all(kept[r["refers_to_record"]]["payload_digest"] == r["payload_digest"] for r in got if r["record_type"] == "revisit")
 
 
 def test_archives_can_be_deduplicated_again(spark: SparkSession, tmp_path: Path) -> None:
