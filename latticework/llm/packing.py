@@ -7,11 +7,15 @@ documents longer than a sequence. ``pack`` puts the pieces into sequences:
 2. All others are dealt to shards of about ``shard_items`` by a hash of their
    row number, so shards are alike and their size does not follow any key.
 3. Each shard is evolved on several islands, rows of a (shard, island) table.
-   A solution is a list of whole bins. Crossover injects well-filled bins of one
-   parent into the other, removes the bins that hold duplicates, and best-fits
-   the displaced pieces, longest first. After each epoch every island sends its
-   elite to the next one, a join of the table with itself. A shard that meets the
-   lower bound ceil(total / capacity) stops at once.
+   A solution is a list of whole bins. An island begins with best-fit packings of
+   its own noisy orders, the first island also with the one by falling length.
+   Crossover injects well-filled bins of one parent into the other, removes the
+   bins that hold duplicates, and best-fits the displaced pieces, longest first.
+   After each epoch every island sends its elite to the next one, a join of the
+   table with itself. An epoch ends with the generation whose best solution meets
+   the lower bound ceil(total / capacity), after one generation at least. The
+   best solution of all islands counts; how many bins, generations and migrations
+   its shard had is told beside it.
 4. The least filled bin of each shard is opened again and its pieces are packed
    at the next level, until a level has a single shard, so the loss against one
    global packing is below one bin.
@@ -195,14 +199,14 @@ def bins_of(assignment: list[int], lengths: list[int]) -> Bins:
 
 
 def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.Random) -> Bins:
-    """Whole well-filled bins of ``b`` enter ``a``; bins of ``a`` with duplicates go; the displaced are best-fitted."""
-    floor = sorted(b.fill)[len(b.fill) // 3]
-    injected = [i for i, f in enumerate(b.fill) if f >= floor and rng.random() < 0.3]
+    """The fullest bins of ``b``, up to half of them, enter ``a``; bins of ``a`` with duplicates and its worst go; the displaced are best-fitted."""
+    by_fill = sorted(range(len(b.fill)), key=lambda i: (-b.fill[i], rng.random()))
+    injected = by_fill[: rng.randint(1, max(1, len(by_fill) // 2))]
     inside = {item for i in injected for item in b.items[i]}
+    worst = set(sorted(range(len(a.fill)), key=lambda i: (a.fill[i], rng.random()))[: rng.randint(1, 3)])
     child, displaced = Bins(), []
-    worst = min(range(len(a.fill)), key=a.fill.__getitem__)
     for number, items in enumerate(a.items):
-        if number == worst or not inside.isdisjoint(items):
+        if number in worst or not inside.isdisjoint(items):
             displaced += [x for x in items if x not in inside]
         else:
             child.items.append(list(items))
@@ -216,33 +220,34 @@ def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.R
 
 
 def evolve(
-    lengths: list[int], capacity: int, population: list[list[int]], rng: random.Random, size: int = 6, generations: int = 10
-) -> list[Bins]:
-    """One epoch on one island: the population after it, best first. Item numbers are in order of falling length."""
+    lengths: list[int], capacity: int, population: list[list[int]], rng: random.Random, size: int = 8, generations: int = 20, falling: bool = False
+) -> tuple[list[Bins], int]:
+    """One epoch on one island: the population after it, best first, and its number of generations.
+
+    Item numbers are in order of falling length; a first epoch of an island that is ``falling`` has the best-fit packing of that order.
+    """
     least = -(-sum(lengths) // capacity)
     alive = [bins_of(p, lengths) for p in population]
-    if not alive:
-        first = Bins()
-        first.best_fit(list(range(len(lengths))), lengths, capacity)
-        alive.append(first)
-    alive.sort(key=Bins.quality, reverse=True)
-    if len(alive[0].fill) <= least:
-        return alive
+    if not alive and falling:
+        alive.append(Bins())
+        alive[0].best_fit(list(range(len(lengths))), lengths, capacity)
     while len(alive) < size:
-        noisy = sorted(range(len(lengths)), key=lambda i: -lengths[i] * rng.uniform(0.7, 1))
+        noisy = sorted(range(len(lengths)), key=lambda i: -lengths[i] * rng.uniform(0.5, 1))
         other = Bins()
         other.best_fit(noisy, lengths, capacity)
         alive.append(other)
-    for _ in range(generations):
+    alive.sort(key=Bins.quality, reverse=True)
+    number = 0
+    for number in range(1, generations + 1):
         a, b = sorted(rng.sample(range(len(alive)), 2))
         children = [crossover(alive[a], alive[b], lengths, capacity, rng), crossover(alive[b], alive[a], lengths, capacity, rng)]
         alive = sorted([*alive, *children], key=Bins.quality, reverse=True)[:size]
         if len(alive[0].fill) <= least:
             break
-    return alive
+    return alive, number
 
 
-_STATE = "shard long, island int, lengths array<int>, uids array<long>, population array<array<int>>, bins int, squares long"
+_STATE = "shard long, island int, lengths array<int>, uids array<long>, population array<array<int>>, bins int, squares long, generations int, migrations int"
 
 
 def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
@@ -252,11 +257,11 @@ def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
             for row in frame.itertuples(index=False):
                 lengths = list(map(int, row.lengths))
                 rng = random.Random(f"{row.shard}/{row.island}/{epoch}")
-                alive = evolve(lengths, capacity, [list(map(int, p)) for p in row.population], rng)
+                alive, number = evolve(lengths, capacity, [list(map(int, p)) for p in row.population], rng, falling=row.island == 0)
                 best = [b.assignment(len(lengths)) for b in alive]
                 bins, squares = alive[0].quality()
-                rows.append((row.shard, row.island, row.lengths, row.uids, best, -bins, squares))
-            yield pd.DataFrame(rows, columns=["shard", "island", "lengths", "uids", "population", "bins", "squares"])
+                rows.append((row.shard, row.island, row.lengths, row.uids, best, -bins, squares, row.generations + number, row.migrations))
+            yield pd.DataFrame(rows, columns=["shard", "island", "lengths", "uids", "population", "bins", "squares", "generations", "migrations"])
 
     return state.mapInPandas(run, _STATE)
 
@@ -265,11 +270,11 @@ def _migrate(state: DataFrame, islands: int) -> DataFrame:
     """Each island with the elite of the one before it."""
     sent = state.select("shard", ((F.col("island") + 1) % islands).alias("island"), F.slice("population", 1, 1).alias("elite"))
     joined = state.join(sent, ["shard", "island"])
-    return joined.withColumn("population", F.concat("elite", "population")).drop("elite", "bins", "squares")
+    return joined.withColumn("population", F.concat("elite", "population")).withColumn("migrations", F.col("migrations") + 1).drop("elite", "bins", "squares")
 
 
 def _pack_level(items: DataFrame, capacity: int, level: int, shards: int, islands: int, epochs: int) -> DataFrame:
-    """(uid, length, shard, bin, offset, tail) of all items; ``tail`` marks the least filled bin of each shard."""
+    """(uid, length, shard, bin, offset, tail) and the shard's bins, generations and migrations; ``tail`` marks the least filled bin of each shard."""
     one = F.struct((-F.col("length")).cast("int").alias("n"), "uid")
     packed = (
         items.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(shards)))
@@ -278,11 +283,14 @@ def _pack_level(items: DataFrame, capacity: int, level: int, shards: int, island
         .select("shard", F.transform("of", lambda x: -x["n"]).alias("lengths"), F.col("of.uid").alias("uids"))
     )
     start = packed.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", "uids")
-    state = materialize(_epoch(start.withColumn("population", F.array().cast("array<array<int>>")), capacity, 0), "pack-epoch")
+    none = {"population": F.array().cast("array<array<int>>"), "generations": F.lit(0), "migrations": F.lit(0)}
+    state = materialize(_epoch(start.withColumns(none), capacity, 0), "pack-epoch")
     for epoch in range(1, epochs):
         state = materialize(_epoch(_migrate(state, islands), capacity, epoch), "pack-epoch")
     best = state.groupBy("shard").agg(
-        F.min_by(F.struct("lengths", "uids", F.get("population", 0).alias("assigned")), F.struct("bins", -F.col("squares"), "island")).alias("b")
+        F.min_by(F.struct("lengths", "uids", F.get("population", 0).alias("assigned"), "bins"), F.struct("bins", -F.col("squares"), "island")).alias("b"),
+        F.sum("generations").cast("int").alias("generations"),
+        F.sum("migrations").cast("int").alias("migrations"),
     )
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -295,17 +303,23 @@ def _pack_level(items: DataFrame, capacity: int, level: int, shards: int, island
                 for number, members in enumerate(made.items):
                     offset = 0
                     for item in members:
-                        rows.append((int(row.uids[item]), lengths[item], row.shard, number, offset, number == tail))
+                        rows.append((int(row.uids[item]), lengths[item], row.shard, number, offset, number == tail, row.bins, row.generations, row.migrations))
                         offset += lengths[item]
-                yield pd.DataFrame(rows, columns=["uid", "length", "shard", "bin", "offset", "tail"])
+                yield pd.DataFrame(rows, columns=["uid", "length", "shard", "bin", "offset", "tail", "bins", "generations", "migrations"])
 
-    flat = best.select("shard", "b.lengths", "b.uids", "b.assigned")
-    return flat.mapInPandas(place, "uid long, length long, shard long, bin int, offset long, tail boolean")
+    flat = best.select("shard", "b.lengths", "b.uids", "b.assigned", "b.bins", "generations", "migrations")
+    return flat.mapInPandas(place, "uid long, length long, shard long, bin int, offset long, tail boolean, bins int, generations int, migrations int")
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, shard_items: int = 2000, islands: int = 2, epochs: int = 2) -> DataFrame:
-    """``pieces`` with sequence_id and offset; ``pieces`` has uid long (unique) and length long, 1 to ``capacity``."""
-    full = pieces.where(F.col("length") == capacity).select("uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+def pack(pieces: DataFrame, capacity: int = 4096, shard_items: int = 2000, islands: int = 3, epochs: int = 3) -> DataFrame:
+    """``pieces`` with sequence_id and offset, and bins, generations and migrations of the shard that was evolved (null where a piece fills a sequence).
+
+    ``pieces`` has uid long (unique) and length long, 1 to ``capacity``.
+    """
+    told = ["bins", "generations", "migrations"]
+    full = pieces.where(F.col("length") == capacity).select(
+        "uid", (-F.col("uid") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *[F.lit(None).cast("int").alias(c) for c in told]
+    )
     done = [full]
     items = pieces.where(F.col("length") < capacity).select("uid", F.col("length").cast("int").alias("length"))
     level = 0
@@ -314,7 +328,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, shard_items: int = 2000, islan
         placed = materialize(_pack_level(items, capacity, level, shards, islands, epochs), "pack-level")
         number = F.lit(level).cast("long") * (1 << 56) + F.col("shard") * (1 << 20) + F.col("bin")
         kept = placed if shards == 1 else placed.where("NOT tail")
-        done.append(kept.select("uid", number.alias("sequence_id"), "offset"))
+        done.append(kept.select("uid", number.alias("sequence_id"), "offset", *told))
         if shards == 1:
             break
         items = placed.where("tail").select("uid", F.col("length").cast("int").alias("length"))
@@ -326,6 +340,6 @@ def pack(pieces: DataFrame, capacity: int = 4096, shard_items: int = 2000, islan
 
 
 def pack_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, **how: int) -> DataFrame:
-    """(id_col, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document."""
+    """(id_col, piece, start, length, ids_crc32, sequence_id, offset, bins, generations, migrations) of every piece of every document."""
     cut = token_pieces(docs, path, id_col, text_col, capacity).withColumn("uid", F.monotonically_increasing_id())
     return pack(materialize(cut, "pack-pieces"), capacity, **how).drop("uid")

@@ -70,7 +70,7 @@ def test_levels_leave_no_shard_remainders(spark: SparkSession) -> None:
 def test_crossover_keeps_every_item_once() -> None:
     rng = random.Random(3)
     lengths = sorted((rng.randrange(1, 70) for _ in range(200)), reverse=True)
-    alive = packing.evolve(lengths, 100, [], rng, size=4, generations=0)
+    alive, _ = packing.evolve(lengths, 100, [], rng, size=4, generations=0)
     for _ in range(20):
         child = packing.crossover(rng.choice(alive), rng.choice(alive), lengths, 100, rng)
         assert sorted(x for items in child.items for x in items) == list(range(200))
@@ -82,5 +82,21 @@ def test_evolution_improves_on_best_fit() -> None:
     lengths = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6, 5, 5, 5, 5]
     start = packing.Bins()
     start.best_fit(list(range(len(lengths))), lengths, 100)
-    found = packing.evolve(lengths, 100, [], random.Random(0), size=8, generations=200)
-    assert found[0].quality() >= start.quality() and len(found[0].fill) == 2
+    found, number = packing.evolve(lengths, 100, [], random.Random(0), size=8, generations=200, falling=True)
+    assert found[0].quality() >= start.quality() and len(found[0].fill) == 2 and number >= 1
+
+
+def test_islands_beat_best_fit(spark: SparkSession) -> None:
+    for seed in (15, 59, 185):
+        rng, lengths = random.Random(seed), []
+        for _ in range(12):  # a dozen full bins, each cut in three
+            a = rng.randrange(20, 50)
+            b = rng.randrange(20, 85 - a)
+            lengths += [a, b, 100 - a - b]
+        lengths.sort(reverse=True)
+        alone = packing.Bins()
+        alone.best_fit(list(range(len(lengths))), lengths, 100)
+        got = packing.pack(spark.createDataFrame(list(enumerate(lengths)), "uid long, length long"), 100).collect()
+        assert (len(alone.fill), checked(got, 100)) == (13, 12)
+        # three islands pass on their elite twice, and each of their epochs had a crossover
+        assert {r["migrations"] for r in got} == {6} and all(r["generations"] >= 9 and r["bins"] == 12 for r in got)

@@ -92,6 +92,7 @@ def test_packing(spark: SparkSession, documents: dict[int, str]) -> None:
         own.sort()
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096
     assert len(sequences) <= -(-total // 4096) + 1
+    assert all(r["generations"] >= 9 and r["migrations"] == 6 for r in got if r["length"] < 4096)
 
 
 @pytest.mark.parametrize(("name", "cut"), [("op6_rule_ensemble", 0.5), ("op9_nearest_toxic", 0.7)])
