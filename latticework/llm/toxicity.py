@@ -7,10 +7,15 @@ Model (driver; bounded by ``max_examples`` labelled texts per class):
   none is selected by class or dropped. A word that the sample lacks is a
   dimension of its own with the weight of a frequency of one, shared with no
   example. A vector is sublinear TF times IDF, of length one.
-* Examples lie in a block-max inverted index: a term's postings are cut at block
-  borders of ``BLOCK`` examples, each cut with its largest weight. For a query the
-  block maxima bound every score of a block; blocks are opened best bound first
-  until no bound reaches the k-th best cosine, so the k nearest are exact.
+* Examples lie in a block-max inverted index of blocks of ``BLOCK`` examples. A
+  rare term adds its postings to a query's sums; a term that one example in
+  ``COMMON`` holds has its postings as a row of numbers, and its largest weight in
+  each block. What the rare terms gave and the block maxima of the common ones bound
+  every cosine of a block. Blocks are opened best bound first, for all queries of a
+  batch that they can still matter to, and no more once no bound reaches a query's
+  k-th best cosine, so the k nearest are exact.
+* A word is known by its 64-bit hash; among a million words two share one with odds
+  of three in 10**8.
 * A vote is the cosine-weighted share of toxic neighbours, shrunk towards the base
   rate. A text asks for the neighbours of itself as a whole (``k``), and of its
   shortest passages, its single words (``word_k``): one toxic word in a long clean
@@ -35,11 +40,12 @@ from __future__ import annotations
 import math
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,20 +55,26 @@ from latticework.llm.labelled import held_out, training_labels
 from latticework.llm.scratch import materialize
 
 BLOCK = 64
+COMMON = 16
+QUERIES = 64
 TOP = 5
+Vector = tuple[np.ndarray, np.ndarray]
+"""Terms, and their weights."""
+
 _OUTER = string.punctuation + "¡¿«»“”„…"
 
 
 def terms(text: str) -> Counter:
     """Counts of a text's words."""
-    found: Counter = Counter()
-    for run, n in Counter(text.lower().split()).items():
-        word = run.strip(_OUTER)
-        if word:
-            found[word] += n
+    found = Counter([run.strip(_OUTER) for run in text.lower().split()])
+    found.pop("", None)
     return found
 
 
+def hashes(words: Iterable[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(word) for word in words], np.uint64)
+
+
 def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The numbers of all half-open ranges, one after the other."""
     sizes = ends - starts
@@ -70,71 +82,82 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
 
 
-@dataclass
 class Index:
     """Block-max inverted index of unit vectors.
 
-    Postings ``rows`` and ``weights`` lie in order of term and row. Entry i is the
-    part of a term's postings in one ``block``, from ``begins[i]`` to ``begins[i + 1]``,
-    with its largest weight; a term's entries are ``first[term]`` to ``first[term + 1]``.
+    Postings ``rows`` and ``weights`` lie in order of term and row, those of a term from
+    ``first[term]`` to ``first[term + 1]``. The rows of numbers of the common terms, and their
+    largest weights by block, are made from these where the index is used.
     """
 
-    n: int
-    rows: np.ndarray
-    weights: np.ndarray
-    begins: np.ndarray
-    block: np.ndarray
-    largest: np.ndarray
-    first: np.ndarray
+    def __init__(self, n: int, rows: np.ndarray, weights: np.ndarray, first: np.ndarray):
+        self.n, self.rows, self.weights, self.first = n, rows, weights, first
+        self.at = np.full(len(first) - 1, -1, np.int32)  # a common term's row of numbers
+        common = np.flatnonzero(np.diff(first) * COMMON > max(n, COMMON))
+        self.at[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), -(-n // BLOCK) * BLOCK))
+        for at, term in enumerate(common.tolist()):
+            own = self.postings(term)
+            self.dense[at, rows[own]] = weights[own]
+        self.largest = self.dense.reshape(len(common), -1, BLOCK).max(2, initial=0)
+
+    def __reduce__(self) -> tuple:
+        return Index, (self.n, self.rows, self.weights, self.first)
 
     @classmethod
-    def build(cls, vectors: list[dict[int, float]], n_terms: int) -> Index:
-        sizes = [len(v) for v in vectors]
-        term = np.fromiter((t for v in vectors for t in v), np.int64, sum(sizes))
-        weights = np.fromiter((w for v in vectors for w in v.values()), float, sum(sizes))
-        rows = np.repeat(np.arange(len(vectors)), sizes)
+    def build(cls, vectors: list[Vector], n_terms: int) -> Index:
+        term, weights = np.concatenate([t for t, _ in vectors]), np.concatenate([w for _, w in vectors])
+        rows = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors])
         order = np.lexsort((rows, term))
-        term, rows, weights = term[order], rows[order], weights[order]
-        blocks = rows // BLOCK
-        cut = np.ones(len(term), bool)
-        cut[1:] = (term[1:] != term[:-1]) | (blocks[1:] != blocks[:-1])
-        begins = np.flatnonzero(cut)
-        largest = np.maximum.reduceat(weights, begins) if len(begins) else weights
-        first = np.searchsorted(term[begins], np.arange(n_terms + 1))
-        return cls(len(vectors), rows.astype(np.int32), weights, np.append(begins, len(term)), blocks[begins].astype(np.int32), largest, first)
+        return cls(len(vectors), rows[order].astype(np.int32), weights[order], np.searchsorted(term[order], np.arange(n_terms + 1)))
 
     def postings(self, term: int) -> slice:
-        return slice(self.begins[self.first[term]], self.begins[self.first[term + 1]])
-
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """(cosine, row) of the k best rows with a positive cosine, ties to the smaller row; ``skip`` is left out."""
-        if not query or not self.n:
-            return []
-        terms, weights = np.fromiter(query, np.int64, len(query)), np.fromiter(query.values(), float, len(query))
-        low, high = self.first[terms], self.first[terms + 1]
-        entries, factor = _ranges(low, high), np.repeat(weights, high - low)
-        blocks = self.block[entries]
-        bounds = np.bincount(blocks, factor * self.largest[entries], -(-self.n // BLOCK))
-        order = np.argsort(-bounds, kind="stable")
-        order = order[bounds[order] > 0]
-        sums, opened, batch, reached = np.zeros(self.n), 0, 4, 0.0
-        while opened < len(order) and bounds[order[opened]] * (1 + 1e-12) >= reached:
-            # the next blocks, best bound first; three times as many each time
-            inside = np.zeros(len(bounds), bool)
-            inside[order[opened : opened + batch]] = True
-            at = inside[blocks]
-            begin, end = self.begins[entries[at]], self.begins[entries[at] + 1]
-            where = _ranges(begin, end)
-            sums += np.bincount(self.rows[where], np.repeat(factor[at], end - begin) * self.weights[where], self.n)
-            opened, batch = opened + batch, 3 * batch
-            if skip >= 0:
-                sums[skip] = 0
-            if self.n > k:
-                reached = np.partition(sums, self.n - k)[self.n - k]
-        rows = np.flatnonzero(sums >= max(reached * (1 - 1e-12), 1e-300))
-        best = sorted((-round(float(sums[r]), 12), int(r)) for r in rows)[:k]
-        return [(-s, r) for s, r in best]
-
+        return slice(self.first[term], self.first[term + 1])
+
+    def _sums(self, queries: list[Vector]) -> tuple[np.ndarray, np.ndarray]:
+        """Per query the sums over rare terms, and the weights of the common ones."""
+        m, width = len(queries), self.dense.shape[1]
+        number = np.repeat(np.arange(m), [len(t) for t, _ in queries])
+        terms, weights = np.concatenate([t for t, _ in queries]), np.concatenate([w for _, w in queries])
+        row = self.at[terms]
+        asked = np.zeros((m, len(self.dense)))
+        asked[number[row >= 0], row[row >= 0]] = weights[row >= 0]
+        number, terms, weights = number[row < 0], terms[row < 0], weights[row < 0]
+        begin, end = self.first[terms], self.first[terms + 1]
+        where, size = _ranges(begin, end), end - begin
+        place = np.repeat(number * width, size) + self.rows[where]
+        return np.bincount(place, np.repeat(weights, size) * self.weights[where], m * width).reshape(m, width), asked
+
+    def nearest_of(self, queries: list[Vector], k: int, skip: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """Per query the (cosine, row) of its k best rows with a positive cosine, ties to the smaller row; row ``skip[i]`` is left out."""
+        if not queries or not self.n:
+            return [[] for _ in queries]
+        sums, asked = self._sums(queries)
+        m, blocks = len(queries), sums.shape[1] // BLOCK
+        bounds = sums.reshape(m, blocks, BLOCK).max(2) + asked @ self.largest.reshape(-1, blocks)
+        best, opened = np.zeros((m, k)), np.zeros(sums.shape, bool)
+        for b in np.argsort(-bounds.max(0), kind="stable").tolist():
+            need = np.flatnonzero((bounds[:, b] > 0) & (bounds[:, b] * (1 + 1e-12) >= best[:, 0]))
+            if not len(need):
+                continue
+            inside = slice(b * BLOCK, (b + 1) * BLOCK)
+            found = sums[need, inside] + asked[need] @ self.dense[:, inside]
+            if skip is not None:
+                for i, q in enumerate(need.tolist()):
+                    if inside.start <= skip[q] < inside.stop:
+                        found[i, skip[q] - inside.start] = 0
+            sums[need, inside], opened[need, inside] = found, True
+            both = np.concatenate([best[need], found], 1)
+            both.partition(BLOCK, 1)
+            best[need] = both[:, BLOCK:]
+            best[need, 0] = both[:, BLOCK]
+        sums[~opened] = 0
+        out = []
+        for own, reached in zip(sums, best[:, 0], strict=True):
+            rows = np.flatnonzero(own >= max(reached * (1 - 1e-12), 1e-300))
+            ranked = sorted((-round(float(own[r]), 12), int(r)) for r in rows)[:k]
+            out.append([(-s, r) for s, r in ranked])
+        return out
 
 def _odds(share: float) -> float:
     return math.log((share + 0.01) / (1.01 - share))
@@ -142,7 +165,7 @@ def _odds(share: float) -> float:
 
 @dataclass
 class Model:
-    vocabulary: dict[str, int] = field(default_factory=dict)
+    words: np.ndarray | None = None  # hashes of the vocabulary in order; a word's number is its place
     idf: np.ndarray | None = None
     index: Index | None = None
     ids: list[int] = field(default_factory=list)
@@ -154,18 +177,18 @@ class Model:
     word_k: int = 30
     shrink: float = 0.3
 
-    def vector(self, counts: Counter) -> dict[int, float]:
-        """Unit TF-IDF vector of word counts; words outside the vocabulary only lengthen it."""
-        known, raw, outside = self.vocabulary.get, {}, 0.0
-        rarest = math.log(max(2, len(self.ids)))
-        for word, n in counts.items():
-            at, tf = known(word), 1 + math.log(n)
-            if at is None:
-                outside += (tf * rarest) ** 2
-            elif self.idf[at] > 0:
-                raw[at] = tf * self.idf[at]
-        norm = math.sqrt(sum(w * w for w in raw.values()) + outside)
-        return {t: w / norm for t, w in raw.items()}
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 where the sample lacks a word."""
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, -1)
+
+    def vector(self, numbers: np.ndarray, counts: np.ndarray) -> Vector:
+        """Terms and weights of a unit TF-IDF vector; words outside the vocabulary only lengthen it."""
+        tf = 1 + np.log(counts)
+        weights = tf * np.where(numbers >= 0, self.idf[numbers], math.log(max(2, len(self.ids))))
+        norm = math.sqrt(float(weights @ weights))
+        used = (numbers >= 0) & (weights > 0)
+        return numbers[used], weights[used] / norm if norm else weights[used]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The toxic share of the cosine-weighted votes, shrunk towards the base rate."""
@@ -181,23 +204,28 @@ class Model:
         margin = sum(w * v for w, v in zip(self.curve, votes, strict=True))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, margin))))
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]], list[tuple[str, int]]]:
-        """Calibrated score, and its evidence: (cosine, row) neighbours of the whole text, and the most toxic words with their numbers."""
-        counts = terms(text)
-        if not counts or not self.index or not self.curve:
-            return self.base, [], []
-        known = [(w, self.vocabulary[w]) for w in counts if w in self.vocabulary]
-        votes = self.word_votes[[at for _, at in known]]
-        near = self.index.nearest(self.vector(counts), self.k)
-        best = [known[i] for i in np.argsort(-votes, kind="stable")[:TOP]]
-        return self.calibrated(self.votes(votes, near, len(counts))), near, best
+    def scores(self, texts: list[str]) -> list[tuple[float, list[tuple[float, int]], list[tuple[str, int]]]]:
+        """Per text its calibrated score and the evidence: (cosine, row) neighbours of the whole text, and the most toxic words with their numbers."""
+        if not self.curve:
+            return [(self.base, [], [])] * len(texts)
+        out = []
+        for at in range(0, len(texts), QUERIES):
+            counted = [terms(text) for text in texts[at : at + QUERIES]]
+            numbered = [self.numbers(hashes(counts)) for counts in counted]
+            near_of = self.index.nearest_of([self.vector(own, np.fromiter(counts.values(), float, len(counts))) for own, counts in zip(numbered, counted, strict=True)], self.k)
+            for counts, numbers, near in zip(counted, numbered, near_of, strict=True):
+                known = np.flatnonzero(numbers >= 0)
+                votes = self.word_votes[numbers[known]]
+                words = list(counts)
+                best = [(words[known[i]], int(numbers[known[i]])) for i in np.argsort(-votes, kind="stable")[:TOP]]
+                out.append((self.calibrated(self.votes(votes, near, len(counts))) if counts else self.base, near, best))
+        return out
 
 
 def _word_votes(model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The vote of each word's nearest examples, and for each posting that vote without the posting's own example."""
     index, k = model.index, model.word_k
-    n_terms = len(model.vocabulary)
-    per_term = np.diff(index.begins[index.first])
+    n_terms, per_term = len(model.words), np.diff(index.first)
     term = np.repeat(np.arange(n_terms), per_term)
     # a word's neighbours in order: falling cosine, which is the weight there, ties to the smaller row
     order = np.lexsort((index.rows, -index.weights, term))
@@ -242,27 +270,31 @@ def _fit_curve(votes: np.ndarray, y: np.ndarray, base: float, steps: int = 100)
     return tuple(map(float, w))
 
 
-def build_model(examples: list[tuple[int, float, dict[str, int]]], base: float) -> Model:
-    """A model of (id, label, counts by word) examples."""
-    alike: dict[tuple, list[tuple[int, float]]] = {}
-    for i, y, counts in examples:
-        alike.setdefault(tuple(sorted(counts.items())), []).append((i, y))
-    one = [(min(i for i, _ in own), sum(y for _, y in own) / len(own), Counter(dict(words))) for words, own in alike.items()]
-    df = Counter(word for _, _, counts in one for word in counts)
-    vocabulary = {word: at for at, word in enumerate(sorted(df))}
-    model = Model(vocabulary, np.log(len(one) / np.array([df[w] for w in vocabulary], float)), base=base, ids=[i for i, _, _ in one])
-    vectors = [(model.vector(counts), i, y, counts) for i, y, counts in one]
-    # alike examples side by side make tight block bounds
-    vectors.sort(key=lambda v: (max(v[0], key=lambda t: (v[0][t], -t), default=-1), v[1]))
-    model.ids, model.toxic = [v[1] for v in vectors], np.array([v[2] for v in vectors])
-    model.index = Index.build([v[0] for v in vectors], len(vocabulary))
-    if not vocabulary:
+def build_model(examples: list[tuple[int, float, np.ndarray, np.ndarray]], base: float) -> Model:
+    """A model of (id, label, hashes of the words in order, their counts) examples."""
+    alike: dict[tuple[bytes, bytes], list[tuple]] = {}
+    for example in examples:
+        alike.setdefault((example[2].tobytes(), example[3].tobytes()), []).append(example)
+    one = [(min(e[0] for e in own), sum(e[1] for e in own) / len(own), *own[0][2:]) for own in alike.values()]
+    model = Model(base=base, ids=[e[0] for e in one])
+    model.words, df = np.unique(np.concatenate([e[2] for e in one]), return_counts=True)
+    if not len(df):
         return model
+    model.idf = np.log(len(one) / df)
+    made = [(*model.vector(model.numbers(words), counts), i, y, len(words)) for i, y, words, counts in one]
+    # alike examples side by side make tight block bounds
+    made.sort(key=lambda v: (int(v[0][np.argmax(v[1])]) if len(v[0]) else -1, v[2]))
+    model.ids, model.toxic = [v[2] for v in made], np.array([v[3] for v in made])
+    model.index = Index.build([v[:2] for v in made], len(df))
     model.word_votes, without = _word_votes(model)
-    by_row: list[list[int]] = [[] for _ in vectors]
-    for at, row in enumerate(model.index.rows.tolist()):
-        by_row[row].append(at)
-    votes = [model.votes(without[by_row[row]], model.index.nearest(v[0], model.k, skip=row), len(v[3])) for row, v in enumerate(vectors)]
+    by_row = np.argsort(model.index.rows, kind="stable")
+    ends = np.cumsum(np.bincount(model.index.rows, minlength=len(made)))
+    votes = []
+    for at in range(0, len(made), QUERIES):
+        near_of = model.index.nearest_of([v[:2] for v in made[at : at + QUERIES]], model.k, list(range(at, min(at + QUERIES, len(made)))))
+        for row, near in enumerate(near_of, at):
+            own = by_row[ends[row - 1] if row else 0 : ends[row]]
+            votes.append(model.votes(without[own], near, made[row][4]))
     model.curve = _fit_curve(np.array(votes), (model.toxic >= 0.5).astype(float), min(max(base, 0.001), 0.999))
     return model
 
@@ -271,19 +303,23 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exam
     """Fit on at most ``max_examples`` labelled documents per class that are not held out."""
     chosen = F.broadcast(training_labels(labels, label_col, max_examples, per_class=True, id_col=id_col))
     found = docs.select(id_col, text_col).join(chosen, id_col).groupBy(id_col, "y").agg(F.min(text_col).alias("t"))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("y", T.DoubleType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.LongType()))])
-    names = schema.names
+    kinds = {"words": T.ArrayType(T.LongType()), "counts": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("y", T.DoubleType()), *[T.StructField(n, t) for n, t in kinds.items()]])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            counts = [terms(t or "") for t in batch.column(2).to_pylist()]
-            words, numbers = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), words, numbers], names=names)
+            words, numbers = [], []
+            for text in batch.column(2).to_pylist():
+                found = terms(text or "")
+                own, order = np.unique(hashes(found), return_index=True)
+                words.append(own.view(np.int64))
+                numbers.append(np.fromiter(found.values(), np.int32, len(found))[order])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.list_(pa.int64())), pa.array(numbers, pa.list_(pa.int32()))], names=schema.names)
 
     sample = materialize(found.mapInArrow(count, schema), "toxic-sample").orderBy(id_col).toArrow()
     examples = [
-        (i.as_py(), y.as_py(), dict(zip(words.as_py(), counts.as_py(), strict=True)))
-        for i, y, words, counts in zip(*[sample.column(c) for c in names], strict=True)
+        (i.as_py(), y.as_py(), words.values.to_numpy().view(np.uint64), counts.values.to_numpy().astype(float))
+        for i, y, words, counts in zip(*[sample.column(c) for c in schema.names], strict=True)
     ]
     if not examples:
         return Model()
@@ -318,8 +354,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         for batch in small_batches(batches):
             scores, proofs = [], []
-            for text in batch.column(1).to_pylist():
-                value, near, words = model.score(text or "")
+            for value, near, words in model.scores([text or "" for text in batch.column(1).to_pylist()]):
                 scores.append(value)
                 proofs.append([e for w, at in words[:evidence] if model.idf[at] > 0 for e in nearest_to(w, at)] + [told(None, s, r) for s, r in near[:evidence]])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(proofs, kind)], names=names)

@@ -80,13 +80,15 @@ def test_nearest_is_exact() -> None:
         norm = sum(w * w for w in raw.values()) ** 0.5
         return {t: w / norm for t, w in raw.items()}
 
+    arrays = lambda v: (np.array(list(v), np.int64), np.array(list(v.values()), float))
     vectors = sorted((unit() for _ in range(400)), key=lambda v: min(v, default=-1))
-    index = toxicity.Index.build(vectors, 60)
+    index = toxicity.Index.build([arrays(v) for v in vectors], 60)
+    assert 0 < len(index.dense) < 60  # some terms are common, some rare
     for _ in range(150):
         query, skip = unit(), rng.choice((-1, rng.randrange(400)))
         scores = [(-round(sum(w * v.get(t, 0) for t, w in query.items()), 12), i) for i, v in enumerate(vectors) if i != skip]
         want = sorted(s for s in scores if s[0] < 0)[:10]
-        got = [(-s, r) for s, r in index.nearest(query, 10, skip)]
+        got = [(-s, r) for s, r in index.nearest_of([arrays(query)], 10, [skip])[0]]
         assert [s for s, _ in got] == pytest.approx([s for s, _ in want])
         assert [r for _, r in got] == [r for _, r in want]
 
