@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -15,7 +16,7 @@ from latticework.plans import catalogue
 
 HEADLINES = (
     "bfs_levels", "bfs_parents", "bfs_levels_sparse", "bfs_levels_paths", "bfs_levels_rmat", "bfs_multi_source", "bfs_direction_history",
-    "bfs_levels_distributed", "bfs_expand_topdown", "edges_traversed_undirected", "bfs_invalid_parents", "graph500_summary", "symmetrize", "dedup_edges",
+    "bfs_levels_distributed_g1", "bfs_expand_topdown", "edges_traversed_undirected", "bfs_invalid_parents", "graph500_summary", "symmetrize", "dedup_edges",
     "is_symmetric", "graph_stats", "nnz_per_block", "partition_maxima", "compressed_columns", "csr_offsets", "relabel_edges", "balance_serpentine",
     "density_2d", "decode_timestamps", "phase_stats", "scale_grid_pivot", "round_cycles_explode",
 )
@@ -29,6 +30,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED_DIR", f"file://{tempfile.mkdtemp(prefix='bench-')}"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

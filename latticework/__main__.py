@@ -6,7 +6,9 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from latticework.operators.edges import translate_source
 from latticework.plans import benchmark, prepare
+from latticework.sources.graphs import read_permutation
 from latticework.sources.writers import append_rows
 
 
@@ -28,9 +30,15 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     bench.add_argument("--sources", type=int, nargs="+")
     bench.add_argument("--direction-switch", action="store_true")
     bench.add_argument("--no-validation", action="store_true")
-    for command in (ready, bench):
+    one = commands.add_parser("search", help="search from one root, write its tree and append its result row")
+    one.add_argument("graph")
+    one.add_argument("--source", type=int, default=0)
+    one.add_argument("--permutation", help="file of new ids; the root is then given as an old one")
+    one.add_argument("--direction-switch", action="store_true")
+    one.add_argument("--no-validation", action="store_true")
+    for command in (ready, bench, one):
         command.add_argument("--undirected", action="store_true", help="add mirrors, drop self-loops")
-    for command in (made, ready, bench):
+    for command in (made, ready, bench, one):
         command.add_argument("--out", required=True)
     return parser.parse_args(given)
 
@@ -46,6 +54,17 @@ def main(given: list[str] | None = None) -> None:
         prepare.write(*_swapped(prepare.balance(graph, args.grid, args.greedy), args.out))
         return
     name = args.graph.rstrip("/").rpartition("/")[2]
+    if args.command == "search":
+        built, root = benchmark.build(name, graph), args.source
+        if args.permutation:
+            moved = translate_source(read_permutation(spark, args.permutation), root).first()
+            root = moved["new_id"] if moved else -1
+        found, row = benchmark.run_search(built, *benchmark.pick_sources(built, 1, 0, [root]), 0, args.direction_switch, not args.no_validation)
+        found.write.parquet(f"{args.out}/tree-{root}")
+        rows = spark.createDataFrame([row], benchmark.SEARCHES)
+        append_rows(rows, f"{args.out}/searches")
+        rows.show(truncate=False)
+        return
     searches, summary = benchmark.run_benchmark(
         spark, name, graph, args.searches, args.seed, args.sources, args.direction_switch, not args.no_validation
     )

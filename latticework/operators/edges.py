@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.plans.tables import stored
+
 
 def drop_self_loops(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst")
@@ -15,6 +17,16 @@ def dedup_edges(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct()
 
 
+def check_ids(edges: DataFrame, n: int) -> None:
+    """Refuse a graph without vertices, and ids that are null or outside 0 to ``n`` - 1."""
+    if n <= 0:
+        raise ValueError("a graph has at least one vertex")
+    inside = F.col("src").between(0, n - 1) & F.col("dst").between(0, n - 1)
+    wrong = edges.where(~F.coalesce(inside, F.lit(False))).limit(3).collect()
+    if wrong:
+        raise ValueError(f"edges outside 0 to {n - 1}: {[tuple(r) for r in wrong]}")
+
+
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
@@ -77,19 +89,21 @@ def vertices_by_degree(edges: DataFrame) -> DataFrame:
 def with_global_rank(rows: DataFrame, order: list, name: str) -> DataFrame:
     """``rows`` with a gapless rank from 0, without a single-partition window.
 
-    Rows are range-partitioned and sorted; only partition sizes meet in one place.
+    Rows are range-partitioned, sorted and written with their partition and their
+    number in it; only the partitions' sizes meet in one place.
     """
     parts = rows.orderBy(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    kept = parts.persist()
+    kept = stored(parts, "ranked")
     sizes = sorted((r["_part"], r["n"], r["first"]) for r in kept.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first")).collect())
+    if not sizes:
+        return rows.withColumn(name, F.lit(0).cast("bigint"))
     shifts, before = [], 0
     for part, n, first in sizes:
-        shifts += [F.lit(part), F.lit(before - first)]
+        shifts.append((part, before - first))
         before += n
-    if not shifts:
-        return rows.withColumn(name, F.lit(0).cast("bigint"))
-    shift = F.element_at(F.create_map(*shifts), F.col("_part"))
-    return kept.withColumn(name, (F.col("_at") + shift).cast("bigint")).drop("_part", "_at")
+    shift = rows.sparkSession.createDataFrame(shifts, "_part int, _shift bigint")
+    # one row per sort partition
+    return kept.join(F.broadcast(shift), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")
 
 
 def root_candidates(edges: DataFrame) -> DataFrame:

@@ -1,18 +1,21 @@
 """Level-synchronous breadth-first search over edge tables.
 
 A round joins the frontier with its out-edges, keeps the smallest predecessor of
-each vertex reached, and drops the vertices visited before. Two plans give the
-same rows:
-
-* ``distributed``: edges are hash-partitioned by src and persisted once, so a
-  top-down round shuffles the frontier and its candidates, not the edges. AQE
-  broadcasts a frontier whose measured size is small; with a larger one the
-  edges of a hub meet in one task. Bottom-up rounds shuffle the edges of
-  unvisited vertices. Every round's rows are stored in the shared folder, which cuts the
-  lineage; searches from several roots share the rounds (keyed by source).
-* ``local``: one executor task with compressed sparse rows in numpy, for graphs
-  whose checked edge count is within ``local_edges``. It saves the two or three
-  jobs a round that dominate searches of small or deep graphs.
+each vertex reached, and drops the vertices visited before. Searches from several
+roots share the rounds (``source`` is part of every key), and each turns its
+direction by its own rounds.
+
+``build`` makes the table that searches run on: distinct edges, written to the
+shared folder in buckets by src, so that a top-down round shuffles the frontier
+and its candidates and never the edges, and the loss of an executor costs a
+re-read. Out-edges of a vertex with more than ``hub_degree`` of them are dealt to
+several buckets by a hash of dst, and the frontier's rows of such hubs meet each
+part, so no task holds all edges of one vertex. One build serves any number of
+searches. Every round's rows are written too, which cuts the lineage.
+
+``bfs`` with ``local=True`` runs a graph that the caller knows to fit one task as
+compressed sparse rows in numpy, which saves the jobs of the rounds of small deep
+graphs. Both give the same rows. Nothing switches by size.
 
 The parent is the smallest frontier predecessor, the root's parent is itself.
 ``rounds`` counts the last, empty round; ``nf`` has one entry per round.
@@ -20,32 +23,78 @@ The parent is the smallest frontier predecessor, the root's parent is itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.plans.tables import stored
+from latticework.operators.edges import with_global_rank
+from latticework.plans.tables import discard, kept_until_exit, new_path, stored
 
-LOCAL_EDGES = 5_000_000
 RESULT = "source bigint, vertex bigint, level int, parent bigint"
-ROUNDS = "source bigint, round int, nf bigint, direction string"
 
 
-def expand_topdown(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+@dataclass
+class Built:
+    """Edges ready for searches: ``edges(src, dst, part)`` in buckets, and the parts of each hub (None: no hubs)."""
+
+    edges: DataFrame
+    hubs: DataFrame | None
+
+
+def build(edges: DataFrame, hub_degree: int = 1_000_000, buckets: int | None = None) -> Built:
+    """Distinct ``edges(src, dst)`` in buckets by src, hubs in parts of about ``hub_degree`` edges."""
+    spark = edges.sparkSession
+    kept = stored(edges.select("src", "dst").distinct(), "bfs-distinct")
+    large = kept.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > hub_degree)
+    hubs = stored(large.select("src", F.ceil(F.col("degree") / hub_degree).cast("int").alias("parts")), "bfs-hubs")
+    no_hubs = hubs.isEmpty()
+    if no_hubs:
+        dealt, keys = kept.withColumn("part", F.lit(0)), ["src"]
+    else:
+        part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
+        dealt, keys = kept.join(hubs, "src", "left").select("src", "dst", part.alias("part")), ["src", "part"]
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = new_path(spark, "bfs-edges")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    dealt.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    kept_until_exit(spark, path)
+    discard(kept)
+    return Built(spark.table(name), None if no_hubs else hubs)
+
+
+def _met(edges: DataFrame | Built, frontier: DataFrame) -> DataFrame:
+    """(source, src, dst): the out-edges of ``frontier(source, vertex)``."""
+    asked = frontier.select("source", F.col("vertex").alias("src"))
+    if isinstance(edges, DataFrame):
+        return asked.join(edges, "src")
+    if edges.hubs is None:
+        return asked.join(edges.edges, "src")
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    return asked.join(edges.hubs, "src", "left").select("source", "src", parts).join(edges.edges, ["src", "part"])
+
+
+def expand_topdown(edges: DataFrame | Built, frontier: DataFrame) -> DataFrame:
     """(source, vertex, parent): the best predecessor of every vertex one step from ``frontier(source, vertex)``."""
-    reached = frontier.select("source", F.col("vertex").alias("src")).join(edges, "src")
-    return reached.groupBy("source", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
+    return _met(edges, frontier).groupBy("source", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
+
 
+def expand_bottomup(edges: DataFrame | Built, frontier: DataFrame, visited: DataFrame, n_sources: int = 1) -> DataFrame:
+    """The same rows for unvisited vertices, found from their in-edges.
 
-def expand_bottomup(edges: DataFrame, frontier: DataFrame, visited: DataFrame) -> DataFrame:
-    """The same rows for unvisited vertices, found from their in-edges. ``frontier`` has one source."""
-    open_edges = edges.join(visited.select(F.col("vertex").alias("dst")).distinct(), "dst", "left_anti")
-    reached = open_edges.join(frontier.select("source", F.col("vertex").alias("src")), "src")
-    return reached.groupBy("source", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
+    ``visited(source, vertex)`` is distinct. An edge is open while its dst is unvisited by any of the
+    ``n_sources`` sources that take part; what one of them has visited is dropped for that source.
+    """
+    took_part = visited.join(frontier.select("source").distinct(), "source", "left_semi")
+    closed = took_part.groupBy(F.col("vertex").alias("dst")).agg(F.count("*").alias("n")).where(F.col("n") >= n_sources).select("dst")
+    table = edges if isinstance(edges, DataFrame) else edges.edges
+    left = table.join(closed, "dst", "left_anti")
+    reached = _met(left if isinstance(edges, DataFrame) else Built(left, edges.hubs), frontier)
+    best = reached.groupBy("source", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
+    return frontier_new(best, visited)
 
 
 def frontier_new(candidates: DataFrame, visited: DataFrame) -> DataFrame:
@@ -109,16 +158,12 @@ class Adjacency:
             bottom_up = bottom_up or switch_at is not None and len(new) > switch_at
 
 
-def _local(edges: DataFrame, roots: Sequence[int], switch_at: float | None, want_rounds: bool) -> DataFrame:
+def _local(edges: DataFrame, roots: Sequence[int], switch_at: float | None) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         graph = Adjacency(frame["src"].to_numpy(), frame["dst"].to_numpy())
         out = []
         for root in roots:
-            level, parent, rounds = graph.search(root, switch_at)
-            if want_rounds:
-                nf, direction = zip(*rounds, strict=True)
-                out.append(pd.DataFrame({"source": root, "round": range(len(nf)), "nf": nf, "direction": direction}))
-                continue
+            level, parent, _ = graph.search(root, switch_at)
             at = np.flatnonzero(level >= 0)
             if len(at):
                 out.append(pd.DataFrame({"source": root, "vertex": graph.names[at], "level": level[at], "parent": graph.names[parent[at]]}))
@@ -127,94 +172,91 @@ def _local(edges: DataFrame, roots: Sequence[int], switch_at: float | None, want
         return pd.concat(out) if out else pd.DataFrame({"source": [], "vertex": [], "level": [], "parent": []})
 
     if not roots:
-        return edges.sparkSession.createDataFrame([], ROUNDS if want_rounds else RESULT)
+        return edges.sparkSession.createDataFrame([], RESULT)
     # a marker row keeps the group, and so the roots, of a graph without edges
     first = int(roots[0])
     marker = edges.sparkSession.range(1).select(F.lit(first).cast("bigint").alias("src"), F.lit(first).cast("bigint").alias("dst"))
     rows = edges.select("src", "dst").unionByName(marker).select("src", "dst", F.lit(0).alias("all"))
-    return rows.groupBy("all").applyInPandas(lambda f: run(f), ROUNDS if want_rounds else RESULT)
+    return rows.groupBy("all").applyInPandas(lambda f: run(f), RESULT)
 
 
-def _distributed(edges: DataFrame, roots: DataFrame, symmetric: bool, switch_at: float | None) -> tuple[DataFrame, DataFrame]:
-    spark = edges.sparkSession
-    held = edges.select("src", "dst").distinct().repartition("src").persist(StorageLevel.MEMORY_AND_DISK)
-    frontier = stored(
-        roots.select("source", F.col("source").alias("vertex"), F.lit(0).cast("int").alias("level"), F.col("source").alias("parent")).distinct(), "bfs-level"
-    )
-    levels, histories, bottom_up, number = [frontier], [], False, 0
-    open_sources = roots.select("source").distinct()
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _distributed(graph: Built, roots: DataFrame, symmetric: bool, switch_at: float | None, merge: int = 16) -> DataFrame:
+    first = roots.select("source", F.col("source").alias("vertex"), F.lit(0).cast("int").alias("level"), F.col("source").alias("parent"))
+    frontier = stored(first.distinct(), "bfs-level")
+    levels, number = [frontier], 0
+    turned: DataFrame | None = None  # the sources that search bottom-up
+    n_turned = 0
     while True:
         # neighbours of a level of a symmetric graph lie at most one level back
-        seen = levels[-2:] if symmetric else levels
-        visited = seen[0]
-        for more in seen[1:]:
-            visited = visited.unionByName(more)
-        expand = expand_bottomup(held, frontier, visited) if bottom_up else expand_topdown(held, frontier)
-        new = frontier_new(expand, visited).select("source", "vertex", F.lit(number + 1).cast("int").alias("level"), "parent")
-        frontier = stored(new, "bfs-level")
-        counts = stored(
-            open_sources.join(frontier.groupBy("source").agg(F.count("*").alias("nf")), "source", "left").select(
-                "source", F.lit(number).cast("int").alias("round"), F.coalesce("nf", F.lit(0)).cast("bigint").alias("nf"),
-                F.lit("bottom_up" if bottom_up else "top_down").alias("direction"),
-            ),
-            "bfs-rounds",
-        )
-        histories.append(counts)
-        total, most = counts.agg(F.sum("nf"), F.max("nf")).first()
-        if not total:
+        visited = _union(levels[-2:] if symmetric else levels)
+        if turned is None:
+            found = frontier_new(expand_topdown(graph, frontier), visited)
+        else:
+            down, up = frontier.join(turned, "source", "left_anti"), frontier.join(turned, "source", "left_semi")
+            every = _union(levels).select("source", "vertex")
+            found = frontier_new(expand_topdown(graph, down), visited).unionByName(expand_bottomup(graph, up, every, n_turned))
+        number += 1
+        frontier = stored(found.select("source", "vertex", F.lit(number).cast("int").alias("level"), "parent"), "bfs-level")
+        if frontier.isEmpty():
             break
         levels.append(frontier)
-        open_sources = counts.where("nf > 0").select("source")
-        bottom_up = bottom_up or switch_at is not None and most > switch_at
-        number += 1
-        if not symmetric and len(levels) % 8 == 0:
-            merged = levels[0]
-            for more in levels[1:-1]:
-                merged = merged.unionByName(more)
-            levels = [stored(merged, "bfs-visited"), levels[-1]]
-    result, rounds = levels[0], histories[0]
-    for more in levels[1:]:
-        result = result.unionByName(more)
-    for more in histories[1:]:
-        rounds = rounds.unionByName(more)
-    held.unpersist()
-    return result.select("source", "vertex", "level", "parent"), rounds
-
-
-def _roots(edges: DataFrame, roots: Sequence[int] | DataFrame) -> DataFrame:
-    spark = edges.sparkSession
+        if switch_at is not None:
+            large = frontier.groupBy("source").agg(F.count("*").alias("nf")).where(F.col("nf") > switch_at).select("source")
+            large = stored(large if turned is None else large.unionByName(turned).distinct(), "bfs-turned")
+            if (n := large.count()) > n_turned:
+                turned, n_turned = large, n
+        if len(levels) > merge:
+            older = levels[:-2]
+            levels = [stored(_union(older), "bfs-visited"), *levels[-2:]]
+            for table in older:
+                discard(table)
+    return _union(levels).select("source", "vertex", "level", "parent")
+
+
+def _roots(spark: SparkSession, roots: Sequence[int] | DataFrame) -> DataFrame:
     if isinstance(roots, DataFrame):
         return roots.select(F.col(roots.columns[0]).cast("bigint").alias("source"))
     return spark.createDataFrame([(int(r),) for r in roots], "source bigint")
 
 
-def _search(edges: DataFrame, roots: Sequence[int] | DataFrame, symmetric: bool, switch_at: float | None, local_edges: int, max_local_roots: int, rounds: bool) -> DataFrame:
-    wanted = _roots(edges, roots).distinct()
-    few = [r["source"] for r in wanted.limit(max_local_roots + 1).collect()]
-    if len(few) <= max_local_roots and edges.count() <= local_edges:
-        return _local(edges, sorted(few), switch_at, rounds)
-    found = _distributed(edges, wanted, symmetric, switch_at)
-    return found[1] if rounds else found[0]
+def bfs(
+    edges: DataFrame | Built, roots: Sequence[int] | DataFrame, symmetric: bool = False, switch_at: float | None = None, local: bool = False
+) -> DataFrame:
+    """(source, vertex, level, parent) of every vertex reached from each root.
 
+    After a round in which a source finds more than ``switch_at`` vertices its further rounds run bottom-up.
+    """
+    table = edges if isinstance(edges, DataFrame) else edges.edges
+    wanted = _roots(table.sparkSession, roots).where("source IS NOT NULL").distinct()
+    if local:
+        return _local(table, sorted(r["source"] for r in wanted.collect()), switch_at)
+    return _distributed(build(edges) if isinstance(edges, DataFrame) else edges, wanted, symmetric, switch_at)
 
-def bfs(
-    edges: DataFrame, roots: Sequence[int] | DataFrame, symmetric: bool = False, switch_at: float | None = None,
-    local_edges: int = LOCAL_EDGES, max_local_roots: int = 256,
-) -> DataFrame:
-    """(source, vertex, level, parent) of every vertex reached from each root."""
-    return _search(edges, roots, symmetric, switch_at, local_edges, max_local_roots, False)
 
+def rounds_of(result: DataFrame, switch_at: float | None = None) -> DataFrame:
+    """(source, round, nf, direction) of a search's ``result``, one row per round, the last with nf 0."""
+    sizes = result.groupBy("source", (F.col("level") - 1).alias("round")).agg(F.count("*").alias("nf")).where("round >= 0")
+    last = result.groupBy("source").agg(F.max("level").alias("round")).select("source", "round", F.lit(0).cast("bigint").alias("nf"))
+    every = sizes.unionByName(last)
+    if switch_at is None:
+        return every.select("source", F.col("round").cast("int").alias("round"), "nf", F.lit("top_down").alias("direction"))
+    turn = sizes.where(F.col("nf") > switch_at).groupBy("source").agg(F.min("round").alias("turn"))
+    direction = F.when(F.col("round") > F.col("turn"), "bottom_up").otherwise("top_down")
+    return every.join(turn, "source", "left").select("source", F.col("round").cast("int").alias("round"), "nf", direction.alias("direction"))
 
-def bfs_rounds(
-    edges: DataFrame, roots: Sequence[int] | DataFrame, symmetric: bool = False, switch_at: float | None = None,
-    local_edges: int = LOCAL_EDGES, max_local_roots: int = 256,
-) -> DataFrame:
-    """(source, round, nf, direction), one row per round, the last with nf 0.
 
-    After a round that finds more than ``switch_at`` vertices all further rounds
-    run bottom-up.
-    """
-    return _search(edges, roots, symmetric, switch_at, local_edges, max_local_roots, True)
+def bfs_rounds(
+    edges: DataFrame | Built, roots: Sequence[int] | DataFrame, symmetric: bool = False, switch_at: float | None = None, local: bool = False
+) -> DataFrame:
+    """(source, round, nf, direction), one row per round, the last with nf 0."""
+    return rounds_of(bfs(edges, roots, symmetric, switch_at, local), switch_at)
 
 
 def switch_threshold(n: int, share: float = 0.15) -> int:
@@ -239,36 +281,46 @@ def visited_from_parent(parents: DataFrame) -> DataFrame:
     return parents.select("source", "vertex", ((F.col("parent") >= 0) | (F.col("vertex") == F.col("source"))).alias("visited"))
 
 
-def radial_layout(result: DataFrame, step: float, max_vertices: int = 1_000_000) -> DataFrame:
-    """(vertex, level, angle, x, y): rings by level, children spread in the arc of their parent.
+def radial_layout(result: DataFrame, step: float | None = None, n: int | None = None) -> DataFrame:
+    """(vertex, level, place, angle, x, y) of one search's tree: a ring of radius ``level`` times ``step`` per level.
+
+    Without ``step`` it is a tenth of the largest ring's vertices, 1.5 at least.
 
-    Angles of a ring follow from those of the ring inside it, ring by ring; a ring
-    divides the circle by its members, in the order of the parents' angles. A
-    drawing is made in one task, so a tree of more than ``max_vertices`` is refused.
+    A ring is divided evenly among its vertices, which stand in the order of their
+    parents' places, then of their ids; the ring next to the root begins at angle 0,
+    those further out half a share on. With ``n``, vertices 0 to n - 1 that were not
+    reached stand by id on a ring of their own, outermost, with level -1. Rings are
+    ranked one after the other by a range sort, never in one task.
     """
-    if result.limit(max_vertices + 1).count() > max_vertices:
-        raise ValueError(f"a layout of more than {max_vertices} vertices")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            angle: dict[int, float] = {}
-            for level, ring in frame.sort_values(["level", "vertex"]).groupby("level"):
-                if level == 0:
-                    angle |= dict.fromkeys(ring["vertex"], 0.0)
-                    continue
-                if level == 1:
-                    angle |= {v: 2 * np.pi * i / len(ring) for i, v in enumerate(ring["vertex"])}
-                    continue
-                begin = 0.0
-                for _, children in sorted(ring.groupby("parent"), key=lambda g: (angle[g[0]], g[0])):
-                    arc = 2 * np.pi * len(children) / len(ring)
-                    angle |= {v: begin + arc * (i + 0.5) / len(children) for i, v in enumerate(children["vertex"])}
-                    begin += arc
-            turned = frame["vertex"].map(angle)
-            radius = frame["level"] * step
-            yield pd.DataFrame({"vertex": frame["vertex"], "level": frame["level"], "angle": turned, "x": radius * np.cos(turned), "y": radius * np.sin(turned)})
-
-    one = result.select("vertex", "level", "parent", F.lit(0).alias("all"))
-    return one.groupBy("all").applyInPandas(
-        lambda f: pd.concat(run(iter([f]))), "vertex bigint, level int, angle double, x double, y double"
-    )
+    spark = result.sparkSession
+    tree = stored(result.select("vertex", "level", "parent"), "layout-tree")
+    ring = tree.where("level = 0").select("vertex", "level", F.lit(0).cast("bigint").alias("place"))
+    rings, level = [stored(ring, "layout-ring")], 0
+    while True:
+        level += 1
+        inner = rings[-1].select(F.col("vertex").alias("parent"), F.col("place").alias("before"))
+        ring = tree.where(F.col("level") == level).join(inner, "parent")
+        if ring.isEmpty():
+            break
+        ranked = with_global_rank(ring.select("vertex", "level", "before"), [F.col("before"), F.col("vertex")], "place")
+        rings.append(stored(ranked.select("vertex", "level", "place"), "layout-ring"))
+    placed = _union(rings)
+    size = placed.groupBy("level").agg(F.count("*").alias("size"))
+    shift = F.when(F.col("level") > 1, F.lit(0.5)).otherwise(F.lit(0.0))
+    share = F.lit(2 * np.pi) * (F.col("place") + shift) / F.col("size")
+    if step is None:
+        step = max(1.5, size.agg(F.max("size")).first()[0] / 10)
+    out = _at(placed.join(size, "level"), share, F.col("level") * F.lit(float(step)))
+    if n is None:
+        return out
+    missing = spark.range(n).select(F.col("id").alias("vertex")).join(tree, "vertex", "left_anti")
+    outer = with_global_rank(missing, [F.col("vertex")], "place").withColumn("level", F.lit(-1))
+    many = missing.groupBy().agg(F.count("*").alias("size"))
+    gap = F.greatest(F.lit(1.5), F.col("size") / 10.0)
+    beyond = outer.join(many.withColumn("level", F.lit(-1)), "level")
+    return out.unionByName(_at(beyond, F.lit(2 * np.pi) * F.col("place") / F.col("size"), F.lit(float(step * (level - 1))) + gap))
+
+
+def _at(rows: DataFrame, angle: Column, radius: Column) -> DataFrame:
+    turned = rows.withColumn("angle", angle)
+    return turned.select("vertex", "level", "place", "angle", (radius * F.cos("angle")).alias("x"), (radius * F.sin("angle")).alias("y"))

@@ -100,6 +100,13 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_at", F.row_number().over(at)).where("_at = 1").drop("_at")
 
 
+def of_case(rows: DataFrame, case: dict[str, object]) -> DataFrame:
+    """All rows of one case, told by the values of its columns; ``latest`` gives the last one of each."""
+    for column, value in case.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows
+
+
 def pending(planned: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
     """Planned cases that no log row has."""
     return planned.join(log.select(*keys).distinct(), keys, "left_anti")

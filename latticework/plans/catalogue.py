@@ -11,8 +11,8 @@ from latticework.functions import units
 from latticework.operators import blocks, checks, edges, search, telemetry
 from latticework.plans import derived
 from latticework.plans.derived import CLOCK, GRAPH_SQL, MARKS_SQL, RUN_LOG_SQL, TICKS_SQL
-from latticework.plans.tables import stored
-from latticework.sources import graphs, rmat
+from latticework.plans.tables import kept_until_exit, new_path, stored
+from latticework.sources import graphs, results, rmat
 from latticework.streaming import edge_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,8 @@ def oracle_sql() -> dict[str, str]:
 
 def _size(e: DataFrame) -> int:
     """Vertices 0 to the largest id."""
-    return (e.agg(F.max(F.greatest("src", "dst"))).first()[0] or -1) + 1
+    largest = e.agg(F.max(F.greatest("src", "dst"))).first()[0]
+    return 0 if largest is None else largest + 1
 
 
 def _least_source(e: DataFrame) -> DataFrame:
@@ -147,12 +148,11 @@ def sample_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.sample_roots(derived.purchases(spark, sf_dir), 6, 5)
 
 
-@_query("visited_difference", f"""WITH e AS ({GRAPH_SQL['multigraph']}) SELECT count(*) FILTER (a IS NULL) AS only_right, count(*) FILTER (b IS NULL) AS only_left
-    FROM (SELECT DISTINCT src AS a FROM e WHERE src < 40) FULL JOIN (SELECT DISTINCT dst AS b FROM e WHERE dst > 10) ON a = b""")
+@_query("visited_difference", f"""WITH e AS ({GRAPH_SQL['event_steps']}) SELECT count(*) FILTER (a IS NULL) AS only_right, count(*) FILTER (b IS NULL) AS only_left
+    FROM (SELECT DISTINCT src AS a FROM e) FULL JOIN (SELECT DISTINCT dst AS b FROM e) ON a = b""")
 def visited_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = derived.multigraph(spark, sf_dir)
-    left, right = e.where("src < 40").select(F.col("src").alias("a")).distinct(), e.where("dst > 10").select(F.col("dst").alias("b")).distinct()
-    both = left.join(right, F.col("a") == F.col("b"), "full")
+    e = derived.event_steps(spark, sf_dir)
+    both = e.select(F.col("src").alias("a")).distinct().join(e.select(F.col("dst").alias("b")).distinct(), F.col("a") == F.col("b"), "full")
     return both.agg(F.count_if(F.col("a").isNull()).alias("only_right"), F.count_if(F.col("b").isNull()).alias("only_left"))
 
 
@@ -162,22 +162,25 @@ _EDGE_LINES = """SELECT CASE WHEN event_id % 10 = 0 THEN '# comment ' || event_i
     ELSE ' ' || user_id || chr(9) || (event_id % 500) || '  ' || event_type END AS value FROM events"""
 
 
-@_query("edge_list_parse", f"""WITH t AS ({_EDGE_LINES}) SELECT regexp_extract(trim(value), '^(\\d+)\\s+(\\d+)', 1)::BIGINT AS src,
-    regexp_extract(trim(value), '^(\\d+)\\s+(\\d+)', 2)::BIGINT AS dst FROM t WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#')""")
-def edge_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = derived.table(spark, sf_dir, "events")
+def _edge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as lines of an edge list, some of them comments or blank."""
     kind = F.col("event_id") % 10
     words = F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("\t"), (F.col("event_id") % 500).cast("string"), F.lit("  "), F.col("event_type"))
     line = F.when(kind == 0, F.concat(F.lit("# comment "), F.col("event_id").cast("string"))).when(kind == 1, "   ").otherwise(words)
-    return graphs.edge_list_rows(ev.select(line.alias("value")))
+    return derived.table(spark, sf_dir, "events").select(line.alias("value"))
+
+
+@_query("edge_list_parse", f"""WITH t AS ({_EDGE_LINES}) SELECT regexp_extract(trim(value), '^(\\d+)\\s+(\\d+)', 1)::BIGINT AS src,
+    regexp_extract(trim(value), '^(\\d+)\\s+(\\d+)', 2)::BIGINT AS dst FROM t WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#')""")
+def edge_list_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.edge_list_rows(_edge_lines(spark, sf_dir))
 
 
-@_query("edge_list_size", f"""SELECT greatest(900, max(greatest(user_id, event_id % 500)) + 1) AS n FROM events WHERE event_id % 10 > 1""")
+@_query("edge_list_size", f"""WITH t AS ({_EDGE_LINES}), g AS (SELECT regexp_extract(trim(value), '^(\\d+)\\s+(\\d+)', [ 'a', 'b' ]) AS m FROM t WHERE trim(value) <> '' AND NOT starts_with(trim(value), '#'))
+    SELECT greatest(900, max(greatest(m.a::BIGINT, m.b::BIGINT)) + 1) AS n FROM g""")
 def edge_list_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = derived.table(spark, sf_dir, "events").where("event_id % 10 > 1")
-    lines = ev.select(F.concat_ws(" ", F.col("user_id").cast("string"), (F.col("event_id") % 500).cast("string")).alias("value"))
     head = spark.range(1).select(F.lit("# Nodes: 900 Edges: 12").alias("value"))
-    return graphs.vertex_count(head.unionByName(lines))
+    return graphs.vertex_count(head.unionByName(_edge_lines(spark, sf_dir)))
 
 
 @_query("rmat_edges", f"{_with('small_world')} SELECT src, dst FROM e")
@@ -200,9 +203,9 @@ def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.page_links(spark, sf_dir)
 
 
-@_query("edge_stream_degrees", f"{_with('first_purchases')} SELECT src AS vertex, count(*) AS degree FROM e GROUP BY src")
+@_query("edge_stream_degrees", f"{_with('purchases')} SELECT src AS vertex, count(*) AS degree FROM e GROUP BY src")
 def edge_stream_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_stream.replay_degrees(derived.first_purchases(spark, sf_dir))
+    return edge_stream.replay_degrees(derived.purchases(spark, sf_dir))
 
 
 # ---- blocks ----
@@ -222,9 +225,9 @@ def block_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.block_coords(*_blocks(spark, sf_dir), GRID)
 
 
-@_query("nnz_per_block", f"{_with('small_world', _NNZ)} SELECT * FROM loads")
+@_query("nnz_per_block", f"{_with('purchases', _NNZ)} SELECT * FROM loads")
 def nnz_per_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.nnz_per_block(*_blocks(spark, sf_dir, "small_world"), GRID)
+    return blocks.nnz_per_block(*_blocks(spark, sf_dir), GRID)
 
 
 @_query("nz_cols_per_block", f"{_with('purchases', _BLK)} SELECT row_b, col_b, count(DISTINCT src) AS nz_cols FROM blk GROUP BY ALL")
@@ -243,18 +246,18 @@ def partition_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.partition_maxima(*_blocks(spark, sf_dir), GRID)
 
 
-@_query("compressed_columns", f"""{_with('small_world', _BLK)}, c AS (SELECT row_b, col_b, col_l, count(*) AS col_len, list(row_l ORDER BY row_l) AS r FROM blk GROUP BY ALL)
+@_query("compressed_columns", f"""{_with('purchases', _BLK)}, c AS (SELECT row_b, col_b, col_l, count(*) AS col_len, list(row_l ORDER BY row_l) AS r FROM blk GROUP BY ALL)
     SELECT row_b, col_b, col_l, row_number() OVER w - 1 AS col_idx, coalesce(sum(col_len) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS col_loc,
     col_len, array_to_string(r, ';') AS rows FROM c WINDOW w AS (PARTITION BY row_b, col_b ORDER BY col_l)""")
 def compressed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = blocks.compressed_columns(*_blocks(spark, sf_dir, "small_world"), GRID)
+    made = blocks.compressed_columns(*_blocks(spark, sf_dir), GRID)
     return made.withColumn("rows", units.joined(F.col("rows")))
 
 
-@_query("nonzero_ranks", f"""{_with('small_world', _BLK)} SELECT row_b, col_b, src, dst, row_number() OVER w - 1 AS rank_in_col, lag(dst) OVER w IS NULL AS opens_col
+@_query("nonzero_ranks", f"""{_with('purchases', _BLK)} SELECT row_b, col_b, src, dst, row_number() OVER w - 1 AS rank_in_col, lag(dst) OVER w IS NULL AS opens_col
     FROM blk WINDOW w AS (PARTITION BY row_b, col_b, src ORDER BY dst)""")
 def nonzero_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.nonzero_ranks(*_blocks(spark, sf_dir, "small_world"), GRID)
+    return blocks.nonzero_ranks(*_blocks(spark, sf_dir), GRID)
 
 
 @_query("csr_offsets", f"""{_with('purchases')}, d AS (SELECT v AS vertex, count(src) AS degree FROM range((SELECT n FROM n)) r(v) LEFT JOIN e ON src = v GROUP BY v)
@@ -269,19 +272,19 @@ def load_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.load_imbalance(*_blocks(spark, sf_dir), GRID)
 
 
-@_query("load_summary", f"""{_with('small_world', _NNZ)} SELECT round(count(*) FILTER (nnz = 0) / count(*), 6) AS empty_share, round(avg(nnz) FILTER (nnz > 0), 6) AS mean_load,
+@_query("load_summary", f"""{_with('purchases', _NNZ)} SELECT round(count(*) FILTER (nnz = 0) / count(*), 6) AS empty_share, round(avg(nnz) FILTER (nnz > 0), 6) AS mean_load,
     quantile_cont(nnz, 0.5) FILTER (nnz > 0) AS median_load, max(nnz) AS max_load FROM loads""")
 def load_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.load_summary(*_blocks(spark, sf_dir, "small_world"), GRID)
+    return blocks.load_summary(*_blocks(spark, sf_dir), GRID)
 
 
-@_query("load_histogram", f"""{_with('small_world', _NNZ)}, sp AS (SELECT log10(min(nnz)) AS a, log10(max(nnz)) AS b FROM loads WHERE nnz > 0),
+@_query("load_histogram", f"""{_with('purchases', _NNZ)}, sp AS (SELECT log10(min(nnz)) AS a, log10(max(nnz)) AS b FROM loads WHERE nnz > 0),
     cuts AS (SELECT DISTINCT round_even(pow(10, a + (b - a) * i / {BINS}), 0)::BIGINT AS low FROM sp, range({BINS + 1}) r(i)),
     bins AS (SELECT low, lead(low) OVER (ORDER BY low) AS high, row_number() OVER (ORDER BY low DESC) = 2 AS last FROM cuts)
     SELECT low, high, count(*) AS n_blocks, round(100.0 * count(*) / (SELECT count(*) FROM loads WHERE nnz > 0), 6) AS percent
     FROM loads JOIN bins ON nnz >= low AND (nnz < high OR (last AND nnz <= high)) WHERE high IS NOT NULL GROUP BY low, high""")
 def load_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.load_histogram(*_blocks(spark, sf_dir, "small_world"), GRID, BINS)
+    return blocks.load_histogram(*_blocks(spark, sf_dir), GRID, BINS)
 
 
 @_query("density_2d", f"""{_with('purchases')} SELECT dst * {BINS} // n AS row_bin, src * {BINS} // n AS col_bin, count(*) AS n_edges FROM e, n GROUP BY ALL""")
@@ -319,7 +322,7 @@ def balance_serpentine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("balance_greedy")
 def balance_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.balance_greedy(*_blocks(spark, sf_dir, "small_world"), GRID)
+    return blocks.balance_greedy(*_blocks(spark, sf_dir), GRID)
 
 
 _AFTER = f"""f AS (SELECT a.new_id AS src, b.new_id AS dst FROM e JOIN perm a ON a.old_id = src JOIN perm b ON b.old_id = dst),
@@ -345,32 +348,37 @@ def bit_or_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- search ----
 
 
-def _register_search(graph: str, symmetric: bool, suffix: str) -> None:
+def _register_search(graph: str, symmetric: bool, suffix: str, local: bool = False) -> None:
     @_query(f"bfs_levels{suffix}", f"{_searched(graph)} SELECT v AS vertex, lvl AS level FROM b")
     def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = _graph(graph, spark, sf_dir)
-        return search.bfs(e, _least_source(e), symmetric).select("vertex", "level")
+        return search.bfs(e, _least_source(e), symmetric, local=local).select("vertex", "level")
 
     @_query(f"bfs_parents{suffix}", f"{_searched(graph)} SELECT v AS vertex, parent FROM b")
     def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = _graph(graph, spark, sf_dir)
-        return search.bfs(e, _least_source(e), symmetric).select("vertex", "parent")
+        return search.bfs(e, _least_source(e), symmetric, local=local).select("vertex", "parent")
 
 
-for _name, _sym, _suffix in (("purchases", True, ""), ("first_purchases", True, "_sparse"), ("event_paths", True, "_paths"), ("event_steps", False, "_directed"), ("small_world", True, "_rmat")):
-    _register_search(_name, _sym, _suffix)
+_register_search("purchases", True, "")
+_register_search("customer_orders", True, "_sparse")
+_register_search("event_steps", False, "_directed")
+_register_search("small_world", True, "_rmat")
+# long thin paths, in one task as their caller asks
+_register_search("event_paths", True, "_paths", local=True)
 
 
-@_query("bfs_levels_distributed", f"{_searched('first_purchases')} SELECT v AS vertex, lvl AS level, parent FROM b")
-def bfs_levels_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("first_purchases", spark, sf_dir)
-    return search.bfs(e, _least_source(e), True, local_edges=0).select("vertex", "level", "parent")
+@_query("bfs_levels_distributed_g1", f"{_searched('purchases')} SELECT v AS vertex, lvl AS level, parent FROM b")
+def bfs_levels_distributed_g1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a hub degree so small that most vertices are hubs in several parts."""
+    e = _graph("purchases", spark, sf_dir)
+    return search.bfs(search.build(e, hub_degree=20), _least_source(e), True).select("vertex", "level", "parent")
 
 
-@_query("bfs_all_vertices", f"""{_searched('first_purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, u AS vertex, coalesce(lvl, -1) AS level, coalesce(parent, -1) AS parent
+@_query("bfs_all_vertices", f"""{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, u AS vertex, coalesce(lvl, -1) AS level, coalesce(parent, -1) AS parent
     FROM range((SELECT n FROM n)) x(u) LEFT JOIN b ON v = u""")
 def bfs_all_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = _blocks(spark, sf_dir, "first_purchases")
+    e, n = _blocks(spark, sf_dir)
     root = _least_source(e).first()["source"]
     return search.with_unreached(search.bfs(e, [root], True), n, root)
 
@@ -384,7 +392,7 @@ def bfs_tree_depth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("bfs_eccentricity", f"{_searched('event_paths')} SELECT (SELECT r FROM ({_ROOT})) AS source, max(lvl) AS eccentricity, max(lvl) + 1 AS rounds, count(*) AS visited FROM b")
 def bfs_eccentricity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _graph("event_paths", spark, sf_dir)
-    return checks.eccentricity(search.bfs(e, _least_source(e), True))
+    return checks.eccentricity(search.bfs(e, _least_source(e), True, local=True))
 
 
 _ROUNDS = f"""nf AS (SELECT lvl - 1 AS round, count(*) AS nf FROM b WHERE lvl > 0 GROUP BY lvl),
@@ -401,36 +409,48 @@ def frontier_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DIRECTION = "CASE WHEN round > (SELECT t FROM turn) THEN 'bottom_up' ELSE 'top_down' END"
 
 
-@_query("bfs_direction_history", f"{_searched('small_world')}, {_ROUNDS} SELECT (SELECT r FROM ({_ROOT})) AS source, round, nf, {_DIRECTION} AS direction FROM h")
+@_query("bfs_direction_history", f"{_searched('purchases')}, {_ROUNDS} SELECT (SELECT r FROM ({_ROOT})) AS source, round, nf, {_DIRECTION} AS direction FROM h")
 def bfs_direction_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = _blocks(spark, sf_dir, "small_world")
+    e, n = _blocks(spark, sf_dir)
     return search.bfs_rounds(e, _least_source(e), True, switch_at=search.switch_threshold(n))
 
 
-@_query("switch_round", f"""{_searched('small_world')}, {_ROUNDS} SELECT (SELECT r FROM ({_ROOT})) AS source, min(round) FILTER ({_DIRECTION} = 'bottom_up') AS switch_round FROM h""")
+@_query("switch_round", f"""{_searched('purchases')}, {_ROUNDS} SELECT (SELECT r FROM ({_ROOT})) AS source, min(round) FILTER ({_DIRECTION} = 'bottom_up') AS switch_round FROM h""")
 def switch_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.switch_round(bfs_direction_history(spark, sf_dir))
 
 
-@_query("bfs_multi_source", f"{_with('first_purchases', _ROOTS + ', ' + _MULTI)} SELECT s AS source, v AS vertex, lvl AS level, parent FROM b")
+@_query("bfs_multi_source", f"{_with('customer_orders', _ROOTS + ', ' + _MULTI)} SELECT s AS source, v AS vertex, lvl AS level, parent FROM b")
 def bfs_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("first_purchases", spark, sf_dir)
+    e = _graph("customer_orders", spark, sf_dir)
     return search.bfs(e, edges.sample_roots(e, 6, 5), True)
 
 
-@_query("bfs_multi_source_distributed", f"{_with('small_world', _ROOTS + ', ' + _MULTI)} SELECT s AS source, v AS vertex, lvl AS level, parent FROM b")
+@_query("bfs_multi_source_distributed", f"{_with('purchases', _ROOTS + ', ' + _MULTI)} SELECT s AS source, v AS vertex, lvl AS level, parent FROM b")
 def bfs_multi_source_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("small_world", spark, sf_dir)
-    return search.bfs(e, edges.sample_roots(e, 6, 5), True, local_edges=0)
+    """Six roots that turn to searching bottom-up, each by its own rounds."""
+    e, n = _blocks(spark, sf_dir)
+    return search.bfs(e, edges.sample_roots(e, 6, 5), True, search.switch_threshold(n))
 
 
-_FRONTIER = "fr AS (SELECT DISTINCT src AS v FROM e WHERE src % 7 = 3), vis AS (SELECT DISTINCT src AS v FROM e WHERE src % 7 = 3 OR src % 5 = 2)"
+@_query("bfs_direction_multi_source", f"""{_with('purchases', _ROOTS + ', ' + _MULTI)}, nf AS (SELECT s AS source, lvl - 1 AS round, count(*) AS nf FROM b WHERE lvl > 0 GROUP BY ALL),
+    h AS (SELECT * FROM nf UNION ALL SELECT s, max(lvl), 0 FROM b GROUP BY s), turn AS (SELECT source, min(round) AS t FROM h, n WHERE nf > round_even(0.15 * n, 0) GROUP BY source)
+    SELECT source, round, nf, CASE WHEN round > t THEN 'bottom_up' ELSE 'top_down' END AS direction FROM h LEFT JOIN turn USING (source)""")
+def bfs_direction_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = _blocks(spark, sf_dir)
+    return search.bfs_rounds(e, edges.sample_roots(e, 6, 5), True, search.switch_threshold(n))
+
+
+_FRONTIER = f"fr AS (SELECT DISTINCT dst AS v FROM e WHERE src = ({_ROOT})), vis AS (SELECT v FROM fr UNION {_ROOT})"
 
 
 def _step(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The edges, the first ring around the least vertex, and what is visited with it."""
     e = _graph("purchases", spark, sf_dir)
-    named = e.select(F.lit(0).cast("bigint").alias("source"), F.col("src").alias("vertex")).distinct()
-    return e, named.where("vertex % 7 = 3"), named.where("vertex % 7 = 3 OR vertex % 5 = 2")
+    root = _least_source(e).select(F.col("source").alias("src"))
+    zero = F.lit(0).cast("bigint").alias("source")
+    ring = e.join(root, "src").select(zero, F.col("dst").alias("vertex")).distinct()
+    return e, ring, ring.unionByName(root.select(zero, F.col("src").alias("vertex")))
 
 
 @_query("bfs_expand_topdown", f"{_with('purchases', _FRONTIER)} SELECT dst AS vertex, min(src) AS parent FROM e JOIN fr ON v = src GROUP BY dst")
@@ -456,16 +476,24 @@ def parent_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.groupBy(F.col("dst").alias("vertex")).agg(F.min("p").alias("parent"))
 
 
-@_query("visited_from_parent", f"""{_searched('first_purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, u AS vertex, v IS NOT NULL AS visited
+@_query("visited_from_parent", f"""{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, u AS vertex, v IS NOT NULL AS visited
     FROM range((SELECT n FROM n)) x(u) LEFT JOIN b ON v = u""")
 def visited_from_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.visited_from_parent(bfs_all_vertices(spark, sf_dir))
 
 
-@_query("bfs_radial_layout")
+@_query("bfs_radial_layout", f"""{_searched('purchases')}, ring(v, lvl, place) AS (SELECT v, lvl, 0::BIGINT FROM b WHERE lvl = 0 UNION ALL
+    (SELECT b.v, b.lvl, row_number() OVER (ORDER BY ring.place, b.v) - 1 FROM b JOIN ring ON b.parent = ring.v AND b.lvl = ring.lvl + 1)),
+    sized AS (SELECT lvl, count(*) AS size FROM ring GROUP BY lvl), far AS (SELECT max(lvl) AS far, greatest(1.5, max(size) / 10) AS step FROM sized),
+    missed AS (SELECT u AS v, row_number() OVER (ORDER BY u) - 1 AS place, count(*) OVER () AS size FROM range((SELECT n FROM n)) x(u) WHERE u NOT IN (SELECT v FROM b)),
+    turned AS (SELECT v, lvl, place, 2 * pi() * (place + CASE WHEN lvl > 1 THEN 0.5 ELSE 0 END) / size AS angle, lvl * step AS radius FROM ring JOIN sized USING (lvl), far
+        UNION ALL SELECT v, -1, place, 2 * pi() * place / size, far * step + greatest(1.5, size / 10) FROM missed, far)
+    SELECT v AS vertex, lvl AS level, place, round(angle, 6) AS angle, round(radius * cos(angle), 6) AS x, round(radius * sin(angle), 6) AS y FROM turned""")
 def bfs_radial_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("small_world", spark, sf_dir)
-    return search.radial_layout(search.bfs(e, _least_source(e), True), 1.5)
+    e, n = _blocks(spark, sf_dir)
+    made = search.radial_layout(search.bfs(e, _least_source(e), True), n=n)
+    # adding zero takes the sign off a rounded zero
+    return made.select("vertex", "level", "place", *[(F.round(c, 6) + 0.0).alias(c) for c in ("angle", "x", "y")])
 
 
 # ---- validation and counts ----
@@ -504,26 +532,26 @@ def bfs_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.validate(spoilt.withColumn("level", F.col("level") + (F.col("vertex") % 31 == 7).cast("int")), e)
 
 
-@_query("edges_traversed_undirected", f"{_searched('first_purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = dst WHERE src <= dst")
+@_query("edges_traversed_undirected", f"{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = dst WHERE src <= dst")
 def edges_traversed_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("first_purchases", spark, sf_dir)
+    e = _graph("purchases", spark, sf_dir)
     return checks.edges_traversed(search.bfs(e, _least_source(e), True), e, True)
 
 
 @_query("edges_traversed_directed", f"{_searched('event_steps')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = src")
 def edges_traversed_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _graph("event_steps", spark, sf_dir)
-    return checks.edges_traversed(search.bfs(e, _least_source(e)), e, False)
+    return checks.edges_traversed(search.bfs(e, _least_source(e), local=True), e, False)
 
 
-_SEARCHES = f"""{_with('small_world', _ROOTS + ', ' + _MULTI)}, vis AS (SELECT s, count(*) AS visited, max(lvl) + 1 AS rounds FROM b GROUP BY s),
+_SEARCHES = f"""{_with('purchases', _ROOTS + ', ' + _MULTI)}, vis AS (SELECT s, count(*) AS visited, max(lvl) + 1 AS rounds FROM b GROUP BY s),
     mm AS (SELECT s, count(*) AS m FROM b JOIN e ON v = dst WHERE src <= dst GROUP BY s),
     searches AS (SELECT s AS source, rounds, visited, m, visited * 100 + s AS cycles, m / ((visited * 100 + s)::DOUBLE / {CLOCK}) / 1e9 AS gteps FROM vis JOIN mm USING (s))"""
 
 
 def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per search; search time is a made-up number of cycles, so that rows can be compared."""
-    e = _graph("small_world", spark, sf_dir)
+    e = _graph("purchases", spark, sf_dir)
     found = search.bfs(e, edges.sample_roots(e, 6, 5), True)
     joined = checks.eccentricity(found).join(checks.edges_traversed(found, e, True), "source")
     cycles = F.col("visited") * 100 + F.col("source")
@@ -593,11 +621,11 @@ def run_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("pending_cases", f"""{_LOG} SELECT s AS scale, g AS grid FROM range(10, 21) a(s), unnest([4, 8, 16, 32, 64, 128, 256, 512, 750]::BIGINT[]) b(g)
-    WHERE NOT EXISTS (SELECT 1 FROM log WHERE run_id % 29 = 0 AND scale = s AND grid = g)""")
+    WHERE NOT EXISTS (SELECT 1 FROM log WHERE total_cycles > 4500000 AND scale = s AND grid = g)""")
 def pending_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     scales = spark.range(10, 21).select(F.col("id").alias("scale"))
     planned = scales.withColumn("grid", F.explode(F.array(*[F.lit(g).cast("bigint") for g in derived.GRIDS])))
-    return telemetry.pending(planned, derived.run_log(spark, sf_dir).where("run_id % 29 = 0"), ["scale", "grid"])
+    return telemetry.pending(planned, derived.run_log(spark, sf_dir).where("total_cycles > 4500000"), ["scale", "grid"])
 
 
 @_query("log_cases", f"""{_LOG}, named AS (SELECT run_id, 'rmat_s' || scale || '_e16.balanced' || grid || 'x' || grid || '.mtx' AS file FROM log)
@@ -626,12 +654,12 @@ def pct_communication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _latest_runs(spark, sf_dir).select("scale", "grid", F.round(share, 6).alias("pct"))
 
 
-_CELLS = f"cells AS (SELECT scale, grid, round({_RATE}, 9) AS g FROM latest WHERE (scale + grid) % 7 <> 2)"
+_CELLS = f"cells AS (SELECT scale, grid, round({_RATE}, 9) AS g FROM latest)"
 
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = F.round(units.gteps(F.col("m"), _net()), 9)
-    return _latest_runs(spark, sf_dir).where("(scale + grid) % 7 <> 2").select("scale", "grid", rate.alias("g"))
+    return _latest_runs(spark, sf_dir).select("scale", "grid", rate.alias("g"))
 
 
 @_query("scale_grid_pivot", f"{_LATEST}, {_CELLS} SELECT scale, " + ", ".join(f"max(g) FILTER (grid = {g}) AS g{g}" for g in derived.GRIDS) + " FROM cells GROUP BY scale")
@@ -710,57 +738,40 @@ def rate_summary_by_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.rate_summary(rates, keys=("grid",))
 
 
-# ---- the searches of small graphs, over all rows of the tables ----
+# ---- files and tables of runs ----
 
 
-_register_search("all_event_paths", True, "_all_paths")
-_register_search("all_event_steps", False, "_all_directed")
+@_query("results_csv_scan", f"{_LOG} SELECT run_id, scale, grid, total_cycles, resolve_cycles, m, compute, term, duration FROM log")
+def results_csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "results-csv")
+    results.write_results(derived.run_log(spark, sf_dir), path)
+    kept_until_exit(spark, path)
+    return results.read_results(spark, path, derived.run_log(spark, sf_dir).schema).drop("ts")
 
 
-@_query("edge_stream_degrees_all", f"{_with('purchases')} SELECT src AS vertex, count(*) AS degree FROM e GROUP BY src")
-def edge_stream_degrees_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edge_stream.replay_degrees(derived.purchases(spark, sf_dir))
-
-
-@_query("bfs_levels_distributed_all", f"{_searched('purchases')} SELECT v AS vertex, lvl AS level, parent FROM b")
-def bfs_levels_distributed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("purchases", spark, sf_dir)
-    return search.bfs(e, _least_source(e), True, local_edges=0).select("vertex", "level", "parent")
-
-
-@_query("bfs_all_vertices_all", f"""{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, u AS vertex, coalesce(lvl, -1) AS level, coalesce(parent, -1) AS parent
-    FROM range((SELECT n FROM n)) x(u) LEFT JOIN b ON v = u""")
-def bfs_all_vertices_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = _blocks(spark, sf_dir)
-    root = _least_source(e).first()["source"]
-    return search.with_unreached(search.bfs(e, [root], True), n, root)
-
+@_query("run_log_rows", f"{_LOG} SELECT run_id, total_cycles FROM log WHERE scale = 12 AND grid = 64")
+def run_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return telemetry.of_case(derived.run_log(spark, sf_dir), {"scale": 12, "grid": 64}).select("run_id", "total_cycles")
 
-@_query("visited_from_parent_all", f"""{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, u AS vertex, v IS NOT NULL AS visited
-    FROM range((SELECT n FROM n)) x(u) LEFT JOIN b ON v = u""")
-def visited_from_parent_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.visited_from_parent(bfs_all_vertices_all(spark, sf_dir))
 
-
-@_query("bfs_multi_source_all", f"{_with('purchases', _ROOTS + ', ' + _MULTI)} SELECT s AS source, v AS vertex, lvl AS level, parent FROM b")
-def bfs_multi_source_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("purchases", spark, sf_dir)
-    return search.bfs(e, edges.sample_roots(e, 6, 5), True, local_edges=0)
+@_query("run_metadata", "SELECT event_id AS run_id, (props->>'$.k')::BIGINT AS k FROM events")
+def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "metadata")
+    found = derived.table(spark, sf_dir, "events")
+    found.select(F.to_json(F.struct(F.col("event_id").alias("run_id"), F.from_json("props", "k bigint").alias("props"))).alias("value")).write.text(path)
+    kept_until_exit(spark, path)
+    return results.read_metadata(spark, path, "run_id bigint, props struct<k: bigint>").select("run_id", "props.k")
 
 
-@_query("bfs_eccentricity_all", f"{_searched('all_event_paths')} SELECT (SELECT r FROM ({_ROOT})) AS source, max(lvl) AS eccentricity, max(lvl) + 1 AS rounds, count(*) AS visited FROM b")
-def bfs_eccentricity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("all_event_paths", spark, sf_dir)
-    return checks.eccentricity(search.bfs(e, _least_source(e), True))
-
-
-@_query("edges_traversed_undirected_all", f"{_searched('purchases')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = dst WHERE src <= dst")
-def edges_traversed_undirected_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("purchases", spark, sf_dir)
-    return checks.edges_traversed(search.bfs(e, _least_source(e), True), e, True)
+@_query("phase_table", f"SELECT l_orderkey AS run, round, row_b, col_b, 'compute' AS phase, t_end - t_start AS cycles FROM ({TICKS_SQL})")
+def phase_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "phases")
+    ticks = decode_timestamps(spark, sf_dir).select(F.col("l_orderkey").alias("run"), "round", "row_b", "col_b", F.col("cycles").alias("compute"))
+    results.write_phases(ticks, ["run", "round", "row_b", "col_b"], ["compute"], path)
+    kept_until_exit(spark, path)
+    return results.read_phases(spark, path)
 
 
-@_query("edges_traversed_directed_all", f"{_searched('all_event_steps')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = src")
-def edges_traversed_directed_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _graph("all_event_steps", spark, sf_dir)
-    return checks.edges_traversed(search.bfs(e, _least_source(e)), e, False)
+@_query("block_structure", f"{_with('purchases', _BLK)} SELECT row_b, col_b, count(*) AS nnz, count(DISTINCT col_l) AS nz_cols, count(DISTINCT row_l) AS nz_rows FROM blk GROUP BY ALL")
+def block_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.nz_lines_per_block(*_blocks(spark, sf_dir), GRID)

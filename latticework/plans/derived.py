@@ -14,48 +14,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _purchases(spark: SparkSession, sf_dir: str, sparse: bool) -> DataFrame:
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    if sparse:
-        orders, lines = orders.where("o_orderkey % 10 = 0"), lines.where("l_linenumber = 1")
-    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    one = joined.select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).distinct()
+def _both_ways(one: DataFrame) -> DataFrame:
     return one.unionByName(reverse(one))
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers (even ids) and the parts they bought (odd ids), symmetric."""
-    return _purchases(spark, sf_dir, False)
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    return _both_ways(joined.select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).distinct())
 
 
-def first_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same for the first line of every tenth order: sparse, many components."""
-    return _purchases(spark, sf_dir, True)
+def customer_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers (even ids) and their orders (odd ids), symmetric: sparse, one component per customer."""
+    return _both_ways(table(spark, sf_dir, "orders").select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("o_orderkey") + 1).alias("dst")))
 
 
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed paths of consecutive events of three users."""
-    return _steps(table(spark, sf_dir, "events").where("user_id < 3 AND event_id % 4 = 0"))
-
-
-def all_event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed paths of the consecutive events of each user."""
-    return _steps(table(spark, sf_dir, "events"))
-
-
-def all_event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = all_event_steps(spark, sf_dir)
-    return steps.unionByName(reverse(steps))
-
-
-def _steps(events: DataFrame) -> DataFrame:
     following = F.expr("lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
-    return events.select(F.col("event_id").alias("src"), following.alias("dst")).where("dst IS NOT NULL")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("src"), following.alias("dst")).where("dst IS NOT NULL")
 
 
 def event_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = event_steps(spark, sf_dir)
-    return steps.unionByName(reverse(steps))
+    """The same paths, symmetric."""
+    return _both_ways(event_steps(spark, sf_dir))
 
 
 def small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,17 +109,14 @@ def sync_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _JOINED = "orders JOIN lineitem ON l_orderkey = o_orderkey"
 _BOTH = "SELECT c AS src, p AS dst FROM g UNION ALL SELECT p, c FROM g"
-_STEPS = "SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events WHERE user_id < 3 AND event_id % 4 = 0"
-_ALL_STEPS = "SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events"
+_STEPS = "SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events"
 
 #: name: SQL of ``e(src, dst)``
 GRAPH_SQL = {
     "purchases": f"WITH g AS (SELECT DISTINCT 2 * o_custkey AS c, 2 * l_partkey + 1 AS p FROM {_JOINED}) {_BOTH}",
-    "first_purchases": f"WITH g AS (SELECT DISTINCT 2 * o_custkey AS c, 2 * l_partkey + 1 AS p FROM {_JOINED} WHERE o_orderkey % 10 = 0 AND l_linenumber = 1) {_BOTH}",
+    "customer_orders": f"WITH g AS (SELECT 2 * o_custkey AS c, 2 * o_orderkey + 1 AS p FROM orders) {_BOTH}",
     "event_steps": f"SELECT src, dst FROM ({_STEPS}) WHERE dst IS NOT NULL",
     "event_paths": f"WITH s AS (SELECT src, dst FROM ({_STEPS}) WHERE dst IS NOT NULL) SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s",
-    "all_event_steps": f"SELECT src, dst FROM ({_ALL_STEPS}) WHERE dst IS NOT NULL",
-    "all_event_paths": f"WITH s AS (SELECT src, dst FROM ({_ALL_STEPS}) WHERE dst IS NOT NULL) SELECT src, dst FROM s UNION ALL SELECT dst, src FROM s",
     "small_world": """WITH d AS (SELECT i, l, ('0x' || substr(md5('7:' || i || ':' || l), 1, 8))::BIGINT AS r FROM range(1024) a(i), range(8) b(l)),
         w AS (SELECT i, sum(CASE WHEN r >= 3264175145 THEN 1 << (7 - l) ELSE 0 END)::BIGINT AS u,
                      sum(CASE WHEN (r >= 2448131359 AND r < 3264175145) OR r >= 4080218931 THEN 1 << (7 - l) ELSE 0 END)::BIGINT AS v FROM d GROUP BY i)

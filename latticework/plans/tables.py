@@ -2,7 +2,8 @@
 
 Iterative plans write each round's rows there and read them back, which cuts the
 lineage and lets the loss of an executor cost a re-read only. The folder is the
-session's ``spark.checkpoint.dir``.
+session's ``spark.checkpoint.dir``. What is no longer read is discarded; whatever
+is left is deleted when the driver's JVM ends.
 """
 
 from __future__ import annotations
@@ -22,8 +23,31 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/latticework-tables"
 
 
+def _delete(spark: SparkSession, path: str, at_exit: bool) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.deleteOnExit(where) if at_exit else store.delete(where, True)
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    """A path for a table of this session."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def kept_until_exit(spark: SparkSession, path: str) -> None:
+    """Let the driver's JVM delete what was written to ``path`` when it ends."""
+    _delete(spark, path, True)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df``, written once and scanned from then on."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept_until_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table made by ``stored`` that nothing reads any more."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        _delete(df.sparkSession, folder, False)

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from latticework.__main__ import main
 from latticework.operators import checks, search
 from latticework.plans import benchmark, prepare
-from latticework.sources.graphs import Graph, read_graph
+from latticework.sources.graphs import Graph, read_graph, read_permutation
 
 
 def test_benchmark_tables(spark: SparkSession) -> None:
@@ -57,3 +57,16 @@ def test_command_line(spark: SparkSession, tmp_path: Path) -> None:
         main(["benchmark", f"{tmp_path}/b.mtx", "--searches", "2", "--out", f"{tmp_path}/r"])
     assert spark.read.parquet(f"{tmp_path}/r/searches").where("correctness_ok").count() == 4
     assert spark.read.parquet(f"{tmp_path}/r/summary").count() == 2
+    main(["search", f"{tmp_path}/b.mtx", "--source", "3", "--permutation", f"{tmp_path}/b.operm", "--direction-switch", "--out", f"{tmp_path}/s"])
+    row = spark.read.parquet(f"{tmp_path}/s/searches").first()
+    new = next(r["new_id"] for r in read_permutation(spark, f"{tmp_path}/b.operm").collect() if r["old_id"] == 3)
+    assert row["source"] == new and row["correctness_ok"]
+    assert spark.read.parquet(f"{tmp_path}/s/tree-{new}").count() == row["visited_count"]
+    with pytest.raises(ValueError, match="outside"):
+        main(["search", f"{tmp_path}/b.mtx", "--source", "900", "--out", f"{tmp_path}/s"])
+
+
+def test_graphs_with_impossible_ids_are_refused(spark: SparkSession) -> None:
+    for pairs, n in (([(0, -1)], 3), ([(3, 0)], 3), ([(None, 0)], 3), ([], 0)):
+        with pytest.raises(ValueError, match="outside|at least one"):
+            benchmark.build("x", Graph(spark.createDataFrame(pairs, "src bigint, dst bigint"), n))

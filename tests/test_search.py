@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from pathlib import Path
 
@@ -45,17 +46,17 @@ def as_dict(df: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["vertex"]: (r["level"], r["parent"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("local_edges", [0, 1_000_000])
+@pytest.mark.parametrize("local", [False, True])
 @pytest.mark.parametrize(
     ("pairs", "root"), [(PATH, 0), (PATH, 4), (DIAMOND, 0), (LATE, 0), ([(7, 7), (0, 1)], 7), ([(0, 1), (1, 0), (2, 3), (3, 2)], 2), ([], 5)]
 )
-def test_unit_graphs(spark: SparkSession, pairs: list[tuple[int, int]], root: int, local_edges: int) -> None:
-    assert as_dict(search.bfs(table(spark, pairs), [root], local_edges=local_edges)) == plain(pairs, root)
+def test_unit_graphs(spark: SparkSession, pairs: list[tuple[int, int]], root: int, local: bool) -> None:
+    assert as_dict(search.bfs(table(spark, pairs), [root], local=local)) == plain(pairs, root)
 
 
 def test_rounds_count_the_empty_one(spark: SparkSession) -> None:
-    for local_edges in (0, 1_000_000):
-        rounds = search.bfs_rounds(table(spark, PATH), [0], local_edges=local_edges)
+    for local in (False, True):
+        rounds = search.bfs_rounds(table(spark, PATH), [0], local=local)
         assert [r["nf"] for r in sorted(rounds.collect(), key=lambda r: r["round"])] == [1, 1, 1, 1, 0]
 
 
@@ -66,34 +67,74 @@ def test_golden_rounds(spark: SparkSession, scale: int, factor: int, nf: list[in
     assert [r["nf"] for r in sorted(rounds, key=lambda r: r["round"])] == nf
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(pairs=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=40))
-def test_random_graphs(spark: SparkSession, pairs: list[tuple[int, int]]) -> None:
-    root = pairs[0][0]
-    both = [*pairs, *[(b, a) for a, b in pairs]]
-    assert as_dict(search.bfs(table(spark, pairs), [root])) == plain(pairs, root)
-    assert as_dict(search.bfs(table(spark, both), [root], symmetric=True, switch_at=2)) == plain(both, root)
+def judged(pairs: list[tuple[int, int]], roots: list[int], switch_at: float | None) -> tuple[dict, dict]:
+    """Levels and parents, and the rounds, of each root, by plain searches."""
+    found, history = {}, {}
+    for root in set(roots):
+        own = plain(pairs, root)
+        found |= {(root, v): x for v, x in own.items()}
+        bottom_up = False
+        for number in range(max(level for level, _ in own.values()) + 1):
+            nf = sum(level == number + 1 for level, _ in own.values())
+            history[root, number] = (nf, "bottom_up" if bottom_up else "top_down")
+            bottom_up = bottom_up or switch_at is not None and nf > switch_at
+    return found, history
+
+
+def triples(df: DataFrame) -> dict:
+    rows = df.collect()
+    found = {(r["source"], r["vertex"]): (r["level"], r["parent"]) for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    pairs=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=40),
+    roots=st.lists(st.integers(0, 12), min_size=1, max_size=5),
+    symmetric=st.booleans(),
+    switch_at=st.none() | st.integers(0, 5),
+)
+def test_both_plans_agree_on_random_graphs(spark: SparkSession, pairs: list, roots: list[int], symmetric: bool, switch_at: int | None) -> None:
+    given_edges = [*pairs, *[(b, a) for a, b in pairs]] if symmetric else pairs
+    want, rounds = judged(given_edges, roots, switch_at)
+    for local in (False, True):
+        got = search.bfs(table(spark, given_edges), roots, symmetric, switch_at, local)
+        assert triples(got) == want
+        assert {(r["source"], r["round"]): (r["nf"], r["direction"]) for r in search.rounds_of(got, switch_at).collect()} == rounds
 
 
-def test_distributed_plan_agrees(spark: SparkSession) -> None:
+@pytest.mark.parametrize("switch_at", [None, 5.0, 20.0])
+def test_many_roots_and_hubs_in_parts(spark: SparkSession, switch_at: float | None) -> None:
     graph = rmat.rmat(spark, 7, 4, 1)
     pairs = [tuple(r) for r in graph.collect()]
-    for switch_at in (None, 20):
-        found = search.bfs(graph, [1, 2, 2], symmetric=True, switch_at=switch_at, local_edges=0) if switch_at is None else search.bfs(graph, [1], True, switch_at, local_edges=0)
-        for root in {r["source"] for r in found.collect()}:
-            assert as_dict(found.where(f"source = {root}")) == plain(pairs, root)
+    most = max(sum(a == v for a, _ in pairs) for v, _ in pairs)
+    built = search.build(graph, hub_degree=7, buckets=3)
+    assert built.hubs is not None and built.edges.agg({"part": "max"}).first()[0] == -(-most // 7) - 1
+    assert sorted((r["src"], r["dst"]) for r in built.edges.collect()) == sorted(pairs)
+    # one build, several searches
+    for roots in ([1, 2, 2, 5], [0]):
+        assert triples(search.bfs(built, roots, True, switch_at)) == judged(pairs, roots, switch_at)[0]
+
+
+def test_edges_of_a_build_are_not_shuffled(spark: SparkSession) -> None:
+    built = search.build(table(spark, [(i, (i * 7) % 50) for i in range(50)]))
+    ring = spark.range(50).selectExpr("id % 3 AS source", "id AS vertex").hint("shuffle_merge")
+    plan = search._met(built, ring)._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin") :]
+    assert join.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
 
 
 def test_long_directed_path_merges_levels(spark: SparkSession) -> None:
     pairs = [(i, i + 1) for i in range(20)] + [(20, 0), (10, 3)]
-    assert as_dict(search.bfs(table(spark, pairs), [0], local_edges=0)) == plain(pairs, 0)
+    assert as_dict(search.bfs(table(spark, pairs), [0])) == plain(pairs, 0)
 
 
 def test_direction_switches_once(spark: SparkSession) -> None:
     star = [(0, k) for k in range(1, 1001)]
     both = star + [(b, a) for a, b in star]
-    for local_edges in (0, 1_000_000):
-        rounds = search.bfs_rounds(table(spark, both), [0], True, search.switch_threshold(1001), local_edges=local_edges).collect()
+    for local in (False, True):
+        rounds = search.bfs_rounds(table(spark, both), [0], True, search.switch_threshold(1001), local).collect()
         assert [(r["nf"], r["direction"]) for r in sorted(rounds, key=lambda r: r["round"])] == [(1000, "top_down"), (0, "bottom_up")]
 
 
@@ -126,10 +167,14 @@ def test_traversed_edges_by_convention(spark: SparkSession) -> None:
 
 
 def test_layout_rings(spark: SparkSession) -> None:
-    rows = search.radial_layout(search.bfs(table(spark, DIAMOND), [0]), 2.0).collect()
-    assert {r["vertex"]: round((r["x"] ** 2 + r["y"] ** 2) ** 0.5, 6) for r in rows} == {0: 0.0, 1: 2.0, 2: 2.0, 3: 4.0}
-    with pytest.raises(ValueError, match="layout"):
-        search.radial_layout(search.bfs(table(spark, DIAMOND), [0]), 2.0, max_vertices=3)
+    tree = spark.createDataFrame(
+        [(9, 9, 0, 9), (9, 4, 1, 9), (9, 2, 1, 9), (9, 1, 2, 4), (9, 7, 2, 2), (9, 8, 2, 2)], "source bigint, vertex bigint, level int, parent bigint"
+    )
+    rows = {r["vertex"]: r for r in search.radial_layout(tree, 2.0, n=11).collect()}
+    turns = {v: round(r["angle"] / (2 * math.pi), 6) for v, r in rows.items()}
+    assert turns == {9: 0.0, 2: 0.0, 4: 0.5, 7: round(0.5 / 3, 6), 8: 0.5, 1: round(2.5 / 3, 6)} | {v: k / 5 for k, v in enumerate((0, 3, 5, 6, 10))}
+    assert {v: round(math.hypot(r["x"], r["y"]), 6) for v, r in rows.items()} == {9: 0.0, 2: 2.0, 4: 2.0, 1: 4.0, 7: 4.0, 8: 4.0} | dict.fromkeys((0, 3, 5, 6, 10), 5.5)
+    assert len(search.radial_layout(tree).collect()) == 6
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
@@ -147,11 +192,11 @@ def test_searches_over_whole_tables(spark: SparkSession) -> None:
         found = {b for a in front for b in near[a]} - level.keys()
         level |= dict.fromkeys(found, level[front[0]] + 1)
         front = list(found)
-    got = run["bfs_levels_distributed_all"](spark, str(DATA)).collect()
+    got = run["bfs_levels_distributed_g1"](spark, str(DATA)).collect()
     assert {r["vertex"]: r["level"] for r in got} == level
     assert all(r["parent"] == min([p for p in near[r["vertex"]] if level[p] == r["level"] - 1], default=r["vertex"]) for r in got)
     users: dict[int, int] = {}
     for r in tables["events"].collect():
         users[r["user_id"]] = users.get(r["user_id"], 0) + 1
-    assert derived.all_event_steps(spark, str(DATA)).count() == sum(n - 1 for n in users.values())
+    assert derived.event_steps(spark, str(DATA)).count() == sum(n - 1 for n in users.values())
 
