@@ -220,7 +220,7 @@ def crossover(a: Bins, b: Bins, lengths: list[int], capacity: int, rng: random.R
 
 
 def evolve(
-    lengths: list[int], capacity: int, population: list[list[int]], rng: random.Random, size: int = 8, generations: int = 20, falling: bool = False
+    lengths: list[int], capacity: int, population: list[list[int]], rng: random.Random, size: int = 5, generations: int = 30, falling: bool = False
 ) -> tuple[list[Bins], int]:
     """One epoch on one island: the population after it, best first, and its number of generations.
 
@@ -247,6 +247,9 @@ def evolve(
     return alive, number
 
 
+#: Islands that one task evolves, one after the other.
+ISLANDS_A_TASK = 16
+
 _STATE = "shard long, island int, lengths array<int>, uids array<long>, population array<array<int>>, bins int, squares long, generations int, migrations int"
 
 
@@ -283,6 +286,8 @@ def _pack_level(items: DataFrame, capacity: int, level: int, shards: int, island
         .select("shard", F.transform("of", lambda x: -x["n"]).alias("lengths"), F.col("of.uid").alias("uids"))
     )
     start = packed.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", "uids")
+    # an island is few bytes and much work: partitions go by number, not by size
+    start = start.repartition(-(-shards * islands // ISLANDS_A_TASK), "shard", "island")
     none = {"population": F.array().cast("array<array<int>>"), "generations": F.lit(0), "migrations": F.lit(0)}
     state = materialize(_epoch(start.withColumns(none), capacity, 0), "pack-epoch")
     for epoch in range(1, epochs):
