@@ -394,7 +394,8 @@ def similar_groups(
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
     """The rows of ``docs`` without near copies: of each group of similar texts the row with the smallest id.
 
-    Null ids come last. A row repeated in full is kept once.
+    Null ids come last. Of rows with one id and one text one is kept, the same in every run,
+    whatever their other columns hold.
     """
     groups = similar_groups(docs, text_col, **how)
     node = _node(F.coalesce(F.col(text_col), F.lit("")))
@@ -405,5 +406,6 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # one text key for node and id: join and grouping share a partitioning, so rows are shuffled once
     place = lambda at, ident: F.concat_ws("/", at, F.coalesce(ident.cast("string"), F.lit("-")))
     kept = materialize(best.select(place(F.col("k.node"), F.col("k.least._id")).alias("_place")), "similar-kept")
-    whole = docs.select(F.struct("*").alias("_row"), place(node, F.col(id_col)).alias("_place"))
-    return whole.join(kept, "_place").groupBy("_place").agg(F.first("_row").alias("_row")).select("_row.*")
+    hashed = [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in ((f"`{n}`", k) for n, k in docs.dtypes) if c != f"`{text_col}`"]
+    whole = docs.select(F.struct("*").alias("_row"), place(node, F.col(id_col)).alias("_place"), F.xxhash64(*hashed).alias("_order"))
+    return whole.join(kept, "_place").groupBy("_place").agg(F.min_by("_row", "_order").alias("_row")).select("_row.*")

@@ -56,3 +56,10 @@ def test_against_brute_force(spark: SparkSession) -> None:
     cleaned = next(r for r in got if r["n_removed_words"] and r["kept"])
     assert "cookies" not in cleaned["clean_text"].lower() and "cookies" in cleaned["text"].lower()
     assert line_frequency_verdicts(docs.limit(0)).collect() == []
+
+
+def test_carried_columns_of_any_name(spark: SparkSession) -> None:
+    text = "one line of a text\n" * 9
+    docs = spark.createDataFrame([(1, text, "s", 7, "l", "c")], "doc_id long, text string, source string, n_words int, lines string, _carry string")
+    got = line_frequency_verdicts(docs, carry=("text", "n_words", "lines", "_carry", "source")).first().asDict()
+    assert (got["n_words"], got["lines"], got["_carry"], got["clean_text"], got["source"]) == (45, "l", "c", text, "s")

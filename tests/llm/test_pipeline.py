@@ -44,3 +44,32 @@ def test_further_columns_pass(spark: SparkSession) -> None:
     for _, stage in pipeline.STAGES[:-1]:
         docs = pipeline.materialize(stage(spark, docs, str(DATA)), "test-further")
         assert set(docs.columns) == {"doc_id", "text", "lang", "source", "n_chars", "_row", "score", "n_card"}
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_empty_tables(spark: SparkSession, tmp_path: Path) -> None:
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns and got.collect() == []
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_nulls_ties_and_repeated_rows(spark: SparkSession, tmp_path: Path) -> None:
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text = " ".join(f"word{i}" for i in range(60))
+    rows = [(3, text, "en", "a", 1), (3, text, "en", "a", 1), (3, text, "de", None, 1), (None, text, None, None, None), (2, None, None, "a", None), (2, "", "en", "a", 0), (9, f"{text} mail a1@b.org", "en", "a", 1)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    of = {name: [tuple(r) for r in stage(spark, docs, str(tmp_path)).collect()] for name, stage in pipeline.STAGES}
+    assert sorted(r[0] or 0 for r in of["quality_rules"]) == [0, 3, 3, 3, 9]
+    assert len(of["quality_classifier"]) == len(rows)  # without labels every score is 0.5
+    # one of the similar texts with the smallest id, one of those without a word
+    assert sorted((r[0], r[1] or "") for r in of["near_dedup"]) == [(2, ""), (3, text)]
+    again = [tuple(r) for r in pipeline.STAGES[2][1](spark, docs.repartition(3), str(tmp_path)).collect()]
+    assert sorted(map(str, again)) == sorted(map(str, of["near_dedup"]))
+    assert len(of["pseudonyms"]) == len(rows) and all(r[4] == (None if r[1] is None else len(r[1])) for r in of["pseudonyms"])
+    assert sum(r[3] for r in of["pack"]) >= 4 * 60 and len(of["pack"]) == len(rows)
