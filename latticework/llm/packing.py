@@ -64,49 +64,52 @@ _NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, not to the tokenize
 class WordTokenizer:
     """Ids of a tokenizers file of the lower-casing word-end BPE kind, as packed 32-bit numbers.
 
-    Its pieces never cross white space, so ids are memoised by white-space run
-    and by piece. Runs with characters whose class or lower case may differ
-    between libraries go through the library's own encode.
+    Its pieces never cross white space, so ids are memoised by white-space run. A
+    piece in lower case is a run of its own, so runs with capitals or marks around
+    a word share the word's ids. Runs with characters whose class or lower case may
+    differ between libraries go through the library's own encode.
     """
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.pieces = Memo()
-        self.runs = Memo()
+        self.bpe = self.whole.model.tokenize
+        self.memo = Memo()
 
     def _library(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.old(piece)
+        """The ids of a piece that is not among the young."""
+        ids = self.memo.old(piece)
         if ids is None:
-            # printable ASCII stands for itself in the byte-to-character table
-            plain = piece.isascii() and piece.isprintable()
-            shown = piece if plain else "".join(map(_SHOWN.__getitem__, piece.encode()))
-            ids = array("I", [t.id for t in self.whole.model.tokenize(shown)]).tobytes()
-        return self.pieces.put(piece, ids)
+            # ASCII without control characters stands for itself in the byte-to-character table
+            shown = piece if piece.isascii() else "".join(map(_SHOWN.__getitem__, piece.encode()))
+            ids = array("I", [t.id for t in self.bpe(shown)]).tobytes()
+        return self.memo.put(piece, ids)
 
     def _run(self, run: str) -> bytes:
-        ids = self.runs.old(run)
-        if ids is None:
-            if not _SIMPLE(run):
-                return self.runs.put(run, self._library(run))
-            low = run.lower()
-            if low.isalpha():
-                parts = (low,)
-            elif low[-1] in _STOPS and low[:-1].isalpha():
-                parts = (low[:-1], low[-1])
-            else:
-                parts = _SPLIT.findall(low)
-            known = self.pieces.young.get
-            ids = b"".join([known(p) or self._piece(p) for p in parts])
-        return self.runs.put(run, ids)
+        """The ids of a run that is not among the young."""
+        if not _SIMPLE(run):
+            ids = self.memo.old(run)
+            return self.memo.put(run, self._library(run) if ids is None else ids)
+        low = run.lower()
+        if low.isalpha():
+            if low == run:
+                return self._piece(run)
+            parts = (low,)
+        else:
+            ids = self.memo.old(run)
+            if ids is not None:
+                return self.memo.put(run, ids)
+            parts = (low[:-1], low[-1]) if low[-1] in _STOPS and low[:-1].isalpha() else _SPLIT.findall(low)
+        known = self.memo.young.get
+        return self.memo.put(run, b"".join([known(p) or self._piece(p) for p in parts]))
 
     def encode(self, text: str) -> bytes:
         if any(c in text for c in _NOT_SPACE):
             return self._library(text)
-        known = self.runs.young.get
+        known = self.memo.young.get
         return b"".join([known(r) or self._run(r) for r in text.split()])
 
 
