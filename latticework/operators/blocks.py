@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from latticework.operators.edges import out_degree, relabel, with_global_rank
 
 
+#: Vertices of a range within which ranks and prefix sums run; ranges are combined by their totals.
+SPAN = 1 << 16
+
+
 def block_edge(n: int, grid: int) -> int:
     return -(-n // grid)
 
@@ -45,11 +49,11 @@ def nnz_per_block(edges: DataFrame, n: int, grid: int) -> DataFrame:
 
 def nz_lines_per_block(edges: DataFrame, n: int, grid: int) -> DataFrame:
     """Per block with edges: nnz and its distinct nonzero columns and rows."""
-    return (
-        block_coords(edges, n, grid)
-        .groupBy("row_b", "col_b")
-        .agg(F.count("*").alias("nnz"), F.countDistinct("col_l").alias("nz_cols"), F.countDistinct("row_l").alias("nz_rows"))
-    )
+    placed, block = block_coords(edges, n, grid), ["row_b", "col_b"]
+    # distinct lines as sums of groups: each edge is shuffled at most twice, combined on the map side
+    cols = placed.groupBy(*block, "col_l").agg(F.count("*").alias("n")).groupBy(*block).agg(F.sum("n").cast("bigint").alias("nnz"), F.count("*").alias("nz_cols"))
+    rows = placed.groupBy(*block, "row_l").agg(F.count("*").alias("n")).groupBy(*block).agg(F.count("*").alias("nz_rows"))
+    return cols.join(rows, block)
 
 
 def partition_maxima(edges: DataFrame, n: int, grid: int) -> DataFrame:
@@ -64,7 +68,8 @@ def compressed_columns(edges: DataFrame, n: int, grid: int) -> DataFrame:
     Per block and nonzero column: its rank ``col_idx`` among the block's nonzero
     columns, the offset ``col_loc`` of its rows in the block, their number
     ``col_len`` and the sorted ``rows``. A column of a block has at most
-    ceil(n / P) rows, so its array is bounded by the grid.
+    ceil(n / P) rows, so its array is bounded by the grid. Ranks and offsets run
+    within ranges of columns, then over the ranges' totals: no task sorts a block.
     """
     columns = (
         block_coords(edges, n, grid)
@@ -72,40 +77,51 @@ def compressed_columns(edges: DataFrame, n: int, grid: int) -> DataFrame:
         .agg(F.array_sort(F.collect_list("row_l")).alias("rows"))
         .withColumn("col_len", F.size("rows").cast("bigint"))
     )
-    block = Window.partitionBy("row_b", "col_b").orderBy("col_l")
-    before = block.rowsBetween(Window.unboundedPreceding, -1)
-    return columns.select(
+    ranged = columns.withColumn("part", F.expr(f"col_l div {SPAN}"))
+    inside = Window.partitionBy("row_b", "col_b", "part").orderBy("col_l")
+    block = Window.partitionBy("row_b", "col_b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    totals = ranged.groupBy("row_b", "col_b", "part").agg(F.count("*").alias("n"), F.sum("col_len").alias("total"))
+    bases = totals.select(
+        "row_b", "col_b", "part", F.coalesce(F.sum("n").over(block), F.lit(0)).alias("idx_base"), F.coalesce(F.sum("total").over(block), F.lit(0)).alias("loc_base")
+    )
+    local = ranged.withColumn("idx", F.row_number().over(inside) - 1).withColumn(
+        "loc", F.coalesce(F.sum("col_len").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
+    return local.join(bases, ["row_b", "col_b", "part"]).select(
         "row_b",
         "col_b",
         "col_l",
-        (F.row_number().over(block) - 1).cast("bigint").alias("col_idx"),
-        F.coalesce(F.sum("col_len").over(before), F.lit(0)).cast("bigint").alias("col_loc"),
+        (F.col("idx_base") + F.col("idx")).cast("bigint").alias("col_idx"),
+        (F.col("loc_base") + F.col("loc")).cast("bigint").alias("col_loc"),
         "col_len",
         "rows",
     )
 
 
 def nonzero_ranks(edges: DataFrame, n: int, grid: int) -> DataFrame:
-    """Each edge's rank inside its block column, and whether it opens a new one."""
-    column = Window.partitionBy("row_b", "col_b", "src").orderBy("dst")
-    return block_coords(edges, n, grid).select(
-        "row_b",
-        "col_b",
-        "src",
-        "dst",
-        (F.row_number().over(column) - 1).cast("bigint").alias("rank_in_col"),
-        F.lag("dst").over(column).isNull().alias("opens_col"),
-    )
-
+    """Each edge's rank inside its block column, and whether it opens a new one.
 
-def csr_offsets(edges: DataFrame, n: int, parts: int = 64) -> DataFrame:
+    Ranks count within ranges of rows, then over the ranges' sizes, so no task sorts all edges of a hub.
+    """
+    column = ["row_b", "col_b", "src"]
+    ranged = block_coords(edges, n, grid).withColumn("part", F.expr(f"row_l div {SPAN}"))
+    inside = Window.partitionBy(*column, "part").orderBy("dst")
+    before = Window.partitionBy(*column).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    sizes = ranged.groupBy(*column, "part").agg(F.count("*").alias("n"))
+    bases = sizes.select(*column, "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    ranked = ranged.withColumn("at", F.row_number().over(inside) - 1).join(bases, [*column, "part"])
+    rank = (F.col("base") + F.col("at")).cast("bigint")
+    return ranked.select(*column, "dst", rank.alias("rank_in_col"), (rank == 0).alias("opens_col"))
+
+
+def csr_offsets(edges: DataFrame, n: int, parts: int | None = None) -> DataFrame:
     """(vertex, degree, row_start) for all vertices: prefix sums of out-degrees.
 
     Two-level: sums within ranges of vertices, then over the ranges' totals, so
-    no window spans the whole table.
+    no window spans the whole table, and no range grows with it unless ``parts`` fixes their number.
     """
     spark = edges.sparkSession
-    span = max(1, -(-n // parts))
+    span = max(1, -(-n // parts)) if parts else SPAN
     degrees = spark.range(n).join(out_degree(edges), F.col("id") == F.col("vertex"), "left")
     degrees = degrees.select(F.col("id").alias("vertex"), F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"), F.expr(f"id div {span}").alias("part"))
     inside = Window.partitionBy("part").orderBy("vertex").rowsBetween(Window.unboundedPreceding, -1)
@@ -165,6 +181,7 @@ def load_histogram(edges: DataFrame, n: int, grid: int, bins: int = 60) -> DataF
 
 def density_2d(edges: DataFrame, n: int, bins: int) -> DataFrame:
     """(row_bin, col_bin, n_edges) of non-empty bins."""
+    n = max(1, n)
     return (
         edges.select(F.expr(f"dst * {bins} div {n}").alias("row_bin"), F.expr(f"src * {bins} div {n}").alias("col_bin"))
         .groupBy("row_bin", "col_bin")

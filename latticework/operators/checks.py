@@ -13,7 +13,10 @@ def invalid_parents(result: DataFrame, edges: DataFrame) -> DataFrame:
     """
     tree = result.where(F.col("vertex") != F.col("source")).select("source", "vertex", "level", "parent")
     up = result.select("source", F.col("vertex").alias("parent"), F.col("level").alias("parent_level"))
-    real = edges.select(F.col("src").alias("parent"), F.col("dst").alias("vertex"), F.lit(True).alias("there")).distinct()
+    pairs = tree.select("parent", "vertex").distinct()
+    # only edges that are tree edges of some search are kept, before anything is made distinct
+    real = edges.select(F.col("src").alias("parent"), F.col("dst").alias("vertex")).join(pairs, ["parent", "vertex"], "left_semi")
+    real = real.distinct().withColumn("there", F.lit(True))
     judged = tree.join(up, ["source", "parent"], "left").join(real, ["parent", "vertex"], "left")
     reason = (
         F.when(F.col("parent_level").isNull(), "parent not visited")

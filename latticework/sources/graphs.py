@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from latticework.operators.edges import with_global_rank
 
 BANNER = "%%MatrixMarket"
+#: What a coordinate matrix holds, its symmetries, and which of them exclude each other.
+FIELDS = ("real", "complex", "integer", "pattern")
+SYMMETRIES = ("general", "symmetric", "hermitian", "skew-symmetric")
+IMPOSSIBLE = {("real", "hermitian"), ("pattern", "hermitian"), ("pattern", "skew-symmetric")}
 
 
 @dataclass(frozen=True)
@@ -32,6 +36,11 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.repartition(spark.sparkContext.defaultParallelism) if path.endswith((".gz", ".bz2")) else lines
 
 
+def _head(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a file, or of the first part of a folder of parts."""
+    return spark.read.text(min(spark.read.text(path).inputFiles()))
+
+
 def _tokens(line: str = "value") -> Column:
     return F.split(F.trim(F.regexp_replace(line, "[\\s]+", " ")), " ")
 
@@ -58,21 +67,25 @@ def read_edge_list(spark: SparkSession, path: str) -> Graph:
 
 
 def read_matrix_market(spark: SparkSession, path: str, strict: bool = False) -> Graph:
-    """A coordinate file. ``strict`` takes real matrices only and does not expand symmetric ones.
+    """A coordinate file, or a folder of its parts. ``strict`` takes real matrices only and does not expand symmetric ones.
+
+    Fields and symmetries that no coordinate matrix can have together are refused.
 
     Symmetric and skew-symmetric files hold one triangle; the mirror is added.
     """
-    lines = _lines(spark, path)
-    banner = spark.read.text(path).where(F.col("value").startswith(BANNER)).first()
+    lines, head = _lines(spark, path), _head(spark, path)
+    banner = head.where(F.col("value").startswith(BANNER)).first()
     words = banner["value"].lower().split() if banner else []
     if len(words) < 5 or words[1] != "matrix" or words[2] != "coordinate":
         raise ValueError(f"{path} is not a Matrix Market coordinate file")
+    if words[3] not in FIELDS or words[4] not in SYMMETRIES or (words[3], words[4]) in IMPOSSIBLE:
+        raise ValueError(f"{path}: no matrix is {words[3]} {words[4]}")
     if strict and words[3] != "real":
         raise ValueError(f"{path} holds {words[3]} values; real ones are wanted")
     body = lines.where(~F.col("value").rlike("^\\s*(%|$)")).select(_tokens().alias("t"))
     number = [F.get("t", F.lit(i)).try_cast("bigint") for i in range(3)]
     # the size line is the first one without a mark; it is told by its place, not by its form
-    first = spark.read.text(path).where(~F.col("value").rlike("^\\s*(%|$)")).limit(1).select(_tokens().alias("t"))
+    first = head.where(~F.col("value").rlike("^\\s*(%|$)")).limit(1).select(_tokens().alias("t"))
     size = first.select(number[0].alias("rows"), number[1].alias("cols"), F.concat_ws(" ", "t").alias("line")).first()
     if size is None or size["rows"] != size["cols"]:
         raise ValueError(f"{path}: the matrix must be square")
@@ -90,7 +103,7 @@ def read_matrix_market(spark: SparkSession, path: str, strict: bool = False) ->
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
     """Either format, told apart by the first line."""
-    first = spark.read.text(path).first()
+    first = _head(spark, path).first()
     matrix = first is not None and first["value"].startswith(BANNER)
     return read_matrix_market(spark, path) if matrix else read_edge_list(spark, path)
 

@@ -20,13 +20,13 @@ def matrix_market_lines(edges: DataFrame, n: int, value: str = "1.0") -> DataFra
 
 
 def write_matrix_market(edges: DataFrame, n: int, path: str) -> None:
-    """One text part: coordinate files have one header, so the sorted lines go through one writer."""
-    matrix_market_lines(edges, n).select("value").coalesce(1).write.text(path)
+    """A folder of text parts which, in order of their names, are one coordinate file; its header is in the first."""
+    matrix_market_lines(edges, n).select("value").write.text(path)
 
 
 def write_permutation(perm: DataFrame, path: str) -> None:
-    """The new ids in order of the old ones, one a line."""
-    perm.orderBy("old_id").select(F.col("new_id").cast("string").alias("value")).coalesce(1).write.text(path)
+    """The new ids in order of the old ones, one a line, in parts in order of their names."""
+    perm.orderBy("old_id").select(F.col("new_id").cast("string").alias("value")).write.text(path)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

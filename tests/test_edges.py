@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,3 +88,17 @@ def test_empty_graph(spark: SparkSession) -> None:
     none = table(spark, [])
     assert rows(edges.symmetrize(none)) == rows(edges.out_degree(none)) == rows(edges.vertices_by_degree(none)) == []
     assert {r["nnz"] for r in blocks.nnz_per_block(none, 4, 2).collect()} == {0}
+
+
+def test_ranks_run_on_over_ranges(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    rng = random.Random(2)
+    pairs = sorted({(rng.randrange(40) // rng.choice((1, 5, 40)), rng.randrange(40)) for _ in range(300)})
+    whole = [sorted(map(str, made(table(spark, pairs), 40, 2).collect())) for made in (blocks.compressed_columns, blocks.nonzero_ranks)]
+    monkeypatch.setattr(blocks, "SPAN", 3)
+    assert [sorted(map(str, made(table(spark, pairs), 40, 2).collect())) for made in (blocks.compressed_columns, blocks.nonzero_ranks)] == whole
+    want, before = [], 0
+    for v in range(40):
+        n = sum(a == v for a, _ in pairs)
+        want.append((v, n, before))
+        before += n
+    assert sorted(tuple(r) for r in blocks.csr_offsets(table(spark, pairs), 40).collect()) == want
