@@ -144,6 +144,21 @@ def test_copies_alike_only_through_their_original(spark: SparkSession) -> None:
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_each_group(docs).collect()) == [0, *range(301, 361)]
 
 
+def test_variants_of_variants_are_one_group(spark: SparkSession) -> None:
+    """400 texts of one bucket after the other, most of them alike to their neighbours in the chain only."""
+    rng = random.Random(23)
+    words, texts = [f"w{i}" for i in range(220)], []
+    for k in range(400):
+        for at in rng.sample(range(44), 3):
+            words[5 * at] = f"v{k}x{at}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [(i, j) for i in range(400) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 399 <= len(near) < 2000
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_one_of_each_group(docs).collect()] == [0]
+
+
 def test_copies_that_repeat_a_line(spark: SparkSession) -> None:
     rng = random.Random(9)
     texts = []
