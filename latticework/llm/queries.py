@@ -77,11 +77,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from latticework.llm.scratch import fresh_path
+    from latticework.llm.scratch import delete_at_exit, fresh_path
     from latticework.llm.warc import page_records, read_archives, resolve_revisits, write_archives
 
     path = fresh_path(spark, "warc")
     write_archives(resolve_revisits(page_records(_table(spark, sf_dir, "pages"))), path)
+    delete_at_exit(spark, path)
     back = read_archives(spark, path, payloads=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
