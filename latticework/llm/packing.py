@@ -38,7 +38,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -61,6 +60,10 @@ _SIMPLE = re.compile("[!-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, not to the tokenizer
 
 
+#: Runs that a generation of the memo holds, some 20 MB.
+MEMO = 120_000
+
+
 class WordTokenizer:
     """Ids of a tokenizers file of the lower-casing word-end BPE kind, as packed 32-bit numbers.
 
@@ -74,7 +77,7 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.bpe = self.whole.model.tokenize
-        self.memo = Memo()
+        self.memo = Memo(MEMO)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
@@ -256,20 +259,24 @@ ISLANDS_A_TASK = 16
 _STATE = "shard long, island int, lengths array<int>, uids array<long>, population array<array<int>>, bins int, squares long, generations int, migrations int"
 
 
+_ARROW_STATE = pa.schema([
+    ("shard", pa.int64()), ("island", pa.int32()), ("lengths", pa.list_(pa.int32())), ("uids", pa.list_(pa.int64())), ("population", pa.list_(pa.list_(pa.int32()))),
+    ("bins", pa.int32()), ("squares", pa.int64()), ("generations", pa.int32()), ("migrations", pa.int32()),
+])
+
+
 def _epoch(state: DataFrame, capacity: int, epoch: int) -> DataFrame:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for row in frame.itertuples(index=False):
-                lengths = list(map(int, row.lengths))
-                rng = random.Random(f"{row.shard}/{row.island}/{epoch}")
-                alive, number = evolve(lengths, capacity, [list(map(int, p)) for p in row.population], rng, falling=row.island == 0)
-                best = [b.assignment(len(lengths)) for b in alive]
-                bins, squares = alive[0].quality()
-                rows.append((row.shard, row.island, row.lengths, row.uids, best, -bins, squares, row.generations + number, row.migrations))
-            yield pd.DataFrame(rows, columns=["shard", "island", "lengths", "uids", "population", "bins", "squares", "generations", "migrations"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            (row,) = batch.to_pylist()
+            rng = random.Random(f"{row['shard']}/{row['island']}/{epoch}")
+            alive, number = evolve(row["lengths"], capacity, row["population"], rng, falling=row["island"] == 0)
+            bins, squares = alive[0].quality()
+            best = [b.assignment(len(row["lengths"])) for b in alive]
+            after = row | {"population": best, "bins": -bins, "squares": squares, "generations": row["generations"] + number}
+            yield pa.RecordBatch.from_pylist([after], _ARROW_STATE)
 
-    return state.mapInPandas(run, _STATE)
+    return state.mapInArrow(run, _STATE)
 
 
 def _migrate(state: DataFrame, islands: int) -> DataFrame:
@@ -301,22 +308,25 @@ def _pack_level(items: DataFrame, capacity: int, level: int, shards: int, island
         F.sum("migrations").cast("int").alias("migrations"),
     )
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                lengths = list(map(int, row.lengths))
-                made = bins_of(list(map(int, row.assigned)), lengths)
-                tail = min(range(len(made.fill)), key=made.fill.__getitem__)
-                rows = []
-                for number, members in enumerate(made.items):
-                    offset = 0
-                    for item in members:
-                        rows.append((int(row.uids[item]), lengths[item], row.shard, number, offset, number == tail, row.bins, row.generations, row.migrations))
-                        offset += lengths[item]
-                yield pd.DataFrame(rows, columns=["uid", "length", "shard", "bin", "offset", "tail", "bins", "generations", "migrations"])
-
-    flat = best.select("shard", "b.lengths", "b.uids", "b.assigned", "b.bins", "generations", "migrations")
-    return flat.mapInPandas(place, "uid long, length long, shard long, bin int, offset long, tail boolean, bins int, generations int, migrations int")
+    out = "uid long, length long, shard long, bin int, offset long, tail boolean, bins int, generations int, migrations int"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    arrow = pa.schema([(name, kinds[kind]) for name, kind in map(str.split, out.split(", "))])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, 1):
+            (row,) = batch.to_pylist()
+            made = bins_of(row["assigned"], row["lengths"])
+            tail = min(range(len(made.fill)), key=made.fill.__getitem__)
+            rows = []
+            for number, members in enumerate(made.items):
+                offset = 0
+                for item in members:
+                    length = row["lengths"][item]
+                    rows.append((row["uids"][item], length, row["shard"], number, offset, number == tail, row["bins"], row["generations"], row["migrations"]))
+                    offset += length
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
+
+    return best.select("shard", "b.lengths", "b.uids", "b.assigned", "b.bins", "generations", "migrations").mapInArrow(place, out)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, shard_items: int = 2000, islands: int = 3, epochs: int = 3) -> DataFrame:
