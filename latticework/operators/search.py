@@ -43,6 +43,15 @@ class Built:
 
     edges: DataFrame
     hubs: DataFrame | None
+    name: str = ""
+
+    def release(self) -> None:
+        """Drop the table and its files; nothing that a search returned reads them."""
+        spark = self.edges.sparkSession
+        discard(self.edges)
+        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.hubs is not None:
+            discard(self.hubs)
 
 
 def build(edges: DataFrame, hub_degree: int = 1_000_000, buckets: int | None = None) -> Built:
@@ -63,7 +72,7 @@ def build(edges: DataFrame, hub_degree: int = 1_000_000, buckets: int | None = N
     dealt.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     kept_until_exit(spark, path)
     discard(kept)
-    return Built(spark.table(name), None if no_hubs else hubs)
+    return Built(spark.table(name), None if no_hubs else hubs, name)
 
 
 def _met(edges: DataFrame | Built, frontier: DataFrame) -> DataFrame:
@@ -237,7 +246,12 @@ def bfs(
     wanted = _roots(table.sparkSession, roots).where("source IS NOT NULL").distinct()
     if local:
         return _local(table, sorted(r["source"] for r in wanted.collect()), switch_at)
-    return _distributed(build(edges) if isinstance(edges, DataFrame) else edges, wanted, symmetric, switch_at)
+    if not isinstance(edges, DataFrame):
+        return _distributed(edges, wanted, symmetric, switch_at)
+    graph = build(edges)
+    found = _distributed(graph, wanted, symmetric, switch_at)
+    graph.release()
+    return found
 
 
 def rounds_of(result: DataFrame, switch_at: float | None = None) -> DataFrame:

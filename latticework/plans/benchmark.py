@@ -88,6 +88,7 @@ def run_benchmark(
     """(searches, summary): one construction, one timed search per root, harmonic mean of the rates."""
     built = build(name, graph)
     rows = [run_search(built, s, i, direction_switch, validate)[1] for i, s in enumerate(pick_sources(built, k, seed, sources))]
+    built.graph.release()
     searches = spark.createDataFrame(rows, SEARCHES)
     rates = telemetry.rate_summary(searches)
     failed = searches.agg(F.count_if(~F.col("correctness_ok")).alias("failed")).first()["failed"]

@@ -79,3 +79,19 @@ def test_stopwatch_keeps_stages(spark: SparkSession) -> None:
     with watch.stage("search"):
         pass
     assert [r["stage"] for r in watch.table(spark).collect()] == ["build", "search"]
+
+
+@pytest.mark.parametrize(("field", "value", "symmetric"), [("real", "2.5", False), ("integer", "3", True), ("pattern", "", True), ("pattern", "", False)])
+def test_matrix_market_of_every_kind_reads_back(spark: SparkSession, tmp_path: Path, field: str, value: str, symmetric: bool) -> None:
+    pairs = [(a, b) for a in range(6) for b in range(6) if (a * b) % 4 == 1 or a == b == 2]
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint").repartition(3)
+    writers.write_matrix_market(edges, 7, f"{tmp_path}/m.mtx", value, field, symmetric)
+    graph = graphs.read_matrix_market(spark, f"{tmp_path}/m.mtx")
+    assert (graph.n, graph.directed) == (7, not symmetric) and sorted((r["src"], r["dst"]) for r in graph.edges.collect()) == sorted(pairs)
+
+
+@pytest.mark.parametrize("banner", ["real hermitian", "pattern skew-symmetric", "pattern hermitian", "quaternion general", "real odd"])
+def test_impossible_matrices_are_refused(spark: SparkSession, tmp_path: Path, banner: str) -> None:
+    (tmp_path / "m.mtx").write_text(f"%%MatrixMarket matrix coordinate {banner}\n2 2 1\n1 2 1.0\n")
+    with pytest.raises(ValueError, match="no matrix is"):
+        graphs.read_matrix_market(spark, str(tmp_path / "m.mtx"))
