@@ -32,7 +32,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
-    least = down.groupBy("src").agg(F.min("dst").alias("least"))
+    least = materialize(down.groupBy("src").agg(F.min("dst").alias("least")), "cc-least")
     hooked = (
         down.join(least, "src")
         .where("dst <> least")

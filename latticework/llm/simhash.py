@@ -134,7 +134,8 @@ def links(fps: DataFrame, max_bits: int = 2, n_pivots: int = 16, bucket_limit: i
         raise ValueError("the midpoint way for crowded buckets covers max_bits 0 to 2")
     table = pivot_table(fps.select("fp").where("fp IS NOT NULL").distinct(), n_pivots)
     rows = materialize(_buckets(table, max_bits), "simhash-buckets")
-    shared = rows.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
+    # stored, as other tables of one row a bucket: AQE splits a join with a crowded bucket only if both sides are plain
+    shared = materialize(rows.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-shared")
     members = materialize(rows.join(shared, ["part", "key"]), "simhash-members")
     light = members.where(F.col("n") <= bucket_limit)
     a, b = light.alias("a"), light.alias("b")
@@ -254,7 +255,7 @@ def _candidates(members: DataFrame, pair_limit: int, n_centres: int) -> DataFram
     one = F.struct("node", "group")
     first = F.max_by(one, F.struct("copies", F.xxhash64("node"))).alias("c0")
     others = [F.min_by(one, F.xxhash64("node", "band", F.lit(i))).alias(f"c{i}") for i in range(1, n_centres)]
-    chosen = crowded.groupBy(*bucket).agg(first, *others)
+    chosen = materialize(crowded.groupBy(*bucket).agg(first, *others), "similar-centres")
     centres = chosen.select(*bucket, F.explode(F.array_distinct(F.array(*[f"c{i}" for i in range(n_centres)]))).alias("c")).select(*bucket, "c.*")
     star = crowded.alias("a").join(centres.alias("b"), [*meet, F.col("a.group") != F.col("b.group")])
     pairs = both.select("a.node", F.col("b.node").alias("other")).unionByName(star.select("a.node", F.col("b.node").alias("other")))
@@ -278,7 +279,7 @@ def _unsettled(crowded: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = named.groupBy("band", "key", "group").agg(F.count("*").alias("m"))
     top = F.max_by("group", F.struct("m", "group")).alias("top")
     tops = sizes.groupBy("band", "key").agg(top, F.max("m").alias("linked"), (F.sum("m") - F.max("m")).alias("loose")).where("loose > 0")
-    return materialize(named.join(tops, ["band", "key"]), "similar-unsettled")
+    return materialize(named.join(materialize(tops, "similar-tops"), ["band", "key"]), "similar-unsettled")
 
 
 def _hub_pairs(unsettled: DataFrame, links: DataFrame) -> DataFrame:
@@ -286,7 +287,8 @@ def _hub_pairs(unsettled: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.col("src").alias("node")).unionByName(links.select(F.col("dst").alias("node")))
     known = unsettled.join(ends.groupBy("node").agg(F.count("*").alias("degree")), "node")
     hub = F.max_by(F.struct("node", "group"), F.struct("degree", "node")).alias("hub")
-    met = unsettled.join(known.groupBy("band", "key").agg(hub), ["band", "key"]).where(F.col("group") != F.col("hub.group"))
+    hubs = materialize(known.groupBy("band", "key").agg(hub), "similar-hub-of")
+    met = unsettled.join(hubs, ["band", "key"]).where(F.col("group") != F.col("hub.group"))
     return met.select(F.greatest("node", "hub.node").alias("src"), F.least("node", "hub.node").alias("dst")).distinct()
 
 
@@ -368,7 +370,7 @@ def similar_groups(
     sketches = materialize(_sketches(texts, shingle_words), "similar-sketches")
     distinct = sketches.groupBy("node").agg(F.count("*").alias("copies"), F.min("bands").alias("bands"))
     rows = distinct.select("node", "copies", F.posexplode("bands").alias("band", "key")).where("key <> 0")
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "similar-shared")
     members = materialize(rows.join(shared, ["band", "key"]), "similar-members")
     # one shuffle of the distinct texts: copies meet on the map side, then those in no shared bucket go
     own = texts.groupBy("node").agg(F.min("t").alias("t")).join(members.select("node").distinct(), "node", "left_semi")
