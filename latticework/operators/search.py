@@ -57,21 +57,20 @@ class Built:
 def build(edges: DataFrame, hub_degree: int = 1_000_000, buckets: int | None = None) -> Built:
     """Distinct ``edges(src, dst)`` in buckets by src, hubs in parts of about ``hub_degree`` edges."""
     spark = edges.sparkSession
-    kept = stored(edges.select("src", "dst").distinct(), "bfs-distinct")
-    large = kept.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > hub_degree)
+    large = edges.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > hub_degree)
     hubs = stored(large.select("src", F.ceil(F.col("degree") / hub_degree).cast("int").alias("parts")), "bfs-hubs")
     no_hubs = hubs.isEmpty()
     if no_hubs:
-        dealt, keys = kept.withColumn("part", F.lit(0)), ["src"]
+        dealt, keys = edges.select("src", "dst", F.lit(0).alias("part")), ["src"]
     else:
         part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
-        dealt, keys = kept.join(hubs, "src", "left").select("src", "dst", part.alias("part")), ["src", "part"]
+        dealt, keys = edges.select("src", "dst").join(hubs, "src", "left").select("src", "dst", part.alias("part")), ["src", "part"]
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = new_path(spark, "bfs-edges")
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    dealt.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    # repeats of an edge share its bucket: the deal to buckets is the only shuffle
+    dealt.repartition(n, *keys).distinct().write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     kept_until_exit(spark, path)
-    discard(kept)
     return Built(spark.table(name), None if no_hubs else hubs, name)
 
 
