@@ -60,8 +60,8 @@ _SIMPLE = re.compile("[!-~\u00a1\u00ab\u00bb\u00bf\u00c0-\u00d6\u00d8-\u00f6\u00
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"  # white space to str.split, not to the tokenizer
 
 
-#: Runs that a generation of the memo holds, some 20 MB.
-MEMO = 120_000
+#: Runs that a generation of the memo holds, some 40 MB; half as many cost an eighth more time.
+MEMO = 250_000
 
 
 class WordTokenizer:
