@@ -147,6 +147,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op13_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from latticework.llm.exact_dedup import exact_groups
+
+    found = exact_groups(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii_pseudonyms": op1_pii_pseudonyms,
@@ -159,6 +166,7 @@ def queries() -> dict[str, Query]:
         "op8_exact_top_k": op8_exact_top_k,
         "op9_nearest_toxic": op9_nearest_toxic,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op13_cuckoo_dedup": op13_cuckoo_dedup,
     }
 
 
@@ -216,6 +224,14 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_EXACT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS n FROM documents),
+r AS (SELECT doc_id, sha256(n) AS text_sha256, count(*) OVER (PARTITION BY n) AS group_size,
+    first_value(doc_id) OVER w AS keep_id, row_number() OVER w = 1 AS kept FROM d WINDOW w AS (PARTITION BY n ORDER BY length(t) DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, kept, text_sha256 FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express; the others are tested against brute force."""
     return {
@@ -223,4 +239,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc_revisits": _WARC_SQL.strip(),
         "op5_line_quality": _LINES_SQL.strip(),
         "op8_exact_top_k": _TOP_SQL.strip(),
+        "op13_cuckoo_dedup": _EXACT_SQL.strip(),
     }
