@@ -1,21 +1,26 @@
 """Level-synchronous breadth-first search over edge tables.
 
-A round joins the frontier with its out-edges, keeps the smallest predecessor of
-each vertex reached, and drops the vertices visited before. Searches from several
-roots share the rounds (``source`` is part of every key), and each turns its
-direction by its own rounds.
+A round meets the out-edges of the frontier, keeps the smallest predecessor of each
+vertex reached, and drops what was visited before. Up to 64 searches run as one:
+every vertex row holds a long with one bit per root, so an edge is met once for
+all roots of a batch, and parents are one conditional minimum per root.
 
 ``build`` makes the table that searches run on: distinct edges, written to the
-shared folder in buckets by src, so that a top-down round shuffles the frontier
-and its candidates and never the edges, and the loss of an executor costs a
-re-read. Out-edges of a vertex with more than ``hub_degree`` of them are dealt to
-several buckets by a hash of dst, and the frontier's rows of such hubs meet each
-part, so no task holds all edges of one vertex. One build serves any number of
-searches. Every round's rows are written too, which cuts the lineage.
-
-``bfs`` with ``local=True`` runs a graph that the caller knows to fit one task as
-compressed sparse rows in numpy, which saves the jobs of the rounds of small deep
-graphs. Both give the same rows. Nothing switches by size.
+shared folder in buckets by src. The levels of a search are written in buckets by
+vertex, as many as the edges have. So the frontier meets its edges, and candidates
+meet what is visited, where they lie: a top-down round shuffles its candidates, one
+row per vertex and task, and nothing else. Bottom-up rounds read the mirror, the
+same edges in buckets by dst (for a symmetric graph the same files), beside what is
+visited; the rows of the frontier come to them, by broadcast where their number is
+known to be at most ``broadcast_rows``, else by a shuffle join. Each root turns
+by its own rounds. Edges of a vertex with more than ``hub_degree`` of them are dealt
+to several buckets, and the hub's row to each of them, so no task holds a hub.
+
+A round is one job: its counts are observed while it writes, and its times taken
+around it. After a frontier of at most ``THIN`` rows the next level goes to a file of
+its own, and ``STRIDE`` of them to the buckets at a time, so long thin graphs do not
+pay for buckets a level; the rows are the same. Every round is written, which cuts
+the lineage: the loss of an executor costs a re-read.
 
 The parent is the smallest frontier predecessor, the root's parent is itself.
 ``rounds`` counts the last, empty round; ``nf`` has one entry per round.
@@ -23,74 +28,120 @@ The parent is the smallest frontier predecessor, the root's parent is itself.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.operators.edges import with_global_rank
 from latticework.plans.tables import discard, kept_until_exit, new_path, stored
 
 RESULT = "source bigint, vertex bigint, level int, parent bigint"
+ROUNDS = "source bigint, round int, nf bigint, direction string, started double, ended double"
+#: Roots of a batch, one bit each.
+BATCH = 64
+THIN, STRIDE = 20_000, 8
+BROADCAST_ROWS = 2_000_000
 
 
 @dataclass
-class Built:
-    """Edges ready for searches: ``edges(src, dst, part)`` in buckets, and the parts of each hub (None: no hubs)."""
+class Side:
+    """Edges in buckets by one end (and part), and the number of parts of each hub among these ends (None: no hubs)."""
 
     edges: DataFrame
+    key: str
     hubs: DataFrame | None
     name: str = ""
 
     def release(self) -> None:
-        """Drop the table and its files; nothing that a search returned reads them."""
-        spark = self.edges.sparkSession
-        discard(self.edges)
-        spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        if self.name:
+            discard(self.edges)
+            self.edges.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
         if self.hubs is not None:
             discard(self.hubs)
 
+    def beside(self, rows: DataFrame) -> tuple[DataFrame, list[str]]:
+        """``rows`` under the name of the key, one for each part of a hub, and the columns to join the edges on."""
+        if self.hubs is None:
+            return rows, [self.key]
+        parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+        return rows.join(self.hubs, self.key, "left").select(*rows.columns, parts), [self.key, "part"]
+
+
+def _side(edges: DataFrame, key: str, other: str, hub_degree: int, buckets: int) -> Side:
+    """Distinct ``edges`` in buckets by ``key``. The input is read once; it is dealt anew only where there are hubs."""
+    spark = edges.sparkSession
+
+    def written(dealt: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+        path = new_path(spark, "bfs-edges")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        # repeats of an edge share its bucket: the deal to buckets is the only shuffle
+        dealt.repartition(buckets, *keys).distinct().write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+        kept_until_exit(spark, path)
+        return spark.table(name), name
+
+    table, name = written(edges.select("src", "dst", F.lit(0).alias("part")), [key])
+    large = table.groupBy(key).agg(F.count("*").alias("degree")).where(F.col("degree") > hub_degree)
+    hubs = stored(large.select(key, F.ceil(F.col("degree") / hub_degree).cast("int").alias("parts")), "bfs-hubs")
+    if hubs.isEmpty():
+        discard(hubs)
+        return Side(table, key, None, name)
+    part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    parted, parted_name = written(table.select("src", "dst").join(hubs, key, "left").select("src", "dst", part), [key, "part"])
+    Side(table, key, None, name).release()
+    return Side(parted, key, hubs, parted_name)
+
+
+@dataclass
+class Built:
+    """A graph ready for searches: its edges by source, and by destination once that is asked for."""
+
+    out: Side
+    buckets: int
+    hub_degree: int
+    mirror: Side | None = None
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.out.edges
+
+    @property
+    def hubs(self) -> DataFrame | None:
+        return self.out.hubs
+
+    def into(self, symmetric: bool) -> Side:
+        """The edges by destination; those of a symmetric graph are its edges by source with the ends' names exchanged."""
+        if symmetric:
+            turned = self.out.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "part")
+            hubs = self.out.hubs
+            return Side(turned, "dst", None if hubs is None else hubs.withColumnRenamed("src", "dst"))
+        if self.mirror is None:
+            self.mirror = _side(self.out.edges.select("src", "dst"), "dst", "src", self.hub_degree, self.buckets)
+        return self.mirror
+
+    def release(self) -> None:
+        """Drop the tables and their files; nothing that a search returned reads them."""
+        self.out.release()
+        if self.mirror is not None:
+            self.mirror.release()
+
 
 def build(edges: DataFrame, hub_degree: int = 1_000_000, buckets: int | None = None) -> Built:
     """Distinct ``edges(src, dst)`` in buckets by src, hubs in parts of about ``hub_degree`` edges."""
-    spark = edges.sparkSession
-    large = edges.groupBy("src").agg(F.count("*").alias("degree")).where(F.col("degree") > hub_degree)
-    hubs = stored(large.select("src", F.ceil(F.col("degree") / hub_degree).cast("int").alias("parts")), "bfs-hubs")
-    no_hubs = hubs.isEmpty()
-    if no_hubs:
-        dealt, keys = edges.select("src", "dst", F.lit(0).alias("part")), ["src"]
-    else:
-        part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")
-        dealt, keys = edges.select("src", "dst").join(hubs, "src", "left").select("src", "dst", part.alias("part")), ["src", "part"]
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path = new_path(spark, "bfs-edges")
-    name = path.rsplit("/", 1)[1].replace("-", "_")
-    # repeats of an edge share its bucket: the deal to buckets is the only shuffle
-    dealt.repartition(n, *keys).distinct().write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
-    kept_until_exit(spark, path)
-    return Built(spark.table(name), None if no_hubs else hubs, name)
-
-
-def _met(edges: DataFrame | Built, frontier: DataFrame) -> DataFrame:
-    """(source, src, dst): the out-edges of ``frontier(source, vertex)``."""
-    asked = frontier.select("source", F.col("vertex").alias("src"))
-    if isinstance(edges, DataFrame):
-        return asked.join(edges, "src")
-    if edges.hubs is None:
-        return asked.join(edges.edges, "src")
-    parts = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
-    return asked.join(edges.hubs, "src", "left").select("source", "src", parts).join(edges.edges, ["src", "part"])
-
-
-def expand_topdown(edges: DataFrame | Built, frontier: DataFrame) -> DataFrame:
+    n = buckets or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Built(_side(edges, "src", "dst", hub_degree, n), n, hub_degree)
+
+
+def expand_topdown(edges: DataFrame, frontier: DataFrame) -> DataFrame:
     """(source, vertex, parent): the best predecessor of every vertex one step from ``frontier(source, vertex)``."""
-    return _met(edges, frontier).groupBy("source", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
+    met = frontier.select("source", F.col("vertex").alias("src")).join(edges, "src")
+    return met.groupBy("source", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
 
 
-def expand_bottomup(edges: DataFrame | Built, frontier: DataFrame, visited: DataFrame, n_sources: int = 1) -> DataFrame:
+def expand_bottomup(edges: DataFrame, frontier: DataFrame, visited: DataFrame, n_sources: int = 1) -> DataFrame:
     """The same rows for unvisited vertices, found from their in-edges.
 
     ``visited(source, vertex)`` is distinct. An edge is open while its dst is unvisited by any of the
@@ -98,11 +149,7 @@ def expand_bottomup(edges: DataFrame | Built, frontier: DataFrame, visited: Data
     """
     took_part = visited.join(frontier.select("source").distinct(), "source", "left_semi")
     closed = took_part.groupBy(F.col("vertex").alias("dst")).agg(F.count("*").alias("n")).where(F.col("n") >= n_sources).select("dst")
-    table = edges if isinstance(edges, DataFrame) else edges.edges
-    left = table.join(closed, "dst", "left_anti")
-    reached = _met(left if isinstance(edges, DataFrame) else Built(left, edges.hubs), frontier)
-    best = reached.groupBy("source", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
-    return frontier_new(best, visited)
+    return frontier_new(expand_topdown(edges.join(closed, "dst", "left_anti"), frontier), visited)
 
 
 def frontier_new(candidates: DataFrame, visited: DataFrame) -> DataFrame:
@@ -110,82 +157,17 @@ def frontier_new(candidates: DataFrame, visited: DataFrame) -> DataFrame:
     return candidates.join(visited.select("source", "vertex"), ["source", "vertex"], "left_anti")
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Concatenated integer ranges."""
-    sizes = ends - starts
-    total = int(sizes.sum())
-    if not total:
-        return np.empty(0, np.int64)
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes)
-    return shift + np.arange(total)
-
-
-class Adjacency:
-    """Compressed sparse rows of an edge table over its own vertices."""
-
-    def __init__(self, src: np.ndarray, dst: np.ndarray):
-        self.names = np.unique(np.concatenate([src, dst]))
-        s, d = np.searchsorted(self.names, src), np.searchsorted(self.names, dst)
-        self.out_start, self.out = self._rows(s, d)
-        self.in_start, self.into = self._rows(d, s)
-
-    def _rows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((b, a))
-        return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(self.names)))]).astype(np.int64), b[order]
-
-    def search(self, root: int, switch_at: float | None = None) -> tuple[np.ndarray, np.ndarray, list[tuple[int, str]]]:
-        """Levels and parents by vertex number (-1: not reached), and (nf, direction) per round."""
-        n = len(self.names)
-        level, parent = np.full(n, -1, np.int32), np.full(n, -1, np.int64)
-        at = int(np.searchsorted(self.names, root))
-        if at >= n or self.names[at] != root:
-            return level, parent, [(0, "top_down")]
-        level[at], parent[at] = 0, at
-        frontier, rounds, bottom_up = np.array([at]), [], False
-        while True:
-            best = np.full(n, n, np.int64)
-            if bottom_up:
-                targets = np.flatnonzero(level < 0)
-                inside = _ranges(self.in_start[targets], self.in_start[targets + 1])
-                source = self.into[inside]
-                target = np.repeat(targets, self.in_start[targets + 1] - self.in_start[targets])
-                hit = level[source] == len(rounds)
-                np.minimum.at(best, target[hit], source[hit])
-            else:
-                edges = _ranges(self.out_start[frontier], self.out_start[frontier + 1])
-                target = self.out[edges]
-                source = np.repeat(frontier, self.out_start[frontier + 1] - self.out_start[frontier])
-                fresh = level[target] < 0
-                np.minimum.at(best, target[fresh], source[fresh])
-            new = np.flatnonzero(best < n)
-            rounds.append((len(new), "bottom_up" if bottom_up else "top_down"))
-            if not len(new):
-                return level, parent, rounds
-            level[new], parent[new] = len(rounds), best[new]
-            frontier = new
-            bottom_up = bottom_up or switch_at is not None and len(new) > switch_at
-
-
-def _local(edges: DataFrame, roots: Sequence[int], switch_at: float | None) -> DataFrame:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        graph = Adjacency(frame["src"].to_numpy(), frame["dst"].to_numpy())
-        out = []
-        for root in roots:
-            level, parent, _ = graph.search(root, switch_at)
-            at = np.flatnonzero(level >= 0)
-            if len(at):
-                out.append(pd.DataFrame({"source": root, "vertex": graph.names[at], "level": level[at], "parent": graph.names[parent[at]]}))
-            else:
-                out.append(pd.DataFrame({"source": [root], "vertex": [root], "level": np.array([0], np.int32), "parent": [root]}))
-        return pd.concat(out) if out else pd.DataFrame({"source": [], "vertex": [], "level": [], "parent": []})
+def _bit(i: int) -> Column:
+    return F.lit((1 << i) - (1 << 64) * (i == 63)).cast("bigint")
+
+
+def _mask(which: Sequence[int]) -> Column:
+    value = sum(1 << i for i in which)
+    return F.lit(value - (1 << 64) * (value >> 63)).cast("bigint")
+
 
-    if not roots:
-        return edges.sparkSession.createDataFrame([], RESULT)
-    # a marker row keeps the group, and so the roots, of a graph without edges
-    first = int(roots[0])
-    marker = edges.sparkSession.range(1).select(F.lit(first).cast("bigint").alias("src"), F.lit(first).cast("bigint").alias("dst"))
-    rows = edges.select("src", "dst").unionByName(marker).select("src", "dst", F.lit(0).alias("all"))
-    return rows.groupBy("all").applyInPandas(lambda f: run(f), RESULT)
+def _has(bits: Column, i: int) -> Column:
+    return bits.bitwiseAND(_bit(i)) != 0
 
 
 def _union(tables: list[DataFrame]) -> DataFrame:
@@ -195,64 +177,226 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _distributed(graph: Built, roots: DataFrame, symmetric: bool, switch_at: float | None, merge: int = 16) -> DataFrame:
-    first = roots.select("source", F.col("source").alias("vertex"), F.lit(0).cast("int").alias("level"), F.col("source").alias("parent"))
-    frontier = stored(first.distinct(), "bfs-level")
-    levels, number = [frontier], 0
-    turned: DataFrame | None = None  # the sources that search bottom-up
-    n_turned = 0
-    while True:
+class _Search:
+    """Searches from a batch of roots, round by round.
+
+    ``levels(vertex, bits, p0, p1, ..., level)`` has a row for each vertex and level at which some
+    root reaches it: bit i and the parent pi for the i-th root.
+    """
+
+    def __init__(self, graph: Built, roots: Sequence[int], symmetric: bool, switch_at: float | None, broadcast_rows: int):
+        self.graph, self.roots, self.symmetric, self.switch_at, self.broadcast_rows = graph, roots, symmetric, switch_at, broadcast_rows
+        self.spark = graph.edges.sparkSession
+        self.k = len(roots)
+        self.parents = [f"p{i}" for i in range(self.k)]
+        self.path = new_path(self.spark, "bfs-levels")
+        self.name = self.path.rsplit("/", 1)[1].replace("-", "_")
+        self.turned: list[int] = []
+        self.rounds: list[tuple] = []
+        first = [(r, (1 << i) - (1 << 64) * (i == 63), *[r if j == i else None for j in range(self.k)], 0) for i, r in enumerate(roots)]
+        schema = f"vertex bigint, bits bigint, {', '.join(f'{p} bigint' for p in self.parents)}, level int"
+        self._append(self.spark.createDataFrame(first, schema))
+        kept_until_exit(self.spark, self.path)
+
+    def _append(self, rows: DataFrame) -> None:
+        rows.write.mode("append").partitionBy("level").bucketBy(self.graph.buckets, "vertex").option("path", self.path).saveAsTable(self.name)
+
+    @property
+    def levels(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def met_topdown(self, frontier: DataFrame) -> DataFrame:
+        """(src, bits, dst): the out-edges of ``frontier(src, bits)``."""
+        asked, on = self.graph.out.beside(frontier)
+        return asked.join(self.graph.edges, on).select("src", "bits", "dst")
+
+    def met_bottomup(self, frontier: DataFrame, seen: DataFrame, rows: int) -> DataFrame:
+        """(src, bits, dst): the edges from ``frontier(src, bits)`` into vertices that some of the turned roots have not seen."""
+        side = self.graph.into(self.symmetric)
+        beside, on = side.beside(seen.withColumnRenamed("vertex", "dst"))
+        wanted = _mask(self.turned)
+        is_open = wanted.bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint")))) != 0
+        edges = side.edges.join(beside, on, "left").where(is_open).select("src", "dst")
+        return edges.join(F.broadcast(frontier) if rows <= self.broadcast_rows else frontier, "src").select("src", "bits", "dst")
+
+    def _best(self, met: DataFrame) -> DataFrame:
+        """One row per vertex: who reaches it, and each root's smallest predecessor."""
+        least = [F.min(F.when(_has(F.col("bits"), i), F.col("src"))).alias(p) for i, p in enumerate(self.parents)]
+        return met.groupBy(F.col("dst").alias("vertex")).agg(F.bit_or("bits").alias("bits"), *least)
+
+    def _seen(self, tables: list[DataFrame]) -> DataFrame:
+        return _union([t.select("vertex", "bits") for t in tables]).groupBy("vertex").agg(F.bit_or("bits").alias("seen"))
+
+    def _new(self, candidates: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+        joined = candidates.join(seen, "vertex", "left")
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint"))))
+        kept = joined.withColumn("bits", fresh).where("bits <> 0")
+        own = [F.when(_has(F.col("bits"), i), F.col(p)).alias(p) for i, p in enumerate(self.parents)]
+        return kept.select("vertex", "bits", *own, F.lit(level).cast("int").alias("level"))
+
+    def found(self, number: int, frontier: DataFrame, visited: list[DataFrame], rows: int) -> DataFrame:
+        """The rows of level ``number``; ``visited`` are the levels that they may lie on."""
+        asked = frontier.select(F.col("vertex").alias("src"), "bits")
+        if not self.turned:
+            return self._new(self._best(self.met_topdown(asked)), self._seen(visited), number)
+        seen = self._seen([self.levels])
+        part = [asked.withColumn("bits", F.col("bits").bitwiseAND(m)).where("bits <> 0") for m in (_mask(self.turned), F.bitwise_not(_mask(self.turned)))]
+        best = self._best(self.met_bottomup(part[0], seen, rows))
+        if len(self.turned) < self.k:
+            down = self._best(self.met_topdown(part[1]))
+            least = [F.min(p).alias(p) for p in self.parents]
+            best = best.unionByName(down).groupBy("vertex").agg(F.bit_or("bits").alias("bits"), *least)
+        return self._new(best, seen, number)
+
+    def _counts(self, level: int) -> list[Column]:
+        here = F.col("level") == level
+        return [F.count_if(here).alias("rows"), *[F.count_if(here & _has(F.col("bits"), i)).alias(f"n{i}") for i in range(self.k)]]
+
+    def _recent(self, number: int, held: list[DataFrame]) -> list[DataFrame]:
+        """The levels that rows of level ``number`` may lie on, ``held`` ones among them."""
+        if not self.symmetric:
+            return [self.levels, *held]
         # neighbours of a level of a symmetric graph lie at most one level back
-        visited = _union(levels[-2:] if symmetric else levels)
-        if turned is None:
-            found = frontier_new(expand_topdown(graph, frontier), visited)
-        else:
-            down, up = frontier.join(turned, "source", "left_anti"), frontier.join(turned, "source", "left_semi")
-            every = _union(levels).select("source", "vertex")
-            found = frontier_new(expand_topdown(graph, down), visited).unionByName(expand_bottomup(graph, up, every, n_turned))
-        number += 1
-        frontier = stored(found.select("source", "vertex", F.lit(number).cast("int").alias("level"), "parent"), "bfs-level")
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-        if switch_at is not None:
-            large = frontier.groupBy("source").agg(F.count("*").alias("nf")).where(F.col("nf") > switch_at).select("source")
-            large = stored(large if turned is None else large.unionByName(turned).distinct(), "bfs-turned")
-            if (n := large.count()) > n_turned:
-                turned, n_turned = large, n
-        if len(levels) > merge:
-            older = levels[:-2]
-            levels = [stored(_union(older), "bfs-visited"), *levels[-2:]]
-            for table in older:
-                discard(table)
-    return _union(levels).select("source", "vertex", "level", "parent")
-
-
-def _roots(spark: SparkSession, roots: Sequence[int] | DataFrame) -> DataFrame:
+        return held[-2:] if len(held) > 1 else [self.levels.where(F.col("level") >= number - 2), *held]
+
+    def run(self) -> None:
+        number, rows, searching, held = 0, self.k, set(range(self.k)), []
+        while searching:
+            began = time.time()
+            frontier = held[-1] if held else self.levels.where(F.col("level") == number)
+            number += 1
+            made = self.found(number, frontier, self._recent(number, held), rows)
+            told = Observation()
+            if self.switch_at is None and rows <= THIN:
+                held.append(stored(made.observe(told, *self._counts(number)), "bfs-thin"))
+            else:
+                self._append(_union([*held, made]).observe(told, *self._counts(number)))
+                held = self._let_go(held)
+            got = told.get
+            ended, rows = time.time(), got.get("rows", 0)
+            for i in sorted(searching):
+                nf = got.get(f"n{i}", 0)
+                self.rounds.append((self.roots[i], number - 1, nf, "bottom_up" if i in self.turned else "top_down", began, ended))
+                if not nf:
+                    searching.discard(i)
+                elif self.switch_at is not None and nf > self.switch_at and i not in self.turned:
+                    self.turned.append(i)
+            if held and (len(held) >= STRIDE or not searching):
+                self._append(_union(held))
+                held = self._let_go(held)
+
+    @staticmethod
+    def _let_go(held: list[DataFrame]) -> list[DataFrame]:
+        for table in held:
+            discard(table)
+        return []
+
+    def result(self) -> DataFrame:
+        """(source, vertex, level, parent), read from the files; the table's name goes."""
+        schema = self.levels.schema
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        rows = self.spark.read.schema(schema).parquet(self.path)
+        own = F.array(*[F.struct(F.lit(r).cast("bigint").alias("source"), F.col(p).alias("parent")) for r, p in zip(self.roots, self.parents, strict=True)])
+        found = rows.select("vertex", "level", F.explode(F.filter(own, lambda x: x["parent"].isNotNull())).alias("x"))
+        return found.select("x.source", "vertex", "level", "x.parent")
+
+
+def _roots(spark: SparkSession, roots: Sequence[int] | DataFrame) -> list[int]:
+    """The roots, distinct and in order. They are as many as the caller gives."""
     if isinstance(roots, DataFrame):
-        return roots.select(F.col(roots.columns[0]).cast("bigint").alias("source"))
-    return spark.createDataFrame([(int(r),) for r in roots], "source bigint")
+        roots = [r[0] for r in roots.select(F.col(roots.columns[0]).cast("bigint")).distinct().collect()]
+    return sorted({int(r) for r in roots if r is not None})
+
+
+@dataclass
+class Found:
+    """What searches found, and their rounds as they were run: (source, round, nf, direction, started, ended)."""
+
+    result: DataFrame
+    rounds: list[tuple] = field(default_factory=list)
 
 
-def bfs(
-    edges: DataFrame | Built, roots: Sequence[int] | DataFrame, symmetric: bool = False, switch_at: float | None = None, local: bool = False
-) -> DataFrame:
+def run(
+    graph: Built, roots: Sequence[int] | DataFrame, symmetric: bool = False, switch_at: float | None = None, broadcast_rows: int = BROADCAST_ROWS
+) -> Found:
+    """All searches, in batches of ``BATCH`` roots."""
+    spark = graph.edges.sparkSession
+    wanted, tables, rounds = _roots(spark, roots), [], []
+    for at in range(0, len(wanted), BATCH):
+        search = _Search(graph, wanted[at : at + BATCH], symmetric, switch_at, broadcast_rows)
+        search.run()
+        tables.append(search.result())
+        rounds += search.rounds
+    return Found(_union(tables) if tables else spark.createDataFrame([], RESULT), rounds)
+
+
+def bfs(edges: DataFrame | Built, roots: Sequence[int] | DataFrame, symmetric: bool = False, switch_at: float | None = None) -> DataFrame:
     """(source, vertex, level, parent) of every vertex reached from each root.
 
     After a round in which a source finds more than ``switch_at`` vertices its further rounds run bottom-up.
     """
-    table = edges if isinstance(edges, DataFrame) else edges.edges
-    wanted = _roots(table.sparkSession, roots).where("source IS NOT NULL").distinct()
-    if local:
-        return _local(table, sorted(r["source"] for r in wanted.collect()), switch_at)
-    if not isinstance(edges, DataFrame):
-        return _distributed(edges, wanted, symmetric, switch_at)
+    if isinstance(edges, Built):
+        return run(edges, roots, symmetric, switch_at).result
     graph = build(edges)
-    found = _distributed(graph, wanted, symmetric, switch_at)
+    found = run(graph, roots, symmetric, switch_at).result
     graph.release()
     return found
 
 
+def balls(edges: DataFrame, reach: int) -> DataFrame:
+    """(src, dst, hops): all vertices within ``reach`` hops of each src and their distance, by doubling.
+
+    Meant for sparse, deep graphs: a vertex has as many rows as its ball has vertices.
+    """
+    near = edges.select("src", "dst", F.lit(1).alias("hops")).where("src <> dst").distinct()
+    made, spare = stored(near, "bfs-ball"), []
+    done = 1
+    while done < reach:
+        more = min(done, reach - done)
+        spare.append(made)
+        then = made.where(F.col("hops") <= more).select(F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("hops").alias("on"))
+        further = made.join(then, "dst").select("src", F.col("far").alias("dst"), (F.col("hops") + F.col("on")).alias("hops")).where("src <> dst")
+        made = stored(made.unionByName(further).groupBy("src", "dst").agg(F.min("hops").alias("hops")), "bfs-ball")
+        done += more
+    for table in spare:
+        discard(table)
+    return made
+
+
+def with_parents(levels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``levels(source, vertex, level)`` with the smallest parent of each vertex; a root is its own. One pass over the edges."""
+    above = levels.select("source", F.col("vertex").alias("src"), (F.col("level") + 1).alias("level"))
+    below = levels.where("level > 0").select("source", F.col("vertex").alias("dst"), "level")
+    tree = above.join(edges.select("src", "dst"), "src").join(below, ["source", "dst", "level"])
+    least = tree.groupBy("source", F.col("dst").alias("vertex")).agg(F.min("src").alias("parent"))
+    roots = levels.where("level = 0").select("source", "vertex", "level", F.col("vertex").alias("parent"))
+    return roots.unionByName(levels.where("level > 0").join(least, ["source", "vertex"]).select("source", "vertex", "level", "parent"))
+
+
+def bfs_deep(edges: DataFrame, roots: Sequence[int] | DataFrame, reach: int = 8) -> DataFrame:
+    """The rows of ``bfs`` for graphs that are sparse and deep: ``reach`` levels a round.
+
+    A vertex up to ``reach`` levels below level L lies that near to a vertex of level L, so a round
+    finds exact levels from the balls around these alone; parents follow in one pass at the end.
+    """
+    spark = edges.sparkSession
+    near = balls(edges, reach)
+    wanted = spark.createDataFrame([(r, r, 0) for r in _roots(spark, roots)], "source bigint, vertex bigint, level int")
+    rings, at = [stored(wanted, "bfs-ring")], 0
+    while True:
+        last = rings[-1].where(F.col("level") == at).select("source", F.col("vertex").alias("src"))
+        found = last.join(near, "src").groupBy("source", F.col("dst").alias("vertex")).agg((F.min("hops") + at).cast("int").alias("level"))
+        told = Observation()
+        ring = stored(frontier_new(found, _union(rings)).observe(told, F.count_if(F.col("level") == at + reach).alias("edge")), "bfs-ring")
+        rings, at = [*rings, ring], at + reach
+        if not told.get.get("edge", 0):
+            break
+    levels = stored(_union(rings), "bfs-levels")
+    for table in [*rings, near]:
+        discard(table)
+    return with_parents(levels, edges.distinct())
+
+
 def rounds_of(result: DataFrame, switch_at: float | None = None) -> DataFrame:
     """(source, round, nf, direction) of a search's ``result``, one row per round, the last with nf 0."""
     sizes = result.groupBy("source", (F.col("level") - 1).alias("round")).agg(F.count("*").alias("nf")).where("round >= 0")
@@ -265,11 +409,13 @@ def rounds_of(result: DataFrame, switch_at: float | None = None) -> DataFrame:
     return every.join(turn, "source", "left").select("source", F.col("round").cast("int").alias("round"), "nf", direction.alias("direction"))
 
 
-def bfs_rounds(
-    edges: DataFrame | Built, roots: Sequence[int] | DataFrame, symmetric: bool = False, switch_at: float | None = None, local: bool = False
-) -> DataFrame:
-    """(source, round, nf, direction), one row per round, the last with nf 0."""
-    return rounds_of(bfs(edges, roots, symmetric, switch_at, local), switch_at)
+def bfs_rounds(edges: DataFrame | Built, roots: Sequence[int] | DataFrame, symmetric: bool = False, switch_at: float | None = None) -> DataFrame:
+    """(source, round, nf, direction) of the rounds as they were run, the last with nf 0."""
+    graph = edges if isinstance(edges, Built) else build(edges)
+    made = graph.edges.sparkSession.createDataFrame(run(graph, roots, symmetric, switch_at).rounds, ROUNDS)
+    if graph is not edges:
+        graph.release()
+    return made.select("source", "round", "nf", "direction")
 
 
 def switch_threshold(n: int, share: float = 0.15) -> int:

@@ -348,24 +348,27 @@ def bit_or_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- search ----
 
 
-def _register_search(graph: str, symmetric: bool, suffix: str, local: bool = False) -> None:
+def _register_search(graph: str, symmetric: bool, suffix: str, deep: bool = False) -> None:
+    def found(e: DataFrame) -> DataFrame:
+        return search.bfs_deep(e, _least_source(e)) if deep else search.bfs(e, _least_source(e), symmetric)
+
     @_query(f"bfs_levels{suffix}", f"{_searched(graph)} SELECT v AS vertex, lvl AS level FROM b")
     def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = _graph(graph, spark, sf_dir)
-        return search.bfs(e, _least_source(e), symmetric, local=local).select("vertex", "level")
+        return found(e).select("vertex", "level")
 
     @_query(f"bfs_parents{suffix}", f"{_searched(graph)} SELECT v AS vertex, parent FROM b")
     def parents(spark: SparkSession, sf_dir: str) -> DataFrame:
         e = _graph(graph, spark, sf_dir)
-        return search.bfs(e, _least_source(e), symmetric, local=local).select("vertex", "parent")
+        return found(e).select("vertex", "parent")
 
 
 _register_search("purchases", True, "")
 _register_search("customer_orders", True, "_sparse")
 _register_search("event_steps", False, "_directed")
 _register_search("small_world", True, "_rmat")
-# long thin paths, in one task as their caller asks
-_register_search("event_paths", True, "_paths", local=True)
+# long thin paths, eight levels a round
+_register_search("event_paths", True, "_paths", deep=True)
 
 
 @_query("bfs_levels_distributed_g1", f"{_searched('purchases')} SELECT v AS vertex, lvl AS level, parent FROM b")
@@ -392,7 +395,7 @@ def bfs_tree_depth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("bfs_eccentricity", f"{_searched('event_paths')} SELECT (SELECT r FROM ({_ROOT})) AS source, max(lvl) AS eccentricity, max(lvl) + 1 AS rounds, count(*) AS visited FROM b")
 def bfs_eccentricity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _graph("event_paths", spark, sf_dir)
-    return checks.eccentricity(search.bfs(e, _least_source(e), True, local=True))
+    return checks.eccentricity(search.bfs_deep(e, _least_source(e)))
 
 
 _ROUNDS = f"""nf AS (SELECT lvl - 1 AS round, count(*) AS nf FROM b WHERE lvl > 0 GROUP BY lvl),
@@ -541,7 +544,7 @@ def edges_traversed_undirected(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("edges_traversed_directed", f"{_searched('event_steps')} SELECT (SELECT r FROM ({_ROOT})) AS source, count(*) AS m FROM e JOIN b ON v = src")
 def edges_traversed_directed(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _graph("event_steps", spark, sf_dir)
-    return checks.edges_traversed(search.bfs(e, _least_source(e), local=True), e, False)
+    return checks.edges_traversed(search.bfs_deep(e, _least_source(e)), e, False)
 
 
 _SEARCHES = f"""{_with('purchases', _ROOTS + ', ' + _MULTI)}, vis AS (SELECT s, count(*) AS visited, max(lvl) + 1 AS rounds FROM b GROUP BY s),

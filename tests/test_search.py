@@ -46,18 +46,18 @@ def as_dict(df: DataFrame) -> dict[int, tuple[int, int]]:
     return {r["vertex"]: (r["level"], r["parent"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("local", [False, True])
+@pytest.mark.parametrize("deep", [False, True])
 @pytest.mark.parametrize(
     ("pairs", "root"), [(PATH, 0), (PATH, 4), (DIAMOND, 0), (LATE, 0), ([(7, 7), (0, 1)], 7), ([(0, 1), (1, 0), (2, 3), (3, 2)], 2), ([], 5)]
 )
-def test_unit_graphs(spark: SparkSession, pairs: list[tuple[int, int]], root: int, local: bool) -> None:
-    assert as_dict(search.bfs(table(spark, pairs), [root], local=local)) == plain(pairs, root)
+def test_unit_graphs(spark: SparkSession, pairs: list[tuple[int, int]], root: int, deep: bool) -> None:
+    run = search.bfs_deep if deep else search.bfs
+    assert as_dict(run(table(spark, pairs), [root])) == plain(pairs, root)
 
 
 def test_rounds_count_the_empty_one(spark: SparkSession) -> None:
-    for local in (False, True):
-        rounds = search.bfs_rounds(table(spark, PATH), [0], local=local)
-        assert [r["nf"] for r in sorted(rounds.collect(), key=lambda r: r["round"])] == [1, 1, 1, 1, 0]
+    rounds = search.bfs_rounds(table(spark, PATH), [0])
+    assert [r["nf"] for r in sorted(rounds.collect(), key=lambda r: r["round"])] == [1, 1, 1, 1, 0]
 
 
 @pytest.mark.parametrize(("scale", "factor", "nf"), [(4, 4, [9, 5, 1, 0]), (8, 4, [88, 97, 3, 0]), (12, 4, [621, 1699, 184, 2, 0])])
@@ -88,20 +88,23 @@ def triples(df: DataFrame) -> dict:
     return found
 
 
-@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     pairs=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=40),
     roots=st.lists(st.integers(0, 12), min_size=1, max_size=5),
     symmetric=st.booleans(),
     switch_at=st.none() | st.integers(0, 5),
 )
-def test_both_plans_agree_on_random_graphs(spark: SparkSession, pairs: list, roots: list[int], symmetric: bool, switch_at: int | None) -> None:
+def test_random_graphs(spark: SparkSession, pairs: list, roots: list[int], symmetric: bool, switch_at: int | None) -> None:
     given_edges = [*pairs, *[(b, a) for a, b in pairs]] if symmetric else pairs
     want, rounds = judged(given_edges, roots, switch_at)
-    for local in (False, True):
-        got = search.bfs(table(spark, given_edges), roots, symmetric, switch_at, local)
-        assert triples(got) == want
-        assert {(r["source"], r["round"]): (r["nf"], r["direction"]) for r in search.rounds_of(got, switch_at).collect()} == rounds
+    graph = search.build(table(spark, given_edges), hub_degree=4)
+    got = search.run(graph, roots, symmetric, switch_at)
+    assert triples(got.result) == want
+    assert {r[:2]: (r[2], r[3]) for r in got.rounds} == rounds
+    assert all(r[4] <= r[5] for r in got.rounds)
+    assert {(r["source"], r["round"]): (r["nf"], r["direction"]) for r in search.rounds_of(got.result, switch_at).collect()} == rounds
+    assert triples(search.bfs_deep(table(spark, given_edges), roots, reach=3)) == want
 
 
 @pytest.mark.parametrize("switch_at", [None, 5.0, 20.0])
@@ -117,12 +120,69 @@ def test_many_roots_and_hubs_in_parts(spark: SparkSession, switch_at: float | No
         assert triples(search.bfs(built, roots, True, switch_at)) == judged(pairs, roots, switch_at)[0]
 
 
-def test_edges_of_a_build_are_not_shuffled(spark: SparkSession) -> None:
-    built = search.build(table(spark, [(i, (i * 7) % 50) for i in range(50)]))
-    ring = spark.range(50).selectExpr("id % 3 AS source", "id AS vertex").hint("shuffle_merge")
-    plan = search._met(built, ring)._jdf.queryExecution().executedPlan().toString()
-    join = plan[plan.index("SortMergeJoin") :]
-    assert join.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+@pytest.fixture
+def sort_merge(spark: SparkSession):  # noqa: ANN201
+    """Joins as they are planned where nothing is small enough to be broadcast."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def scans_below_exchanges(plan: str) -> list[str]:
+    """The scans that stand below an exchange, by what they read."""
+    found, open_exchanges = [], []
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-|"))
+        open_exchanges = [d for d in open_exchanges if d < depth]
+        if "FileScan" in line and open_exchanges:
+            found.append("edges" if "bfs_edges" in line else "levels" if "bfs_levels" in line else line)
+        if line.lstrip(" :+-").startswith("Exchange") or "BroadcastExchange" in line:
+            open_exchanges.append(depth)
+    return found
+
+
+@pytest.mark.parametrize("symmetric", [True, False])
+@pytest.mark.parametrize("turned", [[], [0], [0, 1]])
+def test_rounds_move_candidates_only(spark: SparkSession, sort_merge: None, symmetric: bool, turned: list[int]) -> None:
+    """Neither edges nor what is visited is shuffled, in any direction; a bottom-up round sends the frontier's rows."""
+    pairs = [(i, (i * 7) % 50) for i in range(50)]
+    built = search.build(table(spark, pairs + [(b, a) for a, b in pairs]))
+    own = search._Search(built, [1, 2], symmetric, 0.0, 10**6)
+    own.turned = turned
+    frontier = own.levels.where("level = 0")
+    made = own.found(1, frontier, own._recent(1, []), 2)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    below = scans_below_exchanges(plan)
+    # candidates are made of edges and frontier rows, combined by task before they are dealt
+    partial = plan.count("partial_bit_or(bits")
+    assert plan.count("Exchange hashpartitioning") <= 1 + (len(turned) == 1) and plan.count("Bucketed: true") >= 2
+    if turned == [0, 1]:  # in-edges lie with what is visited: not even candidates move
+        assert "Exchange hashpartitioning" not in plan and below == ["levels"]
+    else:
+        assert partial >= 1
+    assert "BroadcastExchange" in plan if turned else "BroadcastExchange" not in plan
+
+
+def test_broadcasts_only_behind_a_check(spark: SparkSession, sort_merge: None) -> None:
+    pairs = [(i, (i * 7) % 50) for i in range(50)]
+    built = search.build(table(spark, pairs + [(b, a) for a, b in pairs]))
+    own = search._Search(built, [1], True, 0.0, 10)
+    own.turned = [0]
+    plans = [own.found(1, own.levels.where("level = 0"), own._recent(1, []), rows)._jdf.queryExecution().executedPlan().toString() for rows in (10, 11)]
+    assert ["BroadcastExchange" in p for p in plans] == [True, False]
+    want = judged([*pairs, *[(b, a) for a, b in pairs]], [1], 0)[0]
+    assert triples(search.run(built, [1], True, 0, broadcast_rows=0).result) == want
+
+
+def test_more_roots_than_bits(spark: SparkSession) -> None:
+    pairs = [(i, (i * 5 + 1) % 90) for i in range(90)] + [(7, 70), (70, 7)]
+    roots = list(range(70))
+    assert triples(search.bfs(table(spark, pairs), roots)) == judged(pairs, roots, None)[0]
+
+
+def test_no_roots_and_no_edges(spark: SparkSession) -> None:
+    assert search.bfs(table(spark, PATH), []).collect() == []
+    assert triples(search.bfs(table(spark, []), [4, 9])) == {(4, 4): (0, 4), (9, 9): (0, 9)}
 
 
 def test_long_directed_path_merges_levels(spark: SparkSession) -> None:
@@ -133,9 +193,8 @@ def test_long_directed_path_merges_levels(spark: SparkSession) -> None:
 def test_direction_switches_once(spark: SparkSession) -> None:
     star = [(0, k) for k in range(1, 1001)]
     both = star + [(b, a) for a, b in star]
-    for local in (False, True):
-        rounds = search.bfs_rounds(table(spark, both), [0], True, search.switch_threshold(1001), local).collect()
-        assert [(r["nf"], r["direction"]) for r in sorted(rounds, key=lambda r: r["round"])] == [(1000, "top_down"), (0, "bottom_up")]
+    rounds = search.bfs_rounds(table(spark, both), [0], True, search.switch_threshold(1001)).collect()
+    assert [(r["nf"], r["direction"]) for r in sorted(rounds, key=lambda r: r["round"])] == [(1000, "top_down"), (0, "bottom_up")]
 
 
 def test_unreached_and_visited(spark: SparkSession) -> None:
