@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import units
-from latticework.operators import blocks, checks, edges, search, telemetry
+from latticework.operators import blocks, checks, edges, grid, search, telemetry
 from latticework.plans import derived
 from latticework.plans.derived import CLOCK, GRAPH_SQL, MARKS_SQL, RUN_LOG_SQL, TICKS_SQL
 from latticework.plans.tables import kept_until_exit, new_path, stored
@@ -444,6 +444,38 @@ def bfs_direction_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bfs_rounds(e, edges.sample_roots(e, 6, 5), True, search.switch_threshold(n))
 
 
+def _grid_cells(spark: SparkSession, sf_dir: str) -> tuple[grid.Cells, int]:
+    """The purchases in a grid of cells with small segments, and the least vertex with an edge."""
+    e, n = _blocks(spark, sf_dir)
+    return grid.build_cells(e, n, GRID, segment=4096), _least_source(e).first()["source"]
+
+
+@_query("bfs_levels_grid", f"{_searched('purchases')} SELECT v AS vertex, lvl AS level, parent FROM b")
+def bfs_levels_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search by blocks: frontier pages go down the columns of cells, candidates are reduced along the rows."""
+    return grid.bfs_grid(*_grid_cells(spark, sf_dir)).select("vertex", "level", "parent")
+
+
+@_query("frontier_bitmap_rounds", f"{_searched('purchases')}, {_ROUNDS} SELECT (SELECT r FROM ({_ROOT})) AS source, round, nf FROM h")
+def frontier_bitmap_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frontier sizes as the popcounts of the rounds' bitmaps."""
+    cells, root = _grid_cells(spark, sf_dir)
+    pages = grid.search_cells(cells, root).pages.where("level > 0")
+    sizes = pages.groupBy((F.col("level") - 1).alias("round")).agg(F.sum(F.bitmap_count("bits")).cast("bigint").alias("nf"))
+    last = pages.agg(F.coalesce(F.max("level"), F.lit(0)).alias("round"), F.lit(0).cast("bigint").alias("nf"))
+    return sizes.unionByName(last).select(F.lit(root).cast("bigint").alias("source"), F.col("round").cast("int").alias("round"), "nf")
+
+
+@_query("grid_cell_candidates", f"{_with('purchases', _BLK)}, ring AS (SELECT dst AS v FROM e WHERE src = ({_ROOT})) SELECT row_b, count(DISTINCT dst) AS n_candidates FROM blk WHERE src IN (SELECT v FROM ring) GROUP BY row_b")
+def grid_cell_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of one expansion by block row, from the OR-reduced pages."""
+    cells, root = _grid_cells(spark, sf_dir)
+    size = blocks.block_edge(cells.n, GRID)
+    ring = grid.page_vertices(grid.candidates(cells, grid.bitmap_pages(spark.createDataFrame([(root,)], "vertex bigint"))))
+    second = grid.page_vertices(grid.candidates(cells, grid.bitmap_pages(ring)))
+    return second.groupBy(F.expr(f"vertex div {size}").alias("row_b")).agg(F.count("*").alias("n_candidates"))
+
+
 _FRONTIER = f"fr AS (SELECT DISTINCT dst AS v FROM e WHERE src = ({_ROOT})), vis AS (SELECT v FROM fr UNION {_ROOT})"
 
 
