@@ -51,7 +51,7 @@ def main(given: list[str] | None = None) -> None:
         return
     graph = prepare.load(spark, args.graph, args.undirected)
     if args.command == "balance":
-        prepare.write(*_swapped(prepare.balance(graph, args.grid, args.greedy), args.out))
+        prepare.write(*_swapped(prepare.balanced(graph, args.grid, args.greedy), args.out))
         return
     name = args.graph.rstrip("/").rpartition("/")[2]
     if args.command == "search":

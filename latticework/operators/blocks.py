@@ -6,8 +6,6 @@ vertex block row_b and whose src lies in vertex block col_b.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -133,13 +131,13 @@ def csr_offsets(edges: DataFrame, n: int, parts: int | None = None) -> DataFrame
 
 
 def load_imbalance(edges: DataFrame, n: int, grid: int) -> DataFrame:
-    """max and mean load, their ratio, and the balance factor nnz / (P^2 max)."""
+    """max and mean load, their ratio, and the balance factor nnz / (P^2 max); both null without edges."""
     loads = nnz_per_block(edges, n, grid)
     return loads.agg(F.max("nnz").alias("max_nnz"), F.avg("nnz").alias("mean"), F.sum("nnz").alias("total")).select(
         "max_nnz",
         F.round("mean", 6).alias("mean_nnz"),
-        F.round(F.col("max_nnz") / F.col("mean"), 6).alias("peak_mean_ratio"),
-        F.round(F.col("total") / (grid * grid * F.col("max_nnz")), 6).alias("balance_factor"),
+        F.round(F.try_divide("max_nnz", "mean"), 6).alias("peak_mean_ratio"),
+        F.round(F.try_divide("total", grid * grid * F.col("max_nnz")), 6).alias("balance_factor"),
     )
 
 
@@ -189,7 +187,8 @@ def density_2d(edges: DataFrame, n: int, bins: int) -> DataFrame:
     )
 
 
-def _all_degrees(edges: DataFrame, n: int) -> DataFrame:
+def all_degrees(edges: DataFrame, n: int) -> DataFrame:
+    """(vertex, degree): the in-edges of every vertex."""
     degrees = edges.groupBy(F.col("dst").alias("vertex")).agg(F.count("*").alias("degree"))
     every = edges.sparkSession.range(n).select(F.col("id").alias("vertex"))
     return every.join(degrees, "vertex", "left").select("vertex", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
@@ -202,62 +201,12 @@ def balance_serpentine(edges: DataFrame, n: int, grid: int) -> DataFrame:
     padded to a multiple of the grid.
     """
     size = block_edge(n, grid)
-    ranked = with_global_rank(_all_degrees(edges, n), [F.col("degree").desc(), F.col("vertex")], "position")
+    ranked = with_global_rank(all_degrees(edges, n), [F.col("degree").desc(), F.col("vertex")], "position")
     turn, at = F.expr(f"position div {grid}"), F.col("position") % grid
     band = F.when(turn % 2 == 0, at).otherwise(grid - 1 - at)
     return ranked.select(F.col("vertex").alias("old_id"), (band * size + turn).cast("bigint").alias("new_id"))
 
 
-def greedy_permutation(dst: np.ndarray, src: np.ndarray, n: int, grid: int) -> np.ndarray:
-    """new id by old id. Rows by falling degree each go to the band whose fullest block is emptiest.
-
-    The order of assignment is sequential by nature. Ties: degree, then id; the
-    first band with the least peak. Passes repeat while the balance improves.
-    """
-    size = -(-n // grid)
-    padded = size * grid
-    degree = np.bincount(dst, minlength=padded)
-    order = np.lexsort((np.arange(padded), -degree))
-    by_row = np.argsort(dst, kind="stable")
-    starts = np.concatenate([[0], np.cumsum(degree)])
-    columns = src[by_row]
-    best, best_factor = np.arange(padded), 0.0
-    while True:
-        loads, used = np.zeros((grid, grid), np.int64), np.zeros(grid, np.int64)
-        peak, new = np.zeros(grid, np.int64), np.empty(padded, np.int64)
-        band = 0
-        for row in order:
-            new[row] = band * size + used[band]
-            used[band] += 1
-            mine = columns[starts[row] : starts[row + 1]]
-            if len(mine):
-                loads[band] += np.bincount(best[mine] // size, minlength=grid)
-                peak[band] = loads[band].max()
-            band = int(np.where(used < size, peak, np.iinfo(np.int64).max).argmin())
-        fullest = np.bincount((new[dst] // size) * grid + new[src] // size, minlength=grid * grid).max(initial=0)
-        factor = len(dst) / (grid * grid * fullest) if fullest else 1.0
-        if factor <= best_factor:
-            return best
-        best, best_factor = new, factor
-
-
-def balance_greedy(edges: DataFrame, n: int, grid: int, max_edges: int = 20_000_000) -> DataFrame:
-    """perm(old_id, new_id) of the greedy balancer, in one executor task behind a checked size.
-
-    Each step depends on the one before, so this runs where all edges fit one
-    task; beyond ``max_edges`` use ``balance_serpentine``.
-    """
-    total = edges.count()
-    if total > max_edges:
-        raise ValueError(f"{total} edges; the sequential balancer takes {max_edges} (use balance_serpentine)")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        new = greedy_permutation(frame["dst"].to_numpy(), frame["src"].to_numpy(), n, grid)
-        return pd.DataFrame({"old_id": np.arange(len(new)), "new_id": new})
-
-    return edges.select("src", "dst", F.lit(0).alias("all")).groupBy("all").applyInPandas(lambda f: run(f), "old_id bigint, new_id bigint")
-
-
 def balance_before_after(edges: DataFrame, perm: DataFrame, n: int, grid: int) -> DataFrame:
     """Block loads before and after a relabelling: nnz, min, max and max / max(1, min)."""
     padded = block_edge(n, grid) * grid

@@ -468,7 +468,7 @@ def radial_layout(result: DataFrame, step: float | None = None, n: int | None =
     shift = F.when(F.col("level") > 1, F.lit(0.5)).otherwise(F.lit(0.0))
     share = F.lit(2 * np.pi) * (F.col("place") + shift) / F.col("size")
     if step is None:
-        step = max(1.5, size.agg(F.max("size")).first()[0] / 10)
+        step = max(1.5, (size.agg(F.max("size")).first()[0] or 0) / 10)
     out = _at(placed.join(size, "level"), share, F.col("level") * F.lit(float(step)))
     if n is None:
         return out

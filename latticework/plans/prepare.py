@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.operators import blocks, edges
+from latticework.operators import balance, blocks, edges
 from latticework.plans.tables import stored
 from latticework.sources import rmat, writers
 from latticework.sources.graphs import Graph, read_graph
@@ -21,10 +21,10 @@ def load(spark: SparkSession, path: str, undirected: bool = False) -> Graph:
     return Graph(edges.symmetrize(graph.edges), graph.n, False) if undirected else graph
 
 
-def balance(graph: Graph, grid: int, greedy: bool = False) -> tuple[Graph, DataFrame]:
+def balanced(graph: Graph, grid: int, greedy: bool = False) -> tuple[Graph, DataFrame]:
     """The relabelled graph, its ids padded to a multiple of ``grid``, and perm(old_id, new_id)."""
     kept = stored(graph.edges.select("src", "dst"), "balance-edges")
-    perm = stored((blocks.balance_greedy if greedy else blocks.balance_serpentine)(kept, graph.n, grid), "balance-perm")
+    perm = stored((balance.balance_greedy if greedy else blocks.balance_serpentine)(kept, graph.n, grid), "balance-perm")
     return Graph(edges.relabel(kept, perm), blocks.block_edge(graph.n, grid) * grid, graph.directed), perm
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.operators import blocks, edges
+from latticework.operators import adjacency, balance, blocks, edges, search
+from latticework.plans.tables import stored
 from latticework.sources import rmat
 
 
@@ -61,7 +63,7 @@ def test_global_rank_is_gapless(spark: SparkSession) -> None:
 
 def test_relabel_and_balance_keep_edges(spark: SparkSession) -> None:
     graph = rmat.rmat(spark, 6, 4, 0)
-    for perm in (blocks.balance_serpentine(graph, 64, 4), blocks.balance_greedy(graph, 64, 4)):
+    for perm in (blocks.balance_serpentine(graph, 64, 4), balance.balance_greedy(graph, 64, 4)):
         new = [r["new_id"] for r in perm.collect()]
         assert len(set(new)) == 64 and set(new) == set(range(64))
         before, after = sorted(blocks.balance_before_after(graph, perm, 64, 4).collect(), key=lambda r: r["stage"] != "before")
@@ -69,9 +71,75 @@ def test_relabel_and_balance_keep_edges(spark: SparkSession) -> None:
         assert after["max_nnz"] <= before["max_nnz"]
 
 
-def test_greedy_refuses_what_is_too_large(spark: SparkSession) -> None:
-    with pytest.raises(ValueError, match="balance_serpentine"):
-        blocks.balance_greedy(rmat.rmat(spark, 6, 4, 0), 64, 4, max_edges=100)
+def row_by_row(pairs: list[tuple[int, int]], n: int, side: int) -> float:
+    """The balance factor of placing rows one at a time, by the definition."""
+    size = -(-n // side)
+    near: dict[int, list[int]] = {}
+    for a, b in pairs:
+        near.setdefault(b, []).append(a)
+    order = sorted(range(size * side), key=lambda v: (-len(near.get(v, [])), v))
+    best, best_factor = {v: v for v in order}, 0.0
+    while True:
+        loads, free, new = [[0] * side for _ in range(side)], [size] * side, {}
+        for v in order:
+            band = min((b for b in range(side) if free[b]), key=lambda b: (max(loads[b]), b))
+            new[v] = band * size + size - free[band]
+            free[band] -= 1
+            for u in near.get(v, []):
+                loads[band][best[u] // size] += 1
+        cells: dict[tuple[int, int], int] = {}
+        for a, b in pairs:
+            cell = new[b] // size, new[a] // size
+            cells[cell] = cells.get(cell, 0) + 1
+        factor = len(pairs) / (side * side * max(cells.values()))
+        if factor <= best_factor:
+            return best_factor
+        best, best_factor = new, factor
+
+
+@pytest.mark.parametrize(("scale", "factor", "side"), [(10, 8, 4), (12, 8, 8)])
+def test_rounds_balance_as_rows_do(spark: SparkSession, scale: int, factor: int, side: int) -> None:
+    graph = stored(rmat.rmat(spark, scale, factor, 2), "test-edges")
+    perm = stored(balance.balance_greedy(graph, 1 << scale, side), "test-perm")
+    ids = perm.collect()
+    assert sorted(r["old_id"] for r in ids) == sorted(r["new_id"] for r in ids) == list(range(1 << scale))
+    got = balance.balance_factor(edges.relabel(graph, perm), 1 << scale, side)
+    assert got >= 0.97 * row_by_row([tuple(r) for r in graph.collect()], 1 << scale, side)
+
+
+def test_levels_and_deals() -> None:
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        side, rows = int(rng.integers(1, 7)), int(rng.integers(1, 400))
+        loads, vector = rng.integers(0, 50, (side, side)), rng.integers(0, 300, side)
+        room = rng.integers(0, 200, side)
+        room[0] += max(0, rows - room.sum())
+        taken = balance.level(loads, room, vector, rows)
+        assert taken.sum() == rows and (taken >= 0).all() and (taken <= room).all()
+        deal = balance.Deal(100, rows, np.cumsum(taken), np.arange(side))
+        band, place = deal.placed(np.arange(100, 100 + rows))
+        assert len(set(zip(band.tolist(), place.tolist(), strict=True))) == rows
+        assert (np.bincount(band, minlength=side) == taken).all()
+    assert balance.level(np.zeros((2, 2), np.int64), np.array([3, 3]), np.zeros(2, np.int64), 4).tolist() == [3, 1]
+
+
+def test_graphs_without_edges(spark: SparkSession) -> None:
+    none = spark.createDataFrame([], "src bigint, dst bigint")
+    assert blocks.load_imbalance(none, 10, 2).first()["peak_mean_ratio"] is None
+    assert sorted(r["new_id"] for r in balance.balance_greedy(none, 10, 3).collect()) == list(range(12))
+    assert search.radial_layout(spark.createDataFrame([], search.RESULT)).collect() == []
+    assert adjacency.neighbours_of(adjacency.build_adjacency(none), spark.createDataFrame([(1,)], "vertex bigint")).collect() == []
+
+
+def test_neighbours_are_looked_up(spark: SparkSession) -> None:
+    pairs = sorted({(i * i % 97, i % 83) for i in range(900)} | {(5, i) for i in range(300)})
+    graph = adjacency.build_adjacency(spark.createDataFrame([*pairs, pairs[0]], "src bigint, dst bigint"), span=10, segment=16)
+    wanted = spark.createDataFrame([(5,), (5,), (96,), (4,), (1000,), (None,)], "vertex bigint")
+    found = adjacency.neighbours_of(graph, wanted)
+    assert sorted((r["vertex"], r["neighbour"]) for r in found.collect()) == [p for p in pairs if p[0] in (4, 5, 96)]
+    assert max(len(r["neighbours"]) for r in graph.segments.collect()) <= 16
+    assert "dynamicpruning" in adjacency.neighbours_of(graph, stored(wanted, "test-asked").where("vertex < 50"))._jdf.queryExecution().executedPlan().toString()
+
 
 
 def test_csr_offsets_are_prefix_sums(spark: SparkSession) -> None:
