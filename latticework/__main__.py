@@ -6,7 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from latticework.operators.edges import translate_source
+from latticework.operators.edges import translate_source, with_old_ids
 from latticework.plans import benchmark, prepare
 from latticework.sources.graphs import read_permutation
 from latticework.sources.writers import append_rows
@@ -29,11 +29,12 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     bench.add_argument("--seed", type=int, default=0)
     bench.add_argument("--sources", type=int, nargs="+")
     bench.add_argument("--direction-switch", action="store_true")
+    bench.add_argument("--one-by-one", action="store_true", help="run and time each search alone")
     bench.add_argument("--no-validation", action="store_true")
     one = commands.add_parser("search", help="search from one root, write its tree and append its result row")
     one.add_argument("graph")
     one.add_argument("--source", type=int, default=0)
-    one.add_argument("--permutation", help="file of new ids; the root is then given as an old one")
+    one.add_argument("--permutation", help="file of new ids; the root is then given, and the tree written, under old ones")
     one.add_argument("--direction-switch", action="store_true")
     one.add_argument("--no-validation", action="store_true")
     for command in (ready, bench, one):
@@ -55,22 +56,25 @@ def main(given: list[str] | None = None) -> None:
         return
     name = args.graph.rstrip("/").rpartition("/")[2]
     if args.command == "search":
-        built, root = benchmark.build(name, graph), args.source
+        built, root, moved = benchmark.build(name, graph), args.source, None
         if args.permutation:
-            moved = translate_source(read_permutation(spark, args.permutation), root).first()
-            root = moved["new_id"] if moved else -1
-        found, row = benchmark.run_search(built, *benchmark.pick_sources(built, 1, 0, [root]), 0, args.direction_switch, not args.no_validation)
-        found.write.parquet(f"{args.out}/tree-{root}")
-        rows = spark.createDataFrame([row], benchmark.SEARCHES)
+            moved = read_permutation(spark, args.permutation)
+            there = translate_source(moved, root).first()
+            root = there["new_id"] if there else -1
+        ran = benchmark.run_searches(built, benchmark.pick_sources(built, 1, 0, [root]), 0, args.direction_switch, not args.no_validation)
+        tree = ran.found if moved is None else with_old_ids(ran.found, moved)
+        tree.write.parquet(f"{args.out}/tree-{root}")
+        rows = spark.createDataFrame(ran.searches, benchmark.SEARCHES)
         append_rows(rows, f"{args.out}/searches")
+        append_rows(spark.createDataFrame(ran.rounds, benchmark.ROUNDS), f"{args.out}/rounds")
         rows.show(truncate=False)
         return
-    searches, summary = benchmark.run_benchmark(
-        spark, name, graph, args.searches, args.seed, args.sources, args.direction_switch, not args.no_validation
+    made = benchmark.run_benchmark(
+        spark, name, graph, args.searches, args.seed, args.sources, args.direction_switch, not args.no_validation, args.one_by_one
     )
-    append_rows(searches, f"{args.out}/searches")
-    append_rows(summary, f"{args.out}/summary")
-    summary.show(truncate=False)
+    for table in ("searches", "rounds", "summary"):
+        append_rows(getattr(made, table), f"{args.out}/{table}")
+    made.summary.show(truncate=False)
 
 
 def _swapped(balanced: tuple, out: str) -> tuple:

@@ -145,3 +145,11 @@ def relabel(edges: DataFrame, perm: DataFrame) -> DataFrame:
 
 def translate_source(perm: DataFrame, old_id: int) -> DataFrame:
     return perm.where(F.col("old_id") == old_id).select("old_id", "new_id")
+
+
+def with_old_ids(result: DataFrame, perm: DataFrame) -> DataFrame:
+    """A search's (source, vertex, level, parent) on a relabelled graph, under the ids before perm(old_id, new_id)."""
+    for column in ("source", "vertex", "parent"):
+        names = perm.select(F.col("new_id").alias(column), F.col("old_id").alias("_old"))
+        result = result.join(names, column).drop(column).withColumnRenamed("_old", column)
+    return result.select("source", "vertex", "level", "parent")

@@ -206,51 +206,51 @@ class _Search:
         return self.spark.table(self.name)
 
     def met_topdown(self, frontier: DataFrame) -> DataFrame:
-        """(src, bits, dst): the out-edges of ``frontier(src, bits)``."""
+        """(src, bits, level, dst): the out-edges of ``frontier(src, bits, level)``."""
         asked, on = self.graph.out.beside(frontier)
-        return asked.join(self.graph.edges, on).select("src", "bits", "dst")
+        return asked.join(self.graph.edges, on).select("src", "bits", "level", "dst")
 
     def met_bottomup(self, frontier: DataFrame, seen: DataFrame, rows: int) -> DataFrame:
-        """(src, bits, dst): the edges from ``frontier(src, bits)`` into vertices that some of the turned roots have not seen."""
+        """(src, bits, level, dst): the edges from ``frontier(src, bits, level)`` into vertices that some of the turned roots have not seen."""
         side = self.graph.into(self.symmetric)
         beside, on = side.beside(seen.withColumnRenamed("vertex", "dst"))
         wanted = _mask(self.turned)
         is_open = wanted.bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint")))) != 0
         edges = side.edges.join(beside, on, "left").where(is_open).select("src", "dst")
-        return edges.join(F.broadcast(frontier) if rows <= self.broadcast_rows else frontier, "src").select("src", "bits", "dst")
+        return edges.join(F.broadcast(frontier) if rows <= self.broadcast_rows else frontier, "src").select("src", "bits", "level", "dst")
 
     def _best(self, met: DataFrame) -> DataFrame:
         """One row per vertex: who reaches it, and each root's smallest predecessor."""
         least = [F.min(F.when(_has(F.col("bits"), i), F.col("src"))).alias(p) for i, p in enumerate(self.parents)]
-        return met.groupBy(F.col("dst").alias("vertex")).agg(F.bit_or("bits").alias("bits"), *least)
+        # the level comes with the rows: a number that differs by round would have Spark compile every round anew
+        return met.groupBy(F.col("dst").alias("vertex")).agg(F.bit_or("bits").alias("bits"), (F.max("level") + 1).alias("level"), *least)
 
     def _seen(self, tables: list[DataFrame]) -> DataFrame:
         return _union([t.select("vertex", "bits") for t in tables]).groupBy("vertex").agg(F.bit_or("bits").alias("seen"))
 
-    def _new(self, candidates: DataFrame, seen: DataFrame, level: int) -> DataFrame:
+    def _new(self, candidates: DataFrame, seen: DataFrame) -> DataFrame:
         joined = candidates.join(seen, "vertex", "left")
         fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint"))))
         kept = joined.withColumn("bits", fresh).where("bits <> 0")
         own = [F.when(_has(F.col("bits"), i), F.col(p)).alias(p) for i, p in enumerate(self.parents)]
-        return kept.select("vertex", "bits", *own, F.lit(level).cast("int").alias("level"))
+        return kept.select("vertex", "bits", *own, "level")
 
-    def found(self, number: int, frontier: DataFrame, visited: list[DataFrame], rows: int) -> DataFrame:
-        """The rows of level ``number``; ``visited`` are the levels that they may lie on."""
-        asked = frontier.select(F.col("vertex").alias("src"), "bits")
+    def found(self, frontier: DataFrame, visited: list[DataFrame], rows: int) -> DataFrame:
+        """The rows of the level after ``frontier``; ``visited`` are the levels that they may lie on."""
+        asked = frontier.select(F.col("vertex").alias("src"), "bits", "level")
         if not self.turned:
-            return self._new(self._best(self.met_topdown(asked)), self._seen(visited), number)
+            return self._new(self._best(self.met_topdown(asked)), self._seen(visited))
         seen = self._seen([self.levels])
         part = [asked.withColumn("bits", F.col("bits").bitwiseAND(m)).where("bits <> 0") for m in (_mask(self.turned), F.bitwise_not(_mask(self.turned)))]
         best = self._best(self.met_bottomup(part[0], seen, rows))
         if len(self.turned) < self.k:
             down = self._best(self.met_topdown(part[1]))
             least = [F.min(p).alias(p) for p in self.parents]
-            best = best.unionByName(down).groupBy("vertex").agg(F.bit_or("bits").alias("bits"), *least)
-        return self._new(best, seen, number)
+            best = best.unionByName(down).groupBy("vertex").agg(F.bit_or("bits").alias("bits"), F.max("level").alias("level"), *least)
+        return self._new(best, seen)
 
-    def _counts(self, level: int) -> list[Column]:
-        here = F.col("level") == level
-        return [F.count_if(here).alias("rows"), *[F.count_if(here & _has(F.col("bits"), i)).alias(f"n{i}") for i in range(self.k)]]
+    def _counts(self) -> list[Column]:
+        return [F.count("*").alias("rows"), *[F.count_if(_has(F.col("bits"), i)).alias(f"n{i}") for i in range(self.k)]]
 
     def _recent(self, number: int, held: list[DataFrame]) -> list[DataFrame]:
         """The levels that rows of level ``number`` may lie on, ``held`` ones among them."""
@@ -265,12 +265,12 @@ class _Search:
             began = time.time()
             frontier = held[-1] if held else self.levels.where(F.col("level") == number)
             number += 1
-            made = self.found(number, frontier, self._recent(number, held), rows)
             told = Observation()
+            made = self.found(frontier, self._recent(number, held), rows).observe(told, *self._counts())
             if self.switch_at is None and rows <= THIN:
-                held.append(stored(made.observe(told, *self._counts(number)), "bfs-thin"))
+                held.append(stored(made, "bfs-thin"))
             else:
-                self._append(_union([*held, made]).observe(told, *self._counts(number)))
+                self._append(_union([*held, made]))
                 held = self._let_go(held)
             got = told.get
             ended, rows = time.time(), got.get("rows", 0)

@@ -69,6 +69,20 @@ def communication_check(rounds: DataFrame, device_time: Column, transpose: Colum
     )
 
 
+def rounds_check(rounds: DataFrame, searches: DataFrame, tolerance: float = 0.05, least: float = 1.0) -> DataFrame:
+    """(search_idx, n_rounds, summed, total, delta, ok): a search's measured rounds against its whole time.
+
+    ``rounds(search_idx, started, ended)`` and ``searches(search_idx, search_time_seconds)``. Rounds may
+    not overlap, nor take longer than the search together; what lies outside them (the start, the
+    stored result) may be up to ``tolerance`` of the time, or ``least`` seconds.
+    """
+    sums = rounds.groupBy("search_idx").agg(F.count("*").alias("n_rounds"), F.sum(F.col("ended") - F.col("started")).alias("summed"), (F.max("ended") - F.min("started")).alias("span"))
+    both = sums.join(searches.select("search_idx", F.col("search_time_seconds").alias("total")), "search_idx").withColumn("delta", F.col("total") - F.col("summed"))
+    room = F.greatest(F.lit(tolerance) * F.col("total"), F.lit(least))
+    apart = F.col("summed") <= F.col("span") + 1e-6
+    return both.select("search_idx", "n_rounds", "summed", "total", "delta", (apart & (F.abs("delta") <= room)).alias("ok"))
+
+
 def rate_summary(searches: DataFrame, rate: str = "gteps", keys: tuple[str, ...] = ()) -> DataFrame:
     """Searches, usable rates, and their harmonic mean, minimum, median and maximum.
 

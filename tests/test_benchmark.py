@@ -6,25 +6,51 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from latticework.__main__ import main
-from latticework.operators import checks, search
+from latticework.operators import checks, edges, search, telemetry
 from latticework.plans import benchmark, prepare
 from latticework.sources.graphs import Graph, read_graph, read_permutation
 
 
 def test_benchmark_tables(spark: SparkSession) -> None:
     graph = prepare.generate(spark, 8, 4)
-    searches, summary = benchmark.run_benchmark(spark, "s8", graph, k=4, direction_switch=True)
-    rows = searches.collect()
+    made = benchmark.run_benchmark(spark, "s8", graph, k=4, direction_switch=True)
+    rows = made.searches.collect()
     assert len({r["source"] for r in rows}) == 4 and all(r["correctness_ok"] for r in rows)
     assert all(r["nf_history"][-1] == 0 and sum(r["nf_history"]) + 1 == r["visited_count"] for r in rows)
     assert {r["m_convention"] for r in rows} == {benchmark.UNDIRECTED}
-    row = summary.first()
+    row = made.summary.first()
     assert (row["num_searches"], row["num_correctness_fail"], row["nnz"]) == (4, 0, 1490)
     assert row["min_gteps"] <= row["harmonic_mean_gteps"] <= row["max_gteps"]
 
 
+def test_rounds_are_measured(spark: SparkSession) -> None:
+    graph = prepare.generate(spark, 7, 4)
+    made = benchmark.run_benchmark(spark, "s7", graph, sources=[1, 2, 3], one_by_one=True)
+    again = benchmark.run_benchmark(spark, "s7", graph, sources=[1, 2, 3])
+    for tables in (made, again):
+        nf: dict[int, list] = {}
+        for r in sorted(tables.rounds.collect(), key=lambda r: r["round"]):
+            nf.setdefault(r["source"], []).append(r["nf"])
+        assert nf == {r["source"]: r["nf_history"] for r in tables.searches.collect()}
+    checked = telemetry.rounds_check(made.rounds, made.searches, least=3.0).collect()
+    assert len(checked) == 3 and all(r["ok"] and 0 < r["summed"] <= r["total"] for r in checked)
+    slow = made.searches.withColumn("search_time_seconds", F.col("search_time_seconds") + 30)
+    assert not any(r["ok"] for r in telemetry.rounds_check(made.rounds, slow).collect())
+
+
+def test_many_searches_cost_a_few(spark: SparkSession) -> None:
+    """64 roots share their rounds: they take less than five times the time of one."""
+    built = benchmark.build("s9", prepare.generate(spark, 9, 8))
+    roots = benchmark.pick_sources(built, 64, 0)
+    one = benchmark.run_searches(built, roots[:1], validate=False)
+    many = benchmark.run_searches(built, roots, validate=False)
+    assert len(many.searches) == 64
+    assert sum(r[11] for r in many.searches) < 5 * one.searches[0][11]
+
+
 def test_directed_graphs_count_out_edges(spark: SparkSession) -> None:
     edges = spark.createDataFrame([(0, 1), (0, 1), (1, 2), (5, 0)], "src bigint, dst bigint")
     built = benchmark.build("d", Graph(edges, 6))
@@ -61,7 +87,13 @@ def test_command_line(spark: SparkSession, tmp_path: Path) -> None:
     row = spark.read.parquet(f"{tmp_path}/s/searches").first()
     new = next(r["new_id"] for r in read_permutation(spark, f"{tmp_path}/b.operm").collect() if r["old_id"] == 3)
     assert row["source"] == new and row["correctness_ok"]
-    assert spark.read.parquet(f"{tmp_path}/s/tree-{new}").count() == row["visited_count"]
+    tree = spark.read.parquet(f"{tmp_path}/s/tree-{new}")
+    assert tree.count() == row["visited_count"]
+    # under old ids it is the tree of the graph before, but for which of equal parents is the least
+    before = {r["vertex"]: r["level"] for r in search.bfs(graph.edges, [3], True).collect()}
+    assert {r["vertex"]: r["level"] for r in tree.collect()} == before and {r["source"] for r in tree.collect()} == {3}
+    assert checks.invalid_parents(tree, edges.dedup_edges(graph.edges)).isEmpty()
+    assert spark.read.parquet(f"{tmp_path}/s/rounds").count() == row["rounds_completed"]
     with pytest.raises(ValueError, match="outside"):
         main(["search", f"{tmp_path}/b.mtx", "--source", "900", "--out", f"{tmp_path}/s"])
 

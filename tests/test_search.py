@@ -88,7 +88,7 @@ def triples(df: DataFrame) -> dict:
     return found
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     pairs=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=40),
     roots=st.lists(st.integers(0, 12), min_size=1, max_size=5),
@@ -150,7 +150,7 @@ def test_rounds_move_candidates_only(spark: SparkSession, sort_merge: None, symm
     own = search._Search(built, [1, 2], symmetric, 0.0, 10**6)
     own.turned = turned
     frontier = own.levels.where("level = 0")
-    made = own.found(1, frontier, own._recent(1, []), 2)
+    made = own.found(frontier, own._recent(1, []), 2)
     plan = made._jdf.queryExecution().executedPlan().toString()
     below = scans_below_exchanges(plan)
     # candidates are made of edges and frontier rows, combined by task before they are dealt
@@ -168,7 +168,7 @@ def test_broadcasts_only_behind_a_check(spark: SparkSession, sort_merge: None) -
     built = search.build(table(spark, pairs + [(b, a) for a, b in pairs]))
     own = search._Search(built, [1], True, 0.0, 10)
     own.turned = [0]
-    plans = [own.found(1, own.levels.where("level = 0"), own._recent(1, []), rows)._jdf.queryExecution().executedPlan().toString() for rows in (10, 11)]
+    plans = [own.found(own.levels.where("level = 0"), own._recent(1, []), rows)._jdf.queryExecution().executedPlan().toString() for rows in (10, 11)]
     assert ["BroadcastExchange" in p for p in plans] == [True, False]
     want = judged([*pairs, *[(b, a) for a, b in pairs]], [1], 0)[0]
     assert triples(search.run(built, [1], True, 0, broadcast_rows=0).result) == want
