@@ -189,17 +189,23 @@ class _Search:
         self.spark = graph.edges.sparkSession
         self.k = len(roots)
         self.parents = [f"p{i}" for i in range(self.k)]
+        self.stored_to = -1  # the last level in buckets; those after it are held in files of their own
         self.path = new_path(self.spark, "bfs-levels")
         self.name = self.path.rsplit("/", 1)[1].replace("-", "_")
         self.turned: list[int] = []
         self.rounds: list[tuple] = []
         first = [(r, (1 << i) - (1 << 64) * (i == 63), *[r if j == i else None for j in range(self.k)], 0) for i, r in enumerate(roots)]
         schema = f"vertex bigint, bits bigint, {', '.join(f'{p} bigint' for p in self.parents)}, level int"
-        self._append(self.spark.createDataFrame(first, schema))
-        kept_until_exit(self.spark, self.path)
-
-    def _append(self, rows: DataFrame) -> None:
-        rows.write.mode("append").partitionBy("level").bucketBy(self.graph.buckets, "vertex").option("path", self.path).saveAsTable(self.name)
+        self.held = [self.spark.createDataFrame(first, schema)]
+
+    def _append(self, number: int, rows: DataFrame) -> None:
+        """Put the held levels and ``rows``, up to level ``number``, into the buckets."""
+        _union([*self.held, rows]).write.mode("append").partitionBy("level").bucketBy(self.graph.buckets, "vertex").option("path", self.path).saveAsTable(self.name)
+        if self.stored_to < 0:
+            kept_until_exit(self.spark, self.path)
+        for table in self.held:
+            discard(table)
+        self.held, self.stored_to = [], number
 
     @property
     def levels(self) -> DataFrame:
@@ -210,13 +216,14 @@ class _Search:
         asked, on = self.graph.out.beside(frontier)
         return asked.join(self.graph.edges, on).select("src", "bits", "level", "dst")
 
-    def met_bottomup(self, frontier: DataFrame, seen: DataFrame, rows: int) -> DataFrame:
+    def met_bottomup(self, frontier: DataFrame, visited: list[DataFrame], rows: int) -> DataFrame:
         """(src, bits, level, dst): the edges from ``frontier(src, bits, level)`` into vertices that some of the turned roots have not seen."""
         side = self.graph.into(self.symmetric)
-        beside, on = side.beside(seen.withColumnRenamed("vertex", "dst"))
-        wanted = _mask(self.turned)
-        is_open = wanted.bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint")))) != 0
-        edges = side.edges.join(beside, on, "left").where(is_open).select("src", "dst")
+        edges = side.edges.withColumn("open", _mask(self.turned))
+        for i, table in enumerate(visited):
+            beside, on = side.beside(self._seen(table, i).withColumnRenamed("vertex", "dst"))
+            edges = edges.join(beside, on, "left").withColumn("open", self._without("open", i))
+        edges = edges.where("open <> 0").select("src", "dst")
         return edges.join(F.broadcast(frontier) if rows <= self.broadcast_rows else frontier, "src").select("src", "bits", "level", "dst")
 
     def _best(self, met: DataFrame) -> DataFrame:
@@ -225,55 +232,59 @@ class _Search:
         # the level comes with the rows: a number that differs by round would have Spark compile every round anew
         return met.groupBy(F.col("dst").alias("vertex")).agg(F.bit_or("bits").alias("bits"), (F.max("level") + 1).alias("level"), *least)
 
-    def _seen(self, tables: list[DataFrame]) -> DataFrame:
-        return _union([t.select("vertex", "bits") for t in tables]).groupBy("vertex").agg(F.bit_or("bits").alias("seen"))
+    @staticmethod
+    def _seen(table: DataFrame, i: int) -> DataFrame:
+        return table.groupBy("vertex").agg(F.bit_or("bits").alias(f"seen{i}"))
+
+    @staticmethod
+    def _without(bits: str, i: int) -> Column:
+        return F.col(bits).bitwiseAND(F.bitwise_not(F.coalesce(f"seen{i}", F.lit(0).cast("bigint"))))
 
-    def _new(self, candidates: DataFrame, seen: DataFrame) -> DataFrame:
-        joined = candidates.join(seen, "vertex", "left")
-        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("seen", F.lit(0).cast("bigint"))))
-        kept = joined.withColumn("bits", fresh).where("bits <> 0")
+    def _new(self, rows: DataFrame, visited: list[DataFrame]) -> DataFrame:
+        """Candidates for the roots that have not visited them. Each table of ``visited`` is met where it lies."""
+        for i, table in enumerate(visited):
+            rows = rows.join(self._seen(table, i), "vertex", "left").withColumn("bits", self._without("bits", i))
         own = [F.when(_has(F.col("bits"), i), F.col(p)).alias(p) for i, p in enumerate(self.parents)]
-        return kept.select("vertex", "bits", *own, "level")
+        return rows.where("bits <> 0").select("vertex", "bits", *own, "level")
 
-    def found(self, frontier: DataFrame, visited: list[DataFrame], rows: int) -> DataFrame:
-        """The rows of the level after ``frontier``; ``visited`` are the levels that they may lie on."""
+    def _visited(self, number: int, all_levels: bool) -> list[DataFrame]:
+        """The levels that rows of level ``number`` may lie on: those in buckets, and those held."""
+        # neighbours of a level of a symmetric graph lie at most one level back
+        low = 0 if all_levels or not self.symmetric else number - 2
+        held = self.held[-2:] if low else self.held
+        stored_ones = [] if self.stored_to < max(low, 0) else [self.levels.where(F.col("level") >= low) if low else self.levels]
+        return [*stored_ones, *([_union(held)] if held else [])]
+
+    def found(self, number: int, rows: int) -> DataFrame:
+        """The rows of level ``number``, where the level before has ``rows``."""
+        frontier = self.held[-1] if self.held else self.levels.where(F.col("level") == number - 1)
         asked = frontier.select(F.col("vertex").alias("src"), "bits", "level")
         if not self.turned:
-            return self._new(self._best(self.met_topdown(asked)), self._seen(visited))
-        seen = self._seen([self.levels])
+            return self._new(self._best(self.met_topdown(asked)), self._visited(number, False))
+        visited = self._visited(number, True)
         part = [asked.withColumn("bits", F.col("bits").bitwiseAND(m)).where("bits <> 0") for m in (_mask(self.turned), F.bitwise_not(_mask(self.turned)))]
-        best = self._best(self.met_bottomup(part[0], seen, rows))
+        best = self._best(self.met_bottomup(part[0], visited, rows))
         if len(self.turned) < self.k:
             down = self._best(self.met_topdown(part[1]))
             least = [F.min(p).alias(p) for p in self.parents]
             best = best.unionByName(down).groupBy("vertex").agg(F.bit_or("bits").alias("bits"), F.max("level").alias("level"), *least)
-        return self._new(best, seen)
+        return self._new(best, visited)
 
     def _counts(self) -> list[Column]:
         return [F.count("*").alias("rows"), *[F.count_if(_has(F.col("bits"), i)).alias(f"n{i}") for i in range(self.k)]]
 
-    def _recent(self, number: int, held: list[DataFrame]) -> list[DataFrame]:
-        """The levels that rows of level ``number`` may lie on, ``held`` ones among them."""
-        if not self.symmetric:
-            return [self.levels, *held]
-        # neighbours of a level of a symmetric graph lie at most one level back
-        return held[-2:] if len(held) > 1 else [self.levels.where(F.col("level") >= number - 2), *held]
-
     def run(self) -> None:
-        number, rows, searching, held = 0, self.k, set(range(self.k)), []
+        number, rows, searching = 0, self.k, set(range(self.k))
         while searching:
-            began = time.time()
-            frontier = held[-1] if held else self.levels.where(F.col("level") == number)
+            began, told = time.time(), Observation()
             number += 1
-            told = Observation()
-            made = self.found(frontier, self._recent(number, held), rows).observe(told, *self._counts())
-            if self.switch_at is None and rows <= THIN:
-                held.append(stored(made, "bfs-thin"))
+            made = self.found(number, rows).observe(told, *self._counts())
+            if rows <= THIN and len(self.held) < STRIDE:
+                self.held.append(stored(made, "bfs-thin"))
             else:
-                self._append(_union([*held, made]))
-                held = self._let_go(held)
-            got = told.get
-            ended, rows = time.time(), got.get("rows", 0)
+                self._append(number, made)
+            ended, got = time.time(), told.get
+            rows = got.get("rows", 0)
             for i in sorted(searching):
                 nf = got.get(f"n{i}", 0)
                 self.rounds.append((self.roots[i], number - 1, nf, "bottom_up" if i in self.turned else "top_down", began, ended))
@@ -281,21 +292,15 @@ class _Search:
                     searching.discard(i)
                 elif self.switch_at is not None and nf > self.switch_at and i not in self.turned:
                     self.turned.append(i)
-            if held and (len(held) >= STRIDE or not searching):
-                self._append(_union(held))
-                held = self._let_go(held)
-
-    @staticmethod
-    def _let_go(held: list[DataFrame]) -> list[DataFrame]:
-        for table in held:
-            discard(table)
-        return []
 
     def result(self) -> DataFrame:
         """(source, vertex, level, parent), read from the files; the table's name goes."""
-        schema = self.levels.schema
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        rows = self.spark.read.schema(schema).parquet(self.path)
+        rows = _union(self.held) if self.held else None
+        if self.stored_to >= 0:
+            schema = self.levels.schema
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            stored_ones = self.spark.read.schema(schema).parquet(self.path)
+            rows = stored_ones if rows is None else stored_ones.unionByName(rows)
         own = F.array(*[F.struct(F.lit(r).cast("bigint").alias("source"), F.col(p).alias("parent")) for r, p in zip(self.roots, self.parents, strict=True)])
         found = rows.select("vertex", "level", F.explode(F.filter(own, lambda x: x["parent"].isNotNull())).alias("x"))
         return found.select("x.source", "vertex", "level", "x.parent")
@@ -373,7 +378,7 @@ def with_parents(levels: DataFrame, edges: DataFrame) -> DataFrame:
     return roots.unionByName(levels.where("level > 0").join(least, ["source", "vertex"]).select("source", "vertex", "level", "parent"))
 
 
-def bfs_deep(edges: DataFrame, roots: Sequence[int] | DataFrame, reach: int = 8) -> DataFrame:
+def bfs_deep(edges: DataFrame, roots: Sequence[int] | DataFrame, reach: int = 8, symmetric: bool = False) -> DataFrame:
     """The rows of ``bfs`` for graphs that are sparse and deep: ``reach`` levels a round.
 
     A vertex up to ``reach`` levels below level L lies that near to a vertex of level L, so a round
@@ -387,7 +392,8 @@ def bfs_deep(edges: DataFrame, roots: Sequence[int] | DataFrame, reach: int = 8)
         last = rings[-1].where(F.col("level") == at).select("source", F.col("vertex").alias("src"))
         found = last.join(near, "src").groupBy("source", F.col("dst").alias("vertex")).agg((F.min("hops") + at).cast("int").alias("level"))
         told = Observation()
-        ring = stored(frontier_new(found, _union(rings)).observe(told, F.count_if(F.col("level") == at + reach).alias("edge")), "bfs-ring")
+        # a ball around a level of a symmetric graph ends ``reach`` levels back
+        ring = stored(frontier_new(found, _union(rings[-2:] if symmetric else rings)).observe(told, F.count_if(F.col("level") == at + reach).alias("edge")), "bfs-ring")
         rings, at = [*rings, ring], at + reach
         if not told.get.get("edge", 0):
             break

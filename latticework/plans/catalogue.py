@@ -357,7 +357,7 @@ def neighbours_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _register_search(graph: str, symmetric: bool, suffix: str, deep: bool = False) -> None:
     def found(e: DataFrame) -> DataFrame:
-        return search.bfs_deep(e, _least_source(e)) if deep else search.bfs(e, _least_source(e), symmetric)
+        return search.bfs_deep(e, _least_source(e), symmetric=symmetric) if deep else search.bfs(e, _least_source(e), symmetric)
 
     @_query(f"bfs_levels{suffix}", f"{_searched(graph)} SELECT v AS vertex, lvl AS level FROM b")
     def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -402,7 +402,7 @@ def bfs_tree_depth_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("bfs_eccentricity", f"{_searched('event_paths')} SELECT (SELECT r FROM ({_ROOT})) AS source, max(lvl) AS eccentricity, max(lvl) + 1 AS rounds, count(*) AS visited FROM b")
 def bfs_eccentricity(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _graph("event_paths", spark, sf_dir)
-    return checks.eccentricity(search.bfs_deep(e, _least_source(e)))
+    return checks.eccentricity(search.bfs_deep(e, _least_source(e), symmetric=True))
 
 
 _ROUNDS = f"""nf AS (SELECT lvl - 1 AS round, count(*) AS nf FROM b WHERE lvl > 0 GROUP BY lvl),

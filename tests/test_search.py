@@ -7,7 +7,7 @@ from collections import deque
 from pathlib import Path
 
 import pytest
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import DataFrame, SparkSession
 
@@ -88,7 +88,7 @@ def triples(df: DataFrame) -> dict:
     return found
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=3, deadline=None, phases=(Phase.explicit, Phase.reuse, Phase.generate), suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(
     pairs=st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=40),
     roots=st.lists(st.integers(0, 12), min_size=1, max_size=5),
@@ -104,7 +104,7 @@ def test_random_graphs(spark: SparkSession, pairs: list, roots: list[int], symme
     assert {r[:2]: (r[2], r[3]) for r in got.rounds} == rounds
     assert all(r[4] <= r[5] for r in got.rounds)
     assert {(r["source"], r["round"]): (r["nf"], r["direction"]) for r in search.rounds_of(got.result, switch_at).collect()} == rounds
-    assert triples(search.bfs_deep(table(spark, given_edges), roots, reach=3)) == want
+    assert triples(search.bfs_deep(table(spark, given_edges), roots, 3, symmetric)) == want
 
 
 @pytest.mark.parametrize("switch_at", [None, 5.0, 20.0])
@@ -149,8 +149,8 @@ def test_rounds_move_candidates_only(spark: SparkSession, sort_merge: None, symm
     built = search.build(table(spark, pairs + [(b, a) for a, b in pairs]))
     own = search._Search(built, [1, 2], symmetric, 0.0, 10**6)
     own.turned = turned
-    frontier = own.levels.where("level = 0")
-    made = own.found(frontier, own._recent(1, []), 2)
+    own._append(0, own.held.pop())
+    made = own.found(1, 2)
     plan = made._jdf.queryExecution().executedPlan().toString()
     below = scans_below_exchanges(plan)
     # candidates are made of edges and frontier rows, combined by task before they are dealt
@@ -168,12 +168,26 @@ def test_broadcasts_only_behind_a_check(spark: SparkSession, sort_merge: None) -
     built = search.build(table(spark, pairs + [(b, a) for a, b in pairs]))
     own = search._Search(built, [1], True, 0.0, 10)
     own.turned = [0]
-    plans = [own.found(own.levels.where("level = 0"), own._recent(1, []), rows)._jdf.queryExecution().executedPlan().toString() for rows in (10, 11)]
+    own._append(0, own.held.pop())
+    plans = [own.found(1, rows)._jdf.queryExecution().executedPlan().toString() for rows in (10, 11)]
     assert ["BroadcastExchange" in p for p in plans] == [True, False]
     want = judged([*pairs, *[(b, a) for a, b in pairs]], [1], 0)[0]
     assert triples(search.run(built, [1], True, 0, broadcast_rows=0).result) == want
 
 
+@pytest.mark.parametrize("symmetric", [True, False])
+@pytest.mark.parametrize("switch_at", [None, 1])
+def test_levels_held_and_in_buckets(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, symmetric: bool, switch_at: int | None) -> None:
+    """Levels in files of their own and in buckets, mixed, give the same rows and rounds."""
+    monkeypatch.setattr(search, "THIN", 3)
+    monkeypatch.setattr(search, "STRIDE", 2)
+    pairs = [(i, i + 1) for i in range(9)] + [(9, 0), (4, 2), (0, 5)]
+    given_edges = [*pairs, *[(b, a) for a, b in pairs]] if symmetric else pairs
+    got = search.run(search.build(table(spark, given_edges)), [0, 3], symmetric, switch_at)
+    want, rounds = judged(given_edges, [0, 3], switch_at)
+    assert triples(got.result) == want and {r[:2]: (r[2], r[3]) for r in got.rounds} == rounds
+
+
 def test_more_roots_than_bits(spark: SparkSession) -> None:
     pairs = [(i, (i * 5 + 1) % 90) for i in range(90)] + [(7, 70), (70, 7)]
     roots = list(range(70))
