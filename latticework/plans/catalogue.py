@@ -349,7 +349,7 @@ def bit_or_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbours_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbours of six vertices, looked up in compressed segments."""
     e = _graph("purchases", spark, sf_dir)
-    return adjacency.neighbours_of(adjacency.build_adjacency(e, span=1024, segment=4096), edges.sample_roots(e, 6, 5).select(F.col("source").alias("vertex")))
+    return adjacency.neighbours_of(adjacency.build_adjacency(e, span=1024, segment=4096), edges.sample_roots(e, 6, 5))
 
 
 # ---- search ----
