@@ -10,9 +10,12 @@ Definitions
 * distinct documents of a host: distinct texts, so a text copied a thousand
   times counts once and cannot make its own lines look like boilerplate.
 * a line is above the limits if it stands in more than ``max_share`` of the
-  host's distinct documents and in more than ``min_docs`` of them.
+  host's distinct documents and in more than ``min_docs`` of them. The share decides;
+  ``min_docs`` only says how few documents prove nothing, so it is small and limits
+  act on hosts of every size.
 * a document is depleted if more than ``max_removed`` of its words were on
-  removed lines.
+  removed lines, or if these lines leave it with fewer than ``min_words`` words,
+  the number that its whole text must have.
 
 Null text counts as empty, a null host is a host of its own, repeated rows get
 a verdict each, and an empty table gives an empty result. Further columns are not read, except
@@ -141,7 +144,7 @@ def line_frequency_verdicts(
     min_words: int = 20,
     max_repeat_percent: int = 30,
     max_share: float = 0.05,
-    min_docs: int = 20,
+    min_docs: int = 3,
     max_removed: float = 0.8,
 ) -> DataFrame:
     """One row per document: the statistics, base_failed, n_removed_words and kept.
@@ -160,10 +163,12 @@ def line_frequency_verdicts(
         lambda acc, x: acc + x["n"],
     )
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    gone, left = F.col("n_removed_words"), F.col("n_words") - F.col("n_removed_words")
+    depleted = (gone > max_removed * F.col("n_words")) | (left < min_words)
     judged = (
         joined.withColumn("n_removed_words", F.coalesce(removed, F.lit(0).cast("long")))
         .withColumn("base_failed", base)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("n_removed_words") <= max_removed * F.col("n_words")))
+        .withColumn("kept", ~F.col("base_failed") & ~depleted)
     )
     names = ["n_symbols", "text_hash", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "n_removed_words", "base_failed", "kept"]
     if text_col in carry:

@@ -273,14 +273,14 @@ repeats AS (SELECT id, sum(new_words)::BIGINT AS n FROM steps GROUP BY id),
 parts AS (SELECT id, source, t, list_filter(regexp_split_to_array(lower(unnest(ls)), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS p FROM s),
 lines AS (SELECT id, source, t, array_to_string(p, ' ') AS line, len(p) AS n FROM parts),
 hosts AS (SELECT source, count(DISTINCT t) AS n_docs FROM s GROUP BY source),
-held AS (SELECT source, line, count(DISTINCT t) AS n FROM lines GROUP BY source, line HAVING count(DISTINCT t) > 20),
+held AS (SELECT source, line, count(DISTINCT t) AS n FROM lines GROUP BY source, line HAVING count(DISTINCT t) > 3),
 frequent AS (SELECT held.source, line FROM held JOIN hosts ON held.source IS NOT DISTINCT FROM hosts.source WHERE n > 0.05 * n_docs),
 removed AS (SELECT id, sum(lines.n)::BIGINT AS n FROM lines JOIN frequent ON lines.source IS NOT DISTINCT FROM frequent.source AND lines.line = frequent.line GROUP BY id),
 base AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words, coalesce(removed.n, 0) AS gone
     FROM s LEFT JOIN repeats USING (id) LEFT JOIN removed USING (id)),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone <= 0.8 * n_words AS kept FROM judged
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND gone <= 0.8 * n_words AND n_words - gone >= 20 AS kept FROM judged
 """
 
 _TOP_SQL = """

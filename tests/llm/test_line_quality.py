@@ -5,9 +5,12 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pytest
 from pyspark.sql import SparkSession
 
+from latticework.llm import queries
 from latticework.llm.line_quality import line_frequency_verdicts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -30,7 +33,7 @@ def brute(rows: list[tuple], share: float, least: int) -> list[tuple]:
         covered = {j for i in range(len(words) - 7) if windows[tuple(words[i : i + 8])] > 1 for j in range(i, i + 8)}
         gone = sum(len(WORD.findall(x)) for x in lines if (host, norm(x)) in frequent)
         failed = len(words) < 20 or 100 * len(covered) > 30 * len(words)
-        out.append((doc_id, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), gone, failed, not failed and gone <= 0.8 * len(words)))
+        out.append((doc_id, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), gone, failed, not failed and gone <= 0.8 * len(words) and len(words) - gone >= 20))
     return out
 
 
@@ -63,3 +66,21 @@ def test_carried_columns_of_any_name(spark: SparkSession) -> None:
     docs = spark.createDataFrame([(1, text, "s", 7, "l", "c")], "doc_id long, text string, source string, n_words int, lines string, _carry string")
     got = line_frequency_verdicts(docs, carry=("text", "n_words", "lines", "_carry", "source")).first().asDict()
     assert (got["n_words"], got["lines"], got["_carry"], got["clean_text"], got["source"]) == (45, "l", "c", text, "s")
+
+
+def test_limits_act_on_small_hosts(spark: SparkSession) -> None:
+    """With the limits of production: a notice in 4 of 10 texts goes, one in 3 stays, and what is left counts."""
+    notice, rare = "all rights reserved by the owners of this page", "seldom seen line"
+    own = lambda i, n: " ".join(f"t{i}w{j}" for j in range(n))
+    texts = [f"{own(i, (40, 19, 20, 12)[i])}\n{notice}" for i in range(4)] + [f"{own(i, 30)}\n{rare}" for i in range(4, 7)] + [own(i, 25) for i in range(7, 10)]
+    docs = spark.createDataFrame([(i, t, "small") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["n_removed_words"], r["base_failed"], r["kept"]) for r in line_frequency_verdicts(docs).collect()}
+    assert [got[i] for i in range(4)] == [(9, False, True), (9, False, False), (9, False, True), (9, False, False)]
+    assert all(got[i] == (0, False, True) for i in range(4, 10))
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01").exists(), reason="the test tables are not here")
+def test_lines_change_verdicts_of_the_tables(spark: SparkSession) -> None:
+    rows = queries.queries()["op5_line_quality"](spark, "/root/testdata/sf0.01").collect()
+    assert any(r["kept"] == r["base_failed"] for r in rows)  # not failed by the base, and yet rejected
+    assert not any(r["kept"] and r["base_failed"] for r in rows)
