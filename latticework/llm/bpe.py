@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from latticework.llm.batches import small_batches
+from latticework.llm.batches import map_columns, numbered, small_batches, without_columns
 from latticework.llm.memo import Memo
 
 NONE = 1 << 62
@@ -141,16 +141,11 @@ def _encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
-def _with_column(df: DataFrame, name: str, kind: T.DataType) -> tuple[DataFrame, T.StructType, list[str]]:
-    passed = df.select(*[f"`{c}`" for c in df.columns if c != name])
-    schema = T.StructType([*passed.schema.fields, T.StructField(name, kind)])
-    return passed, schema, schema.names
-
-
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with ``into`` array<int>: the ids of each whole text."""
-    passed, schema, names = _with_column(docs, into, T.ArrayType(T.IntegerType()))
-    at = names.index(text_col)
+    passed = without_columns(docs, [into])
+    at, names = passed.columns.index(text_col), [*passed.columns, into]
+    kinds = [*[f.dataType for f in passed.schema.fields], T.ArrayType(T.IntegerType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_text = _encoder(path, pattern).encode
@@ -159,20 +154,21 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", int
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int32), *rows])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=numbered(len(names)))
 
-    return passed.mapInArrow(run, schema)
+    return map_columns(passed, run, names, kinds)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with ``into`` binary: the bytes its ids stand for. Unknown ids are an error."""
-    passed, schema, names = _with_column(encoded, into, T.BinaryType())
-    at = names.index(ids_col)
+    passed = without_columns(encoded, [into])
+    at, names = passed.columns.index(ids_col), [*passed.columns, into]
+    kinds = [*[f.dataType for f in passed.schema.fields], T.BinaryType()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = load_tokens(path).__getitem__
         for batch in small_batches(batches):
             texts = [b"".join(map(token, row.values.to_numpy(zero_copy_only=False).tolist())) if row.is_valid else b"" for row in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=numbered(len(names)))
 
-    return passed.mapInArrow(run, schema)
+    return map_columns(passed, run, names, kinds)

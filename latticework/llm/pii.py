@@ -25,7 +25,14 @@ punctuation, an address in either letter case, an IPv6 address with or without i
 zeros get the same pseudonym in every document, on every executor. A date with
 both numbers up to 12 is read day first. ``restore`` inverts them, save where a
 pseudonym completes a longer valid value by chance (a card behind two letters and
-two digits that then pass as an IBAN, 1 in 97 of such texts). Whole texts are scanned; no state
+two digits that then pass as an IBAN, 1 in 97 of such texts).
+
+A date may stand before a time (2020-01-31T10:00) or another date (a range). A phone
+number ends where it has its country's own number of digits, where that is fixed, else
+at the last group of digits that leaves 15 or fewer, so a number behind it is not taken
+for a part of it; where a country's numbers vary in length, one behind a number
+with room for it still is. Not found: IBANs in lower case, values parted by tabs or line
+breaks, and spelt-out numbers. Whole texts are scanned; no state
 is shared between rows, so the operator is one narrow pass without a shuffle.
 
 Null text stays null with zero counts. Empty and very long texts are scanned
@@ -47,7 +54,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from latticework.llm.batches import small_batches
+from latticework.llm.batches import map_columns, numbered, small_batches, without_columns
 
 ROUNDS = 8
 KINDS = ("card", "iban", "ssn", "date", "ipv4", "ipv6", "phone", "email", "secret")
@@ -168,16 +175,20 @@ def _mod97(text: str) -> int:
     return int("".join(str(int(c, 36)) for c in text)) % 97
 
 
+def _compact(text: str) -> str:
+    return text.replace(" ", "").replace("-", "")
+
+
 def _valid_iban(compact: str) -> bool:
     return len(compact) == IBAN_LENGTHS.get(compact[:2]) and _mod97(compact[4:] + compact[:4]) == 1 and 2 <= int(compact[2:4]) <= 98
 
 
 def _iban(text: str, key: bytes, sign: int) -> str:
-    compact = text.replace(" ", "")
+    compact = _compact(text)
     country, body = compact[:2], compact[4:]
     body = _permute_characters(body, f"iban|{country}", key, sign)
     new = iter(f"{country}{98 - _mod97(body + country + '00'):02d}{body}")
-    return "".join(c if c == " " else next(new) for c in text)
+    return "".join(c if c in " -" else next(new) for c in text)
 
 
 def _valid_ssn(text: str) -> bool:
@@ -286,6 +297,26 @@ def _phone_parts(text: str) -> tuple[str, str]:
     return digits[:size], digits[size:]
 
 
+#: Digits behind the country code, of countries whose numbers all have as many.
+_NATIONAL = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "45": 8, "47": 8, "48": 9, "52": 10, "61": 9, "91": 10, "351": 9}
+
+
+def _phone_alone(text: str) -> str:
+    """What looks like a number, without the groups of digits behind it that belong to another one."""
+    if text[0] != "+":
+        return text
+    code, body = _phone_parts(text)
+    own, digits, longest = len(code) + _NATIONAL.get(code, len(body)), 0, text
+    for i, c in enumerate(text):
+        digits += "0" <= c <= "9"
+        if "0" <= c <= "9" and not "0" <= text[i + 1 : i + 2] <= "9":  # a group ends
+            if digits == own:
+                return text[: i + 1] if digits <= 15 else longest
+            if digits <= 15:
+                longest = text[: i + 1]
+    return longest
+
+
 def _valid_phone(text: str) -> bool:
     return 7 <= len(_digits(text)) <= 15 and len(_phone_parts(text)[1]) >= 6
 
@@ -325,11 +356,11 @@ _MAP: dict[str, Callable[[str, bytes, int], str]] = {
 _NUMBERS: tuple[tuple[str, re.Pattern, Callable[[str], object]], ...] = tuple(
     (kind, re.compile(pattern, re.X), valid)
     for kind, pattern, valid in (
-        ("date", r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2} | [0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}) (?![0-9]|[-/.][0-9])", _parsed_date),
+        ("date", r"(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2} | [0-9]{2}([-/.])[0-9]{2}\2[0-9]{4}) (?![0-9]|[-/.](?!(?:[0-9]{4}([-/.])[0-9]{2}\3[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\4[0-9]{4})(?![0-9]))[0-9])", _parsed_date),
         ("ipv4", r"[0-9]{1,3}(?:\.[0-9]{1,3}){3} (?![0-9]|\.[0-9])", _valid_ipv4),
         ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4} (?![0-9]|-[0-9])", _valid_ssn),
-        ("card", r"(?: [0-9]{13,19} | [0-9]{4}([ .-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7} | [0-9]{4}([ .-])[0-9]{6}\2[0-9]{5} ) (?![0-9])", _valid_card),
-        ("phone", r"(?: \+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,3} | \(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4} ) (?![0-9])", _valid_phone),
+        ("card", r"(?: [0-9]{13,19} | [0-9]{4}([ .\u00a0-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7} | [0-9]{4}([ .\u00a0-])[0-9]{6}\2[0-9]{5} ) (?![0-9])", _valid_card),
+        ("phone", r"(?: \+(?:%s)[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,5}(?:[ .-]?[0-9]{2,5}){1,6} | \+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,5}(?:[ .-]?[0-9]{2,5}){1,3} | \(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4} ) (?![0-9])" % "|".join(_NATIONAL), _valid_phone),
     )
 )
 _HEX = re.compile(r"(?<![0-9A-Za-z_])(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![0-9A-Za-z_])")
@@ -340,14 +371,15 @@ _IPV6 = re.compile(r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f:]*:)[0-9A-Fa-f
 # every beginning, cut at the length of its country: what follows can look like more of it
 _IBAN = re.compile(
     r"(?<![0-9A-Za-z])(?=[A-Z]{2}[0-9]{2})(?=((?:%s)(?![0-9A-Za-z])))"
-    % "|".join(f"{country}[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for country, n in IBAN_LENGTHS.items())
+    % "|".join(f"{country}[0-9]{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}" for country, n in IBAN_LENGTHS.items())
 )
-_RUN = re.compile(r"[+(]{0,2}[0-9][0-9 ().:/+-]*")
+_RUN = re.compile(r"[+(]{0,2}[0-9][0-9 \u00a0().:/+-]*")
+_TIME = re.compile("[Tt][0-9]{2}(?::?[0-9]{2}|Z|$)")
 _OWN = re.compile(r"(?:[0-9]+(?:\.[0-9]+)*)?")
 _BEGIN = re.compile(r"[0-9+(]")
 _LOCAL = re.compile(r"[\w.%+-]")
 _HOST = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
-_ANY = re.compile(r"[0-9@]|(?<![0-9A-Za-z_-])(?:AKIA|ASIA|AIza|gh[a-z]|glpat|xox|sk|hf)|[A-Fa-f]:")
+_ANY_HOST = re.compile(r"[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int, str]]:
@@ -358,7 +390,8 @@ def _emails(text: str) -> Iterator[tuple[int, int, str]]:
             start -= 1
         while start < at and text[start] in ".-+%":
             start += 1
-        host = _HOST.match(text, at + 1)
+        # letters other than a to z are a host's only where it cannot end before them
+        host = _HOST.match(text, at + 1) or _ANY_HOST.match(text, at + 1)
         if host and start < at:
             yield start, host.end(), "email"
         at = text.find("@", at + 1)
@@ -378,22 +411,25 @@ def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
                 continue
             for kind, pattern, valid in _NUMBERS:
                 m = pattern.match(text, at, end)
-                after = text[m.end() : m.end() + 1] if m else ""
-                if m and not (after.isalnum() or after == "_") and valid(m[0]):
-                    yield at, m.end(), kind
-                    start = m.end()
+                if m is None:
+                    continue
+                value = _phone_alone(m[0]) if kind == "phone" else m[0]
+                behind = at + len(value)
+                after = text[behind : behind + 1]
+                joined = (after.isalnum() or after == "_") and not (kind == "date" and _TIME.match(text, behind))
+                if not joined and valid(value):
+                    yield at, behind, kind
+                    start = behind
                     break
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the valid values, in order and without overlap."""
-    if not _ANY.search(text):
-        return []
     found = [*_emails(text), *_numbers(text)]
     found += [(m.start(), m.end(), "secret") for m in _HEX.finditer(text) if not m[0].isdigit()]
     found += [(m.start(), m.end(), "secret") for m in _TOKEN.finditer(text) if any("0" <= c <= "9" for c in text[m.end(1) : m.end()])]
     found += [(m.start(), m.end(), "ipv6") for m in _IPV6.finditer(text) if _valid_ipv6(m[0])]
-    found += [(*m.span(1), "iban") for m in _IBAN.finditer(text) if _valid_iban(m[1].replace(" ", ""))]
+    found += [(*m.span(1), "iban") for m in _IBAN.finditer(text) if _valid_iban(_compact(m[1]))]
     found.sort(key=lambda x: (x[0], -x[1]))
     kept: list[tuple[int, int, str]] = []
     for start, end, kind in found:
@@ -420,10 +456,9 @@ def pseudonymize_text(text: str, key: bytes, sign: int = 1) -> tuple[str, list[s
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", restore: bool = False, with_counts: bool = True) -> DataFrame:
     """``docs`` with ``text_col`` pseudonymised and, ``with_counts``, one ``n_<kind>`` long per kind of value."""
     counts = [f"n_{k}" for k in KINDS] if with_counts else []
-    passed = docs.select(*[f"`{c}`" for c in docs.columns if c not in counts])
-    fields = [f if f.name != text_col else T.StructField(f.name, T.StringType()) for f in passed.schema.fields]
-    schema = T.StructType([*fields, *[T.StructField(c, T.LongType()) for c in counts]])
-    at, sign, names = passed.columns.index(text_col), -1 if restore else 1, [*passed.columns, *counts]
+    passed = without_columns(docs, counts)
+    at, sign = passed.columns.index(text_col), -1 if restore else 1
+    kinds_of = [f.dataType if i != at else T.StringType() for i, f in enumerate(passed.schema.fields)] + [T.LongType() for _ in counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
@@ -437,6 +472,6 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", restore: b
             columns = [*batch.columns]
             columns[at] = pa.array(texts, pa.string())
             columns += [pa.array(x, pa.int64()) for x in tally] if with_counts else []
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=numbered(len(columns)))
 
-    return passed.mapInArrow(run, schema)
+    return map_columns(passed, run, [*passed.columns, *counts], kinds_of)

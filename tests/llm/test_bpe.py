@@ -53,4 +53,7 @@ def test_rows(spark: SparkSession, library: tiktoken.Encoding) -> None:
     back = bpe.decode(bpe.encode(docs, PATH, public_tokenizers.PATTERN), PATH).collect()
     assert [r["ids"] for r in back] == [library.encode_ordinary(t or "") for t in texts]
     assert [bytes(r["decoded"]).decode() for r in back] == [t or "" for t in texts]
+    named = spark.createDataFrame([("x", "hello world", "y")], ["a.b", "text", "q`r"])
+    both = bpe.decode(bpe.encode(named, PATH, public_tokenizers.PATTERN), PATH)
+    assert both.columns == ["a.b", "text", "q`r", "ids", "decoded"] and bytes(both.first()[4]) == b"hello world"
     assert bpe.encode(docs.limit(0), PATH, public_tokenizers.PATTERN).collect() == []
