@@ -6,6 +6,8 @@ vertex block row_b and whose src lies in vertex block col_b.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -209,6 +211,11 @@ def balance_serpentine(edges: DataFrame, n: int, grid: int) -> DataFrame:
 
 def balance_before_after(edges: DataFrame, perm: DataFrame, n: int, grid: int) -> DataFrame:
     """Block loads before and after a relabelling: nnz, min, max and max / max(1, min)."""
+    return balance_stages({"before": edges, "after": relabel(edges, perm)}, n, grid)
+
+
+def balance_stages(stages: dict[str, DataFrame], n: int, grid: int) -> DataFrame:
+    """Block loads of a graph under several labellings: stage, nnz, min, max and max / max(1, min)."""
     padded = block_edge(n, grid) * grid
 
     def loads(of: DataFrame, label: str) -> DataFrame:
@@ -216,5 +223,5 @@ def balance_before_after(edges: DataFrame, perm: DataFrame, n: int, grid: int) -
             F.lit(label).alias("stage"), F.sum("nnz").cast("bigint").alias("nnz"), F.min("nnz").alias("min_nnz"), F.max("nnz").alias("max_nnz")
         )
 
-    both = loads(edges, "before").unionByName(loads(relabel(edges, perm), "after"))
-    return both.withColumn("ratio", F.round(F.col("max_nnz") / F.greatest("min_nnz", F.lit(1)), 6))
+    every = reduce(DataFrame.unionByName, [loads(of, label) for label, of in stages.items()])
+    return every.withColumn("ratio", F.round(F.col("max_nnz") / F.greatest("min_nnz", F.lit(1)), 6))

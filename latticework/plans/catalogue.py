@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import units
-from latticework.operators import adjacency, balance, blocks, checks, edges, grid, search, telemetry
+from latticework.operators import adjacency, balance, blocks, checks, edges, grid, scatter, search, telemetry
 from latticework.plans import derived
 from latticework.plans.derived import CLOCK, GRAPH_SQL, MARKS_SQL, RUN_LOG_SQL, TICKS_SQL
 from latticework.plans.tables import kept_until_exit, new_path, stored
@@ -339,6 +339,27 @@ def balance_before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.balance_before_after(e, blocks.balance_serpentine(e, n, GRID), n, GRID)
 
 
+_SEED = 11
+_SCATTERED = f"ids AS (SELECT v AS old_id, {scatter.scattered_sql('v', 'n', _SEED)} AS new_id FROM n, range((SELECT n FROM n)) r(v))"
+
+
+@_query("scatter_edges", f"{_with('purchases', _SCATTERED)} SELECT a.new_id AS src, b.new_id AS dst FROM e JOIN ids a ON a.old_id = src JOIN ids b ON b.old_id = dst")
+def scatter_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scatter.scatter(*_blocks(spark, sf_dir), _SEED)
+
+
+@_query("balance_baselines", f"""{_with('purchases', _SERPENTINE + ', ' + _SCATTERED)}, lab AS (SELECT 'before' AS stage, old_id, old_id AS new_id FROM perm
+        UNION ALL SELECT 'random', old_id, new_id FROM ids UNION ALL SELECT 'serpentine', old_id, new_id FROM perm),
+    x AS (SELECT stage, b.new_id // k AS row_b, a.new_id // k AS col_b, count(*) AS nnz FROM e JOIN lab a ON a.old_id = src JOIN lab b USING (stage), k WHERE b.old_id = dst GROUP BY ALL),
+    cells AS (SELECT s AS stage, r AS row_b, c AS col_b FROM (VALUES ('before'), ('random'), ('serpentine')) v(s), range({GRID}) a(r), range({GRID}) b(c)),
+    ld AS (SELECT cells.*, coalesce(nnz, 0) AS nnz FROM cells LEFT JOIN x USING (stage, row_b, col_b))
+    SELECT stage, sum(nnz)::BIGINT AS nnz, min(nnz)::BIGINT AS min_nnz, max(nnz)::BIGINT AS max_nnz, round(max(nnz) / greatest(min(nnz), 1), 6) AS ratio FROM ld GROUP BY stage""")
+def balance_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, n = _blocks(spark, sf_dir)
+    dealt = edges.relabel(e, blocks.balance_serpentine(e, n, GRID))
+    return blocks.balance_stages({"before": e, "random": scatter.scatter(e, n, _SEED), "serpentine": dealt}, n, GRID)
+
+
 @_query("bit_or_reduce", f"{_with('multigraph')} SELECT dst AS vertex, bit_or(1::BIGINT << (src % 60)) AS sources FROM e GROUP BY dst")
 def bit_or_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("src") % 60).cast("int"))
