@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ ROUNDS = 24
 MODULUS = 2**31 - 1
 #: Multipliers that generate all residues of MODULUS.
 FIRST, SECOND = 48271, 16807
+#: Ids that go through all rounds at a time, few enough to stay in a core's cache.
+CHUNK = 1 << 13
 
 
 def secrets(seed: int, rounds: int = ROUNDS) -> list[int]:
@@ -30,25 +34,64 @@ def secrets(seed: int, rounds: int = ROUNDS) -> list[int]:
     return [draw.randrange(2**61) for _ in range(rounds)]
 
 
-def _bit(x: Column, secret: Column) -> Column:
-    """A bit of x and the secret; every product stays below 2**63."""
-    folded = (x % MODULUS + F.shiftright(x, 31) % MODULUS * SECOND + secret % MODULUS) % MODULUS
-    once = folded * FIRST % MODULUS
-    return F.shiftright((once * once + secret % MODULUS) % MODULUS * SECOND % MODULUS, 16) % 2
+def _fold(x: np.ndarray, spare: np.ndarray) -> None:
+    """Bring x, at most 63 bits, nearer to its rest by MODULUS, without a division: 2**31 is 1."""
+    np.right_shift(x, 31, out=spare)
+    np.bitwise_and(x, MODULUS, out=x)
+    np.add(x, spare, out=x)
+
+
+def _rounds(x: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
+    """``x`` after all rounds. Products stay below 2**63: what one folding leaves of 63 bits is below 2**33, of 48 bits below 2**31 + 2**17."""
+    x, partner, bit, spare = x.copy(), np.empty_like(x), np.empty_like(x), np.empty_like(x)
+    for secret in keys:
+        np.subtract(secret % n, x, out=partner)
+        np.right_shift(partner, 63, out=spare)
+        np.bitwise_and(spare, n, out=spare)
+        np.add(partner, spare, out=partner)
+        np.maximum(x, partner, out=bit)
+        if n > MODULUS:
+            high = bit >> 31
+            _fold(high, spare)
+            _fold(high, spare)
+            _fold(bit, spare)
+            bit += high * SECOND
+            _fold(bit, spare)
+        bit += secret % MODULUS
+        bit *= FIRST
+        _fold(bit, spare)
+        bit *= bit
+        bit += secret % MODULUS
+        _fold(bit, spare)
+        bit *= SECOND
+        _fold(bit, spare)
+        _fold(bit, spare)
+        bit -= MODULUS * (bit >= MODULUS)
+        bit >>= 16
+        bit &= 1
+        # x and partner are exchanged where the bit is 1
+        np.negative(bit, out=bit)
+        partner ^= x
+        partner &= bit
+        x ^= partner
+    return x
 
 
 def scattered(vertex: Column, n: int, seed: int, inverse: bool = False) -> Column:
-    """The vertex's id under the permutation of range(n) that ``seed`` draws, or with ``inverse`` its id before."""
+    """The vertex's id under the permutation of range(n) that ``seed`` draws, or with ``inverse`` its id before.
+
+    The rounds run over Arrow batches in numpy: as a Spark expression they would be interpreted, step by step.
+    """
     if n < 2:
         return vertex.cast("bigint")
-    keys = secrets(seed)
-    rounds = F.array(*[F.lit(k).cast("bigint") for k in (reversed(keys) if inverse else keys)])
+    keys = secrets(seed)[:: -1 if inverse else 1]
 
-    def step(x: Column, secret: Column) -> Column:
-        partner = F.pmod(secret % n - x, F.lit(n).cast("bigint"))
-        return F.when(_bit(F.greatest(x, partner), secret) == 1, partner).otherwise(x)
+    def run(ids: pa.Array) -> pa.Array:
+        x = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        parts = [_rounds(x[at : at + CHUNK], n, keys) for at in range(0, len(x), CHUNK)]
+        return pa.array(np.concatenate(parts) if parts else x, pa.int64(), mask=ids.is_null().to_numpy(zero_copy_only=False))
 
-    return F.when(vertex.isNotNull(), F.aggregate(rounds, vertex.cast("bigint"), step))
+    return F.arrow_udf(run, "bigint")(vertex.cast("bigint"))
 
 
 def scatter(edges: DataFrame, n: int, seed: int, inverse: bool = False) -> DataFrame:

@@ -41,3 +41,13 @@ def test_random_labels_spread_a_crowded_corner_without_a_shuffle(spark: SparkSes
     assert loads["random"]["max_nnz"] < 40_000 / grid**2 * 2 and loads["random"]["min_nnz"] > 0
     assert scatter.scatter(spread, n, 3, inverse=True).exceptAll(edges).count() == 0
     assert blocks.balance_stages({"none": edges.limit(0)}, n, grid).first()["max_nnz"] == 0
+
+
+def test_rounds_run_over_batches_and_not_as_an_interpreted_fold(spark: SparkSession) -> None:
+    edges = spark.range(20_000).select((F.col("id") % 9_001).alias("src"), (F.col("id") * 7 % 9_001).alias("dst"))
+    spread = scatter.scatter(edges, 9_001, 3)
+    plan = spread._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+    ids = dict(duckdb.sql(f"SELECT v, {scatter.scattered_sql('v', '9001', 3)} FROM range(9001) r(v)").fetchall())
+    assert sorted(map(tuple, spread.collect())) == sorted((ids[i % 9_001], ids[i * 7 % 9_001]) for i in range(20_000))
+    assert scatter.scatter(edges.limit(0), 9_001, 3).collect() == []
