@@ -351,6 +351,8 @@ def bfs(edges: DataFrame | Built, roots: Sequence[int] | DataFrame, symmetric: b
 def balls(edges: DataFrame, reach: int) -> DataFrame:
     """(src, dst, hops): all vertices within ``reach`` hops of each src and their distance, by doubling.
 
+    What is further away than ``done`` hops lies beyond a vertex at exactly that distance, so only
+    the rims of the balls are carried on, and not every pair of rows.
     Meant for sparse, deep graphs: a vertex has as many rows as its ball has vertices.
     """
     near = edges.select("src", "dst", F.lit(1).alias("hops")).where("src <> dst").distinct()
@@ -360,7 +362,7 @@ def balls(edges: DataFrame, reach: int) -> DataFrame:
         more = min(done, reach - done)
         spare.append(made)
         then = made.where(F.col("hops") <= more).select(F.col("src").alias("dst"), F.col("dst").alias("far"), F.col("hops").alias("on"))
-        further = made.join(then, "dst").select("src", F.col("far").alias("dst"), (F.col("hops") + F.col("on")).alias("hops")).where("src <> dst")
+        further = made.where(F.col("hops") == done).join(then, "dst").select("src", F.col("far").alias("dst"), (F.col("hops") + F.col("on")).alias("hops")).where("src <> dst")
         made = stored(made.unionByName(further).groupBy("src", "dst").agg(F.min("hops").alias("hops")), "bfs-ball")
         done += more
     for table in spare:
@@ -383,24 +385,31 @@ def bfs_deep(edges: DataFrame, roots: Sequence[int] | DataFrame, reach: int = 8,
 
     A vertex up to ``reach`` levels below level L lies that near to a vertex of level L, so a round
     finds exact levels from the balls around these alone; parents follow in one pass at the end.
+    Balls have half that reach: a round goes through them twice, from its level and from the rim
+    that it finds, which reads as many rows as balls of the full reach have and shuffles none of them.
     """
     spark = edges.sparkSession
-    near = balls(edges, reach)
+    half = -(-reach // 2)
+    near = balls(edges, half)
     wanted = spark.createDataFrame([(r, r, 0) for r in _roots(spark, roots)], "source bigint, vertex bigint, level int")
     rings, at = [stored(wanted, "bfs-ring")], 0
     while True:
         last = rings[-1].where(F.col("level") == at).select("source", F.col("vertex").alias("src"))
-        found = last.join(near, "src").groupBy("source", F.col("dst").alias("vertex")).agg((F.min("hops") + at).cast("int").alias("level"))
+        first = stored(last.join(near, "src").groupBy("source", F.col("dst").alias("vertex")).agg(F.min("hops").alias("hops")), "bfs-rim")
+        rim = first.where(F.col("hops") == half).select("source", F.col("vertex").alias("src"))
+        on = rim.join(near.where(F.col("hops") <= reach - half), "src").select("source", F.col("dst").alias("vertex"), (F.col("hops") + half).alias("hops"))
+        found = first.unionByName(on).groupBy("source", "vertex").agg((F.min("hops") + at).cast("int").alias("level"))
         told = Observation()
         # a ball around a level of a symmetric graph ends ``reach`` levels back
         ring = stored(frontier_new(found, _union(rings[-2:] if symmetric else rings)).observe(told, F.count_if(F.col("level") == at + reach).alias("edge")), "bfs-ring")
+        discard(first)
         rings, at = [*rings, ring], at + reach
         if not told.get.get("edge", 0):
             break
     levels = stored(_union(rings), "bfs-levels")
     for table in [*rings, near]:
         discard(table)
-    return with_parents(levels, edges.distinct())
+    return with_parents(levels, edges)
 
 
 def rounds_of(result: DataFrame, switch_at: float | None = None) -> DataFrame:

@@ -273,3 +273,15 @@ def test_searches_over_whole_tables(spark: SparkSession) -> None:
         users[r["user_id"]] = users.get(r["user_id"], 0) + 1
     assert derived.event_steps(spark, str(DATA)).count() == sum(n - 1 for n in users.values())
 
+
+
+@pytest.mark.parametrize("reach", [1, 2, 7, 8])
+def test_deep_rounds_go_twice_through_balls_of_half_the_reach(spark: SparkSession, monkeypatch: pytest.MonkeyPatch, reach: int) -> None:
+    pairs = [(i, i + 1) for i in range(20)] + [(i + 1, i) for i in range(20)] + [(3, 9), (9, 3)]
+    asked, balls = [], search.balls
+    monkeypatch.setattr(search, "balls", lambda edges, hops: asked.append(hops) or balls(edges, hops))
+    assert as_dict(search.bfs_deep(table(spark, pairs * 2), [0], reach, symmetric=True)) == plain(pairs, 0)
+    assert asked == [(reach + 1) // 2]
+    levels = {v: plain(pairs, v) for v in range(21)}
+    want = {(v, w, n) for v in levels for w, (n, _) in levels[v].items() if 0 < n <= reach}
+    assert {tuple(r) for r in balls(table(spark, pairs), reach).collect()} == want
