@@ -44,12 +44,18 @@ def asymmetric_edges(edges: DataFrame) -> DataFrame:
 
 
 def is_symmetric(edges: DataFrame) -> DataFrame:
-    """One row: nnz, asymmetric, is_symmetric. A single aggregation instead of a self-join."""
-    signed = edges.select("src", "dst", F.lit(1).alias("one")).unionByName(reverse(edges).select("src", "dst", F.lit(-1).alias("one")))
-    balance = signed.groupBy("src", "dst").agg(F.sum("one").alias("surplus"), F.count_if(F.col("one") > 0).alias("n"))
+    """One row: nnz, asymmetric, is_symmetric. A single aggregation of one row per edge, instead of a self-join.
+
+    Of an edge and its mirror, the one that occurs more often does so by the difference of the two counts.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    back = F.coalesce(src > dst, src.isNull() & dst.isNotNull())
+    ahead = F.when(src.eqNullSafe(dst), 0).when(back, -1).otherwise(1)
+    pairs = edges.groupBy(F.when(back, dst).otherwise(src).alias("one"), F.when(back, src).otherwise(dst).alias("other"))
+    balance = pairs.agg(F.sum(ahead).alias("surplus"), F.count("*").alias("n"))
     return balance.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("nnz"),
-        F.coalesce(F.sum(F.greatest("surplus", F.lit(0))), F.lit(0)).cast("bigint").alias("asymmetric"),
+        F.coalesce(F.sum(F.abs("surplus")), F.lit(0)).cast("bigint").alias("asymmetric"),
     ).withColumn("is_symmetric", F.col("asymmetric") == 0)
 
 

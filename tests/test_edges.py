@@ -36,6 +36,14 @@ def test_symmetry_counts_repeats(spark: SparkSession) -> None:
     assert edges.is_symmetric(table(spark, [])).first()["is_symmetric"]
 
 
+def test_symmetry_groups_one_row_per_edge(spark: SparkSession) -> None:
+    rows = [(0, 1), (0, 1), (1, 0), (3, 2), (4, 4), (None, 5), (5, None), (6, None), (None, None)]
+    made = edges.is_symmetric(table(spark, rows))
+    assert tuple(made.first()) == (9, 3, False)
+    assert "Union" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert tuple(edges.is_symmetric(table(spark, [(None, 5), (5, None), (None, None)])).first()) == (3, 0, True)
+
+
 def test_self_loop_is_no_root(spark: SparkSession) -> None:
     assert rows(edges.root_candidates(table(spark, [(7, 7), (0, 1)]))) == [(0, 1)]
 
