@@ -75,22 +75,23 @@ def _side(edges: DataFrame, key: str, other: str, hub_degree: int, buckets: int)
     """Distinct ``edges`` in buckets by ``key``. The input is read once; it is dealt anew only where there are hubs."""
     spark = edges.sparkSession
 
-    def written(dealt: DataFrame, keys: list[str]) -> tuple[DataFrame, str]:
+    def written(dealt: DataFrame, keys: list[str], distinct: bool) -> tuple[DataFrame, str]:
         path = new_path(spark, "bfs-edges")
         name = path.rsplit("/", 1)[1].replace("-", "_")
         # repeats of an edge share its bucket: the deal to buckets is the only shuffle
-        dealt.repartition(buckets, *keys).distinct().write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+        placed = dealt.repartition(buckets, *keys)
+        (placed if distinct else placed.distinct()).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
         kept_until_exit(spark, path)
         return spark.table(name), name
 
-    table, name = written(edges.select("src", "dst", F.lit(0).alias("part")), [key])
+    table, name = written(edges.select("src", "dst", F.lit(0).alias("part")), [key], False)
     large = table.groupBy(key).agg(F.count("*").alias("degree")).where(F.col("degree") > hub_degree)
     hubs = stored(large.select(key, F.ceil(F.col("degree") / hub_degree).cast("int").alias("parts")), "bfs-hubs")
     if hubs.isEmpty():
         discard(hubs)
         return Side(table, key, None, name)
     part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int").alias("part")
-    parted, parted_name = written(table.select("src", "dst").join(hubs, key, "left").select("src", "dst", part), [key, "part"])
+    parted, parted_name = written(table.select("src", "dst").join(hubs, key, "left").select("src", "dst", part), [key, "part"], True)
     Side(table, key, None, name).release()
     return Side(parted, key, hubs, parted_name)
 

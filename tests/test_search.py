@@ -285,3 +285,14 @@ def test_deep_rounds_go_twice_through_balls_of_half_the_reach(spark: SparkSessio
     levels = {v: plain(pairs, v) for v in range(21)}
     want = {(v, w, n) for v in levels for w, (n, _) in levels[v].items() if 0 < n <= reach}
     assert {tuple(r) for r in balls(table(spark, pairs), reach).collect()} == want
+
+
+def test_edges_in_parts_are_made_distinct_once(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    kind, calls = type(spark.range(1)), []
+    plainly = kind.distinct
+    monkeypatch.setattr(kind, "distinct", lambda df: calls.append(1) or plainly(df))
+    pairs = [(0, i % 9) for i in range(40)]
+    built = search.build(table(spark, pairs), hub_degree=4, buckets=2)
+    assert len(calls) == 1 and built.hubs is not None
+    assert sorted(tuple(r) for r in built.edges.select("src", "dst").collect()) == sorted(set(pairs))
+    built.release()
