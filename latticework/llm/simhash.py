@@ -19,10 +19,12 @@ Plan
 7. Components of the links, folded back onto the documents.
 
 ``similar_groups`` is the same plan for a wide similarity (0.8 of five-word
-shingles by default). There 64-bit fingerprints of similar texts differ in ten
-bits and more, which no split into blocks can bucket, so buckets come from
-min-wise sketches of the same shingle hashes instead, and the exact Jaccard
-similarity of the shingle sets verifies every candidate. Fingerprints do not
+shingles by default). It begins with steps 1 to 6: fingerprints, one text of each,
+pivot distances, links of up to two bits. The exact Jaccard similarity of the
+shingle sets verifies them, and they give the first groups. Other similar texts have fingerprints
+that differ in ten bits and more, which no split into blocks can bucket; these
+come, across groups only, from min-wise sketches of the same shingle hashes and
+are verified alike. Fingerprints do not
 discard any: they count repeated shingles, which the sets do not. Buckets of up to
 ``pair_limit`` texts give all their pairs. In crowded ones every member is first
 compared with ``n_centres`` of them, other ones in every band, then with the
@@ -222,14 +224,28 @@ def _node(text: Column) -> Column:
 
 
 def _sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(node, bands) of ``docs(node, t binary)``."""
+    """(node, fp, bands) of ``docs(node, t binary)``: fingerprint and sketch of the same shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            bands = [band_keys(shingle_hashes(text.as_py(), shingle_words)) for text in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bands, pa.list_(pa.int64()))], names=["node", "bands"])
+            hashes = [shingle_hashes(text.as_py(), shingle_words) for text in batch.column(1)]
+            fps, bands = pa.array([simhash(h) for h in hashes], pa.int64()), pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), fps, bands], names=["node", "fp", "bands"])
 
-    return docs.mapInArrow(run, "node string, bands array<long>")
+    return docs.mapInArrow(run, "node string, fp long, bands array<long>")
+
+
+def fingerprint_pairs(fps: DataFrame, max_bits: int = 2) -> DataFrame:
+    """(src, dst): nodes of ``fps(node, fp)`` whose fingerprints link, by ``links``.
+
+    Nodes of one fingerprint are paired with the smallest of them, which stands for it in links to others.
+    """
+    first = materialize(fps.groupBy("fp").agg(F.min("node").alias("first")), "similar-first")
+    same = fps.join(first, "fp").where("node <> first").select(F.col("node").alias("src"), F.col("first").alias("dst"))
+    of = lambda end: first.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))
+    linked = links(first, max_bits).join(of("src"), "src").join(of("dst"), "dst")
+    near = linked.select(F.greatest("src_node", "dst_node").alias("src"), F.least("src_node", "dst_node").alias("dst"))
+    return same.unionByName(near).distinct()
 
 
 def _shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -355,32 +371,41 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(known.join(joined, "group", "left").select("node", F.coalesce("component", "group").alias("group")), "similar-merged")
 
 
+def _named(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the group that ``links`` put each node in, or its own."""
+    groups = connected_components(links).withColumnRenamed("component", "group")
+    return members.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+
+
 def similar_groups(
     docs: DataFrame, text_col: str = "text", shingle_words: int = 5, similarity: float = 0.8,
     first_bands: int = 4, pair_limit: int = 16, n_centres: int = 8, block: int = 128,
 ) -> DataFrame:
     """(node, group): each distinct text that has similar ones, and the group it belongs to.
 
-    The first bands are verified and grouped before the others, which then need
-    only be compared across groups. Crowded buckets that hold unlike groups even
+    Links of fingerprints come first, then the first bands; each is verified and grouped
+    before the next, which then need only be compared across groups. Crowded buckets that hold unlike groups even
     then are compared with their hubs, and what is left of them in full.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(_node(text).alias("node"), text.cast("binary").alias("t"))
     sketches = materialize(_sketches(texts, shingle_words), "similar-sketches")
-    distinct = sketches.groupBy("node").agg(F.count("*").alias("copies"), F.min("bands").alias("bands"))
+    distinct = sketches.groupBy("node").agg(F.count("*").alias("copies"), F.min("bands").alias("bands"), F.min("fp").alias("fp"))
+    hashed = materialize(distinct.select("node", "fp"), "similar-fps")
+    linked = materialize(fingerprint_pairs(hashed), "similar-linked")
     rows = distinct.select("node", "copies", F.posexplode("bands").alias("band", "key")).where("key <> 0")
     shared = materialize(rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "similar-shared")
     members = materialize(rows.join(shared, ["band", "key"]), "similar-members")
     # one shuffle of the distinct texts: copies meet on the map side, then those in no shared bucket go
-    own = texts.groupBy("node").agg(F.min("t").alias("t")).join(members.select("node").distinct(), "node", "left_semi")
+    asked = members.select("node").union(linked.select("src")).union(linked.select("dst")).distinct()
+    own = texts.groupBy("node").agg(F.min("t").alias("t")).join(asked, "node", "left_semi")
     sets = materialize(_shingle_sets(own, shingle_words), "similar-sets")
-    alone = members.withColumn("group", F.col("node"))
-    early = materialize(_candidates(alone.where(F.col("band") < first_bands), pair_limit, 2), "similar-early")
-    links_1 = _verified(early, sets, similarity)
-    groups = connected_components(links_1).withColumnRenamed("component", "group")
-    grouped = members.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    late = _candidates(materialize(grouped, "similar-grouped"), pair_limit, n_centres).join(early, ["src", "dst"], "left_anti")
+    links_0 = _verified(linked, sets, similarity)
+    first = materialize(_named(members, links_0), "similar-named")
+    early = materialize(_candidates(first.where(F.col("band") < first_bands), pair_limit, 2), "similar-early")
+    links_1 = links_0.unionByName(_verified(early, sets, similarity))
+    grouped = materialize(_named(members, links_1), "similar-grouped")
+    late = _candidates(grouped, pair_limit, n_centres).join(early, ["src", "dst"], "left_anti")
     links_2 = _verified(materialize(late, "similar-late"), sets, similarity)
     links = links_1.unionByName(links_2)
     every = materialize(connected_components(links).select("node", F.col("component").alias("group")), "similar-every")

@@ -197,3 +197,14 @@ def test_components_of_a_path_and_loops(spark: SparkSession) -> None:
 def test_hex_has_sixteen_digits(spark: SparkSession) -> None:
     row = spark.createDataFrame([(5, -1)], "a long, b long").select(simhash.hex_fingerprint(F.col("a")), simhash.hex_fingerprint(F.col("b"))).first()
     assert tuple(row) == ("0000000000000005", "f" * 16)
+
+
+def test_similar_groups_begin_with_links_of_fingerprints(spark: SparkSession) -> None:
+    fps = spark.createDataFrame([("a", 0), ("b", 0), ("c", 3), ("d", 7), ("e", -1), ("f", 1 << 40)], "node string, fp long")
+    # c is two bits from 0 and one from d, f one bit from 0 and three from c
+    assert {tuple(r) for r in simhash.fingerprint_pairs(fps).collect()} == {("b", "a"), ("c", "a"), ("d", "c"), ("f", "a")}
+    text = " ".join(f"word{i}" for i in range(400))
+    # texts without a word have no sketch: only their fingerprints link them
+    rows = [(1, text), (2, f"{text} more"), (3, ""), (4, " "), (5, "\n\t"), (6, None), (7, "another one")]
+    kept = simhash.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=5, similarity=0.8)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 7]
