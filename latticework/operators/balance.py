@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators.blocks import all_degrees, block_edge, nnz_per_block
-from latticework.operators.edges import relabel, with_global_rank
+from latticework.operators.edges import with_global_rank
 from latticework.plans.tables import discard, stored
 
 HEAD, GROWTH = 4, 2
+#: Vertices above which a table of one row a vertex is hashed by shuffle; up to it the planner may broadcast it.
+HASHED = 1_000_000
 
 
 def batch_bounds(rows: int, grid: int) -> list[int]:
@@ -171,26 +173,50 @@ def balance_factor(edges: DataFrame, n: int, grid: int) -> float:
     return row["nnz"] / (grid * grid * row["most"]) if row["most"] else 1.0
 
 
+def _hashed(by_vertex: DataFrame, n: int) -> DataFrame:
+    return by_vertex.hint("shuffle_hash") if n > HASHED else by_vertex
+
+
+def load_vectors(edges: DataFrame, ranked: DataFrame, n: int, size: int, perm: DataFrame | None) -> DataFrame:
+    """vectors(rank, col_b, load): the edges of each row by block column, columns where ``perm(old_id, new_id)`` puts them.
+
+    Edges are streamed past a hash of the permutation, one row a vertex, and combined where they are
+    met: no task sorts edges, and what is joined with the ranks are loads.
+    """
+    columns = edges.select("dst", "src")
+    if perm is not None:
+        columns = columns.join(_hashed(perm.select(F.col("old_id").alias("src"), F.col("new_id").alias("at")), n), "src")
+    placed = columns.select(F.col("dst").alias("vertex"), F.expr(f"{'src' if perm is None else 'at'} div {size}").alias("col_b"))
+    loads = placed.groupBy("vertex", "col_b").agg(F.count("*").alias("load"))
+    return loads.join(_hashed(ranked, n), "vertex").select("rank", "col_b", "load")
+
+
+def placed_factor(vectors: DataFrame, placement: Placement, grid: int) -> float:
+    """``balance_factor`` of the graph whose rows go where ``placement`` says and whose loads by column are ``vectors``."""
+    own = _with_new_ids(vectors, "rank", placement, "new_id").groupBy(F.expr(f"new_id div {placement.size}").alias("band"), "col_b")
+    row = own.agg(F.sum("load").alias("nnz")).agg(F.sum("nnz").alias("nnz"), F.max("nnz").alias("most")).first()
+    return row["nnz"] / (grid * grid * row["most"]) if row["most"] else 1.0
+
+
 def balance_greedy(edges: DataFrame, n: int, grid: int) -> DataFrame:
-    """perm(old_id, new_id), ids padded to a multiple of the grid; ties of degree go by id."""
+    """perm(old_id, new_id), ids padded to a multiple of the grid; ties of degree go by id.
+
+    A pass reads the edges once: their loads under its permutation tell its factor, and are what the next pass places.
+    """
     size = block_edge(n, grid)
     padded = size * grid
     ranked = with_global_rank(all_degrees(edges, padded), [F.col("degree").desc(), F.col("vertex")], "rank")
     ranked = stored(ranked.select("vertex", "rank"), "balance-ranks")
-    by_rank = stored(edges.join(ranked.withColumnRenamed("vertex", "dst"), "dst").select("rank", "src"), "balance-rows")
     best, best_factor = None, 0.0
+    vectors = stored(load_vectors(edges, ranked, padded, size, None), "balance-vectors")
     while True:
-        if best is None:
-            placed = by_rank.withColumn("col_b", F.expr(f"src div {size}"))
-        else:
-            placed = by_rank.join(best.withColumnRenamed("old_id", "src"), "src").withColumn("col_b", F.expr(f"new_id div {size}"))
-        vectors = stored(placed.groupBy("rank", "col_b").agg(F.count("*").alias("load")), "balance-vectors")
         placement = _one_pass(vectors, padded, grid, size)
-        perm = stored(_with_new_ids(ranked, "rank", placement, "new_id").select(F.col("vertex").alias("old_id"), "new_id"), "balance-perm")
         discard(vectors)
-        factor = balance_factor(relabel(edges, perm), padded, grid)
+        perm = stored(_with_new_ids(ranked, "rank", placement, "new_id").select(F.col("vertex").alias("old_id"), "new_id"), "balance-perm")
+        vectors = stored(load_vectors(edges, ranked, padded, size, perm), "balance-vectors")
+        factor = placed_factor(vectors, placement, grid)
         if factor <= best_factor:
-            for table in (ranked, by_rank, perm):
+            for table in (ranked, vectors, perm):
                 discard(table)
             return best
         if best is not None:

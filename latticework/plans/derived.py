@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions.units import CLOCK_HZ, encode_ticks
-from latticework.operators.edges import reverse
 from latticework.sources.rmat import hashed_rmat
 
 
@@ -15,13 +14,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _both_ways(one: DataFrame) -> DataFrame:
-    return one.unionByName(reverse(one))
+    """Every edge and its mirror, from one pass over ``one``: a union would make its rows twice."""
+    return one.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
 
 
 def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers (even ids) and the parts they bought (odd ids), symmetric."""
+    """Customers (even ids) and the parts they bought (odd ids), symmetric and distinct. Lines pass a hash of the orders unsorted."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    joined = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    joined = orders.hint("shuffle_hash").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     return _both_ways(joined.select((2 * F.col("o_custkey")).alias("src"), (2 * F.col("l_partkey") + 1).alias("dst")).distinct())
 
 

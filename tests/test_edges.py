@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from latticework.operators import adjacency, balance, blocks, edges, search
+from latticework.plans import derived
 from latticework.plans.tables import stored
 from latticework.sources import rmat
 
 
+DATA = Path("/root/testdata/sf0.001")
+
+
 def table(spark: SparkSession, pairs: list[tuple[int, int]]) -> DataFrame:
     return spark.createDataFrame(pairs, "src bigint, dst bigint")
 
@@ -115,6 +121,27 @@ def test_rounds_balance_as_rows_do(spark: SparkSession, scale: int, factor: int,
     assert got >= 0.97 * row_by_row([tuple(r) for r in graph.collect()], 1 << scale, side)
 
 
+def test_balancing_sorts_no_edges(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """Edges pass a hash of the permutation; their loads give the factor that the relabelled edges have."""
+    graph, n, side = stored(rmat.rmat(spark, 8, 4, 2), "test-edges"), 1 << 8, 4
+    ranked = stored(edges.with_global_rank(blocks.all_degrees(graph, n), [F.col("degree").desc(), F.col("vertex")], "rank"), "test-ranks")
+    perm = stored(balance.balance_greedy(graph, n, side), "test-perm")
+    monkeypatch.setattr(balance, "HASHED", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        vectors = balance.load_vectors(graph, ranked, n, n // side, perm)
+        plan = vectors._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Sort [" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    placement = balance._one_pass(stored(balance.load_vectors(graph, ranked, n, n // side, None), "test-vectors"), n, side, n // side)
+    own = ranked.collect()
+    ids = placement.new_ids(np.array([r["rank"] for r in own]))
+    placed = spark.createDataFrame([(r["vertex"], int(i)) for r, i in zip(own, ids, strict=True)], "old_id bigint, new_id bigint")
+    got = balance.placed_factor(balance.load_vectors(graph, ranked, n, n // side, placed), placement, side)
+    assert got == balance.balance_factor(edges.relabel(graph, placed), n, side)
+
+
 def test_levels_and_deals() -> None:
     rng = np.random.default_rng(1)
     for _ in range(50):
@@ -178,3 +205,16 @@ def test_ranks_run_on_over_ranges(spark: SparkSession, monkeypatch: pytest.Monke
         want.append((v, n, before))
         before += n
     assert sorted(tuple(r) for r in blocks.csr_offsets(table(spark, pairs), 40).collect()) == want
+
+
+def test_both_ways_make_rows_once(spark: SparkSession) -> None:
+    """The purchases are joined and made distinct once for both directions, and no line is sorted."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        one = table(spark, [(0, 1), (0, 1), (2, 3)])
+        assert rows(derived._both_ways(one.distinct())) == [(0, 1), (1, 0), (2, 3), (3, 2)]
+        if DATA.exists():
+            plan = derived.purchases(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("ShuffledHashJoin") == 1 and plan.count("FileScan") == 2 and "Union" not in plan and "Sort [" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
