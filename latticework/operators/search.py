@@ -71,7 +71,7 @@ class Side:
         return rows.join(self.hubs, self.key, "left").select(*rows.columns, parts), [self.key, "part"]
 
 
-def _side(edges: DataFrame, key: str, other: str, hub_degree: int, buckets: int) -> Side:
+def _side(edges: DataFrame, key: str, other: str, hub_degree: int, buckets: int, distinct: bool = False) -> Side:
     """Distinct ``edges`` in buckets by ``key``. The input is read once; it is dealt anew only where there are hubs."""
     spark = edges.sparkSession
 
@@ -80,11 +80,12 @@ def _side(edges: DataFrame, key: str, other: str, hub_degree: int, buckets: int)
         name = path.rsplit("/", 1)[1].replace("-", "_")
         # repeats of an edge share its bucket: the deal to buckets is the only shuffle
         placed = dealt.repartition(buckets, *keys)
-        (placed if distinct else placed.distinct()).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+        # not sorted inside a bucket: joins do not count on it, and the sort would compare whole rows
+        (placed if distinct else placed.distinct()).write.bucketBy(buckets, *keys).option("path", path).saveAsTable(name)
         kept_until_exit(spark, path)
         return spark.table(name), name
 
-    table, name = written(edges.select("src", "dst", F.lit(0).alias("part")), [key], False)
+    table, name = written(edges.select("src", "dst", F.lit(0).alias("part")), [key], distinct)
     large = table.groupBy(key).agg(F.count("*").alias("degree")).where(F.col("degree") > hub_degree)
     hubs = stored(large.select(key, F.ceil(F.col("degree") / hub_degree).cast("int").alias("parts")), "bfs-hubs")
     if hubs.isEmpty():
@@ -120,7 +121,7 @@ class Built:
             hubs = self.out.hubs
             return Side(turned, "dst", None if hubs is None else hubs.withColumnRenamed("src", "dst"))
         if self.mirror is None:
-            self.mirror = _side(self.out.edges.select("src", "dst"), "dst", "src", self.hub_degree, self.buckets)
+            self.mirror = _side(self.out.edges.select("src", "dst"), "dst", "src", self.hub_degree, self.buckets, True)
         return self.mirror
 
     def release(self) -> None:
@@ -130,10 +131,10 @@ class Built:
             self.mirror.release()
 
 
-def build(edges: DataFrame, hub_degree: int = 1_000_000, buckets: int | None = None) -> Built:
-    """Distinct ``edges(src, dst)`` in buckets by src, hubs in parts of about ``hub_degree`` edges."""
+def build(edges: DataFrame, hub_degree: int = 1_000_000, buckets: int | None = None, distinct: bool = False) -> Built:
+    """Distinct ``edges(src, dst)`` in buckets by src, hubs in parts of about ``hub_degree`` edges. ``distinct``: they are so already."""
     n = buckets or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Built(_side(edges, "src", "dst", hub_degree, n), n, hub_degree)
+    return Built(_side(edges, "src", "dst", hub_degree, n, distinct), n, hub_degree)
 
 
 def expand_topdown(edges: DataFrame, frontier: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ import pytest
 from hypothesis import HealthCheck, Phase, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from latticework.operators import checks, search
 from latticework.plans import catalogue, derived
@@ -296,3 +297,22 @@ def test_edges_in_parts_are_made_distinct_once(spark: SparkSession, monkeypatch:
     assert len(calls) == 1 and built.hubs is not None
     assert sorted(tuple(r) for r in built.edges.select("src", "dst").collect()) == sorted(set(pairs))
     built.release()
+
+
+def test_validation_moves_the_edges_once(spark: SparkSession, sort_merge: None) -> None:
+    """Edges meet both levels and the tree in one pass: one shuffle of them, none sorted; repeated edges count as before."""
+    pairs = [(i, (i * 7) % 50) for i in range(50)]
+    both = sorted({*pairs, *[(b, a) for a, b in pairs]})
+    built = search.build(table(spark, both), distinct=True)
+    right = search.bfs(built, [1, 2], True)
+    plan = checks.validate(right, built.edges)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("bfs_edges") == 1 and "SortMergeJoin [src" not in plan and plan.count("ShuffledHashJoin") == 2
+    assert sorted(tuple(r) for r in checks.validate(right, built.edges).collect()) == [(1, 0, 0, True), (2, 0, 0, True)]
+    spoilt = right.where("vertex % 7 <> 5").withColumn("level", F.col("level") + (F.col("vertex") % 5 == 3).cast("int"))
+    for given_edges in (both, both * 2):
+        graph = table(spark, given_edges)
+        wrong = {r["source"]: r["count"] for r in checks.invalid_parents(spoilt, graph).groupBy("source").count().collect()}
+        level = {(r["source"], r["vertex"]): r["level"] for r in spoilt.collect()}
+        far = {s: sum((s, a) in level and level.get((s, b), 99) > level[s, a] + 1 for a, b in given_edges) for s in (1, 2)}
+        got = {r["source"]: (r["n_invalid_parents"], r["n_long_edges"]) for r in checks.validate(spoilt, graph).collect()}
+        assert got == {s: (wrong[s], far[s]) for s in (1, 2)}
