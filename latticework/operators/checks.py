@@ -70,12 +70,12 @@ def compare(ours: DataFrame, other: DataFrame) -> DataFrame:
 def edges_traversed(result: DataFrame, edges: DataFrame, symmetric: bool) -> DataFrame:
     """(source, m): edges met by each search.
 
-    On a symmetric graph an undirected edge counts once, at its end dst >= src;
-    on a directed one all out-edges of visited vertices count.
+    On a symmetric graph an undirected edge counts once, at its larger end, as the row
+    whose src that is; on a directed one all out-edges of visited vertices count. So
+    edges in buckets by src are counted where they lie.
     """
-    end = "dst" if symmetric else "src"
-    counted = edges.where("src <= dst") if symmetric else edges
-    degree = counted.groupBy(F.col(end).alias("vertex")).agg(F.count("*").alias("n"))
+    counted = edges.where("dst <= src") if symmetric else edges
+    degree = counted.groupBy(F.col("src").alias("vertex")).agg(F.count("*").alias("n"))
     return result.select("source", "vertex").join(degree, "vertex", "left").groupBy("source").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("m"))
 
 

@@ -624,9 +624,9 @@ _SEARCHES = f"""{_with('purchases', _ROOTS + ', ' + _MULTI)}, vis AS (SELECT s,
 
 def _searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per search; search time is a made-up number of cycles, so that rows can be compared."""
-    e = _graph("purchases", spark, sf_dir)
-    found = search.bfs(e, edges.sample_roots(e, 6, 5), True)
-    joined = checks.eccentricity(found).join(checks.edges_traversed(found, e, True), "source")
+    graph = _built("purchases", spark, sf_dir)
+    found = search.bfs(graph, edges.sample_roots(graph.edges, 6, 5), True)
+    joined = checks.eccentricity(found).join(checks.edges_traversed(found, graph.edges, True), "source")
     cycles = F.col("visited") * 100 + F.col("source")
     return joined.select("source", "rounds", "visited", "m", cycles.alias("cycles"), units.gteps(F.col("m"), cycles).alias("gteps"))
 

@@ -316,3 +316,13 @@ def test_validation_moves_the_edges_once(spark: SparkSession, sort_merge: None)
         far = {s: sum((s, a) in level and level.get((s, b), 99) > level[s, a] + 1 for a, b in given_edges) for s in (1, 2)}
         got = {r["source"]: (r["n_invalid_parents"], r["n_long_edges"]) for r in checks.validate(spoilt, graph).collect()}
         assert got == {s: (wrong[s], far[s]) for s in (1, 2)}
+
+
+def test_built_edges_are_counted_where_they_lie(spark: SparkSession, sort_merge: None) -> None:
+    pairs = [(0, 1), (1, 0), (1, 2), (2, 1), (4, 5), (5, 4), (2, 2)]
+    built = search.build(table(spark, pairs), distinct=True)
+    found = search.bfs(built, [0, 4], True)
+    made = checks.edges_traversed(found, built.edges, True)
+    # the result's vertices to the degrees, and their sums to the sources; no degrees
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert {r["source"]: r["m"] for r in made.collect()} == {0: 3, 4: 1}
