@@ -470,16 +470,20 @@ def bfs_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("bfs_multi_source_distributed", f"{_with('purchases', _ROOTS + ', ' + _MULTI)} SELECT s AS source, v AS vertex, lvl AS level, parent FROM b")
 def bfs_multi_source_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six roots that turn to searching bottom-up, each by its own rounds."""
-    e, n = _blocks(spark, sf_dir)
-    return search.bfs(e, edges.sample_roots(e, 6, 5), True, search.switch_threshold(n))
+    graph = _built("purchases", spark, sf_dir)
+    found = search.bfs(graph, edges.sample_roots(graph.edges, 6, 5), True, search.switch_threshold(_size(graph.edges)))
+    graph.release()
+    return found
 
 
 @_query("bfs_direction_multi_source", f"""{_with('purchases', _ROOTS + ', ' + _MULTI)}, nf AS (SELECT s AS source, lvl - 1 AS round, count(*) AS nf FROM b WHERE lvl > 0 GROUP BY ALL),
     h AS (SELECT * FROM nf UNION ALL SELECT s, max(lvl), 0 FROM b GROUP BY s), turn AS (SELECT source, min(round) AS t FROM h, n WHERE nf > round_even(0.15 * n, 0) GROUP BY source)
     SELECT source, round, nf, CASE WHEN round > t THEN 'bottom_up' ELSE 'top_down' END AS direction FROM h LEFT JOIN turn USING (source)""")
 def bfs_direction_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, n = _blocks(spark, sf_dir)
-    return search.bfs_rounds(e, edges.sample_roots(e, 6, 5), True, search.switch_threshold(n))
+    graph = _built("purchases", spark, sf_dir)
+    made = search.bfs_rounds(graph, edges.sample_roots(graph.edges, 6, 5), True, search.switch_threshold(_size(graph.edges)))
+    graph.release()
+    return made
 
 
 def _grid_cells(spark: SparkSession, sf_dir: str) -> tuple[grid.Cells, int]:

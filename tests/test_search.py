@@ -326,3 +326,15 @@ def test_built_edges_are_counted_where_they_lie(spark: SparkSession, sort_merge:
     # the result's vertices to the degrees, and their sums to the sources; no degrees
     assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
     assert {r["source"]: r["m"] for r in made.collect()} == {0: 3, 4: 1}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the test tables are not here")
+def test_purchases_are_built_without_a_copy(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """The turning search of six roots takes the edges straight from their plan, which gives each once."""
+    stored_ones, kind, calls = [], type(spark.range(1)), []
+    plainly = kind.distinct
+    monkeypatch.setattr(catalogue, "_graph", lambda name, *_: stored_ones.append(name))
+    monkeypatch.setattr(kind, "distinct", lambda df: calls.append(1) or plainly(df))
+    graph = catalogue._built("purchases", spark, str(DATA))
+    assert len(calls) == 1 and graph.edges.count() == graph.edges.select("src", "dst").dropDuplicates().count()
+    assert catalogue.queries()["bfs_direction_multi_source"](spark, str(DATA)).count() > 6 and stored_ones == []
