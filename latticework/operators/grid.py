@@ -22,7 +22,7 @@ in one pass over the edges.
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +39,10 @@ PAGE = 32768
 BYTES = PAGE // 8
 #: Pages that a task holds before it hands them on.
 HELD_PAGES = 4096
+#: Edges that a task packs before it drops their repeats.
+HELD_EDGES = 1 << 20
 _KEY = ["row_b", "col_b", "page", "seg"]
+_KEY_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 _STATE = "page bigint, frontier binary, visited binary, nf bigint"
 
 
@@ -63,23 +66,71 @@ class Cells:
         self.segments.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
+def _packer(n: int, radix: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per key of rows (key, edge) that come with equal keys together; an edge counts once.
+
+    ``key`` is the four columns of a segment's key as digits of one number, those after the first below ``radix``;
+    ``edge`` is src_l * n + dst.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, rows = None, [], 0
+
+        def handed() -> pa.RecordBatch:
+            own, digits, rest = np.unique(np.concatenate(held)), [], key
+            for base in reversed(radix):
+                rest, digit = divmod(rest, base)
+                digits.insert(0, digit)
+            ends = pa.array([0, len(own)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array((own // n).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(own % n))]
+            return pa.RecordBatch.from_arrays([*[pa.array([v], t) for v, t in zip([rest, *digits], _KEY_TYPES, strict=True)], *lists], names=[*_KEY, "src_l", "dst"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, edges = batch["key"].to_numpy(), batch["edge"].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if (own := int(keys[begin])) != key:
+                    if key is not None:
+                        yield handed()
+                    key, held, rows = own, [], 0
+                held.append(edges[begin:end])
+                rows += end - begin
+                if rows > HELD_EDGES:  # repeats of an edge do not pile up
+                    held, rows = [np.unique(np.concatenate(held))], 0
+        if key is not None:
+            yield handed()
+
+    return pack
+
+
 def build_cells(edges: DataFrame, n: int, grid: int, segment: int = 65_536, buckets: int | None = None) -> Cells:
-    """Distinct ``edges(src, dst)`` with ids from 0 to n - 1, packed into the segments of a grid of cells."""
+    """Distinct ``edges(src, dst)`` with ids from 0 to n - 1, packed into the segments of a grid of cells.
+
+    ``edges`` are read twice, to count and to deal them, so they had better be stored. They are shuffled
+    once, to their segments; repeats of an edge meet there.
+    """
     spark = edges.sparkSession
     size = block_edge(max(1, n), grid)
-    placed = edges.select(F.expr(f"dst div {size}").alias("row_b"), F.expr(f"src div {size}").alias("col_b"), F.expr(f"src div {PAGE}").alias("page"), "src", "dst").distinct()
-    placed = stored(placed, "grid-edges")
+    placed = edges.select(F.expr(f"dst div {size}").alias("row_b"), F.expr(f"src div {size}").alias("col_b"), F.expr(f"src div {PAGE}").alias("page"), "src", "dst")
     sizes = placed.groupBy("row_b", "col_b", "page").agg(F.count("*").alias("nnz"))
     counts = stored(sizes.select("row_b", "col_b", "page", F.ceil(F.col("nnz") / segment).cast("int").alias("segs"), "nnz"), "grid-counts")
     seg = F.pmod(F.xxhash64("src", "dst"), F.col("segs")).cast("int").alias("seg")
-    dealt = placed.join(counts, ["row_b", "col_b", "page"]).select("row_b", "col_b", "page", seg, F.struct((F.col("src") % PAGE).cast("int").alias("s"), F.col("dst").alias("d")).alias("e"))
-    packed = dealt.groupBy(*_KEY).agg(F.array_sort(F.collect_list("e")).alias("e")).select(*_KEY, F.col("e.s").alias("src_l"), F.col("e.d").alias("dst"))
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a segment's key as one number and an edge as another: what is shuffled, sorted and packed are two longs
+    pages, most = n // PAGE + 1, counts.agg(F.max("segs")).first()[0] or 1
+    number = ((F.col("row_b") * grid + F.col("col_b")) * pages + F.col("page")) * most + seg
+    edge = F.col("src") % PAGE * max(1, n) + F.col("dst")
+    dealt = placed.join(counts, ["row_b", "col_b", "page"]).select(number.alias("key"), edge.alias("edge"))
+    # by the values that the buckets are made of, so each bucket is one task's
+    parts = [f"key div {most * pages * grid}", f"key div {most * pages} % {grid}", f"key div {most} % {pages}", f"CAST(key % {most} AS INT)"]
+    together = dealt.repartition(buckets, *[F.expr(x) for x in parts]).sortWithinPartitions("key")
+    packed = together.mapInArrow(_packer(max(1, n), [grid, pages, most]), "row_b bigint, col_b bigint, page bigint, seg int, src_l array<int>, dst array<bigint>")
     path = new_path(spark, "grid-cells")
     name = path.rsplit("/", 1)[1].replace("-", "_")
-    packed.repartition(buckets, *_KEY).write.bucketBy(buckets, *_KEY).option("path", path).saveAsTable(name)
+    packed.write.bucketBy(buckets, *_KEY).option("path", path).saveAsTable(name)
     kept_until_exit(spark, path)
-    discard(placed)
     return Cells(spark.table(name), counts, n, grid, name)
 
 

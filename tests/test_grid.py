@@ -78,3 +78,16 @@ def test_pages_are_a_tenth_of_rows(spark: SparkSession) -> None:
     pages = grid.candidates(cells, stored(grid.bitmap_pages(every), "test-pages"))
     assert sum(r["n"] for r in pages.select(F.bitmap_count("bits").alias("n")).collect()) == rows.count()
     assert 0 < 10 * shuffled_bytes(spark, pages) < shuffled_bytes(spark, rows)
+
+
+def test_cells_are_packed_from_one_shuffle(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    """No shuffle makes edges distinct before they are packed; repeats meet in their segments, however many there are."""
+    monkeypatch.setattr(grid, "HELD_EDGES", 10)
+    kind, calls = type(spark.range(1)), []
+    plainly = kind.distinct
+    monkeypatch.setattr(kind, "distinct", lambda df: calls.append(1) or plainly(df))
+    pairs = [(i % 60, (i * i) % 50) for i in range(3000)]
+    cells = grid.build_cells(stored(table(spark, pairs), "test-edges"), 60, 3, segment=400, buckets=3)
+    assert not calls and sorted((r["src"], r["dst"]) for r in cells.edges().collect()) == sorted(set(pairs))
+    keys = [(r["row_b"], r["col_b"], r["page"], r["seg"]) for r in cells.segments.collect()]
+    assert len(keys) == len(set(keys)) and len(keys) > 9
